@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.tokens import word_ngrams
 from ..functions.text import word_tokens
 from ..session import fits_broadcast, small_side
-from .layout import spread
+from .layout import spread, unfold
 from .ranking import fixed, keep_first, scale, top_k
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
@@ -63,7 +63,7 @@ def corpus_stats(corpus: DataFrame, tokens: Column) -> CorpusStats:
     entry = lambda t, n: F.struct(t.alias("token"), n.cast("long").alias("n"))
     each = F.transform(F.array_distinct("tokens"), lambda t: entry(t, F.lit(1)))
     marks = F.array(entry(F.lit(DOCS), F.lit(1)), entry(F.lit(LENGTH), F.col("dl")))
-    rows = toks.select(F.explode(F.concat(each, marks)).alias("e")).select("e.*")
+    rows = unfold(toks, [], F.concat(each, marks), "e").select("e.*")
     # Non-nullable key: every consumer then reads the same exchange.
     return CorpusStats(
         rows.groupBy(F.coalesce("token", F.lit("")).alias("token")).agg(F.sum("n").alias("n"))
@@ -80,7 +80,7 @@ def scores(
     """
     stats = stats or corpus_stats(corpus, tokens(F.col("text")))
     asked = (
-        queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token"))
+        unfold(queries, ["query_id"], tokens(F.col("text")), "token")
         .groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
     )
     small = fits_broadcast(asked)
@@ -93,7 +93,7 @@ def scores(
     weights = asked.join(idf, "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("w"))
 
     toks = tokenized(corpus, tokens(F.col("text")))
-    hits = toks.select("id", "dl", F.explode("tokens").alias("token")).join(words, "token", "left_semi")
+    hits = unfold(toks, ["id", "dl"], "tokens", "token").join(words, "token", "left_semi")
     # Partitioned by document once: counting per token and summing per query both fit it.
     tf = hits.repartition("id").groupBy("id", "dl", "token").agg(F.count("*").alias("tf"))
     mean_dl = stats.total(LENGTH) / n

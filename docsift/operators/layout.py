@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -16,3 +16,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys)
+
+
+def unfold(df: DataFrame, keep: list, array: Column | str, item: str, pos: str | None = None) -> DataFrame:
+    """One row per array element, with its place from 0 when ``pos`` is given.
+
+    A plain explode makes the optimizer test the array for emptiness below it, which
+    computes an expensive array twice (and before a shuffle, in fewer tasks). The
+    outer form does not, and the row of an empty array is dropped afterwards.
+    """
+    place = pos or "_pos"
+    rows = df.select(*keep, F.posexplode_outer(array).alias(place, item)).filter(F.col(place).isNotNull())
+    return rows if pos else rows.drop(place)

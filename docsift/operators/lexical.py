@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.text import count_words
 from ..functions.tokens import keywords
 from ..session import fits_broadcast, small_side
-from .layout import spread
+from .layout import spread, unfold
 from .ranking import fixed, top_k
 
 # Distinct keywords one automaton holds; larger sets are searched block by block.
@@ -60,7 +60,7 @@ def matches(corpus: DataFrame, keys: DataFrame) -> DataFrame:
         block = [r["keyword"] for r in part.collect()]
         if not block:
             continue
-        rows = docs.select("id", "chars", "words", F.explode(_matcher(block)(F.col("text"))).alias("m"))
+        rows = unfold(docs, ["id", "chars", "words"], _matcher(block)(F.col("text")), "m")
         rows = rows.select("id", "chars", "words", "m.*")
         found = rows if found is None else found.unionByName(rows)
     if found is None:
@@ -79,7 +79,7 @@ def scores(corpus: DataFrame, queries: DataFrame, position: bool = True) -> Data
     part weighs one half instead.
     """
     asked = (
-        queries.select("query_id", F.explode(keywords(F.col("text"))).alias("keyword"))
+        unfold(queries, ["query_id"], keywords(F.col("text")), "keyword")
         .groupBy("query_id", "keyword").agg(F.count("*").alias("times"))
     )
     sizes = asked.groupBy("query_id").agg(F.sum("times").alias("k"))

@@ -6,29 +6,27 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.tokens import blank_ngrams
 from ..session import fits_broadcast, small_side
-from .layout import spread
+from .layout import spread, unfold
 from .ranking import fixed, top_k
 
 
 def scores(corpus: DataFrame, queries: DataFrame, upto: int = 5) -> DataFrame:
     """``query_id, id, score``: 0.2 n per pair of equal n-grams, divided by the best score."""
-    weight = F.size(F.split("gram", " ")) * 0.2
+    length = F.size(F.split("gram", " "))
     asked = (
-        queries.select("query_id", F.explode(blank_ngrams(F.col("text"), upto)).alias("gram"))
+        unfold(queries, ["query_id"], blank_ngrams(F.col("text"), upto), "gram")
         .groupBy("query_id", "gram").agg(F.count("*").alias("n"))
-        .select("query_id", "gram", (F.col("n") * weight).alias("w"))
+        .select("query_id", "gram", (F.col("n") * length).alias("w"))
     )
     small = fits_broadcast(asked)
-    grams = spread(corpus.select("id", "text"), "id").select(
-        "id", F.explode(blank_ngrams(F.col("text"), upto)).alias("gram")
-    )
+    grams = unfold(spread(corpus.select("id", "text"), "id"), ["id"], blank_ngrams(F.col("text"), upto), "gram")
     # A document sits in one task, so its partial sum is complete before the shuffle.
-    raw = grams.join(small_side(asked, small), "gram").groupBy("query_id", "id").agg(
-        fixed(F.sum("w")).alias("raw")
-    )
+    raw = grams.join(small_side(asked, small), "gram").groupBy("query_id", "id").agg(F.sum("w").alias("raw"))
     best = raw.groupBy("query_id").agg(F.max("raw").alias("best"))
     rows = raw.join(small_side(best, small), "query_id")
-    return rows.select("query_id", "id", fixed(F.col("raw") / F.col("best")).alias("score"), "raw")
+    return rows.select(
+        "query_id", "id", fixed(F.col("raw") / F.col("best"), 9).alias("score"), (F.col("raw") * 0.2).alias("raw")
+    )
 
 
 def top(corpus: DataFrame, queries: DataFrame, k: int, upto: int = 5) -> DataFrame:

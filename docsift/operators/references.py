@@ -7,11 +7,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.citations import author_year_citations, numeric_citations
 from ..functions.text import words
 from ..session import fits_broadcast, small_side
+from .layout import unfold
 
 
 def resolve_numeric(texts: DataFrame, refs: DataFrame) -> DataFrame:
     """``texts(doc_id, text)`` x ``refs(ordinal, …)``: citation n names the n-th reference."""
-    cited = texts.select("doc_id", F.explode(numeric_citations(F.col("text"))).alias("ordinal"))
+    cited = unfold(texts, ["doc_id"], numeric_citations(F.col("text")), "ordinal")
     return cited.join(refs, "ordinal")
 
 
@@ -24,17 +25,17 @@ def resolve_author_year(texts: DataFrame, refs: DataFrame) -> DataFrame:
     meet by an equi-join on such grams and the exact test runs on those only.
     ``refs(ordinal, title, author, date)``.
     """
-    cites = texts.select("doc_id", F.explode(author_year_citations(F.col("text"))).alias("c")).select(
+    cites = unfold(texts, ["doc_id"], author_year_citations(F.col("text")), "c").select(
         "doc_id", F.col("c.author").alias("author"), F.col("c.year").alias("year")
     )
     wanted = cites.select("author", "year").distinct()
     low, ref_low = F.lower("author"), F.lower(F.coalesce("author", F.lit("")))
     long_words = F.filter(words(low), lambda w: F.length(w) > 3)
     heads = F.concat(F.array(F.substring(low, 1, 3)), F.transform(long_words, lambda w: F.substring(w, 1, 3)))
-    left = wanted.select("author", "year", F.explode(_keys(heads, _grams(low))).alias("gram"))
-    right = refs.select(
-        "ordinal", F.col("author").alias("ref_author"), F.col("date").alias("ref_date"),
-        F.explode(_keys(_grams(ref_low), F.array(F.substring(ref_low, 1, 3)))).alias("gram"),
+    left = unfold(wanted, ["author", "year"], _keys(heads, _grams(low)), "gram")
+    right = unfold(
+        refs, ["ordinal", F.col("author").alias("ref_author"), F.col("date").alias("ref_date")],
+        _keys(_grams(ref_low), F.array(F.substring(ref_low, 1, 3))), "gram",
     )
     pairs = left.join(right, "gram").select("author", "year", "ordinal", "ref_author", "ref_date")
     # A reference without author matches every citation of its year.

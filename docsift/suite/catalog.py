@@ -6,6 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from ..functions.text import clip
 from ..operators import catalog, filters, numbering
+from ..operators.layout import spread, unfold
 from ..plans import evaluate
 from .registry import query
 from .views import CHUNKS_SQL, chunk_table
@@ -326,8 +327,8 @@ SELECT doc_id, len(list_filter(a, lambda x: list_contains(b, x))) AS common, len
 def _(t):
     from ..functions.text import word_tokens
 
-    words = t.benchmark.select(F.explode(word_tokens(F.col("text"))).alias("token")).distinct().withColumn("known", F.lit(1))
-    mine = t.documents.select("doc_id", F.explode_outer(F.array_distinct(word_tokens(F.col("text")))).alias("token"))
+    words = unfold(t.benchmark, [], word_tokens(F.col("text")), "token").distinct().withColumn("known", F.lit(1))
+    mine = spread(t.documents, "doc_id").select("doc_id", F.explode_outer(F.array_distinct(word_tokens(F.col("text")))).alias("token"))
     hit = F.count("known")
     return mine.join(words, "token", "left").groupBy("doc_id").agg(hit.alias("common"), (F.count("token") - hit).alias("own"))
 

@@ -13,7 +13,7 @@ from ..operators.chunking.structure import (
     assign_hierarchy, context_influence, sections, structural_min, subclauses,
 )
 from ..operators.chunking.windows import char_windows, page_of, word_windows
-from ..operators.layout import spread
+from ..operators.layout import spread, unfold
 from ..plans import ingest as plan
 from . import sqlbits as s
 from .registry import query
@@ -27,7 +27,7 @@ def docs(t):
 
 
 def numbered(df, col: str = "text"):
-    return df.select("doc_id", F.posexplode(col).alias("pos", "text")).select(
+    return unfold(df, ["doc_id"], col, "text", "pos").select(
         "doc_id", (F.col("pos") + 1).cast("long").alias("pos"), "text")
 
 
@@ -69,7 +69,7 @@ FROM g WHERE sec > 0 GROUP BY doc_id, sec""")
 def _(t):
     from ..functions.text import strip
 
-    rows = contracts(t).select("doc_id", F.posexplode(sections(F.col("text"))).alias("i", "s")).filter(F.col("s.number").isNotNull())
+    rows = unfold(contracts(t), ["doc_id"], sections(F.col("text")), "s", "i").filter(F.col("s.number").isNotNull())
     return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("sec"), "s.number", "s.title", strip(F.col("s.text")).alias("text"))
 
 
@@ -82,7 +82,7 @@ SELECT doc_id, CASE WHEN subs = 0 THEN 1 ELSE sub END::BIGINT AS sub, label, tex
 def _(t):
     from ..functions.text import strip
 
-    rows = contracts(t).select("doc_id", F.posexplode(subclauses(F.col("text"))).alias("i", "s"))
+    rows = unfold(contracts(t), ["doc_id"], subclauses(F.col("text")), "s", "i")
     return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("sub"), F.coalesce("s.label", F.lit("")).alias("label"), strip(F.col("s.text")).alias("text"))
 
 
@@ -190,7 +190,7 @@ def _(t):
 WITH c AS ({s.char_window_cte(512, 50)}) SELECT c.doc_id, c.pos, least(floor((c.pos - 1) * 462 / length(d.text) * (d.doc_id % 7 + 1)), d.doc_id % 7)::BIGINT + 1 AS page FROM c JOIN documents d USING (doc_id)""")
 def _(t):
     pages = F.sequence(F.lit(1).cast("long"), F.col("doc_id") % 7 + 1)
-    rows = docs(t).select("doc_id", F.length("text").alias("n"), pages.alias("pages"), F.posexplode(char_windows(F.col("text"))).alias("k", "piece"))
+    rows = unfold(docs(t), ["doc_id", F.length("text").alias("n"), pages.alias("pages")], char_windows(F.col("text")), "piece", "k")
     return rows.select("doc_id", (F.col("k") + 1).cast("long").alias("pos"), page_of(F.col("k") * 462, F.col("n"), F.col("pages")).alias("page"))
 
 

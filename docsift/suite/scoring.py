@@ -68,9 +68,9 @@ def _(t):
 
 
 _PHRASES = f"""g AS (SELECT id, unnest({s.ngrams('ws')}) AS gram FROM (SELECT id, {_blank('text')} AS ws FROM d)),
- qg AS (SELECT query_id, gram, count(*) * len(string_split(gram, ' ')) * 0.2 AS w FROM (SELECT query_id, unnest({s.ngrams('ws')}) AS gram FROM (SELECT query_id, {_blank('text')} AS ws FROM q)) GROUP BY query_id, gram),
- raw AS (SELECT query_id, id, round(sum(w), 6)::DOUBLE AS raw FROM g JOIN qg USING (gram) GROUP BY ALL),
- ph AS MATERIALIZED (SELECT query_id, id, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS score FROM raw)"""
+ qg AS (SELECT query_id, gram, count(*) * len(string_split(gram, ' ')) AS w FROM (SELECT query_id, unnest({s.ngrams('ws')}) AS gram FROM (SELECT query_id, {_blank('text')} AS ws FROM q)) GROUP BY query_id, gram),
+ raw AS (SELECT query_id, id, sum(w)::DOUBLE AS raw FROM g JOIN qg USING (gram) GROUP BY ALL),
+ ph AS MATERIALIZED (SELECT query_id, id, round(raw / max(raw) OVER (PARTITION BY query_id), 9) AS score FROM raw)"""
 
 
 @query("f9_phrase_scores", f"WITH {_D}, {_Q}, {_PHRASES} SELECT query_id, id, score FROM ph")
@@ -80,7 +80,7 @@ def _(t):
 
 @query("f8_phrase_top", f"WITH {_D}, {_Q}, {_PHRASES} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ph QUALIFY rank <= 10")
 def _(t):
-    return phrases.top(texts(t), text_queries(t), 10).withColumn("rank", F.col("rank").cast("long"))
+    return phrases.top(texts(t), text_queries(t), 10).drop("raw").withColumn("rank", F.col("rank").cast("long"))
 
 
 def lexical_sql(position: bool) -> str:

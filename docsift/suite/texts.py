@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import citations, ids, legal, responses, text, tokens, web
 from ..operators import filters
-from ..operators.layout import spread
+from ..operators.layout import spread, unfold
 from ..sources import transcripts
 from . import sqlbits as s
 from .registry import query
@@ -132,7 +132,7 @@ def _(t):
 @query("d5_tokens", f"""
 SELECT lang, token, count(*) AS n FROM (SELECT lang, unnest({s.tokens('text')}) AS token FROM documents) GROUP BY ALL""")
 def _(t):
-    return docs(t).select("lang", F.explode(text.word_tokens(F.col("text"))).alias("token")).groupBy("lang", "token").agg(F.count("*").alias("n"))
+    return unfold(docs(t), ["lang"], text.word_tokens(F.col("text")), "token").groupBy("lang", "token").agg(F.count("*").alias("n"))
 
 
 @query("d6_blank_ngrams", f"""
@@ -242,7 +242,7 @@ def headed(t):
         F.when(i % 6 == 0, F.concat(F.lit("Section "), block, F.lit(".1 "), l))
         .when(i % 6 == 2, F.concat(block.cast("string"), F.lit(".1."), i % 5, F.lit(" Details "), l))
         .when(i % 6 == 5, F.concat(F.lit("Chapter "), i)).otherwise(l))
-    return docs(t).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "l")).select(
+    return unfold(docs(t), ["doc_id"], F.split("text", "\n"), "l", "pos").select(
         "doc_id", i.cast("long").alias("pos"), line.alias("text"))
 
 
@@ -361,7 +361,7 @@ CITE_NUM_SQL = "list_sort(list_distinct(list_transform(flatten(list_transform(re
 
 @query("d21_numeric_citations", f"SELECT doc_id, unnest({CITE_NUM_SQL}) AS citation FROM ({CITED_SQL})")
 def _(t):
-    return cited(t).select("doc_id", F.explode(citations.numeric_citations(F.col("text"))).alias("citation"))
+    return unfold(cited(t), ["doc_id"], citations.numeric_citations(F.col("text")), "citation")
 
 
 _AY = "(?i)\\[([^,\\]]+(?:\\s+et\\s+al\\.?)?)\\s*,\\s*(\\d{4})\\]"
@@ -370,7 +370,7 @@ AUTHOR_YEAR_SQL = f"SELECT doc_id, {s.strip('a')} AS author, y AS year FROM (SEL
 
 @query("d22_author_year_citations", AUTHOR_YEAR_SQL)
 def _(t):
-    return cited(t).select("doc_id", F.explode(citations.author_year_citations(F.col("text"))).alias("c")).select("doc_id", "c.author", "c.year")
+    return unfold(cited(t), ["doc_id"], citations.author_year_citations(F.col("text")), "c").select("doc_id", "c.author", "c.year")
 
 
 _SKIP = ", ".join(f"'{w}'" for w in citations.TITLE_SKIP)

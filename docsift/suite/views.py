@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import clip
 from ..operators.chunking.windows import char_windows, word_windows
-from ..operators.layout import spread
+from ..operators.layout import spread, unfold
 from .registry import Tables
 from .sqlbits import char_window_cte, word_window_cte
 
@@ -68,9 +68,7 @@ def chunk_table(t: Tables) -> DataFrame:
     for i, (method, pieces) in enumerate(
         [("recursive", word_windows(F.col("text"), 120, 0.15)), ("hierarchical", char_windows(F.col("text"), 800, 100))]
     ):
-        part = docs.select(
-            "doc_id", "lang", "source", F.posexplode(pieces).alias("pos", "text")
-        ).select(
+        part = unfold(docs, ["doc_id", "lang", "source"], pieces, "text", "pos").select(
             "doc_id", "lang", (F.col("pos") + 1).cast("long").alias("pos"), "text",
             F.lit(method).alias("chunking_method"), F.lit(i).alias("method_ord"),
             F.concat(F.col("source"), F.lit(".txt")).alias("source_file"),
