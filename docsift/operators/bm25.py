@@ -4,11 +4,12 @@ Definition: idf = ln((N - df + .5) / (df + .5)), negative values replaced by a
 quarter of the mean idf over the vocabulary; k1 = 1.5, b = 0.75; query tokens count
 as often as they occur.
 
-Plan: one pass builds the vocabulary (token -> document frequency, combined
-map-side); a second pass explodes the tokens and keeps those the queries hold. When
-the query side is small it is broadcast, so the corpus itself is never shuffled:
-only matching tokens are, once, by document. Larger query sets join by token and
-leave hot tokens to the adaptive skew join.
+Plan: one pass counts the vocabulary (token -> document frequency, combined
+map-side) and reduces it to a histogram of frequencies plus the frequencies of the
+query tokens. A second pass explodes the tokens and keeps those the queries hold.
+When the query side is small it is broadcast, so the corpus itself is never
+shuffled: only matching tokens are, once, by document. Larger query sets join by
+token and leave hot tokens to the adaptive skew join.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.tokens import word_ngrams
 from ..functions.text import word_tokens
-from ..session import fits_broadcast, small_side
+from ..session import fits_broadcast, localized, small_side
 from .layout import spread, unfold
-from .ranking import fixed, keep_first, scale, top_k
+from .numbering import staged
+from .ranking import fixed, keep_first, scale, top_k, top_with_range
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
@@ -31,115 +33,133 @@ DOCS, LENGTH = " docs", " length"
 
 def tokenized(corpus: DataFrame, tokens: Column) -> DataFrame:
     """``id, dl, tokens`` for documents that have any text."""
-    rows = spread(corpus.select("id", "text").filter(F.trim("text") != ""), "id")
+    # The explicit null test keeps later joins from adding their own to one reader only,
+    # which would stop readers from sharing an exchange.
+    rows = spread(corpus.select("id", "text").filter(F.col("id").isNotNull() & (F.trim("text") != "")), "id")
     return rows.select("id", tokens.alias("tokens")).withColumn("dl", F.size("tokens"))
 
 
-@dataclass
-class CorpusStats:
-    """Vocabulary ``token, n`` with the two totals as marked rows.
+def vocabulary(corpus: DataFrame, tokens: Column) -> DataFrame:
+    """``token, n``: document frequency of every token, and two marked rows with the
+    number of documents and their summed length.
 
-    It depends on the corpus only: write ``vocabulary`` to a table and pass it back
-    to score further queries without the statistics pass.
+    It depends on the corpus only: write it to a table and pass it to ``scores`` to
+    spare later searches this pass.
     """
-
-    vocabulary: DataFrame
-
-    def total(self, mark: str) -> Column:
-        hit = F.sum(F.when(F.col("token") == mark, F.col("n")))
-        return self.vocabulary.agg(hit).scalar()
-
-    def mean_idf(self) -> Column:
-        """Mean idf over the vocabulary, taken over the counts of equal frequencies."""
-        n = self.total(DOCS)
-        real = ~F.col("token").startswith(" ")
-        by_df = self.vocabulary.groupBy(F.when(real, F.col("n")).alias("df")).agg(F.count("*").alias("m"))
-        idf = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-        return by_df.agg(F.sum(idf * F.col("m")) / F.sum(F.when(F.col("df").isNotNull(), F.col("m")))).scalar()
-
-
-def corpus_stats(corpus: DataFrame, tokens: Column) -> CorpusStats:
     toks = tokenized(corpus, tokens)
     entry = lambda t, n: F.struct(t.alias("token"), n.cast("long").alias("n"))
     each = F.transform(F.array_distinct("tokens"), lambda t: entry(t, F.lit(1)))
     marks = F.array(entry(F.lit(DOCS), F.lit(1)), entry(F.lit(LENGTH), F.col("dl")))
     rows = unfold(toks, [], F.concat(each, marks), "e").select("e.*")
-    # Non-nullable key: every consumer then reads the same exchange.
-    return CorpusStats(
-        rows.groupBy(F.coalesce("token", F.lit("")).alias("token")).agg(F.sum("n").alias("n"))
-    )
+    return rows.groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def scores(
-    corpus: DataFrame, queries: DataFrame, tokens=word_tokens, stats: CorpusStats | None = None
-) -> DataFrame:
-    """``query_id, id, score`` for every pair that shares a token.
+@dataclass
+class Weights:
+    """What scoring needs of a vocabulary: corpus totals and ``token, idf`` of query tokens."""
 
-    ``corpus(id, text)``, ``queries(query_id, text)``; ``tokens`` maps a text column
-    to its token array.
+    docs: int
+    mean_length: float
+    idf: DataFrame
+
+
+def weigh(vocab: DataFrame, words: DataFrame) -> Weights:
+    """Reduce a vocabulary to a frequency histogram and the query tokens, in one pass.
+
+    The reduced table is small (distinct frequencies plus query tokens); it is staged
+    and every later step reads it instead of the corpus.
     """
-    stats = stats or corpus_stats(corpus, tokens(F.col("text")))
-    asked = (
-        unfold(queries, ["query_id"], tokens(F.col("text")), "token")
-        .groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
+    flagged = vocab.join(words.withColumn("_asked", F.lit(True)), "token", "left")
+    mark = F.col("token").isin(DOCS, LENGTH)
+    kept = F.when(F.col("_asked") | mark, F.col("token"))
+    small = staged(flagged.groupBy(kept.alias("token"), "n").agg(F.count("*").alias("m")))
+    value = lambda m: F.max(F.when(F.col("token") == m, F.col("n")))
+    docs, length = small.agg(value(DOCS), value(LENGTH)).first()
+    docs = docs or 0
+    raw = F.log(F.lit(docs) - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)
+    real = small.filter(~F.coalesce(F.col("token").isin(DOCS, LENGTH), F.lit(False)))
+    mean = real.agg(F.sum(raw * F.col("m")) / F.sum("m")).first()[0] or 0.0
+    idf = real.filter(F.col("token").isNotNull()).select(
+        "token", F.when(raw < 0, F.lit(FLOOR * mean)).otherwise(raw).alias("idf")
     )
-    small = fits_broadcast(asked)
-    n, mean = stats.total(DOCS), stats.mean_idf()
-    raw = F.log(n - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)
-    words = small_side(asked.select("token").distinct(), small)
-    idf = stats.vocabulary.join(words, "token", "left_semi").select(
-        "token", F.when(raw < 0, FLOOR * mean).otherwise(raw).alias("idf")
+    return Weights(docs, (length or 0) / max(docs, 1), idf)
+
+
+def _asked(queries: DataFrame, tokens) -> DataFrame:
+    queries = queries.filter(F.col("query_id").isNotNull())
+    return unfold(queries, ["query_id"], tokens(F.col("text")), "token").groupBy("query_id", "token").agg(
+        F.count("*").alias("qtf")
     )
-    weights = asked.join(idf, "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("w"))
 
+
+def _scores(corpus: DataFrame, queries: DataFrame, tokens, vocab: DataFrame | None) -> tuple[DataFrame, Weights]:
+    asked, small = localized(_asked(queries, tokens))
+    words = small_side(asked.select("token").distinct(), small)
+    weights = weigh(vocabulary(corpus, tokens(F.col("text"))) if vocab is None else vocab, words)
+    per_token = asked.join(small_side(weights.idf, small), "token").select(
+        "query_id", "token", (F.col("qtf") * F.col("idf")).alias("w")
+    )
     toks = tokenized(corpus, tokens(F.col("text")))
     hits = unfold(toks, ["id", "dl"], "tokens", "token").join(words, "token", "left_semi")
     # Partitioned by document once: counting per token and summing per query both fit it.
     tf = hits.repartition("id").groupBy("id", "dl", "token").agg(F.count("*").alias("tf"))
-    mean_dl = stats.total(LENGTH) / n
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean_dl))
-    pairs = tf.select("id", "token", part.alias("part")).join(small_side(weights, small), "token")
-    return pairs.groupBy("query_id", "id").agg(fixed(F.sum(F.col("part") * F.col("w"))).alias("score"))
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(weights.mean_length)))
+    pairs = tf.select("id", "token", part.alias("part")).join(small_side(per_token, small), "token")
+    found = pairs.groupBy("id", "query_id").agg(fixed(F.sum(F.col("part") * F.col("w"))).alias("score"))
+    return found.select("query_id", "id", "score"), weights
+
+
+def scores(corpus: DataFrame, queries: DataFrame, tokens=word_tokens, vocab: DataFrame | None = None) -> DataFrame:
+    """``query_id, id, score`` for every pair that shares a token.
+
+    ``corpus(id, text)``, ``queries(query_id, text)``; ``tokens`` maps a text column
+    to its token array.
+    """
+    return _scores(corpus, queries, tokens, vocab)[0]
 
 
 def top(corpus: DataFrame, queries: DataFrame, k: int, tokens=word_tokens,
-        stats: CorpusStats | None = None, norm: str = "min_max") -> DataFrame:
+        vocab: DataFrame | None = None, norm: str = "min_max") -> DataFrame:
     """Best ``k`` documents per query with a score scaled over the whole corpus.
 
     Documents without a shared token score 0 and fill up a list that has too few
     hits, smallest id first. ``norm``: ``min_max``, ``max`` or ``raw``.
     """
-    found = scores(corpus, queries, tokens, stats)
-    spans = found.groupBy("query_id").agg(
-        F.count("*").alias("hits"), F.min("score").alias("low"), F.max("score").alias("high")
-    )
-    n_docs = corpus.filter(F.trim("text") != "").agg(F.count("*")).scalar()
-    spans = queries.filter(F.size(tokens(F.col("text"))) > 0).select("query_id").join(spans, "query_id", "left")
-    short = F.coalesce("hits", F.lit(0)) < n_docs
+    found, weights = _scores(corpus, queries, tokens, vocab)
+    # At most k rows per query from here on.
+    best = staged(top_with_range(found, k))
     zero = F.lit(0.0)
-    spans = spans.select(
-        "query_id", F.coalesce("hits", F.lit(0)).alias("hits"),
+    some = best.filter(F.col("rank") == 1).select("query_id", "hits", "low", "high")
+    real = queries.filter(F.size(tokens(F.col("text"))) > 0).select("query_id").distinct()
+    spans = real.join(some, "query_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    short = F.col("hits") < weights.docs
+    spans, fits = localized(spans.select(
+        "query_id", "hits",
         F.when(short, F.least(F.coalesce("low", zero), zero)).otherwise(F.col("low")).alias("low"),
         F.when(short, F.greatest(F.coalesce("high", zero), zero)).otherwise(F.col("high")).alias("high"),
-    )
-    fits = fits_broadcast(queries)
-    spans = small_side(spans, fits)
-    best = top_k(found, k, ["query_id"]).select("query_id", "id", "score")
-
-    # A query with fewer than k hits finds its fill among the 2k smallest ids.
-    firsts = (
-        corpus.filter(F.trim("text") != "").select("id").orderBy("id").limit(2 * k)
-        .agg(F.sort_array(F.collect_list("id"))).scalar()
-    )
-    fill = spans.filter(F.col("hits") < k).select("query_id", F.explode(firsts).alias("id"))
-    fill = fill.join(best.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("score", zero)
-    both = top_k(best.unionByName(fill), k, ["query_id"]).join(spans, "query_id")
+    ))
+    rows = best.select("query_id", "id", "score", "rank")
+    lacking = spans.filter((F.col("hits") < k) & (F.col("hits") < weights.docs))
+    if not lacking.isEmpty():
+        rows = _filled(rows, lacking, corpus, k)
+    rows = rows.join(small_side(spans, fits), "query_id")
     scaled = {
         "min_max": scale(F.col("score"), F.col("low"), F.col("high")),
         "max": F.when(F.col("high") > 0, fixed(F.col("score") / F.col("high"))).otherwise(F.col("score")),
         "raw": F.col("score"),
     }[norm]
-    return both.select("query_id", "id", "rank", scaled.alias("score"), F.col("score").alias("original_score"))
+    return rows.select("query_id", "id", "rank", scaled.alias("score"), F.col("score").alias("original_score"))
+
+
+def _filled(rows: DataFrame, lacking: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """Lists with fewer than ``k`` hits get documents of score 0, found among the 2k smallest ids."""
+    firsts = (
+        corpus.filter(F.trim("text") != "").select("id").orderBy("id").limit(2 * k)
+        .agg(F.sort_array(F.collect_list("id"))).scalar()
+    )
+    fill = lacking.select("query_id", F.explode_outer(firsts).alias("id"))
+    fill = fill.join(rows.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("score", F.lit(0.0))
+    return top_k(rows.drop("rank").unionByName(fill), k, ["query_id"])
 
 
 def attach_text(results: DataFrame, corpus: DataFrame, fits: bool) -> DataFrame:
@@ -148,9 +168,9 @@ def attach_text(results: DataFrame, corpus: DataFrame, fits: bool) -> DataFrame:
 
 
 def search(corpus: DataFrame, queries: DataFrame, k: int, key: Column, tokens=word_ngrams,
-           stats: CorpusStats | None = None) -> DataFrame:
+           vocab: DataFrame | None = None) -> DataFrame:
     """Keyword search: the best 2k by n-gram BM25, one per text, cut to ``k``."""
-    found = top(corpus, queries, 2 * k, tokens, stats)
+    found = top(corpus, queries, 2 * k, tokens, vocab)
     fits = fits_broadcast(queries.select("query_id"), max(1, 200_000 // (2 * k)))
     rows = attach_text(found, corpus.select("id", F.md5(key).alias("_key")), fits)
     rows = keep_first(rows, ["query_id", "_key"], [F.col("rank")])

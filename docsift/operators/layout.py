@@ -9,11 +9,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give a small input enough tasks; leave an input with enough splits alone.
 
     A table in one small file arrives as one or two tasks and would leave the other
-    cores idle under heavy per-row work. Large inputs already have more splits than
-    cores and are returned unchanged, so no shuffle happens at scale.
+    cores idle under heavy per-row work. An input that is estimated to give every
+    core a full-sized split is returned unchanged, so no shuffle happens at scale.
+    The estimate is the optimizer's; nothing is run for it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    if size >= cores * split:
         return df
     return df.repartition(cores, *keys)
 

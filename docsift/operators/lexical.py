@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.text import count_words
 from ..functions.tokens import keywords
-from ..session import fits_broadcast, small_side
+from ..session import localized
 from .layout import spread, unfold
 from .ranking import fixed, top_k
 
@@ -28,7 +28,7 @@ def _matcher(keys: list[str]):
     @F.pandas_udf("array<struct<keyword:string,first:int,n:int>>")
     def match(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         machine = ahocorasick.Automaton()
-        for key in keys:
+        for key in keys or ["\0"]:
             machine.add_word(key, key)
         machine.make_automaton()
 
@@ -52,26 +52,24 @@ def matches(corpus: DataFrame, keys: DataFrame) -> DataFrame:
     """``id, chars, words, keyword, first, n`` for each keyword found in a text."""
     docs = spread(corpus.select("id", "text"), "id").select("id", F.lower("text").alias("text"))
     docs = docs.select("id", "text", F.length("text").alias("chars"), count_words(F.col("text")).alias("words"))
-    total = keys.count()
-    blocks = max(1, -(-total // BLOCK))
     found = None
-    for b in range(blocks):
-        part = keys.filter(F.pmod(F.xxhash64("keyword"), F.lit(blocks)) == b) if blocks > 1 else keys
-        block = [r["keyword"] for r in part.collect()]
-        if not block:
-            continue
+    for block in _blocks(keys):
         rows = unfold(docs, ["id", "chars", "words"], _matcher(block)(F.col("text")), "m")
         rows = rows.select("id", "chars", "words", "m.*")
         found = rows if found is None else found.unionByName(rows)
-    if found is None:
-        empty = F.lit(None)
-        return docs.limit(0).select(
-            "id", "chars", "words", empty.cast("string").alias("keyword"),
-            empty.cast("int").alias("first"), empty.cast("int").alias("n"),
-        )
     return found
 
 
+def _blocks(keys: DataFrame) -> list[list[str]]:
+    """The keywords in blocks of bounded size; one empty block when there are none."""
+    head = [r["keyword"] for r in keys.limit(BLOCK + 1).collect()]
+    if len(head) <= BLOCK:
+        return [head]
+    n = -(-keys.count() // BLOCK)
+    part = lambda b: keys.filter(F.pmod(F.xxhash64("keyword"), F.lit(n)) == b)
+    return [[r["keyword"] for r in part(b).collect()] for b in range(n)]
+
+
 def scores(corpus: DataFrame, queries: DataFrame, position: bool = True) -> DataFrame:
     """``query_id, id, score, keyword_matches, matched_keywords``; texts without a hit are left out.
 
@@ -81,12 +79,11 @@ def scores(corpus: DataFrame, queries: DataFrame, position: bool = True) -> Data
     asked = (
         unfold(queries, ["query_id"], keywords(F.col("text")), "keyword")
         .groupBy("query_id", "keyword").agg(F.count("*").alias("times"))
+        .withColumn("k", F.sum("times").over(W.partitionBy("query_id")))
     )
-    sizes = asked.groupBy("query_id").agg(F.sum("times").alias("k"))
-    small = fits_broadcast(asked)
+    asked, _ = localized(asked)
     found = matches(corpus, asked.select("keyword").distinct())
-    asked = asked.join(sizes, "query_id")
-    hit = found.join(small_side(asked, small), "keyword").groupBy("query_id", "k", "id", "chars", "words").agg(
+    hit = found.join(asked, "keyword").groupBy("query_id", "k", "id", "chars", "words").agg(
         F.sum("times").alias("hits"),
         F.sum(F.col("times") * F.col("n")).alias("occurrences"),
         F.sum(F.col("times") * F.col("first")).alias("positions"),

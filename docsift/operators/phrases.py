@@ -5,29 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.tokens import blank_ngrams
-from ..session import fits_broadcast, small_side
+from ..session import fits_broadcast, localized, small_side
 from .layout import spread, unfold
-from .ranking import fixed, top_k
+from .ranking import fixed, top_with_range
 
 
-def scores(corpus: DataFrame, queries: DataFrame, upto: int = 5) -> DataFrame:
-    """``query_id, id, score``: 0.2 n per pair of equal n-grams, divided by the best score."""
-    length = F.size(F.split("gram", " "))
+def _raw(corpus: DataFrame, queries: DataFrame, upto: int) -> DataFrame:
+    """``query_id, id, score``: summed length of the n-grams both sides share, pair by pair."""
     asked = (
         unfold(queries, ["query_id"], blank_ngrams(F.col("text"), upto), "gram")
         .groupBy("query_id", "gram").agg(F.count("*").alias("n"))
-        .select("query_id", "gram", (F.col("n") * length).alias("w"))
+        .select("query_id", "gram", (F.col("n") * F.size(F.split("gram", " "))).alias("w"))
     )
-    small = fits_broadcast(asked)
+    asked, _ = localized(asked)
     grams = unfold(spread(corpus.select("id", "text"), "id"), ["id"], blank_ngrams(F.col("text"), upto), "gram")
     # A document sits in one task, so its partial sum is complete before the shuffle.
-    raw = grams.join(small_side(asked, small), "gram").groupBy("query_id", "id").agg(F.sum("w").alias("raw"))
-    best = raw.groupBy("query_id").agg(F.max("raw").alias("best"))
-    rows = raw.join(small_side(best, small), "query_id")
-    return rows.select(
-        "query_id", "id", fixed(F.col("raw") / F.col("best"), 9).alias("score"), (F.col("raw") * 0.2).alias("raw")
-    )
+    return grams.join(asked, "gram").groupBy("query_id", "id").agg(F.sum("w").alias("score"))
+
+
+def scores(corpus: DataFrame, queries: DataFrame, upto: int = 5) -> DataFrame:
+    """``query_id, id, score``: 0.2 n per pair of equal n-grams, divided by the query's best."""
+    raw = _raw(corpus, queries, upto)
+    best = raw.groupBy("query_id").agg(F.max("score").alias("best"))
+    rows = raw.join(small_side(best, fits_broadcast(queries)), "query_id")
+    return rows.select("query_id", "id", fixed(F.col("score") / F.col("best"), 9).alias("score"))
 
 
 def top(corpus: DataFrame, queries: DataFrame, k: int, upto: int = 5) -> DataFrame:
-    return top_k(scores(corpus, queries, upto), k, ["query_id"])
+    rows = top_with_range(_raw(corpus, queries, upto), k)
+    return rows.select("query_id", "id", fixed(F.col("score") / F.col("high"), 9).alias("score"), "rank")

@@ -6,6 +6,9 @@ filter on top, which Spark turns into a per-task top-k before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 # Scores are ranked at this many decimals so that the order in which partial sums
@@ -62,3 +65,42 @@ def confident(df: DataFrame, threshold: float, by: list[str], fallback: int = 3,
     df = ranked(df, by, score).withColumn("_some", some)
     keep = ((F.col("_some") == 1) & (F.col(score) >= threshold)) | ((F.col("_some") == 0) & (F.col("rank") <= fallback))
     return df.filter(keep).withColumn("low_confidence", F.col("_some") == 0).drop("_some")
+
+
+def top_with_range(df: DataFrame, k: int) -> DataFrame:
+    """Best ``k`` of ``query_id, id, score`` with ``hits, low, high`` over all rows of the query.
+
+    One pass: every task keeps its best k per query and the count and range of what
+    it saw, so the scored pairs are neither sorted nor shuffled nor computed a second
+    time for their range. The window sees k rows per query and task.
+    """
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        order = pdf.sort_values(["query_id", "score", "id"], ascending=[True, False, True], kind="stable")
+        return order.groupby("query_id", sort=False).head(k)
+
+    def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, seen = None, None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            part = pdf.groupby("query_id")["score"].agg(hits="size", low="min", high="max")
+            if seen is not None:
+                part = pd.concat([seen, part]).groupby(level=0).agg(hits=("hits", "sum"), low=("low", "min"), high=("high", "max"))
+            seen = part
+            held = best(pdf if held is None else pd.concat([held, pdf]))
+        if held is not None:
+            out = held.join(seen, on="query_id")
+            # The count of a task is carried by one row per query.
+            out["hits"] = out["hits"].where(~out.duplicated("query_id"), 0)
+            yield out
+
+    types = dict(df.dtypes)
+    schema = f"query_id {types['query_id']}, id {types['id']}, score double, hits long, low double, high double"
+    rows = df.select("query_id", "id", F.col("score").cast("double")).mapInPandas(shrink, schema)
+    w = W.partitionBy("query_id")
+    rows = rows.withColumns({
+        "rank": F.row_number().over(w.orderBy(F.desc("score"), "id")), "hits": F.sum("hits").over(w),
+        "low": F.min("low").over(w), "high": F.max("high").over(w),
+    })
+    return rows.filter(F.col("rank") <= k)

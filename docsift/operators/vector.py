@@ -39,7 +39,7 @@ def _scorer(ids: list, matrix: np.ndarray, k: int | None, keep: list[str]):
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
         for pdf in batches:
-            if pdf.empty:
+            if pdf.empty or not ids:
                 continue
             v = np.stack(pdf["vec"].to_numpy()).astype(float)
             length = np.linalg.norm(v, axis=1, keepdims=True)
@@ -63,23 +63,23 @@ def _search(corpus: DataFrame, queries: DataFrame, k: int | None) -> DataFrame:
     fields = ", ".join(f"`{c}` {t}" for c, t in corpus.select("id", *keep).dtypes)
     schema = f"query_id {dict(queries.dtypes)['query_id']}, {fields}, score double"
     corpus = spread(corpus.filter(F.col("vec").isNotNull()), "id")
-    total = queries.count()
-    blocks = max(1, -(-total // BLOCK))
-    parts = []
-    for b in range(blocks):
-        mine = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries
-        block = mine.select("query_id", "vec").toPandas()
-        if not block.empty:
-            scorer = _scorer(block["query_id"].tolist(), np.stack(block["vec"].to_numpy()).astype(float), k, keep)
-            parts.append(corpus.mapInPandas(scorer, schema))
-    if not parts:
-        return corpus.limit(0).mapInPandas(_scorer([], np.zeros((0, 1)), None, keep), schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = None
+    for block in _blocks(queries.select("query_id", "vec").filter(F.col("vec").isNotNull())):
+        matrix = np.stack(block["vec"].to_numpy()).astype(float) if len(block) else np.zeros((0, 1))
+        part = corpus.mapInPandas(_scorer(block["query_id"].tolist(), matrix, k, keep), schema)
+        out = part if out is None else out.unionByName(part)
     return out
 
 
+def _blocks(queries: DataFrame) -> list[pd.DataFrame]:
+    """Query vectors in blocks of bounded size."""
+    head = queries.limit(BLOCK + 1).toPandas()
+    if len(head) <= BLOCK:
+        return [head]
+    n = -(-queries.count() // BLOCK)
+    return [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).toPandas() for b in range(n)]
+
+
 def scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     """Cosine of every query with every row; follow it with a top-k per query or group.
 

@@ -52,15 +52,15 @@ def semantic(corpus: DataFrame, queries: DataFrame, k: int, dedup: bool = True)
     return top_k(rows.drop("rank", "_key"), k, ["query_id"], "original_score")
 
 
-def keyword(corpus: DataFrame, queries: DataFrame, k: int, stats=None) -> DataFrame:
-    return bm25.search(corpus.select("id", "text"), queries.select("query_id", "text"), k, dedup_key(F.col("text")), stats=stats)
+def keyword(corpus: DataFrame, queries: DataFrame, k: int, vocab: DataFrame | None = None) -> DataFrame:
+    return bm25.search(corpus.select("id", "text"), queries.select("query_id", "text"), k, dedup_key(F.col("text")), vocab=vocab)
 
 
-def mixed(corpus: DataFrame, queries: DataFrame, k: int, stats=None) -> DataFrame:
+def mixed(corpus: DataFrame, queries: DataFrame, k: int, vocab: DataFrame | None = None) -> DataFrame:
     """Semantic and keyword lists of 2k fused by reciprocal rank on the text."""
     key = F.md5(dedup_key(F.col("text"))).alias("key")
     sem = _join_text(semantic(corpus, queries, k, dedup=False), corpus, queries, 2 * k, key)
-    key_list = _join_text(keyword(corpus, queries, 2 * k, stats), corpus, queries, 2 * k, key)
+    key_list = _join_text(keyword(corpus, queries, 2 * k, vocab), corpus, queries, 2 * k, key)
     return top_k(fusion.rrf_by_text(sem, key_list), k, ["query_id"])
 
 

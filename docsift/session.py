@@ -52,3 +52,14 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def small_side(df: DataFrame, fits: bool) -> DataFrame:
     """Broadcast a side whose size was checked; otherwise leave the join to shuffle."""
     return F.broadcast(df) if fits else df
+
+
+def localized(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """A checked small table as a local relation, computed once and broadcast where joined.
+
+    Meant for what comes from queries. A larger table is returned as it is, with False.
+    """
+    head = df.limit(rows + 1).toArrow()
+    if head.num_rows > rows:
+        return df, False
+    return F.broadcast(df.sparkSession.createDataFrame(head, df.schema)), True

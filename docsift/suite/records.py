@@ -8,6 +8,7 @@ from ..functions import web
 from ..functions.text import word_tokens
 from ..operators import bm25, filters, papers as ranking_papers, references, rerank, vector
 from ..operators.layout import spread
+from ..operators.numbering import staged
 from ..operators.ranking import keep_first, ranked, top_k
 from ..sources import web as pages
 from . import sqlbits as s
@@ -89,7 +90,7 @@ def web_pairs(t):
     """Every result scored by both methods; result lists are what one search returned."""
     from ..functions.vectors import embed_udf, hashing_embed
 
-    texts = pages.result_text(results(t))
+    texts = staged(pages.result_text(results(t)))
     asked = text_queries(t)
     embed = embed_udf(hashing_embed)
     cos = vector.scores(texts.select("id", embed(F.col("text")).alias("vec")), asked.select("query_id", embed(F.col("text")).alias("vec")))

@@ -64,7 +64,7 @@ def _(t):
 WITH {_D}, {_Q}, {s.bm25('d', 'q')}
 SELECT token, count(*) AS df FROM b_tf GROUP BY token UNION ALL SELECT ' docs', n FROM b_st UNION ALL SELECT ' length', sum(dl)::BIGINT FROM b_d""")
 def _(t):
-    return bm25.corpus_stats(texts(t), word_tokens(F.col("text"))).vocabulary.select("token", F.col("n").alias("df"))
+    return bm25.vocabulary(texts(t), word_tokens(F.col("text"))).select("token", F.col("n").alias("df"))
 
 
 _PHRASES = f"""g AS (SELECT id, unnest({s.ngrams('ws')}) AS gram FROM (SELECT id, {_blank('text')} AS ws FROM d)),
@@ -80,7 +80,7 @@ def _(t):
 
 @query("f8_phrase_top", f"WITH {_D}, {_Q}, {_PHRASES} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ph QUALIFY rank <= 10")
 def _(t):
-    return phrases.top(texts(t), text_queries(t), 10).drop("raw").withColumn("rank", F.col("rank").cast("long"))
+    return phrases.top(texts(t), text_queries(t), 10).withColumn("rank", F.col("rank").cast("long"))
 
 
 def lexical_sql(position: bool) -> str:
