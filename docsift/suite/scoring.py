@@ -67,8 +67,9 @@ def _(t):
     return bm25.vocabulary(texts(t), word_tokens(F.col("text"))).select("token", F.col("n").alias("df"))
 
 
-_PHRASES = f"""g AS (SELECT id, unnest({s.ngrams('ws')}) AS gram FROM (SELECT id, {_blank('text')} AS ws FROM d)),
- qg AS (SELECT query_id, gram, count(*) * len(string_split(gram, ' ')) AS w FROM (SELECT query_id, unnest({s.ngrams('ws')}) AS gram FROM (SELECT query_id, {_blank('text')} AS ws FROM q)) GROUP BY query_id, gram),
+_PHRASES = f"""gw AS MATERIALIZED (SELECT id, {_blank('text')} AS ws FROM d), qw AS MATERIALIZED (SELECT query_id, {_blank('text')} AS ws FROM q),
+ g AS ({s.gram_rows('gw', 'id', 'ws', 5)}),
+ qg AS (SELECT query_id, gram, count(*) * len(string_split(gram, ' ')) AS w FROM ({s.gram_rows('qw', 'query_id', 'ws', 5)}) GROUP BY query_id, gram),
  raw AS (SELECT query_id, id, sum(w)::DOUBLE AS raw FROM g JOIN qg USING (gram) GROUP BY ALL),
  ph AS MATERIALIZED (SELECT query_id, id, round(raw / max(raw) OVER (PARTITION BY query_id), 9) AS score FROM raw)"""
 

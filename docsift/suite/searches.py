@@ -1 +1,239 @@
-"""pending"""
+"""Whole searches, retrieval and evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.tokens import expand_query
+from ..functions.vectors import embed_udf, hashing_embed
+from ..operators import rerank, vector
+from ..operators.layout import spread, unfold
+from ..operators.numbering import staged
+from ..plans import evaluate
+from ..plans import search as plan
+from . import sqlbits as s
+from .registry import query
+from .scoring import _PHRASES, _blank, lexical_sql
+from .texts import CLAUSE_SQL, CRIT_SQL, EXPAND_SQL, OBLIG_SQL, PARTY_SQL, REF_SQL, SECTION_SQL, SQL_QWORDS, WEIGHT_SQL
+from .views import LEGAL_SQL, legal_texts
+
+K = 5
+ASK = "' The Client shall pay the Vendor'"
+
+
+def _embedded(df, key: str, *keep):
+    """Texts with vectors, written once: embedding is what an index holds."""
+    return staged(spread(df, key).select(key, "text", *keep, embed_udf(hashing_embed)(F.col("text")).alias("vec")))
+
+
+def corpus(t):
+    rows = legal_texts(t).select(F.col("doc_id").alias("id"), "text", F.concat("source", F.lit(".txt")).alias("file_name"))
+    return _embedded(rows, "id", "file_name")
+
+
+def queries(t):
+    rows = t.benchmark.select(F.col("item_id").alias("query_id"), F.concat("text", F.lit(" The Client shall pay the Vendor")).alias("text"))
+    return _embedded(rows, "query_id")
+
+
+# Corpus, queries, cosines and the ranked semantic list.
+BASE = f"""d AS MATERIALIZED (SELECT doc_id AS id, text, source || '.txt' AS file_name, md5({s.dedup_key('text')}) AS k FROM ({LEGAL_SQL})),
+ q AS MATERIALIZED (SELECT item_id AS query_id, text || {ASK} AS text FROM benchmark),
+ de AS MATERIALIZED ({s.embedding_cells('d', 'id')}), qe AS MATERIALIZED ({s.embedding_cells('q', 'query_id')}),
+ dot AS (SELECT query_id, id, sum(de.v * qe.v) AS c FROM de JOIN qe USING (d) GROUP BY ALL),
+ sem AS MATERIALIZED (SELECT query_id, id, round(coalesce(c, 0), 6) + 0.0 AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(c, 0), 6) DESC, id) AS rk
+   FROM (SELECT query_id, id FROM d, q) x LEFT JOIN dot USING (query_id, id))"""
+_MM = "CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w), 6) END"
+
+
+@query("k1_embedding", f"WITH d AS (SELECT doc_id AS id, text FROM documents), e AS ({s.embedding_cells('d', 'id')}) SELECT id, count(*) AS filled, round(sum(v), 6) + 0.0 AS total FROM e GROUP BY id")
+def _(t):
+    rows = spread(t.documents, "doc_id").select(F.col("doc_id").alias("id"), embed_udf(hashing_embed)(F.col("text")).alias("v"))
+    filled = F.size(F.filter("v", lambda x: x != 0))
+    return rows.filter(filled > 0).select("id", filled.cast("long").alias("filled"), (F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6) + 0.0).alias("total"))
+
+
+@query("f1_semantic_search", f"""
+WITH {BASE}, n AS (SELECT *, {_MM} AS norm FROM sem WHERE rk <= {2 * K} WINDOW w AS (PARTITION BY query_id)),
+ u AS (SELECT n.* FROM n JOIN d USING (id) QUALIFY row_number() OVER (PARTITION BY query_id, k ORDER BY rk) = 1)
+SELECT query_id, id, norm AS score, score AS original_score, row_number() OVER (PARTITION BY query_id ORDER BY rk) AS rank FROM u QUALIFY rank <= {K}""")
+def _(t):
+    rows = plan.search(corpus(t), queries(t), "semantic", K)
+    return rows.select("query_id", "id", "score", "original_score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("f15_mixed_search", f"""
+WITH {BASE}, {s.bm25('d', 'q', 5)},
+ a AS (SELECT query_id, k, min(rk) AS r FROM sem JOIN d USING (id) WHERE rk <= {2 * K} GROUP BY ALL),
+ c AS (SELECT query_id, id, k, rk FROM b_rank JOIN d USING (id) WHERE rk <= {4 * K}),
+ u AS (SELECT query_id, k, rk FROM c QUALIFY row_number() OVER (PARTITION BY query_id, k ORDER BY rk) = 1),
+ b AS (SELECT query_id, k, row_number() OVER (PARTITION BY query_id ORDER BY rk) AS r FROM u QUALIFY r <= {2 * K}),
+ f AS (SELECT query_id, k, round(coalesce(1.0 / (60 + a.r), 0)::DOUBLE + coalesce(1.0 / (60 + b.r), 0)::DOUBLE, 9) AS score FROM a FULL JOIN b USING (query_id, k)),
+ i AS (SELECT f.*, coalesce((SELECT arg_min(s2.id, s2.rk) FROM sem s2 JOIN d d2 USING (id) WHERE s2.query_id = f.query_id AND d2.k = f.k AND s2.rk <= {2 * K}),
+   (SELECT arg_min(c2.id, c2.rk) FROM c c2 WHERE c2.query_id = f.query_id AND c2.k = f.k)) AS id FROM f)
+SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM i QUALIFY rank <= {K}""")
+def _(t):
+    rows = plan.search(corpus(t), queries(t), "mixed", K)
+    return rows.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("f16_hybrid_search", f"""
+WITH {BASE}, {lexical_sql(True)},
+ l AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM lex QUALIFY r <= {2 * K}),
+ m AS (SELECT query_id, id, rk AS r FROM sem WHERE rk <= {2 * K}),
+ f AS (SELECT query_id, id, round(coalesce(1.0 / (60 + m.r), 0)::DOUBLE + coalesce(1.0 / (60 + l.r), 0)::DOUBLE, 9) AS score FROM m FULL JOIN l USING (query_id, id)),
+ u AS (SELECT f.* FROM f JOIN d USING (id) QUALIFY row_number() OVER (PARTITION BY query_id, substring(d.text, 1, 200) ORDER BY score DESC, id) = 1)
+SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM u QUALIFY rank <= {K}""")
+def _(t):
+    rows = plan.hybrid(corpus(t), queries(t), K)
+    return rows.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+_PARTY = f"(1.0 + 0.3 * len(list_filter({PARTY_SQL % 'text'}, lambda p: list_contains({PARTY_SQL % 'qtext'}, p))))::DOUBLE"
+
+
+def boost_sql(src: str) -> str:
+    """Contract features over rows with ``text`` and ``qtext``."""
+    return f"""SELECT *, {WEIGHT_SQL} * CASE WHEN kind = 'DEFINITIONS' THEN 1.5 ELSE 1.0 END * CASE WHEN oblig THEN 1.2 ELSE 1.0 END * party * (1.0 + crit * 0.05) * (1.0 + refs * 0.1) AS boost
+ FROM (SELECT *, {CLAUSE_SQL} AS kind, {OBLIG_SQL} AS oblig, {_PARTY} AS party, ({CRIT_SQL})::DOUBLE AS crit, {REF_SQL}::DOUBLE AS refs,
+         CASE WHEN {SECTION_SQL} = '' THEN 'unknown' ELSE rtrim({SECTION_SQL}, '.') END AS section_id FROM (SELECT *, upper(text) AS u FROM ({src})))"""
+
+
+@query("f21_legal_boost", f"""SELECT id, kind AS clause_type, section_id, oblig AS is_obligation, round(party, 6) AS party_relevance, round(0.5::DOUBLE * boost::DOUBLE, 9) AS final_score
+FROM ({boost_sql(f"SELECT doc_id AS id, text, 'Client and Vendor obligations' AS qtext FROM ({LEGAL_SQL})")})""")
+def _(t):
+    rows = legal_texts(t).select(F.col("doc_id").alias("id"), "text", F.lit(0).alias("query_id"), F.lit(0.5).alias("score"))
+    asked = t.region.limit(1).select(F.lit(0).alias("query_id"), F.lit("Client and Vendor obligations").alias("text"))
+    return rerank.legal_boost(rows, asked).select("id", "clause_type", "section_id", "is_obligation", "party_relevance", "final_score")
+
+
+@query("f22_advanced_search", f"""
+WITH {BASE}, {s.bm25('d', 'q', 1, _blank)}, {_PHRASES},
+ u AS (SELECT query_id, id, 0.4::DOUBLE / (60 + rk) AS p, 'semantic' AS m FROM sem WHERE rk <= {4 * K}
+   UNION ALL SELECT query_id, id, 0.35::DOUBLE / (60 + rk), 'bm25' FROM b_rank WHERE rk <= {2 * K}
+   UNION ALL SELECT query_id, id, 0.25::DOUBLE / (60 + r), 'ngram' FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM ph QUALIFY r <= {2 * K})),
+ f AS (SELECT query_id, id, round(sum(p), 9) AS score, CASE WHEN count(*) = 1 THEN min(m) ELSE 'hybrid' END AS retrieval_method FROM u GROUP BY query_id, id),
+ f1 AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {3 * K}),
+ f2 AS (SELECT f1.*, d.text FROM f1 JOIN d USING (id) QUALIFY row_number() OVER (PARTITION BY query_id, md5(lower({s.strip('d.text')})) ORDER BY score DESC, id) = 1),
+ f3 AS (SELECT f2.*, q.text AS qtext FROM f2 JOIN q USING (query_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {2 * K}),
+ fin AS (SELECT *, round(score * boost::DOUBLE, 9) AS final_score FROM ({boost_sql('SELECT * FROM f3')}))
+SELECT query_id, id, kind AS clause_type, section_id, retrieval_method, final_score, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, id) AS rank FROM fin QUALIFY rank <= {K}""")
+def _(t):
+    rows = plan.advanced(corpus(t), queries(t), plan.SearchConfig(k=K))
+    return rows.select("query_id", "id", "clause_type", "section_id", "retrieval_method", "final_score", F.col("rank").cast("long").alias("rank"))
+
+
+# ---- retrieval with phrasings, boosts and documents ----------------------------
+
+_CUE = " OR ".join(f"contains(low, '{c}')" for c in rerank.DEFINITION_CUES)
+_NEAR = " OR ".join(f"contains(ctx, '{c}')" for c in rerank.NEAR_CUES)
+_PUNCT = r"[.,!?;:()\[\]{}]+"
+_TERMS = f"list_filter(list_transform({s.words('lower(v)')}, lambda w: regexp_replace(w, '^{_PUNCT}|{_PUNCT}$', '', 'g')), lambda w: length(w) > 2 AND w NOT IN ({SQL_QWORDS}))"
+_OPEN = f"list_filter({s.words('lower(v)')}, lambda w: length(w) > 2 AND w NOT IN ({SQL_QWORDS}))"
+
+
+def rerank_sql(cand: str) -> str:
+    """CTEs from ``cand(query_id, id, score)`` to ``rr(query_id, id, file_name, score, keyword_matches)``."""
+    return f"""
+ xq AS MATERIALIZED (SELECT query_id, variant, v FROM ({EXPAND_SQL}) WHERE variant <= 8),
+ vq AS (SELECT query_id, 0 AS variant, text AS v FROM q UNION ALL SELECT * FROM xq),
+ tq AS MATERIALIZED (SELECT query_id, list_distinct(flatten(list(ts))) AS terms FROM (SELECT query_id, {_TERMS} AS ts FROM vq) GROUP BY query_id),
+ pq AS MATERIALIZED (SELECT query_id, p, min(o) AS o FROM (SELECT query_id, unnest(ps) AS p, variant * 10 + unnest(range(1, 4)) AS o FROM (
+     SELECT query_id, variant, [CASE WHEN len(ws) >= 2 THEN array_to_string(ws[1:2], ' ') END, CASE WHEN len(ws) >= 2 THEN array_to_string(ws[1:3], ' ') END, CASE WHEN len(ws) >= 4 THEN array_to_string(ws[1:4], ' ') END] AS ps
+     FROM (SELECT query_id, variant, {_OPEN} AS ws FROM vq))) WHERE p IS NOT NULL GROUP BY query_id, p),
+ r0 AS MATERIALIZED (SELECT c.query_id, c.id, c.score AS original_score, d.file_name, d.text, lower(d.text) AS low FROM ({cand}) c JOIN d USING (id)),
+ r1 AS MATERIALIZED (SELECT r0.*, len(list_filter(tq.terms, lambda x: contains(low, x))) AS keyword_matches,
+    (SELECT arg_min(pq.p, pq.o) FROM pq WHERE pq.query_id = r0.query_id AND contains(r0.low, pq.p)) AS phrase FROM r0 JOIN tq USING (query_id)),
+ r2 AS (SELECT *, substring(low, greatest(strpos(low, phrase) - 1 - 50, 0) + 1, strpos(low, phrase) - 1 - greatest(strpos(low, phrase) - 1 - 50, 0) + length(phrase) + 50) AS ctx FROM r1),
+ r3 AS (SELECT *, round(least(original_score + least(keyword_matches * 0.1::DOUBLE, 0.3) + CASE WHEN {_CUE} THEN 0.2 ELSE 0.0 END
+    + CASE WHEN phrase IS NULL THEN 0.0 WHEN {_NEAR} THEN 0.4 ELSE 0.3 END, 1.0)::DOUBLE, 6) AS score FROM r2),
+ rr AS MATERIALIZED (SELECT query_id, id, file_name, score, original_score, keyword_matches FROM r3 QUALIFY row_number() OVER (PARTITION BY query_id, lower(substring(text, 1, 100)) ORDER BY score DESC, id) = 1)"""
+
+
+@query("f17_keyword_boost", f"""WITH {BASE}, {rerank_sql('SELECT query_id, id, score - 0.5 AS score FROM sem WHERE rk <= 20')}
+SELECT query_id, id, score, keyword_matches FROM rr""")
+def _(t):
+    c, q = corpus(t), queries(t)
+    found = plan.candidates(c, q, 20).withColumn("score", F.round(F.col("score") - 0.5, 6))
+    return rerank.keyword_boost(found, rerank.query_features(q)).select("query_id", "id", "score", F.col("keyword_matches").cast("long").alias("keyword_matches"))
+
+
+# Vectors of the phrasings: the embedding function is applied to each.
+_MORE = f"""xe AS MATERIALIZED ({s.embedding_cells('xk', 'xk', 'v')}),
+ xdot AS (SELECT xk, id, sum(de.v * xe.v) AS c FROM de JOIN xe USING (d) GROUP BY ALL),
+ xs AS MATERIALIZED (SELECT xk // 100 AS query_id, id, round(coalesce(c, 0), 6) + 0.0 AS score FROM (SELECT xk.xk, d.id FROM xk, d) z LEFT JOIN xdot USING (xk, id)
+    QUALIFY row_number() OVER (PARTITION BY xk ORDER BY round(coalesce(c, 0), 6) DESC, id) <= {K})"""
+_XK = f"xk AS MATERIALIZED (SELECT query_id * 100 + variant AS xk, v FROM ({EXPAND_SQL}) WHERE variant BETWEEN 2 AND 8)"
+
+
+def phrasings(q):
+    rows = unfold(q, ["query_id"], F.slice(expand_query(F.col("text")), 2, 8), "v", "variant")
+    return rows.select("query_id", "variant", embed_udf(hashing_embed)(F.col("v")).alias("vec"))
+
+
+@query("f27_retrieve", f"""
+WITH {BASE}, {_XK}, {_MORE}, {rerank_sql(f'SELECT query_id, id, max(score) AS score FROM (SELECT query_id, id, score FROM sem WHERE rk <= {2 * K} UNION ALL SELECT query_id, id, score FROM xs) GROUP BY ALL')},
+ m AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS mx, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM rr)
+SELECT query_id, id, score, rank, mx < 0.95 AS low_confidence FROM m WHERE ((mx >= 0.95 AND score >= 0.95) OR (mx < 0.95 AND rank <= 3)) AND rank <= {K}""")
+def _(t):
+    c, q = corpus(t), queries(t)
+    rows = plan.retrieve(c, q, plan.SearchConfig(k=K, threshold=0.95), more=phrasings(q))
+    return rows.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"), "low_confidence")
+
+
+HIER = f"""{rerank_sql('SELECT query_id, id, score FROM sem WHERE rk <= 20')},
+ ds AS (SELECT query_id, file_name, max(score) AS document_score FROM rr GROUP BY query_id, file_name QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, file_name) <= 3),
+ dc AS (SELECT rr.*, ds.document_score FROM rr JOIN ds USING (query_id, file_name) QUALIFY row_number() OVER (PARTITION BY query_id, file_name ORDER BY score DESC, id) <= 2),
+ dk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM dc QUALIFY rank <= 6)"""
+
+
+@query("f28_hierarchical", f"WITH {BASE}, {HIER} SELECT query_id, id, file_name, score, document_score, rank FROM dk WHERE score >= 0.3 OR rank <= 3")
+def _(t):
+    c, q = corpus(t), queries(t)
+    rows = plan.retrieve_hierarchical(c, q, plan.SearchConfig(k=6, documents=3, threshold=0.0))
+    return rows.filter((F.col("score") >= 0.3) | (F.col("rank") <= 3)).select("query_id", "id", "file_name", "score", "document_score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("h17_envelope", f"""WITH {BASE}, {rerank_sql('SELECT query_id, id, score FROM sem WHERE rk <= 20')}
+SELECT query_id, count(*) AS total_results, count(DISTINCT file_name) AS document_count, max(score) AS max_score, count(*) FILTER (score >= 0.9) AS filtered_count,
+ CASE WHEN count(*) FILTER (score >= 0.9) > 0 THEN 'success' ELSE 'no_results' END AS status FROM rr GROUP BY query_id""")
+def _(t):
+    c, q = corpus(t), queries(t)
+    found = staged(rerank.keyword_boost(plan.candidates(c, q, 20), rerank.query_features(q)))
+    return plan.envelope(found.filter(F.col("score") >= 0.9), found).select("query_id", "total_results", "document_count", "max_score", "filtered_count", "status")
+
+
+@query("d30_context", f"""WITH {BASE} SELECT query_id, string_agg(substring(text, 1, 250), chr(10) || chr(10) ORDER BY rk) AS context FROM sem JOIN d USING (id) WHERE rk <= 3 GROUP BY query_id""")
+def _(t):
+    c, q = corpus(t), queries(t)
+    top = vector.top(c.select("id", "vec"), q.select("query_id", "vec"), 3)
+    return plan.context(top.join(c.select("id", "text"), "id"), 3, 250)
+
+
+@query("f29_synthesis", f"""WITH {BASE}, u AS (SELECT query_id, id, score FROM sem WHERE rk <= {K} UNION ALL SELECT query_id + 1, id, score FROM sem WHERE rk <= {K} AND query_id + 1 IN (SELECT query_id FROM q)),
+ v AS (SELECT query_id, id, arg_max(score, o) AS score FROM (SELECT query_id, id, score, 0 AS o FROM sem WHERE rk <= {K} UNION ALL SELECT query_id + 1, id, score, 1 FROM sem WHERE rk <= {K} AND query_id + 1 IN (SELECT query_id FROM q)) GROUP BY query_id, id)
+SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM v""")
+def _(t):
+    c, q = corpus(t), queries(t)
+    one = staged(vector.top(c.select("id", "vec"), q.select("query_id", "vec"), K))
+    # The second round asks each query what the one before it asked.
+    two = one.withColumn("query_id", F.col("query_id") + 1).join(q.select("query_id"), "query_id", "left_semi")
+    rows = plan.synthesis([one, two.select(*one.columns)])
+    return rows.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("l6_evaluation", f"""WITH {BASE}, rel AS (SELECT DISTINCT doc_id AS id, 1 AS r FROM labels WHERE quality = 1)
+SELECT query_id, max(coalesce(r, 0)) AS hit, round(coalesce(max(CASE WHEN r = 1 THEN 1.0::DOUBLE / rk END), 0.0), 6) AS reciprocal_rank, round(sum(coalesce(r, 0)) / 10.0, 6)::DOUBLE AS precision
+FROM sem LEFT JOIN rel USING (id) WHERE rk <= 10 GROUP BY query_id""")
+def _(t):
+    c, q = corpus(t), queries(t)
+    top = vector.top(c.select("id", "vec"), q.select("query_id", "vec"), 10)
+    good = t.labels.filter(F.col("quality") == 1).select(F.col("doc_id").alias("id"))
+    return evaluate.retrieval_metrics(top, good, 10)
+
+
+@query("f26_facade")
+def _(t):
+    return plan.nested(plan.advanced(corpus(t), queries(t), plan.SearchConfig(k=K, methods=["bm25", "ngram"])))
+
+

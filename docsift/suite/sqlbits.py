@@ -63,28 +63,38 @@ def char_window_cte(size: int, overlap: int, src: str = "documents", key: str =
             FROM {src} WHERE length(text) > 0)"""
 
 
-def bm25(docs: str, queries: str, upto: int = 1, toks=tokens) -> str:
-    """CTEs ending in ``s(query_id, id, score)``; ``docs(id, text)``, ``queries(query_id, text)``."""
-    grams = (lambda c: c) if upto == 1 else (lambda c: ngrams(c, upto))
+def gram_rows(src: str, key: str, ws: str, upto: int) -> str:
+    """SELECT of (key, gram) over word lists ``ws``: neighbours are joined by window functions."""
+    if upto == 1:
+        return f"SELECT {key}, unnest({ws}) AS gram FROM {src}"
+    leads = ", ".join(f"lead(w, {n}) OVER x AS w{n}" for n in range(1, upto))
+    grams = ", ".join(" || ' ' || ".join(["w", *[f"w{i}" for i in range(1, n)]]) for n in range(1, upto + 1))
+    return f"""SELECT {key}, gram FROM (SELECT {key}, unnest([{grams}]) AS gram FROM (
+        SELECT {key}, w, {leads} FROM (SELECT {key}, unnest({ws}) AS w, unnest(range(1, len({ws}) + 1)) AS p FROM {src})
+        WINDOW x AS (PARTITION BY {key} ORDER BY p))) WHERE gram IS NOT NULL"""
+
+
+def bm25(docs: str, queries: str, upto: int = 1, toks=tokens, p: str = "b") -> str:
+    """CTEs ending in ``s(query_id, id, score)`` and ``{p}_rank``; ``docs(id, text)``, ``queries(query_id, text)``."""
+    length = " + ".join(f"greatest(len(ws) - {n}, 0)" for n in range(upto))
     return f"""
-    b_d0 AS MATERIALIZED (SELECT id, {toks('text')} AS ws FROM {docs} WHERE trim(text) <> ''),
-    b_d AS MATERIALIZED (SELECT id, {grams('ws')} AS toks, len({grams('ws')}) AS dl FROM b_d0),
-    b_tf AS MATERIALIZED (SELECT id, dl, token, count(*) AS tf FROM (SELECT id, dl, unnest(toks) AS token FROM b_d) GROUP BY ALL),
-    b_st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM b_d),
-    b_raw AS MATERIALIZED (SELECT token, ln(b_st.n - df + 0.5) - ln(df + 0.5) AS raw
-              FROM (SELECT token, count(*) AS df FROM b_tf GROUP BY token), b_st),
-    b_idf AS (SELECT token, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM b_raw) ELSE raw END AS idf FROM b_raw),
-    b_q0 AS (SELECT query_id, {toks('text')} AS ws FROM {queries}),
-    b_q AS MATERIALIZED (SELECT query_id, token, count(*) AS qtf FROM (SELECT query_id, unnest({grams('ws')}) AS token FROM b_q0) GROUP BY ALL),
-    s AS MATERIALIZED (SELECT query_id, id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / b_st.avgdl))), 6) AS score
-          FROM b_q JOIN b_idf USING (token) JOIN b_tf USING (token), b_st GROUP BY query_id, id),
-    b_full AS MATERIALIZED (SELECT q.query_id, d.id, coalesce(s.score, 0.0) AS score
-          FROM (SELECT DISTINCT query_id FROM b_q) q CROSS JOIN b_d d LEFT JOIN s ON s.query_id = q.query_id AND s.id = d.id),
-    b_mm AS (SELECT query_id, min(score) AS lo, max(score) AS hi FROM b_full GROUP BY query_id),
-    b_rank AS MATERIALIZED (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rk,
+    {p}_d AS MATERIALIZED (SELECT id, ws, {length} AS dl FROM (SELECT id, {toks('text')} AS ws FROM {docs} WHERE trim(text) <> '')),
+    {p}_tf AS MATERIALIZED (SELECT id, gram AS token, count(*) AS tf FROM ({gram_rows(p + '_d', 'id', 'ws', upto)}) GROUP BY ALL),
+    {p}_st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM {p}_d),
+    {p}_raw AS MATERIALIZED (SELECT token, ln({p}_st.n - df + 0.5) - ln(df + 0.5) AS raw
+              FROM (SELECT token, count(*) AS df FROM {p}_tf GROUP BY token), {p}_st),
+    {p}_idf AS (SELECT token, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM {p}_raw) ELSE raw END AS idf FROM {p}_raw),
+    {p}_q0 AS (SELECT query_id, {toks('text')} AS ws FROM {queries}),
+    {p}_q AS MATERIALIZED (SELECT query_id, gram AS token, count(*) AS qtf FROM ({gram_rows(p + '_q0', 'query_id', 'ws', upto)}) GROUP BY ALL),
+    {'s' if p == 'b' else p + '_s'} AS MATERIALIZED (SELECT query_id, id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / {p}_st.avgdl))), 6) AS score
+          FROM {p}_q JOIN {p}_idf USING (token) JOIN {p}_tf USING (token) JOIN {p}_d USING (id), {p}_st GROUP BY query_id, id),
+    {p}_full AS MATERIALIZED (SELECT q.query_id, d.id, coalesce(s.score, 0.0) AS score
+          FROM (SELECT DISTINCT query_id FROM {p}_q) q CROSS JOIN {p}_d d LEFT JOIN {'s' if p == 'b' else p + '_s'} s ON s.query_id = q.query_id AND s.id = d.id),
+    {p}_mm AS (SELECT query_id, min(score) AS lo, max(score) AS hi FROM {p}_full GROUP BY query_id),
+    {p}_rank AS MATERIALIZED (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rk,
                  CASE WHEN hi = lo THEN 1.0 ELSE round((score - lo) / (hi - lo), 6) END AS norm,
                  CASE WHEN hi > 0 THEN round(score / hi, 6) ELSE score END AS by_max
-               FROM b_full JOIN b_mm USING (query_id))"""
+               FROM {p}_full JOIN {p}_mm USING (query_id))"""
 
 
 def embedding_cells(src: str, key: str, text: str = "text", dim: int = 64) -> str:
