@@ -92,8 +92,7 @@ def _asked(queries: DataFrame, tokens) -> DataFrame:
     )
 
 
-def _scores(corpus: DataFrame, queries: DataFrame, tokens, vocab: DataFrame | None) -> tuple[DataFrame, Weights]:
-    asked, small = localized(_asked(queries, tokens))
+def _scores(corpus: DataFrame, asked: DataFrame, small: bool, tokens, vocab: DataFrame | None) -> tuple[DataFrame, Weights]:
     words = small_side(asked.select("token").distinct(), small)
     weights = weigh(vocabulary(corpus, tokens(F.col("text"))) if vocab is None else vocab, words)
     per_token = asked.join(small_side(weights.idf, small), "token").select(
@@ -115,7 +114,7 @@ def scores(corpus: DataFrame, queries: DataFrame, tokens=word_tokens, vocab: Dat
     ``corpus(id, text)``, ``queries(query_id, text)``; ``tokens`` maps a text column
     to its token array.
     """
-    return _scores(corpus, queries, tokens, vocab)[0]
+    return _scores(corpus, *localized(_asked(queries, tokens)), tokens, vocab)[0]
 
 
 def top(corpus: DataFrame, queries: DataFrame, k: int, tokens=word_tokens,
@@ -125,13 +124,13 @@ def top(corpus: DataFrame, queries: DataFrame, k: int, tokens=word_tokens,
     Documents without a shared token score 0 and fill up a list that has too few
     hits, smallest id first. ``norm``: ``min_max``, ``max`` or ``raw``.
     """
-    found, weights = _scores(corpus, queries, tokens, vocab)
+    asked, small = localized(_asked(queries, tokens))
+    found, weights = _scores(corpus, asked, small, tokens, vocab)
     # At most k rows per query from here on.
     best = staged(top_with_range(found, k))
     zero = F.lit(0.0)
     some = best.filter(F.col("rank") == 1).select("query_id", "hits", "low", "high")
-    real = queries.filter(F.size(tokens(F.col("text"))) > 0).select("query_id").distinct()
-    spans = real.join(some, "query_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    spans = asked.select("query_id").distinct().join(some, "query_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
     short = F.col("hits") < weights.docs
     spans, fits = localized(spans.select(
         "query_id", "hits",
