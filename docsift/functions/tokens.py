@@ -22,19 +22,16 @@ QUESTION_WORDS = "what is are the a an define definition explain meaning of".spl
 def ngrams(toks: Column, upto: int = 5) -> Column:
     """All 1..upto word n-grams, joined by a blank, shortest first."""
 
-    def grams(ws: Column) -> Column:
-        parts = [ws]
-        for n in range(2, upto + 1):
-            starts = F.sequence(F.lit(1), F.size(ws) - (n - 1))
-            joined = F.transform(starts, _gram(ws, n))
-            parts.append(F.when(F.size(ws) >= n, joined).otherwise(F.array().cast("array<string>")))
-        return F.concat(*parts)
-
-    return let(toks, grams)
-
-
-def _gram(ws: Column, n: int):
-    return lambda i: F.array_join(F.slice(ws, i, n), " ")
+    def longer(ws: Column, shorter: Column, n: int, done: list[Column]) -> Column:
+        """Each n-gram is the (n-1)-gram at its place and one more word."""
+        if n > upto:
+            return F.concat(*done)
+        places = F.sequence(F.lit(0), F.size(ws) - n)
+        grown = F.transform(places, lambda i: F.concat(F.get(shorter, i), F.lit(" "), F.get(ws, i + (n - 1))))
+        grams = F.when(F.size(ws) >= n, grown).otherwise(F.array().cast("array<string>"))
+        return let(grams, lambda g: longer(ws, g, n + 1, [*done, g]))
+
+    return let(toks, lambda ws: longer(ws, ws, 2, [ws]))
 
 
 def word_ngrams(c: Column, upto: int = 5) -> Column:

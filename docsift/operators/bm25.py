@@ -47,11 +47,9 @@ def vocabulary(corpus: DataFrame, tokens: Column) -> DataFrame:
     spare later searches this pass.
     """
     toks = tokenized(corpus, tokens)
-    entry = lambda t, n: F.struct(t.alias("token"), n.cast("long").alias("n"))
-    each = F.transform(F.array_distinct("tokens"), lambda t: entry(t, F.lit(1)))
-    marks = F.array(entry(F.lit(DOCS), F.lit(1)), entry(F.lit(LENGTH), F.col("dl")))
-    rows = unfold(toks, [], F.concat(each, marks), "e").select("e.*")
-    return rows.groupBy("token").agg(F.sum("n").alias("n"))
+    marked = F.concat(F.array_distinct("tokens"), F.array(F.lit(DOCS), F.lit(LENGTH)))
+    n = F.when(F.col("token") == LENGTH, F.col("dl")).otherwise(1)
+    return unfold(toks, ["dl"], marked, "token").groupBy("token").agg(F.sum(n).alias("n"))
 
 
 @dataclass

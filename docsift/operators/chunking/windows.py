@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ...functions.binding import let
+from ...functions.binding import let, part
 from ...functions.text import words
 
 
@@ -15,7 +15,7 @@ def word_windows(c: Column, size: int | Column = 500, overlap: float = 0.15) ->
 
     def windows(ws: Column) -> Column:
         starts = F.sequence(F.lit(1), F.size(ws), step)
-        joined = F.transform(starts, lambda s: F.array_join(F.slice(ws, s, n), " "))
+        joined = F.transform(starts, lambda s: F.array_join(part(ws, s, n), " "))
         return F.when(F.size(ws) > 0, joined).otherwise(F.array().cast("array<string>"))
 
     return let(words(c), windows)
