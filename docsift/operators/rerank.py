@@ -94,7 +94,8 @@ def by_document(candidates: DataFrame, k: int, documents: int) -> DataFrame:
 def weighted_web(pairs: DataFrame) -> DataFrame:
     """0.4 x BM25 (already divided by its maximum) + 0.6 x cosine moved to 0..1."""
     score = F.col("bm25") * 0.4 + (F.col("cosine") + 1) / 2 * 0.6
-    return pairs.withColumn("score", fixed(score))
+    # Both parts carry six decimals, so the sum is ranked at nine.
+    return pairs.withColumn("score", fixed(score, 9))
 
 
 __all__ = ["by_document", "keyword_boost", "legal_boost", "query_features", "ranked", "weighted_web"]

@@ -102,7 +102,7 @@ def web_pairs(t):
     return pairs.withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
 
 
-@query("f18_web_rerank", f"WITH {_WEB} SELECT query_id, id, round(bm25 * 0.4::DOUBLE + (cosine + 1) / 2 * 0.6::DOUBLE, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25 * 0.4::DOUBLE + (cosine + 1) / 2 * 0.6::DOUBLE, 6) DESC, id) AS rank FROM x QUALIFY rank <= 10")
+@query("f18_web_rerank", f"WITH {_WEB} SELECT query_id, id, round(bm25 * 0.4::DOUBLE + (cosine + 1) / 2 * 0.6::DOUBLE, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25 * 0.4::DOUBLE + (cosine + 1) / 2 * 0.6::DOUBLE, 9) DESC, id) AS rank FROM x QUALIFY rank <= 10")
 def _(t):
     rows = top_k(rerank.weighted_web(web_pairs(t)), 10, ["query_id"])
     return rows.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
