@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .binding import let
 from .text import non_empty, strip, words
 
 # Words that cannot open a BibTeX title part.

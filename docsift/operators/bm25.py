@@ -58,6 +58,7 @@ class Weights:
 
     docs: int
     mean_length: float
+    mean_idf: float
     idf: DataFrame
 
 
@@ -80,7 +81,7 @@ def weigh(vocab: DataFrame, words: DataFrame) -> Weights:
     idf = real.filter(F.col("token").isNotNull()).select(
         "token", F.when(raw < 0, F.lit(FLOOR * mean)).otherwise(raw).alias("idf")
     )
-    return Weights(docs, (length or 0) / max(docs, 1), idf)
+    return Weights(docs, (length or 0) / max(docs, 1), mean, idf)
 
 
 def _asked(queries: DataFrame, tokens) -> DataFrame:
@@ -124,6 +125,8 @@ def top(corpus: DataFrame, queries: DataFrame, k: int, tokens=word_tokens,
     """
     asked, small = localized(_asked(queries, tokens))
     found, weights = _scores(corpus, asked, small, tokens, vocab)
+    if weights.mean_idf < 0:
+        found = _all_pairs(found, asked, corpus)
     # At most k rows per query from here on.
     best = staged(top_with_range(found, k))
     zero = F.lit(0.0)
@@ -148,6 +151,18 @@ def top(corpus: DataFrame, queries: DataFrame, k: int, tokens=word_tokens,
     return rows.select("query_id", "id", "rank", scaled.alias("score"), F.col("score").alias("original_score"))
 
 
+def _all_pairs(found: DataFrame, asked: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Scores of every document, 0 without a shared token.
+
+    Only for a vocabulary whose tokens occur in most documents on average: scores can
+    then be negative and documents without any hit rank above them.
+    """
+    ids = asked.agg(F.sort_array(F.collect_set("query_id"))).scalar()
+    every = corpus.filter(F.trim("text") != "").select("id", F.explode_outer(ids).alias("query_id"))
+    rows = every.filter(F.col("query_id").isNotNull()).join(found, ["query_id", "id"], "left")
+    return rows.select("query_id", "id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def _filled(rows: DataFrame, lacking: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """Lists with fewer than ``k`` hits get documents of score 0, found among the 2k smallest ids."""
     firsts = (

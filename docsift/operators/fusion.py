@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .ranking import fixed, keep_first, ranked, top_k
+from .ranking import fixed, keep_first, top_k
 
 RRF_K = 60
 
@@ -78,5 +78,3 @@ def hybrid(semantic: DataFrame, lexical: DataFrame, texts: DataFrame, k: int) ->
     fused = keep_first(fused, ["query_id", "head"], [F.col("score").desc(), F.col("id")])
     return top_k(fused.drop("head"), k, ["query_id"])
 
-
-__all__ = ["RRF_K", "hybrid", "ranked", "rrf_by_text", "stacked", "weighted_rrf"]

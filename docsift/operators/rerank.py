@@ -10,7 +10,7 @@ from ..functions import legal
 from ..functions.binding import let
 from ..functions.text import words
 from ..functions.tokens import QUESTION_WORDS, expand_query, key_terms
-from .ranking import fixed, keep_first, ranked, top_k
+from .ranking import fixed, keep_first, top_k
 
 # Phrases that mark a definition, and cues near an exact phrase.
 DEFINITION_CUES = [
@@ -97,5 +97,3 @@ def weighted_web(pairs: DataFrame) -> DataFrame:
     # Both parts carry six decimals, so the sum is ranked at nine.
     return pairs.withColumn("score", fixed(score, 9))
 
-
-__all__ = ["by_document", "keyword_boost", "legal_boost", "query_features", "ranked", "weighted_web"]

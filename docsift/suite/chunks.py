@@ -147,7 +147,6 @@ _SEM = f"""
 WITH st AS MATERIALIZED (SELECT doc_id, unnest(l) AS s, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, list_filter(string_split_regex(regexp_replace(text, '([.?!]){WS}+', '\\1' || chr(1), 'g'), '\\x01'), lambda x: x <> '') AS l FROM documents)),
  wide AS MATERIALIZED (SELECT doc_id, i, doc_id * 1000000 + i AS k, concat_ws(' ', lag(s) OVER w, s, lead(s) OVER w) AS text FROM st WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
  e AS MATERIALIZED ({s.embedding_cells('wide', 'k')}),
- d AS (SELECT a.k AS k, coalesce((SELECT 0), 0) AS z FROM wide a),
  prod AS (SELECT a.k, sum(a.v * b.v) AS c FROM e a JOIN e b ON b.k = a.k + 1 AND b.d = a.d GROUP BY a.k),
  dist AS MATERIALIZED (SELECT w.doc_id, w.i, round(1 - coalesce(p.c, 0), 9) AS dist FROM wide w LEFT JOIN prod p ON p.k = w.k WHERE EXISTS (SELECT 1 FROM st n WHERE n.doc_id = w.doc_id AND n.i = w.i + 1)),
  cut AS (SELECT doc_id, quantile_cont(dist, 0.95) AS cut FROM dist GROUP BY doc_id),

@@ -8,8 +8,8 @@ from ..functions import web
 from ..functions.text import word_tokens
 from ..operators import bm25, filters, papers as ranking_papers, references, rerank, vector
 from ..operators.layout import spread
-from ..operators.numbering import staged
-from ..operators.ranking import keep_first, ranked, top_k
+from ..operators.numbering import number_rows, staged
+from ..operators.ranking import keep_first, top_k
 from ..sources import web as pages
 from . import sqlbits as s
 from .registry import query
@@ -113,12 +113,16 @@ WITH {_WEB}, y AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id
  z AS (SELECT query_id, url, round(sum(1.0 / (60 + a)::DOUBLE + 1.0 / (60 + b)::DOUBLE), 9) AS score FROM y JOIN r USING (id) GROUP BY query_id, url)
 SELECT query_id, url, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, url) AS rank FROM z QUALIFY rank <= 10""")
 def _(t):
-    pairs = web_pairs(t)
-    # The lists are results of one search each; every result has a place in both.
-    a = ranked(pairs, ["query_id"], "bm25").withColumn("p", 1.0 / (F.col("rank") + 60)).select("query_id", "id", "p")
-    b = ranked(pairs, ["query_id"], "cosine").withColumn("p", 1.0 / (F.col("rank") + 60)).select("query_id", "id", "p")
+    pairs = staged(web_pairs(t))
+
+    def places(score: str):
+        """Every result has a place in both lists, so the lists are long and ranked by a range sort."""
+        rows = pairs.select("query_id", "id", (-F.col(score)).alias("_o"))
+        rows = number_rows(rows, ["_o", "id"], ["query_id"], out="rank")
+        return rows.select("query_id", "id", (1.0 / (F.col("rank") + 60)).alias("p"))
+
     urls = results(t).select("id", "url")
-    rows = a.unionByName(b).join(urls, "id").groupBy("query_id", "url").agg(F.round(F.sum("p"), 9).alias("score"))
+    rows = places("bm25").unionByName(places("cosine")).join(urls, "id").groupBy("query_id", "url").agg(F.round(F.sum("p"), 9).alias("score"))
     return top_k(rows, 10, ["query_id"], tie="url").withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -194,13 +198,11 @@ def _(t):
     return rows.withColumn("ordinal", F.coalesce("ordinal", F.lit(-1).cast("long")))
 
 
-@query("a17_relation_links", "SELECT conv_id, role AS source, lead_role AS target, turn AS chunk FROM (SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS lead_role FROM conversations) WHERE lead_role IS NOT NULL")
+@query("a17_relation_links", """
+SELECT conv_id, role AS source, 'place ' || (turn % 3) AS target, unnest([turn, turn + 1]) AS chunk FROM conversations""")
 def _(t):
-    from pyspark.sql import Window as W
-
     from ..sources.artifacts import relation_links
 
-    nxt = F.lead("role").over(W.partitionBy("conv_id").orderBy("turn"))
-    rows = t.conversations.select("conv_id", "turn", "role", nxt.alias("n")).filter(F.col("n").isNotNull())
-    keyed = rows.select("conv_id", F.concat_ws("<SEP>", "role", "n").alias("key"), F.array("turn").alias("chunk_ids"))
-    return relation_links(keyed, "conv_id").withColumnRenamed("chunk_id", "chunk")
+    key = F.concat("role", F.lit("<SEP>place "), F.col("turn") % 3)
+    rows = t.conversations.select("conv_id", key.alias("key"), F.array("turn", F.col("turn") + 1).alias("chunk_ids"))
+    return relation_links(rows, "conv_id").withColumnRenamed("chunk_id", "chunk")

@@ -47,6 +47,12 @@ def test_bm25_empty_query_gives_no_rows(spark, corpus):
     assert bm25.top(corpus, queries(spark, "?!"), 2).count() == 0
 
 
+def test_bm25_ranks_misses_above_negative_scores(spark):
+    c = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "x")], "id long, text string")
+    rows = bm25.top(c, queries(spark, "a"), 2).orderBy("rank").collect()
+    assert [(r["id"], r["score"]) for r in rows] == [(3, 1.0), (1, 0.0)] and rows[1]["original_score"] < 0
+
+
 def test_bm25_accepts_a_stored_vocabulary(spark, corpus, tmp_path):
     path = str(tmp_path / "vocab")
     bm25.vocabulary(corpus, text.word_tokens(F.col("text"))).write.parquet(path)

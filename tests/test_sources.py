@@ -4,7 +4,6 @@ import io
 import json
 import zipfile
 
-import duckdb  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
