@@ -31,17 +31,6 @@ def sentences_drop(x: str) -> str:
     return strip_list(f"string_split_regex({x}, '[.!?]+{WS}+')")
 
 
-def ngrams(ws: str, upto: int = 5) -> str:
-    parts = [
-        f"list_transform(range(1, len({ws}) - {n} + 2), lambda i: array_to_string({ws}[i:i+{n - 1}], ' '))"
-        for n in range(1, upto + 1)
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = f"list_concat({out}, {p})"
-    return out
-
-
 def dedup_key(x: str) -> str:
     return f"regexp_replace(lower({strip(x)}), '{WS}+', ' ', 'g')"
 

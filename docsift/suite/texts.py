@@ -122,8 +122,19 @@ def _(t):
 
 # ---- tokens --------------------------------------------------------------------
 
-@query("d4_word_ngrams", f"""
-SELECT doc_id, len(g) AS n, md5(array_to_string(g, '|')) AS h FROM (SELECT doc_id, {s.ngrams('ws')} AS g FROM (SELECT doc_id, {s.tokens('text')} AS ws FROM documents))""")
+def gram_list_sql(ws: str) -> str:
+    """Count and digest of the n-grams of a document, by length and place."""
+    leads = ", ".join(f"lead(w, {n}) OVER x AS w{n}" for n in range(1, 5))
+    grams = ", ".join(" || ' ' || ".join(["w", *[f"w{i}" for i in range(1, n)]]) for n in range(1, 6))
+    return f"""
+SELECT d.doc_id, coalesce(g.n, 0) AS n, md5(coalesce(g.l, '')) AS h FROM documents d LEFT JOIN (
+  SELECT doc_id, count(*) AS n, string_agg(gram, '|' ORDER BY k, p) AS l FROM (
+    SELECT doc_id, p, unnest([{grams}]) AS gram, unnest(range(1, 6)) AS k FROM (
+      SELECT doc_id, w, p, {leads} FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM (SELECT doc_id, {ws} AS ws FROM documents))
+      WINDOW x AS (PARTITION BY doc_id ORDER BY p))) WHERE gram IS NOT NULL GROUP BY doc_id) g USING (doc_id)"""
+
+
+@query("d4_word_ngrams", gram_list_sql(s.tokens("text")))
 def _(t):
     return docs(t).select("doc_id", tokens.word_ngrams(F.col("text")).alias("g")).select(
         "doc_id", F.size("g").cast("long").alias("n"), F.md5(F.array_join("g", "|")).alias("h"))
@@ -135,8 +146,7 @@ def _(t):
     return unfold(docs(t), ["lang"], text.word_tokens(F.col("text")), "token").groupBy("lang", "token").agg(F.count("*").alias("n"))
 
 
-@query("d6_blank_ngrams", f"""
-SELECT doc_id, len(g) AS n, md5(array_to_string(g, '|')) AS h FROM (SELECT doc_id, {s.ngrams('ws')} AS g FROM (SELECT doc_id, {s.words('lower(text)')} AS ws FROM documents))""")
+@query("d6_blank_ngrams", gram_list_sql(s.words("lower(text)")))
 def _(t):
     return docs(t).select("doc_id", tokens.blank_ngrams(F.col("text")).alias("g")).select(
         "doc_id", F.size("g").cast("long").alias("n"), F.md5(F.array_join("g", "|")).alias("h"))
