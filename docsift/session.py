@@ -33,12 +33,14 @@ def build_session(app: str = "docsift", cpus: str | None = None, **conf: str) ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names, or a scratch one where none is set."""
+    """The shared folder that the session names; in local mode one of our own where none is set."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     target = named or tempfile.mkdtemp(prefix="docsift-ckpt-")
     sc.setCheckpointDir(target)
     return target
