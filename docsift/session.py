@@ -39,7 +39,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not named and not sc.master.startswith("local["):
+    if not named and not (sc.master == "local" or sc.master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     target = named or tempfile.mkdtemp(prefix="docsift-ckpt-")
     sc.setCheckpointDir(target)
