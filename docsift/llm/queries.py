@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, urls
+from . import licenses, mixing, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -67,3 +67,21 @@ FROM counted
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op6_license_scan")
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(table(spark, folder, "documents"))
+    word = F.transform("places", lambda p: p["word"])
+    base = F.transform("places", lambda p: p["label"])
+    own = F.transform("matches", lambda m: m["label"])
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    # Words under a match or a phrase's first word, as a part of all words.
+    inside = F.flatten(F.transform("matches", lambda m: F.sequence(m["first"], m["last"])))
+    covered = F.size(F.array_union(inside, word))
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
+        F.array_min(word).alias("first_word"), F.array_max(word).alias("last_word"),
+        joined(base).alias("base_labels"), joined(F.concat(base, own)).alias("labels"),
+        F.when(F.col("n_words") > 0, covered / F.col("n_words")).otherwise(0.0).alias("score"),
+    )
