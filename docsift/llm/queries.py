@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import licenses, mixing, urls
+from . import bpe, licenses, mixing, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -85,3 +86,22 @@ def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
         joined(base).alias("base_labels"), joined(F.concat(base, own)).alias("labels"),
         F.when(F.col("n_words") > 0, covered / F.col("n_words")).otherwise(0.0).alias("score"),
     )
+
+
+RANKS = "byte_bpe_50k.tiktoken"
+
+
+def token_digests(docs: DataFrame) -> DataFrame:
+    """Documents encoded and decoded again, as digests."""
+    ranks = public_tokenizers.path(RANKS)
+    coded = bpe.decode(bpe.encode(docs, ranks), ranks)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op10_byte_bpe")
+def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return token_digests(table(spark, folder, "documents"))
