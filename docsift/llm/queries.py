@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, licenses, mixing, nearest, neardup, topk, urls
+from . import bpe, licenses, mixing, nearest, neardup, topk, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -142,3 +142,10 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 @query("op9_top_products", OP9_SQL)
 def op9_top_products(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_products(table(spark, folder, "embeddings"))
+
+
+@query("op4_warc")
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    rows = warc.read(warc.write(table(spark, folder, "pages")))
+    sound = F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("long")).otherwise(F.col("page_id"))
+    return rows.select(sound.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
