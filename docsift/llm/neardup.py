@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import segments
 from .components import components
-from .shared import staged
+from .shared import grouped, staged
 
 POSITIONS = 128  # of the sketch
 LEVELS = 2  # taken in one step, with two positions a node
@@ -96,25 +96,6 @@ def describe(k: int, trees: int) -> Callable:
     return run
 
 
-def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Tables of whole groups from rows sorted by ``key``, however the batches cut them."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(key)
-        other = np.flatnonzero(pa.compute.not_equal(keys, keys[-1]).to_numpy(zero_copy_only=False))
-        cut = int(other[-1]) + 1 if len(other) else 0
-        if held and (cut or held[-1].column(key)[0] != keys[-1]):
-            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
-            held = []
-        elif cut:
-            yield pa.Table.from_batches([batch.slice(0, cut)])
-        held.append(batch.slice(cut))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest member of each of ``n`` items' component under the pairs (a, b)."""
     label = np.arange(n)
