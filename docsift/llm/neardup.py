@@ -11,8 +11,10 @@ until a pair at the threshold is missed at most once in ``1 / miss``.
 
 A large group of near copies never parts. Its node is therefore dealt into blocks that
 all hold one common document: each block is confirmed exhaustively, which ties the group
-together, and a child whose documents are all tied already has nothing to find. So no
-node emits its pairs, no task holds an unbounded node, and work follows the documents.
+together. If only few documents stand outside a node's largest component then, they are
+compared with all others, in blocks; otherwise the node branches, and a child whose
+documents are all tied already is dropped. So no node emits its pairs, no task holds an
+unbounded node, and sets of one component are never compared.
 """
 
 from __future__ import annotations
@@ -27,14 +29,16 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 from . import segments
-from .components import components
+from .components import components, contracted
 from .shared import grouped, staged
 
 POSITIONS = 128  # of the sketch
 LEVELS = 2  # taken in one step, with two positions a node
 NODE = 400  # documents of a node that is compared exhaustively
 NODE_SHINGLES = 4_000_000  # and their shingles, unless they are only two
+REST = 3000  # documents besides the largest component of a node that is compared exhaustively as well
 DEPTH = 24  # levels after which what is still large is compared block by block
+FILTER_BITS = 1 << 23  # of the bitmap that keeps other documents' texts where they are; 1 MB
 SLACK = 0.2  # by which a sketch may show less than the threshold; five deviations
 
 _rng = np.random.default_rng(20240501)
@@ -148,37 +152,70 @@ def likely(threshold: float) -> Callable:
 
 
 def confirmed(k: int, percent: int) -> Callable:
-    """Rows (part, rep, text) sorted by part -> links (a, b) on the full sets, a tree per component."""
+    """Rows (part, rep, label, text) sorted by part -> links (a, b) on the full sets between labels."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, "part"):
-            part, rep = t.column("part").combine_chunks(), t.column("rep").to_numpy()
+            part, rep, label = t.column("part").combine_chunks(), t.column("rep").to_numpy(), t.column("label").to_numpy()
             words = segments.Words(pa.concat_arrays([c.cast(pa.large_string()) for c in t.column("text").chunks]), segments.WHITE)
             cuts = np.flatnonzero(pa.compute.not_equal(part[1:], part[:-1]).to_numpy(zero_copy_only=False)) + 1
             edges, out = [0, *cuts.tolist(), len(part)], []
             for lo, hi in zip(edges, edges[1:]):
                 sets = [shingle_set(words.hash[words.first[i] : words.first[i + 1]], k) for i in range(lo, hi)]
-                out += [(rep[lo + i], rep[lo + j]) for i, j in links(sets, percent)]
+                out += stars(rep[lo:hi], label[lo:hi], list(links(sets, label[lo:hi], percent)))
             a, b = zip(*out) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def links(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs that link the sets' components; sets that are linked already are not compared."""
-    size, label = np.array([len(s) for s in sets]), np.arange(len(sets))
-    for i in range(len(sets) - 1):
-        rest = size[i + 1 :]
-        fits = 100 * np.minimum(rest, size[i]) >= percent * np.maximum(rest, size[i])
-        for j in np.flatnonzero(fits & (rest > 0)) + i + 1:
+def stars(rep: np.ndarray, known: np.ndarray, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The pairs' components, labels included, as edges from each member to the smallest."""
+    if not pairs:
+        return []
+    names, at = np.unique(np.concatenate([rep, known]), return_inverse=True)
+    own, label = at[: len(rep)], at[len(rep) :]
+    i, j = np.array(pairs).T
+    # A linked document stands for its label, too.
+    tied = np.unique(np.concatenate([i, j]))
+    root = linked(len(names), np.concatenate([own[i], own[tied]]), np.concatenate([own[j], label[tied]]))
+    moved = np.flatnonzero(root != np.arange(len(names)))
+    return list(zip(names[moved].tolist(), names[root[moved]].tolist()))
+
+
+def links(sets: list[np.ndarray], known: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs that link different labels; sets of one label, known or found, are not compared.
+
+    One set's members are marked and counted in all sets at once.
+    """
+    size = np.array([len(s) for s in sets])
+    _, label, count = np.unique(known, return_inverse=True, return_counts=True)
+    whole, member = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.cumsum(size) - size
+    marked = np.zeros(len(whole), np.int32)
+    # Every pair of two labels has an end outside the most frequent one.
+    todo = np.flatnonzero(label != np.argmax(count))
+    done = np.zeros(len(sets), bool)
+    for i in todo:
+        done[i] = True
+        near = 100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])
+        others = np.flatnonzero(near & (size > 0) & ~done & (label != label[i])) if size[i] else todo[:0]
+        if not len(others):
+            continue
+        own = member[begin[i] : begin[i] + size[i]]
+        marked[own] = 1
+        if 2 * len(others) > len(sets) and size.min() > 0:
+            both = np.add.reduceat(marked[member], begin)[others]
+        else:
+            part = np.concatenate([member[begin[j] : begin[j] + size[j]] for j in others])
+            both = np.add.reduceat(marked[part], np.cumsum(size[others]) - size[others])
+        marked[own] = 0
+        for j in others[100 * both >= percent * (size[i] + size[others] - both)]:
             if label[i] != label[j]:
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both >= percent * (size[i] + size[j] - both):
-                    label[label == label[j]] = label[i]
-                    yield i, j
+                label[label == label[j]] = label[i]
+                yield i, j
 
 
-def blocks_of(rows: DataFrame) -> DataFrame:
+def ties(rows: DataFrame) -> DataFrame:
     """(part, rep): large nodes dealt into blocks, each with the node's first document."""
     count = F.ceil(F.greatest(F.col("c") / NODE, F.col("s") / NODE_SHINGLES))
     rows = rows.withColumn("blocks", count)
@@ -189,26 +226,55 @@ def blocks_of(rows: DataFrame) -> DataFrame:
     return members.select(part.alias("part"), "rep").unionByName(firsts.select(part.alias("part"), "rep"))
 
 
+def rest_of(rows: DataFrame) -> DataFrame:
+    """(node, top, b, bs): each large node's largest component, and documents and shingles besides it."""
+    each = rows.groupBy("node", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    return each.groupBy("node").agg(F.max_by("component", F.struct("c", "component")).alias("top"), (F.sum("c") - F.max("c")).alias("b"),
+                                    (F.sum("s") - F.max_by("s", F.struct("c", "component"))).alias("bs"))
+
+
+def crossed(rows: DataFrame) -> DataFrame:
+    """(part, rep, label): a large node's largest component in blocks, the rest with each of them."""
+    rows = rows.withColumn("blocks", F.ceil(F.greatest((F.col("c") - F.col("b")) / F.greatest(F.lit(NODE), F.col("b")), (F.col("s") - F.col("bs")) / NODE_SHINGLES)))
+    place = F.pmod(F.xxhash64("rep", "node"), "blocks")
+    blocks = F.when(F.col("component") == F.col("top"), F.array(place)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    rows = rows.withColumn("block", F.explode(blocks))
+    return rows.select(F.unhex(F.md5(F.concat_ws("/", "node", "block").cast("binary"))).alias("part"), "rep", F.col("component").alias("label"))
+
+
 def block_pairs(rows: DataFrame) -> DataFrame:
-    """(part, rep): every two blocks of a large node together, so that all its pairs meet."""
+    """(part, rep, label): every two blocks of a large node together, so that all its pairs meet."""
     count = F.ceil(2 * F.greatest(F.col("c") / NODE, F.col("s") / NODE_SHINGLES))
     rows = rows.withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("rep", "node"), "blocks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     part = F.unhex(F.md5(F.concat_ws("/", "node", F.least("block", "other"), F.greatest("block", "other")).cast("binary")))
-    return rows.select(part.alias("part"), "rep")
+    return rows.select(part.alias("part"), "rep", F.col("component").alias("label"))
+
 
+def possibly(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``texts`` whose id may be in ``wanted``, by a bitmap of FILTER_BITS hashed ids.
 
-def branch(rows: DataFrame, labels: DataFrame, first: DataFrame) -> DataFrame:
+    The bitmap's size is fixed, so every task can have it; only what passes is shuffled.
+    """
+    place = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
+    maps = wanted.select(place.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    rows = texts.withColumn("h", place).withColumn("bucket", F.bitmap_bucket_number("h"))
+    rows = rows.join(F.broadcast(maps), "bucket").withColumn("bit", F.bitmap_bit_position("h"))
+    byte = F.expr("cast(conv(hex(substring(bits, cast(bit div 8 + 1 as int), 1)), 16, 10) as int)")
+    inside = byte.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0
+    return rows.filter(inside).drop("h", "bucket", "bits", "bit")
+
+
+def branch(rows: DataFrame, first: DataFrame) -> DataFrame:
     """Children of large nodes whose documents are not all in one component yet."""
     place = lambda i: F.pmod(F.xxhash64("node", F.lit(i)), F.lit(POSITIONS)).cast("int")
     child = lambda i: F.xxhash64("node", F.lit(i), F.substring("sketch", place(i) + 1, F.lit(1)))
     more = F.pmod(F.xxhash64("node", F.lit("more")), F.lit(4)) == 0
-    rows = rows.select("node", "rep").join(first.select("rep", "n", "sketch"), "rep")
-    rows = rows.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    rows = rows.select(F.explode(F.when(more, F.array(child(0), child(1))).otherwise(F.array(child(0)))).alias("node"), "rep", "n",
-                       F.coalesce("component", "rep").alias("component"))
-    open_ = rows.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("node")
-    return rows.select("node", "rep", "n").join(open_, "node", "left_semi")
+    rows = rows.select("node", "rep", "n", "component").join(first.select("rep", "sketch"), "rep")
+    rows = rows.select(F.explode(F.when(more, F.array(child(0), child(1))).otherwise(F.array(child(0)))).alias("node"), "rep", "n", "component")
+    unsettled = rows.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("node")
+    return rows.select("node", "rep", "n").join(unsettled, "node", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -234,26 +300,41 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     copies = staged(sets.groupBy("digest").agg(F.min("doc_id").alias("rep")))
     first = sets.join(copies.withColumnRenamed("digest", "d"), F.expr("digest = d AND doc_id = rep"))
     first = staged(first.select("rep", "n", "digest", "sketch", "leaves").dropDuplicates(["rep", "digest"]))
-    rows, edges, depth = first.select(F.explode("leaves").alias("node"), "rep", "n"), None, LEVELS
+    texts = texts.withColumnRenamed("doc_id", "rep")
+    rows, links, depth = first.select(F.explode("leaves").alias("node"), "rep", "n"), None, LEVELS
+
+    def linked_by(parts: DataFrame, links: DataFrame | None) -> DataFrame:
+        """``links`` and those found within ``parts``."""
+        parts = staged(parts)
+        meet = parts.join(possibly(texts, parts), "rep").select("part", "rep", "label", "text")
+        found = meet.repartition("part").sortWithinPartitions("part", "rep").mapInArrow(confirmed(k, percent), "a long, b long")
+        return staged(found if links is None else found.unionByName(links))
+
     while True:
         sizes = rows.groupBy("node").agg(F.count("*").alias("c"), F.sum("n").alias("s")).filter("c > 1")
-        rows = staged(rows.select("node", "rep").join(sizes, "node"))
+        rows = staged(rows.join(sizes, "node"))
         small = f"c = 2 OR (c <= {NODE} AND s <= {NODE_SHINGLES})"
         large = rows.filter(f"NOT ({small})")
         near = rows.filter(small).select("node", "rep").join(first.select("rep", "n", "sketch"), "rep")
-        parts = near.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(likely(threshold), "part binary, rep long").distinct()
-        more, last = not large.isEmpty(), depth >= DEPTH
-        if more:
-            parts = parts.unionByName(block_pairs(large) if last else blocks_of(large)).distinct()
-        meet = parts.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("part", "rep", "text")
-        found = meet.repartition("part").sortWithinPartitions("part", "rep").mapInArrow(confirmed(k, percent), "a long, b long")
-        edges = staged(found.distinct() if edges is None else edges.unionByName(found.distinct()))
-        labels = components(edges)
-        if not more or last:
+        parts = near.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(likely(threshold), "part binary, rep long")
+        more = not large.isEmpty()
+        parts = (parts.unionByName(ties(large)) if more else parts).distinct()
+        links = linked_by(parts.withColumn("label", F.col("rep")), links)
+        if not more:
+            break
+        labels = contracted(links, rounds=1).withColumnRenamed("node", "rep")
+        large = large.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        large = staged(large.join(rest_of(large), "node").filter("b > 0"))
+        ready = f"b <= {REST} AND bs <= {NODE_SHINGLES}"
+        parts, large = crossed(large.filter(ready)), large.filter(f"NOT ({ready})")
+        last = depth >= DEPTH
+        links = linked_by(parts.unionByName(block_pairs(large)) if last else parts, links)
+        if last or large.isEmpty():
             break
-        rows, depth, edges = staged(branch(large, labels, first)), depth + 1, labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        rows, depth = staged(branch(large, first)), depth + 1
         if rows.isEmpty():
             break
+    labels = components(links)
     classes = copies.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     found = sets.select("doc_id", "n", "digest").join(classes, "digest").select("doc_id", "n", "component_id")
     rest = none.select("doc_id", "n", F.col("doc_id").alias("component_id"))

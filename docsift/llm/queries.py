@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, licenses, mixing, nearest, neardup, topk, urls, warc
+from . import bpe, chat, licenses, mixing, nearest, neardup, topk, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -163,3 +163,11 @@ def op7_chat_format(spark: SparkSession, folder: str) -> DataFrame:
         "conv_id", F.size("said").cast("long").alias("n_turns"), F.sha2(F.array_join(turns, "").cast("binary"), 256).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, folder, "labels"))
+    score = F.col("score")
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", F.when(score >= 0.5, 1).otherwise(0).alias("predicted"))
