@@ -32,7 +32,7 @@ TOGETHER = 4096  # windows that run side by side
 
 # The sample to fit on: labelled texts of each class, in order of a hash of the id.
 SAMPLE, SAMPLE_BYTES = 1000, 20_000
-ROUNDS, STEPS, BATCH, RATE, SEED = 6, 300, 384, 0.015, 7  # more rounds for small samples, to STEPS batches
+ROUNDS, STEPS, BATCH, RATE, SEED = 6, 200, 384, 0.015, 7  # more rounds for small samples, to STEPS batches
 APART = 5  # every so manieth text of the sample only sets the border between the classes
 
 Model = dict[str, np.ndarray]
