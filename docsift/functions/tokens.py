@@ -55,13 +55,13 @@ def key_terms(c: Column) -> Column:
     return F.filter(bare, lambda w: (F.length(w) > 2) & ~w.isin(QUESTION_WORDS))
 
 
-def expand_query(c: Column) -> Column:
-    """Up to eight distinct phrasings of a query, the query itself first."""
+def expand_query(c: Column, limit: int | None = None) -> Column:
+    """Distinct phrasings of a query, the query itself first; ``limit`` cuts the list."""
     terms = key_terms(F.translate(F.trim(F.lower(c)), "/-", "  "))
-    return let(F.array_join(terms, " "), lambda main: _phrasings(c, main))
+    return let(F.array_join(terms, " "), lambda main: _phrasings(c, main, limit))
 
 
-def _phrasings(c: Column, main: Column) -> Column:
+def _phrasings(c: Column, main: Column, limit: int | None) -> Column:
     def joined(prefix: str, suffix: str) -> Column:
         return F.concat(F.lit(prefix), main, F.lit(suffix))
 
@@ -75,10 +75,10 @@ def _phrasings(c: Column, main: Column) -> Column:
     keyed = F.transform(variants, lambda v: F.struct(F.lower(F.trim(v)).alias("k"), v.alias("v")))
     long_enough = F.filter(keyed, lambda s: F.length(s["k"]) > 3)
 
-
     def first_of_each(arr: Column) -> Column:
         keys = F.transform(arr, lambda s: s["k"])
         return F.filter(arr, lambda s, i: F.array_position(keys, s["k"]) == i + 1)
 
     distinct = let(long_enough, first_of_each)
-    return F.slice(F.transform(distinct, lambda s: s["v"]), 1, 8)
+    found = F.transform(distinct, lambda s: s["v"])
+    return found if limit is None else F.slice(found, 1, limit)

@@ -7,8 +7,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.text import clip
 from .numbering import fill_missing
 
-TRUSTED_NUMBER = 1_000_000
-
 
 def coalesce_text(*cols: str) -> Column:
     """First of the columns that is neither null nor empty."""
@@ -98,14 +96,14 @@ def shares(chunks: DataFrame, key: str) -> DataFrame:
 
 
 def explore(chunks: DataFrame, source_file: str | None, method: str, level: int | None = None) -> DataFrame:
-    """Chunks of a file and method in reading order, every one numbered."""
+    """Chunks of a file and method in reading order, every one numbered; negative numbers don't count."""
     rows = chunks.filter(F.col("chunking_method") == method)
     if source_file is not None:
         rows = rows.filter(F.col("source_file") == source_file)
     if level is not None:
         rows = rows.filter(F.col("chunk_level") == level)
     number = F.coalesce(*[
-        F.when(F.col(c) <= TRUSTED_NUMBER, F.col(c)) for c in ("chunk_number", "chunk_index")
+        F.when(F.col(c) >= 0, F.col(c)) for c in ("chunk_number", "chunk_index")
     ])
     # Rows without a page come last.
     rows = rows.withColumns({"chunk_number": number, "_page": F.coalesce("page", F.lit(2**31 - 1))})

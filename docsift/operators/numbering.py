@@ -45,10 +45,10 @@ def number_rows(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), sta
     return rows.withColumn(out, (F.col("_g") + start).cast("long")).drop(*drop)
 
 
-def max_number(col: str = "chunk_number", limit: int = 1_000_000) -> Column:
-    """Aggregate: highest plausible chunk number, 0 when there is none."""
+def max_number(col: str = "chunk_number") -> Column:
+    """Aggregate: highest chunk number, 0 when there is none; negative and other values don't count."""
     n = F.col(col).try_cast("long")
-    return F.coalesce(F.max(F.when((n >= 0) & (n <= limit), n)), F.lit(0).cast("long"))
+    return F.coalesce(F.max(F.when(n >= 0, n)), F.lit(0).cast("long"))
 
 
 def next_number() -> Column:

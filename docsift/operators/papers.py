@@ -27,7 +27,7 @@ def paper_score(topic: Column, current_year: int, min_year: int = 2020, recent:
         return F.size(F.array_intersect(wanted, ws)) / F.greatest(F.size(wanted), F.lit(1))
 
     title = overlap(words(F.lower(F.coalesce("title", F.lit("")))))
-    abstract = overlap(F.slice(words(F.lower(F.coalesce("abstract", F.lit("")))), 1, 100))
+    abstract = overlap(words(F.lower(F.coalesce("abstract", F.lit("")))))
     venue = F.lower(F.coalesce("venue", F.lit("")))
     bonus = F.when(reduce(lambda a, b: a | b, [venue.contains(v) for v in VENUES]), 0.1).otherwise(0.0)
     return fixed(F.coalesce(recency, F.lit(0.0)) + cited + (title * 0.6 + abstract * 0.4) * 0.4 + bonus)

@@ -33,14 +33,16 @@ def resolve_author_year(texts: DataFrame, refs: DataFrame) -> DataFrame:
     long_words = F.filter(words(low), lambda w: F.length(w) > 3)
     heads = F.concat(F.array(F.substring(low, 1, 3)), F.transform(long_words, lambda w: F.substring(w, 1, 3)))
     left = unfold(wanted, ["author", "year"], _keys(heads, _grams(low)), "gram")
+    # The year is part of the key: a date holds it, or lacks altogether.
+    left = left.withColumn("_y", F.explode(F.array("year", F.lit(""))))
     right = unfold(
         refs, ["ordinal", F.col("author").alias("ref_author"), F.col("date").alias("ref_date")],
         _keys(_grams(ref_low), F.array(F.substring(ref_low, 1, 3))), "gram",
-    )
-    pairs = left.join(right, "gram").select("author", "year", "ordinal", "ref_author", "ref_date")
-    # A reference without author matches every citation of its year.
+    ).withColumn("_y", F.explode(_years("ref_date")))
+    pairs = left.join(right, ["gram", "_y"]).select("author", "year", "ordinal", "ref_author", "ref_date").distinct()
+    # A reference without author matches every citation of its year; without date, of any.
     blank = refs.filter(ref_low == "").select(
-        F.coalesce(F.substring("date", 1, 4), F.lit("")).alias("_y"), "ordinal",
+        F.explode(_years("date")).alias("_y"), "ordinal",
         F.col("author").alias("ref_author"), F.col("date").alias("ref_date"),
     ).groupBy("_y").agg(F.min_by(F.struct("ordinal", "ref_author", "ref_date"), "ordinal").alias("r"))
     by_year = wanted.select("author", "year", F.explode(F.array("year", F.lit(""))).alias("_y")).join(blank, "_y")
@@ -60,6 +62,12 @@ def resolve_author_year(texts: DataFrame, refs: DataFrame) -> DataFrame:
     )
 
 
+def _years(date: str) -> Column:
+    """Every four digits in a row of a date; an empty text where there are none."""
+    found = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(date), F.lit("")), F.lit(r"(?=(\d{4}))"), F.lit(1)))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("")))
+
+
 def _grams(c: Column) -> Column:
     """All substrings of one to three characters."""
     starts = F.when(F.length(c) > 0, F.sequence(F.lit(1), F.length(c))).otherwise(F.array().cast("array<int>"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import legal
 from ..functions.binding import let
-from ..functions.text import words
+from ..functions.text import dedup_key, words
 from ..functions.tokens import QUESTION_WORDS, expand_query, key_terms
 from .ranking import fixed, keep_first, top_k
 
@@ -44,7 +44,7 @@ def keyword_boost(candidates: DataFrame, features: DataFrame) -> DataFrame:
     """Lift scores by key terms, definition cues and exact phrases; cap at 1.
 
     ``candidates(query_id, id, text, score)`` is a bounded list per query. One row
-    stays per text start (100 characters).
+    stays per text.
     """
     rows = candidates.withColumnRenamed("score", "original_score").join(features, "query_id")
     rows = rows.withColumn("_low", F.lower("text"))
@@ -61,7 +61,7 @@ def keyword_boost(candidates: DataFrame, features: DataFrame) -> DataFrame:
         + F.when(_has_any(low, DEFINITION_CUES), 0.2).otherwise(0.0) + exact
     )
     rows = rows.withColumn("score", fixed(F.least(score, F.lit(1.0)))).withColumn(
-        "_head", F.lower(F.substring("text", 1, 100))
+        "_head", F.md5(dedup_key(F.col("text")))
     )
     rows = keep_first(rows, ["query_id", "_head"], [F.col("score").desc(), F.col("id")])
     return rows.drop("_head", "_low", "_phrase", "terms", "phrases")

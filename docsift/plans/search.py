@@ -74,12 +74,12 @@ def search(corpus: DataFrame, queries: DataFrame, mode: str, k: int = 5, where:
 
 
 def hybrid(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Semantic 2k and lexical 2k fused by id; of two texts that start alike the better stays."""
+    """Semantic 2k and lexical 2k fused by id; of equal texts the better stays."""
     sem = vector.top(_vec(corpus, "id"), _vec(queries, "query_id"), 2 * k)
     lex = lexical.top(corpus.select("id", "text"), queries.select("query_id", "text"), 2 * k)
     cols = ["query_id", "id", "rank"]
     ids = _bounded(sem.select(*cols).unionByName(lex.select(*cols)).select("id").distinct(), queries, 4 * k)
-    heads = corpus.select("id", F.md5(F.substring("text", 1, 200)).alias("head")).join(ids, "id", "left_semi")
+    heads = corpus.select("id", F.md5(dedup_key(F.col("text"))).alias("head")).join(ids, "id", "left_semi")
     return fusion.hybrid(sem, lex, heads, k)
 
 
@@ -128,7 +128,7 @@ def candidates(corpus: DataFrame, queries: DataFrame, k: int, more: DataFrame |
         found = found.unionByName(extra.select(F.col("query_id.query_id").alias("query_id"), "id", "score"))
         found = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     cols = [c for c in corpus.columns if c not in ("id", "vec")]
-    return _join_text(found, corpus, queries, k + 8 * each, *cols)
+    return _join_text(found, corpus, queries, k + 9 * each, *cols)
 
 
 def retrieve(corpus: DataFrame, queries: DataFrame, cfg: SearchConfig, kind: str = "general",

@@ -16,15 +16,19 @@ def from_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def normalised(raw: DataFrame) -> DataFrame:
-    """One result shape from rows whose fields go by different names."""
+def normalised(raw: DataFrame, chars: int | None = None) -> DataFrame:
+    """One result shape from rows whose fields go by different names.
+
+    Snippets stay whole for ranking; ``chars`` clips them for display.
+    """
 
     def first(*names: str):
         have = [F.nullif(F.col(n), F.lit("")) for n in names if n in raw.columns]
         return F.coalesce(*have, F.lit(""))
 
     title, url = first("title", "heading", "name"), first("href", "url", "link")
-    snippet = clip(strip(first("body", "snippet", "abstract", "description")), 500)
+    snippet = strip(first("body", "snippet", "abstract", "description"))
+    snippet = snippet if chars is None else clip(snippet, chars)
     keep = (title != "") | ((url != "") & (snippet != ""))
     return raw.filter(keep).select(
         "id", F.when(title == "", url).otherwise(title).alias("title"), url.alias("url"),

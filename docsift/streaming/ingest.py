@@ -7,9 +7,9 @@ batch that is replayed after a failure overwrites its own folder only.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from ..operators.numbering import max_number
 from ..plans.ingest import ingest, new_documents
@@ -19,7 +19,9 @@ def stored_chunks(spark, table: str, before: int) -> DataFrame | None:
     """Chunks of the batches before this one."""
     try:
         return spark.read.parquet(table).filter(F.col("batch") < before)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
@@ -31,7 +33,7 @@ def ingest_stream(docs: DataFrame, table: str, checkpoint: str, methods: list[st
         start = 1
         if stored is not None:
             batch = new_documents(batch, stored)
-            start = stored.agg(max_number(limit=2**62)).first()[0] + 1
+            start = stored.agg(max_number()).first()[0] + 1
         chunks = ingest(batch, methods, start=start)
         chunks.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 

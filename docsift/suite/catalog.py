@@ -165,7 +165,7 @@ def _(t):
 
 # ---- statistics ----------------------------------------------------------------
 
-@query("h1_max_chunk_number", f"SELECT coalesce(max(CASE WHEN chunk_number BETWEEN 0 AND 1000000 THEN chunk_number END), 0) AS max_chunk_number FROM {_NUM}")
+@query("h1_max_chunk_number", f"SELECT coalesce(max(CASE WHEN chunk_number >= 0 THEN chunk_number END), 0) AS max_chunk_number FROM {_NUM}")
 def _(t):
     rows = numbered(t)
     return rows.agg(numbering.max_number().alias("max_chunk_number"))
@@ -268,16 +268,16 @@ def _(t):
 
 # ---- windows, sorts, sets ------------------------------------------------------
 
-_LEGACY = f"(SELECT *, CASE WHEN pos % 4 = 0 THEN NULL WHEN pos % 4 = 1 THEN chunk_number + 2000000 ELSE chunk_number END AS cn FROM {_NUM} WHERE chunking_method = 'recursive')"
+_LEGACY = f"(SELECT *, CASE WHEN pos % 4 = 0 THEN NULL WHEN pos % 4 = 1 THEN -chunk_number - 1 ELSE chunk_number END AS cn FROM {_NUM} WHERE chunking_method = 'recursive')"
 
 
 @query("i21_exploration", f"""
-WITH c AS (SELECT id, source_file, page, CASE WHEN cn <= 1000000 THEN cn END AS n FROM {_LEGACY})
+WITH c AS (SELECT id, source_file, page, CASE WHEN cn >= 0 THEN cn END AS n FROM {_LEGACY})
 SELECT id, source_file, coalesce(n, coalesce(max(n) OVER (PARTITION BY source_file), -1) + row_number() OVER (PARTITION BY source_file, n IS NULL ORDER BY page NULLS LAST, id)) AS chunk_number FROM c""")
 def _(t):
     rows = numbered(t).withColumn("chunk_index", F.lit(None).cast("long"))
     n = F.col("chunk_number")
-    rows = rows.withColumn("chunk_number", F.when(F.col("pos") % 4 == 0, F.lit(None)).when(F.col("pos") % 4 == 1, n + 2_000_000).otherwise(n))
+    rows = rows.withColumn("chunk_number", F.when(F.col("pos") % 4 == 0, F.lit(None)).when(F.col("pos") % 4 == 1, -n - 1).otherwise(n))
     return catalog.explore(rows, None, "recursive").select("id", "source_file", "chunk_number")
 
 

@@ -55,15 +55,15 @@ def _(t):
     return recursive_split(docs(t), "text")
 
 
-_HEAD1 = r"(?m)^(\d{1,2})\.\s+(.+)"
+_HEAD1 = r"(?m)^(\d+)\.\s+(.+)"
 
 
 @query("c7_sections", f"""
 WITH c AS ({CONTRACT_SQL}), l AS (SELECT doc_id, unnest(ls) AS l, unnest(range(0, len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM c)),
- m AS (SELECT *, regexp_matches(l, '^\\d{{1,2}}\\.\\s+.') OR regexp_matches(l, '^(?i:SECTION|CLAUSE)\\s+\\d+[:.]?\\s*.') AS head FROM l),
+ m AS (SELECT *, regexp_matches(l, '^\\d+\\.\\s+.') OR regexp_matches(l, '^(?i:SECTION|CLAUSE)\\s+\\d+[:.]?\\s*.') AS head FROM l),
  g AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM m)
-SELECT doc_id, sec::BIGINT AS sec, regexp_extract(string_agg(l, chr(10) ORDER BY i), '^(\\d{{1,2}})\\.\\s+(.+)', 1) AS number,
-  {s.strip("regexp_extract(string_agg(l, chr(10) ORDER BY i), '^(\\d{1,2})\\.\\s+(.+)', 2)")} AS title,
+SELECT doc_id, sec::BIGINT AS sec, regexp_extract(string_agg(l, chr(10) ORDER BY i), '^(\\d+)\\.\\s+(.+)', 1) AS number,
+  {s.strip("regexp_extract(string_agg(l, chr(10) ORDER BY i), '^(\\d+)\\.\\s+(.+)', 2)")} AS title,
   {s.strip("string_agg(l, chr(10) ORDER BY i)")} AS text
 FROM g WHERE sec > 0 GROUP BY doc_id, sec""")
 def _(t):

@@ -20,6 +20,7 @@ _TITLE = s.strip("regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</t
 _SNIP = s.strip("regexp_replace(regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1), '<[^>]+>', '', 'g')")
 RAW_SQL = f"SELECT page_id AS id, url, {_TITLE} AS title, {_SNIP} AS snippet FROM pages"
 _HOST = "split_part(replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), 'www.', ''), ':', 1)"
+WHOLE_SQL = f"""SELECT id, CASE WHEN title = '' THEN url ELSE title END AS title, url, snippet, {_HOST} AS domain FROM ({RAW_SQL}) WHERE title <> '' OR (url <> '' AND snippet <> '')"""
 RESULT_SQL = f"""SELECT id, CASE WHEN title = '' THEN url ELSE title END AS title, url, CASE WHEN length(snippet) > 500 THEN substring(snippet, 1, 500) || '...' ELSE snippet END AS snippet,
   {_HOST} AS domain FROM ({RAW_SQL}) WHERE title <> '' OR (url <> '' AND snippet <> '')"""
 
@@ -29,7 +30,7 @@ def raw(t):
 
 
 def results(t):
-    return pages.normalised(raw(t))
+    return pages.normalised(raw(t), 500)
 
 
 @query("a12_page_results", RAW_SQL)
@@ -80,7 +81,7 @@ def _(t):
     return results(t).select("id", web.reference_line(*c).alias("line"))
 
 
-_WEB = f"""r AS MATERIALIZED ({RESULT_SQL}), w AS MATERIALIZED (SELECT id, {s.strip("title || '. ' || snippet")} AS text, url, domain FROM r), q AS (SELECT item_id AS query_id, text FROM benchmark),
+_WEB = f"""r AS MATERIALIZED ({WHOLE_SQL}), w AS MATERIALIZED (SELECT id, {s.strip("title || '. ' || snippet")} AS text, url, domain FROM r), q AS (SELECT item_id AS query_id, text FROM benchmark),
  {s.bm25('w', 'q')}, we AS MATERIALIZED ({s.embedding_cells('w', 'id')}), qe AS MATERIALIZED ({s.embedding_cells('q', 'query_id')}),
  cs AS (SELECT query_id, id, sum(we.v * qe.v) AS c FROM we JOIN qe USING (d) GROUP BY ALL),
  x AS MATERIALIZED (SELECT f.query_id, f.id, f.by_max AS bm25, round(coalesce(cs.c, 0), 6) + 0.0 AS cosine FROM b_rank f LEFT JOIN cs USING (query_id, id))"""
@@ -90,7 +91,7 @@ def web_pairs(t):
     """Every result scored by both methods; result lists are what one search returned."""
     from ..functions.vectors import embed_udf, hashing_embed
 
-    texts = staged(pages.result_text(results(t)))
+    texts = staged(pages.result_text(pages.normalised(raw(t))))
     asked = text_queries(t)
     embed = embed_udf(hashing_embed)
     cos = vector.scores(texts.select("id", embed(F.col("text")).alias("vec")), asked.select("query_id", embed(F.col("text")).alias("vec")))
@@ -137,7 +138,7 @@ _TOPIC = "the data that and the systems"
 _TW = "['the', 'data', 'that', 'and', 'systems']"
 _SCORE = f"""round(CASE WHEN year IS NULL THEN 0.0 WHEN year < 2020 THEN -0.2 ELSE greatest(0.0, 1.0 - (2025 - year) / 10.0) * 0.4 END::DOUBLE
   + CASE WHEN citation_count > 0 THEN least(1.0, log10(citation_count + 1) / 3.0) * 0.2 ELSE 0.0 END
-  + (len(list_intersect({_TW}, {s.words('lower(title)')})) / 5.0::DOUBLE * 0.6 + len(list_intersect({_TW}, {s.words('lower(abstract)')}[1:100])) / 5.0::DOUBLE * 0.4) * 0.4
+  + (len(list_intersect({_TW}, {s.words('lower(title)')})) / 5.0::DOUBLE * 0.6 + len(list_intersect({_TW}, {s.words('lower(abstract)')})) / 5.0::DOUBLE * 0.4) * 0.4
   + CASE WHEN lower(venue) LIKE '%neurips%' OR lower(venue) LIKE '%acl%' THEN 0.1 ELSE 0.0 END, 6)"""
 
 

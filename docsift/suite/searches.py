@@ -82,7 +82,7 @@ WITH {BASE}, {lexical_sql(True)},
  l AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM lex QUALIFY r <= {2 * K}),
  m AS (SELECT query_id, id, rk AS r FROM sem WHERE rk <= {2 * K}),
  f AS (SELECT query_id, id, round(coalesce(1.0 / (60 + m.r), 0)::DOUBLE + coalesce(1.0 / (60 + l.r), 0)::DOUBLE, 9) AS score FROM m FULL JOIN l USING (query_id, id)),
- u AS (SELECT f.* FROM f JOIN d USING (id) QUALIFY row_number() OVER (PARTITION BY query_id, substring(d.text, 1, 200) ORDER BY score DESC, id) = 1)
+ u AS (SELECT f.* FROM f JOIN d USING (id) QUALIFY row_number() OVER (PARTITION BY query_id, d.k ORDER BY score DESC, id) = 1)
 SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM u QUALIFY rank <= {K}""")
 def _(t):
     rows = plan.hybrid(corpus(t), queries(t), K)
@@ -135,19 +135,19 @@ _OPEN = f"list_filter({s.words('lower(v)')}, lambda w: length(w) > 2 AND w NOT I
 def rerank_sql(cand: str) -> str:
     """CTEs from ``cand(query_id, id, score)`` to ``rr(query_id, id, file_name, score, keyword_matches)``."""
     return f"""
- xq AS MATERIALIZED (SELECT query_id, variant, v FROM ({EXPAND_SQL}) WHERE variant <= 8),
+ xq AS MATERIALIZED (SELECT query_id, variant, v FROM ({EXPAND_SQL})),
  vq AS (SELECT query_id, 0 AS variant, text AS v FROM q UNION ALL SELECT * FROM xq),
  tq AS MATERIALIZED (SELECT query_id, list_distinct(flatten(list(ts))) AS terms FROM (SELECT query_id, {_TERMS} AS ts FROM vq) GROUP BY query_id),
  pq AS MATERIALIZED (SELECT query_id, p, min(o) AS o FROM (SELECT query_id, unnest(ps) AS p, variant * 10 + unnest(range(1, 4)) AS o FROM (
      SELECT query_id, variant, [CASE WHEN len(ws) >= 2 THEN array_to_string(ws[1:2], ' ') END, CASE WHEN len(ws) >= 2 THEN array_to_string(ws[1:3], ' ') END, CASE WHEN len(ws) >= 4 THEN array_to_string(ws[1:4], ' ') END] AS ps
      FROM (SELECT query_id, variant, {_OPEN} AS ws FROM vq))) WHERE p IS NOT NULL GROUP BY query_id, p),
- r0 AS MATERIALIZED (SELECT c.query_id, c.id, c.score AS original_score, d.file_name, d.text, lower(d.text) AS low FROM ({cand}) c JOIN d USING (id)),
+ r0 AS MATERIALIZED (SELECT c.query_id, c.id, c.score AS original_score, d.file_name, d.text, d.k, lower(d.text) AS low FROM ({cand}) c JOIN d USING (id)),
  r1 AS MATERIALIZED (SELECT r0.*, len(list_filter(tq.terms, lambda x: contains(low, x))) AS keyword_matches,
     (SELECT arg_min(pq.p, pq.o) FROM pq WHERE pq.query_id = r0.query_id AND contains(r0.low, pq.p)) AS phrase FROM r0 JOIN tq USING (query_id)),
  r2 AS (SELECT *, substring(low, greatest(strpos(low, phrase) - 1 - 50, 0) + 1, strpos(low, phrase) - 1 - greatest(strpos(low, phrase) - 1 - 50, 0) + length(phrase) + 50) AS ctx FROM r1),
  r3 AS (SELECT *, round(least(original_score + least(keyword_matches * 0.1::DOUBLE, 0.3) + CASE WHEN {_CUE} THEN 0.2 ELSE 0.0 END
     + CASE WHEN phrase IS NULL THEN 0.0 WHEN {_NEAR} THEN 0.4 ELSE 0.3 END, 1.0)::DOUBLE, 6) AS score FROM r2),
- rr AS MATERIALIZED (SELECT query_id, id, file_name, score, original_score, keyword_matches FROM r3 QUALIFY row_number() OVER (PARTITION BY query_id, lower(substring(text, 1, 100)) ORDER BY score DESC, id) = 1)"""
+ rr AS MATERIALIZED (SELECT query_id, id, file_name, score, original_score, keyword_matches FROM r3 QUALIFY row_number() OVER (PARTITION BY query_id, k ORDER BY score DESC, id) = 1)"""
 
 
 @query("f17_keyword_boost", f"""WITH {BASE}, {rerank_sql('SELECT query_id, id, score - 0.5 AS score FROM sem WHERE rk <= 20')}
@@ -163,11 +163,11 @@ _MORE = f"""xe AS MATERIALIZED ({s.embedding_cells('xk', 'xk', 'v')}),
  xdot AS (SELECT xk, id, sum(de.v * xe.v) AS c FROM de JOIN xe USING (d) GROUP BY ALL),
  xs AS MATERIALIZED (SELECT xk // 100 AS query_id, id, round(coalesce(c, 0), 6) + 0.0 AS score FROM (SELECT xk.xk, d.id FROM xk, d) z LEFT JOIN xdot USING (xk, id)
     QUALIFY row_number() OVER (PARTITION BY xk ORDER BY round(coalesce(c, 0), 6) DESC, id) <= {K})"""
-_XK = f"xk AS MATERIALIZED (SELECT query_id * 100 + variant AS xk, v FROM ({EXPAND_SQL}) WHERE variant BETWEEN 2 AND 8)"
+_XK = f"xk AS MATERIALIZED (SELECT query_id * 100 + variant AS xk, v FROM ({EXPAND_SQL}) WHERE variant >= 2)"
 
 
 def phrasings(q):
-    rows = unfold(q, ["query_id"], F.slice(expand_query(F.col("text")), 2, 8), "v", "variant")
+    rows = unfold(q, ["query_id"], F.filter(expand_query(F.col("text")), lambda v, i: i > 0), "v", "variant")
     return rows.select("query_id", "variant", embed_udf(hashing_embed)(F.col("v")).alias("vec"))
 
 
