@@ -34,6 +34,23 @@ def ngrams(toks: Column, upto: int = 5) -> Column:
     return let(toks, lambda ws: longer(ws, ws, 2, [ws]))
 
 
+def hashed_ngrams(toks: Column, upto: int = 1, sizes: bool = False) -> Column:
+    """All 1..upto word n-grams as 64-bit hashes, shortest first; with ``sizes``, structs of ``gram`` and ``n``."""
+
+    def longer(ws: Column, shorter: Column, n: int, done: list[Column]) -> Column:
+        if n > upto:
+            return F.concat(*[sized(grams, i) for i, grams in enumerate(done, 1)])
+        places = F.sequence(F.lit(0), F.size(ws) - n)
+        grown = F.transform(places, lambda i: F.xxhash64(F.get(shorter, i), F.get(ws, i + (n - 1))))
+        grams = F.when(F.size(ws) >= n, grown).otherwise(F.array().cast("array<bigint>"))
+        return let(grams, lambda g: longer(ws, g, n + 1, [*done, g]))
+
+    def sized(grams: Column, n: int) -> Column:
+        return F.transform(grams, lambda g: F.struct(g.alias("gram"), F.lit(n).alias("n"))) if sizes else grams
+
+    return let(F.transform(toks, lambda w: F.xxhash64(w)), lambda ws: longer(ws, ws, 2, [ws]))
+
+
 def word_ngrams(c: Column, upto: int = 5) -> Column:
     """n-grams over letter/digit tokens, as the keyword search counts them."""
     return ngrams(word_tokens(c), upto)

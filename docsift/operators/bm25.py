@@ -4,12 +4,12 @@ Definition: idf = ln((N - df + .5) / (df + .5)), negative values replaced by a
 quarter of the mean idf over the vocabulary; k1 = 1.5, b = 0.75; query tokens count
 as often as they occur.
 
-Plan: one pass counts the vocabulary (token -> document frequency, combined
-map-side) and reduces it to a histogram of frequencies plus the frequencies of the
-query tokens. A second pass explodes the tokens and keeps those the queries hold.
-When the query side is small it is broadcast, so the corpus itself is never
-shuffled: only matching tokens are, once, by document. Larger query sets join by
-token and leave hot tokens to the adaptive skew join.
+Plan: tokens and n-grams are 64-bit hashes made inside the document's row. Those the
+queries hold are kept, counted per document where they are made, and staged; document
+frequencies, scores and sums all come from these counts. The mean idf, which takes the
+frequency of every n-gram of the corpus, is only counted when a query token occurs in
+more than half of the documents, and then on hashes. When the query side is small it is
+broadcast; larger query sets join by token and leave hot tokens to the adaptive skew join.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.tokens import word_ngrams
+from ..functions.tokens import hashed_ngrams
 from ..functions.text import word_tokens
 from ..session import fits_broadcast, localized, small_side
 from .layout import spread, unfold
@@ -54,7 +54,7 @@ def vocabulary(corpus: DataFrame, tokens: Column) -> DataFrame:
 
 @dataclass
 class Weights:
-    """What scoring needs of a vocabulary: corpus totals and ``token, idf`` of query tokens."""
+    """What scoring needs of a corpus: totals and ``token, idf`` of query tokens."""
 
     docs: int
     mean_length: float
@@ -62,69 +62,74 @@ class Weights:
     idf: DataFrame
 
 
-def weigh(vocab: DataFrame, words: DataFrame) -> Weights:
-    """Reduce a vocabulary to a frequency histogram and the query tokens, in one pass.
+def _hashes(corpus: DataFrame, tokens, upto: int) -> DataFrame:
+    """``id, dl, keys``: documents with any text and their hashed n-grams."""
+    return tokenized(corpus, hashed_ngrams(tokens(F.col("text")), upto)).withColumnRenamed("tokens", "keys")
 
-    The reduced table is small (distinct frequencies plus query tokens); it is staged
-    and every later step reads it instead of the corpus.
+
+def weigh(rows: DataFrame, tf: DataFrame, words: DataFrame, vocab: DataFrame | None) -> Weights:
+    """Totals, and the idf of the query tokens.
+
+    Their document frequencies come from the tokens' counts ``tf``. The mean idf takes the
+    frequency of every n-gram of the corpus, so it is only looked up (in ``vocab``) or
+    counted (on 64-bit hashes) when a query token occurs in more than half of the documents.
     """
-    flagged = vocab.join(words.withColumn("_asked", F.lit(True)), "token", "left")
-    mark = F.col("token").isin(DOCS, LENGTH)
-    kept = F.when(F.col("_asked") | mark, F.col("token"))
-    small = staged(flagged.groupBy(kept.alias("token"), "n").agg(F.count("*").alias("m")))
-    value = lambda m: F.max(F.when(F.col("token") == m, F.col("n")))
-    docs, length = small.agg(value(DOCS), value(LENGTH)).first()
-    docs = docs or 0
+    docs, length = rows.agg(F.count("*"), F.sum("dl")).first()
     raw = F.log(F.lit(docs) - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)
-    real = small.filter(~F.coalesce(F.col("token").isin(DOCS, LENGTH), F.lit(False)))
-    mean = real.agg(F.sum(raw * F.col("m")) / F.sum("m")).first()[0] or 0.0
-    idf = real.filter(F.col("token").isNotNull()).select(
-        "token", F.when(raw < 0, F.lit(FLOOR * mean)).otherwise(raw).alias("idf")
-    )
+    df = staged(tf.groupBy("token").agg(F.count("*").alias("n")))
+    mean = 0.0
+    if 2 * (df.agg(F.max("n")).first()[0] or 0) > docs:
+        if vocab is None:
+            every = unfold(rows, [], F.array_distinct("keys"), "token").groupBy("token").agg(F.count("*").alias("n"))
+        else:
+            every = vocab.filter(~F.col("token").isin(DOCS, LENGTH))
+        spread_of = every.groupBy("n").agg(F.count("*").alias("m"))
+        mean = spread_of.agg(F.sum(raw * F.col("m")) / F.sum("m")).first()[0] or 0.0
+    idf = words.join(df, "token").select("token", F.when(raw < 0, F.lit(FLOOR * mean)).otherwise(raw).alias("idf"))
     return Weights(docs, (length or 0) / max(docs, 1), mean, idf)
 
 
-def _asked(queries: DataFrame, tokens) -> DataFrame:
+def _asked(queries: DataFrame, tokens, upto: int) -> DataFrame:
     queries = queries.filter(F.col("query_id").isNotNull())
-    return unfold(queries, ["query_id"], tokens(F.col("text")), "token").groupBy("query_id", "token").agg(
+    return unfold(queries, ["query_id"], hashed_ngrams(tokens(F.col("text")), upto), "token").groupBy("query_id", "token").agg(
         F.count("*").alias("qtf")
     )
 
 
-def _scores(corpus: DataFrame, asked: DataFrame, small: bool, tokens, vocab: DataFrame | None) -> tuple[DataFrame, Weights]:
+def _scores(corpus: DataFrame, asked: DataFrame, small: bool, tokens, upto: int, vocab: DataFrame | None) -> tuple[DataFrame, Weights]:
     words = small_side(asked.select("token").distinct(), small)
-    weights = weigh(vocabulary(corpus, tokens(F.col("text"))) if vocab is None else vocab, words)
+    rows = _hashes(corpus, tokens, upto)
+    hits = unfold(rows, ["id", "dl"], "keys", "token").join(words, "token", "left_semi")
+    # A document's tokens are in one task, so they are counted there before they move.
+    tf = staged(hits.groupBy("id", "dl", "token").agg(F.count("*").alias("tf")))
+    weights = weigh(rows, tf, words, vocab)
     per_token = asked.join(small_side(weights.idf, small), "token").select(
         "query_id", "token", (F.col("qtf") * F.col("idf")).alias("w")
     )
-    toks = tokenized(corpus, tokens(F.col("text")))
-    hits = unfold(toks, ["id", "dl"], "tokens", "token").join(words, "token", "left_semi")
-    # Partitioned by document once: counting per token and summing per query both fit it.
-    tf = hits.repartition("id").groupBy("id", "dl", "token").agg(F.count("*").alias("tf"))
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(weights.mean_length)))
     pairs = tf.select("id", "token", part.alias("part")).join(small_side(per_token, small), "token")
     found = pairs.groupBy("id", "query_id").agg(fixed(F.sum(F.col("part") * F.col("w"))).alias("score"))
     return found.select("query_id", "id", "score"), weights
 
 
-def scores(corpus: DataFrame, queries: DataFrame, tokens=word_tokens, vocab: DataFrame | None = None) -> DataFrame:
+def scores(corpus: DataFrame, queries: DataFrame, tokens=word_tokens, vocab: DataFrame | None = None, upto: int = 1) -> DataFrame:
     """``query_id, id, score`` for every pair that shares a token.
 
     ``corpus(id, text)``, ``queries(query_id, text)``; ``tokens`` maps a text column
-    to its token array.
+    to its token array, ``upto`` is the longest n-gram that counts as a token.
     """
-    return _scores(corpus, *localized(_asked(queries, tokens)), tokens, vocab)[0]
+    return _scores(corpus, *localized(_asked(queries, tokens, upto)), tokens, upto, vocab)[0]
 
 
 def top(corpus: DataFrame, queries: DataFrame, k: int, tokens=word_tokens,
-        vocab: DataFrame | None = None, norm: str = "min_max") -> DataFrame:
+        vocab: DataFrame | None = None, norm: str = "min_max", upto: int = 1) -> DataFrame:
     """Best ``k`` documents per query with a score scaled over the whole corpus.
 
     Documents without a shared token score 0 and fill up a list that has too few
     hits, smallest id first. ``norm``: ``min_max``, ``max`` or ``raw``.
     """
-    asked, small = localized(_asked(queries, tokens))
-    found, weights = _scores(corpus, asked, small, tokens, vocab)
+    asked, small = localized(_asked(queries, tokens, upto))
+    found, weights = _scores(corpus, asked, small, tokens, upto, vocab)
     if weights.mean_idf < 0:
         found = _all_pairs(found, asked, corpus)
     # At most k rows per query from here on.
@@ -179,10 +184,10 @@ def attach_text(results: DataFrame, corpus: DataFrame, fits: bool) -> DataFrame:
     return small_side(results, fits).join(corpus, "id")
 
 
-def search(corpus: DataFrame, queries: DataFrame, k: int, key: Column, tokens=word_ngrams,
-           vocab: DataFrame | None = None) -> DataFrame:
+def search(corpus: DataFrame, queries: DataFrame, k: int, key: Column, tokens=word_tokens,
+           vocab: DataFrame | None = None, upto: int = 5) -> DataFrame:
     """Keyword search: the best 2k by n-gram BM25, one per text, cut to ``k``."""
-    found = top(corpus, queries, 2 * k, tokens, vocab)
+    found = top(corpus, queries, 2 * k, tokens, vocab, upto=upto)
     fits = fits_broadcast(queries.select("query_id"), max(1, 200_000 // (2 * k)))
     rows = attach_text(found, corpus.select("id", F.md5(key).alias("_key")), fits)
     rows = keep_first(rows, ["query_id", "_key"], [F.col("rank")])

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.tokens import blank_ngrams
+from ..functions.text import words
+from ..functions.tokens import hashed_ngrams
 from ..session import fits_broadcast, localized, small_side
 from .layout import spread, unfold
 from .ranking import fixed, top_with_range
@@ -13,12 +14,12 @@ from .ranking import fixed, top_with_range
 def _raw(corpus: DataFrame, queries: DataFrame, upto: int) -> DataFrame:
     """``query_id, id, score``: summed length of the n-grams both sides share, pair by pair."""
     asked = (
-        unfold(queries, ["query_id"], blank_ngrams(F.col("text"), upto), "gram")
-        .groupBy("query_id", "gram").agg(F.count("*").alias("n"))
-        .select("query_id", "gram", (F.col("n") * F.size(F.split("gram", " "))).alias("w"))
+        unfold(queries, ["query_id"], hashed_ngrams(words(F.lower("text")), upto, sizes=True), "g")
+        .groupBy("query_id", F.col("g.gram").alias("gram")).agg(F.sum("g.n").alias("w"))
     )
     asked, _ = localized(asked)
-    grams = unfold(spread(corpus.select("id", "text"), "id"), ["id"], blank_ngrams(F.col("text"), upto), "gram")
+    rows = spread(corpus.select("id", "text"), "id").select("id", hashed_ngrams(words(F.lower("text")), upto).alias("grams"))
+    grams = unfold(rows, ["id"], "grams", "gram")
     # A document sits in one task, so its partial sum is complete before the shuffle.
     return grams.join(asked, "gram").groupBy("query_id", "id").agg(F.sum("w").alias("score"))
 
