@@ -204,11 +204,12 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, phrases)
         for batch in batches:
-            counts, places, matches = scanner.scan(batch.column(1))
-            matches = [(r, label, a, b - 1) for r, label, a, b in matches]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), _lists(len(counts), places, place), _lists(len(counts), matches, match)],
-                ["doc_id", "n_words", "places", "matches"])
+            for lo, hi in segments.stretches(batch.column(1)):
+                counts, places, matches = scanner.scan(batch.column(1)[lo:hi])
+                matches = [(r, label, a, b - 1) for r, label, a, b in matches]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[lo:hi], pa.array(counts, pa.int64()), _lists(len(counts), places, place), _lists(len(counts), matches, match)],
+                    ["doc_id", "n_words", "places", "matches"])
 
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_words long, places array<struct<label: string, word: long>>, "

@@ -84,15 +84,16 @@ def leaves(sketch: np.ndarray, trees: int) -> np.ndarray:
 def describe(k: int, trees: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = segments.Words(batch.column(1), segments.WHITE)
             counts, digests, sketches, keys = [], [], [], []
-            for _, s in words.rows():
-                found = shingle_set(words.hash[s], k)
-                counts.append(len(found))
-                digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                low = minwise(found) if len(found) else None
-                sketches.append(None if low is None else low.astype(np.uint8).tobytes())
-                keys.append(None if low is None else leaves(low, trees).view(np.int64))
+            for lo, hi in segments.stretches(batch.column(1)):
+                words = segments.Words(batch.column(1)[lo:hi], segments.WHITE)
+                for _, s in words.rows():
+                    found = shingle_set(words.hash[s], k)
+                    counts.append(len(found))
+                    digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                    low = minwise(found) if len(found) else None
+                    sketches.append(None if low is None else low.astype(np.uint8).tobytes())
+                    keys.append(None if low is None else leaves(low, trees).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()),
                  pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "sketch", "leaves"])
@@ -156,11 +157,14 @@ def confirmed(k: int, percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, "part"):
             part, rep, label = t.column("part").combine_chunks(), t.column("rep").to_numpy(), t.column("label").to_numpy()
-            words = segments.Words(pa.concat_arrays([c.cast(pa.large_string()) for c in t.column("text").chunks]), segments.WHITE)
             cuts = np.flatnonzero(pa.compute.not_equal(part[1:], part[:-1]).to_numpy(zero_copy_only=False)) + 1
             edges, out = [0, *cuts.tolist(), len(part)], []
             for lo, hi in zip(edges, edges[1:]):
-                sets = [shingle_set(words.hash[words.first[i] : words.first[i + 1]], k) for i in range(lo, hi)]
+                sets = []
+                text = pa.concat_arrays([c.cast(pa.large_string()) for c in t.column("text")[lo:hi].chunks])
+                for a, b in segments.stretches(text):
+                    words = segments.Words(text[a:b], segments.WHITE)
+                    sets += [shingle_set(words.hash[s], k) for _, s in words.rows()]
                 out += stars(rep[lo:hi], label[lo:hi], list(links(sets, label[lo:hi], percent)))
             a, b = zip(*out) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])

@@ -13,8 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 PIECE = 1 << 17  # characters hashed at a time
+STRETCH = 1 << 22  # bytes of texts whose words are held at a time
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # odd
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -50,6 +52,14 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole, at - at[0]
 
 
+def stretches(texts: pa.Array, size: int = STRETCH) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``size`` bytes of text each; a longer text stands alone."""
+    sizes = pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(sizes, dtype=np.int64) // size
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
+    return ((a, b) for a, b in zip(edges, edges[1:]) if b > a)
+
+
 def runs(inside: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of true values; no run crosses a border."""
     n = len(inside)

@@ -17,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructType
 
@@ -27,7 +26,6 @@ WINDOW, STRIDE = 64, 48  # words
 PIECES = 1 << 13  # buckets of the character embedding
 COMMON = 3  # texts of the sample in which a word with an embedding of its own occurs
 WIDTH, HIDDEN = 8, 8  # of each embedding; of each direction's state
-STRETCH = 1 << 22  # bytes of text whose windows are scored together
 TOGETHER = 4096  # windows that run side by side
 
 # The sample to fit on: labelled texts of each class, in order of a hash of the id.
@@ -260,10 +258,7 @@ def scores(model: Model | None, texts: pa.Array) -> np.ndarray:
     out = np.zeros(len(texts))
     if model is None or not len(texts):
         return out
-    sizes = pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
-    group = np.cumsum(sizes) // STRETCH
-    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
-    for lo, hi in zip(edges, edges[1:]):
+    for lo, hi in segments.stretches(texts):
         data = Texts(texts[lo:hi])
         row, start, length = data.windows()
         if len(row):
