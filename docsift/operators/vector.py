@@ -21,7 +21,7 @@ from .ranking import DIGITS, min_max, top_k
 BLOCK = 2_000
 
 
-def _scorer(ids: list, matrix: np.ndarray, k: int | None, keep: list[str]):
+def _scorer(ids: list, matrix: np.ndarray, k: int | None, keep: list[str], group: str | None):
     unit = matrix / np.where(np.linalg.norm(matrix, axis=1, keepdims=True) == 0, 1, np.linalg.norm(matrix, axis=1, keepdims=True))
 
     def rows(pdf: pd.DataFrame, scores: np.ndarray, pick: np.ndarray) -> pd.DataFrame:
@@ -34,7 +34,7 @@ def _scorer(ids: list, matrix: np.ndarray, k: int | None, keep: list[str]):
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         order = pdf.sort_values(["query_id", "score", "id"], ascending=[True, False, True], kind="stable")
-        return order.groupby("query_id", sort=False).head(k)
+        return order.groupby(["query_id", *([group] if group else [])], sort=False, dropna=False).head(k)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -48,8 +48,11 @@ def _scorer(ids: list, matrix: np.ndarray, k: int | None, keep: list[str]):
             if k is None:
                 yield rows(pdf, scores, np.ones_like(scores, dtype=bool))
                 continue
-            # Cells at or above the k-th best of their query in this batch.
-            cut = np.partition(scores, -k, axis=0)[-k] if len(pdf) > k else np.full(len(ids), -np.inf)
+            # Cells at or above the k-th best of their query (and group) in this batch.
+            cut = np.full(scores.shape, -np.inf)
+            for at in pdf.groupby(group, sort=False, dropna=False).indices.values() if group else [np.arange(len(pdf))]:
+                if len(at) > k:
+                    cut[at] = np.partition(scores[at], -k, axis=0)[-k]
             part = rows(pdf, scores, scores >= cut)
             held = best(part if held is None else pd.concat([held, part]))
         if held is not None:
@@ -58,7 +61,7 @@ def _scorer(ids: list, matrix: np.ndarray, k: int | None, keep: list[str]):
     return score
 
 
-def _search(corpus: DataFrame, queries: DataFrame, k: int | None) -> DataFrame:
+def _search(corpus: DataFrame, queries: DataFrame, k: int | None, group: str | None = None) -> DataFrame:
     keep = [c for c in corpus.columns if c not in ("id", "vec")]
     fields = ", ".join(f"`{c}` {t}" for c, t in corpus.select("id", *keep).dtypes)
     schema = f"query_id {dict(queries.dtypes)['query_id']}, {fields}, score double"
@@ -66,7 +69,7 @@ def _search(corpus: DataFrame, queries: DataFrame, k: int | None) -> DataFrame:
     out = None
     for block in _blocks(queries.select("query_id", "vec").filter(F.col("vec").isNotNull())):
         matrix = np.stack(block["vec"].to_numpy()).astype(float) if len(block) else np.zeros((0, 1))
-        part = corpus.mapInPandas(_scorer(block["query_id"].tolist(), matrix, k, keep), schema)
+        part = corpus.mapInPandas(_scorer(block["query_id"].tolist(), matrix, k, keep, group), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -88,9 +91,9 @@ def scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     return _search(corpus, queries, None)
 
 
-def top(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Best ``k`` rows per query by cosine: ``query_id, id, score, rank``."""
-    return top_k(_search(corpus, queries, k), k, ["query_id"])
+def top(corpus: DataFrame, queries: DataFrame, k: int, group: str | None = None) -> DataFrame:
+    """Best ``k`` rows per query by cosine, or per query and value of ``group``: ``query_id, id, score, rank``."""
+    return top_k(_search(corpus, queries, k, group), k, ["query_id", *([group] if group else [])])
 
 
 def distance_score(cosine):

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import strip
+from ..functions.text import strip, word_tokens
+from ..operators.layout import unfold
 
 METRICS = ["faithfulness", "answer_relevancy", "context_precision", "context_recall", "answer_similarity"]
 
@@ -48,6 +49,20 @@ def retrieval_metrics(results: DataFrame, relevant: DataFrame, k: int) -> DataFr
     )
 
 
+def token_f1(pairs: DataFrame, expected: str, generated: str, keys: list[str]) -> DataFrame:
+    """``keys, f1``: F1 of the tokens two texts share, repeats included; 0 where they share none.
+
+    Tokens of both sides are stacked and counted per key, so long answers cost no more
+    than their tokens.
+    """
+    side = lambda c, n: unfold(pairs, keys, word_tokens(F.coalesce(c, F.lit(""))), "token").withColumn("_side", F.lit(n))
+    stacked = side(expected, 0).unionByName(side(generated, 1))
+    count = lambda n: F.count(F.when(F.col("_side") == n, 1))
+    each = stacked.groupBy(*keys, "token").agg(count(0).alias("_a"), count(1).alias("_b"))
+    sums = each.groupBy(*keys).agg(F.round(2.0 * F.sum(F.least("_a", "_b")) / F.sum(F.col("_a") + F.col("_b")), 6).alias("f1"))
+    return pairs.select(*keys).join(sums, keys, "left").select(*keys, F.coalesce("f1", F.lit(0.0)).alias("f1"))
+
+
 def long_form(rows: DataFrame, ids: list[str], metrics: list[str] = METRICS) -> DataFrame:
     present = [m for m in metrics if m in rows.columns]
     return rows.unpivot(ids, present, "metric", "value")

@@ -25,6 +25,7 @@ class SearchConfig:
     methods: list[str] = field(default_factory=lambda: ["semantic", "bm25", "ngram"])
     weights: dict[str, float] = field(default_factory=lambda: {"semantic": 0.4, "bm25": 0.35, "ngram": 0.25})
     threshold: float = 0.3
+    search_type: str = "semantic"
     documents: int = 5
 
 
@@ -133,10 +134,20 @@ def candidates(corpus: DataFrame, queries: DataFrame, k: int, more: DataFrame |
 
 def retrieve(corpus: DataFrame, queries: DataFrame, cfg: SearchConfig, kind: str = "general",
              more: DataFrame | None = None) -> DataFrame:
-    """Candidates -> keyword boost -> confidence filter -> ``k``."""
+    """Candidates -> keyword boost -> confidence filter -> ``k``; a lexical search is not boosted."""
     floor = {"summarization": 10, "comparison": 8}
     k = max(cfg.k, floor.get(kind, 0))
-    found = candidates(corpus, queries, 2 * k, more, k)
+    if cfg.search_type not in ("semantic", "lexical", "hybrid"):
+        raise ValueError(f"unknown search type: {cfg.search_type}")
+    if cfg.search_type == "lexical":
+        found = lexical.top(corpus.select("id", "text"), queries.select("query_id", "text"), 2 * k).select("query_id", "id", "score")
+        rows = _join_text(found, corpus, queries, 2 * k, *[c for c in corpus.columns if c not in ("id", "vec")])
+        return confident(rows, cfg.threshold, ["query_id"]).filter(F.col("rank") <= k)
+    if cfg.search_type == "hybrid":
+        found = hybrid(corpus, queries, 2 * k).select("query_id", "id", "score")
+        found = _join_text(found, corpus, queries, 2 * k, *[c for c in corpus.columns if c not in ("id", "vec")])
+    else:
+        found = candidates(corpus, queries, 2 * k, more, k)
     rows = rerank.keyword_boost(found, rerank.query_features(queries))
     rows = confident(rows, cfg.threshold, ["query_id"])
     return rows.filter(F.col("rank") <= k)
@@ -153,8 +164,7 @@ def retrieve_hierarchical(corpus: DataFrame, queries: DataFrame, cfg: SearchConf
 
 def compare_cohorts(corpus: DataFrame, queries: DataFrame, k: int, cohort: str = "cohort_id") -> DataFrame:
     """Best ``k`` per query in each cohort; every task cuts to k per cohort before the shuffle."""
-    scored = vector.scores(corpus.select("id", "vec", cohort), _vec(queries, "query_id"))
-    return top_k(scored, k, ["query_id", cohort])
+    return vector.top(corpus.select("id", "vec", cohort), _vec(queries, "query_id"), k, group=cohort)
 
 
 def synthesis(rounds: list[DataFrame]) -> DataFrame:

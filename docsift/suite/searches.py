@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from ..functions.tokens import expand_query
 from ..functions.vectors import embed_udf, hashing_embed
@@ -232,8 +232,40 @@ def _(t):
     return evaluate.retrieval_metrics(top, good, 10)
 
 
-@query("f26_facade")
+@query("f26_facade", f"""
+WITH {BASE}, {s.bm25('d', 'q', 1, _blank)}, {_PHRASES},
+ u AS (SELECT query_id, id, {0.35 / (0.35 + 0.25)}::DOUBLE / (60 + rk) AS p, 'bm25' AS m FROM b_rank WHERE rk <= {2 * K}
+   UNION ALL SELECT query_id, id, {0.25 / (0.35 + 0.25)}::DOUBLE / (60 + r), 'ngram' FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM ph QUALIFY r <= {2 * K})),
+ f AS (SELECT query_id, id, round(sum(p), 9) AS score, CASE WHEN count(*) = 1 THEN min(m) ELSE 'hybrid' END AS retrieval_method FROM u GROUP BY query_id, id),
+ f1 AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {3 * K}),
+ f2 AS (SELECT f1.*, d.text FROM f1 JOIN d USING (id) QUALIFY row_number() OVER (PARTITION BY query_id, md5(lower({s.strip('d.text')})) ORDER BY score DESC, id) = 1),
+ f3 AS (SELECT f2.*, q.text AS qtext FROM f2 JOIN q USING (query_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {2 * K}),
+ fin AS (SELECT *, round(score * boost::DOUBLE, 9) AS final_score FROM ({boost_sql('SELECT * FROM f3')}))
+SELECT query_id, id::VARCHAR AS id, md5(text) AS content, score AS base, final_score AS final, kind AS clause_type, section_id, round(party, 6) AS party_relevance, oblig AS is_obligation, retrieval_method,
+  row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, id) AS rank FROM fin QUALIFY rank <= {K}""")
+def _(t):
+    rows = plan.nested(plan.advanced(corpus(t), queries(t), plan.SearchConfig(k=K, methods=["bm25", "ngram"])))
+    return rows.select("query_id", "id", F.md5("content").alias("content"), "scores.base", "scores.final", "legal_context.clause_type", "legal_context.section_id",
+                       "legal_context.party_relevance", "legal_context.is_obligation", "retrieval_method", F.col("rank").cast("long").alias("rank"))
+
+
+@query("f27_lexical", f"""
+WITH {BASE}, {lexical_sql(True)},
+ m AS (SELECT query_id, id, score, max(score) OVER (PARTITION BY query_id) AS mx, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM lex)
+SELECT query_id, id, score, rank, mx < 0.5 AS low_confidence FROM m WHERE ((mx >= 0.5 AND score >= 0.5) OR (mx < 0.5 AND rank <= 3)) AND rank <= {K}""")
+def _(t):
+    rows = plan.retrieve(corpus(t), queries(t), plan.SearchConfig(k=K, threshold=0.5, search_type="lexical"))
+    return rows.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"), "low_confidence")
+
+
+@query("k5_token_f1", f"""
+WITH p AS (SELECT conv_id, turn, text AS a, coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS b FROM conversations),
+ t AS (SELECT conv_id, turn, unnest({s.tokens('a')}) AS token, 1 AS x, 0 AS y FROM p UNION ALL SELECT conv_id, turn, unnest({s.tokens('b')}), 0, 1 FROM p),
+ c AS (SELECT conv_id, turn, token, sum(x) AS x, sum(y) AS y FROM t GROUP BY ALL),
+ f AS (SELECT conv_id, turn, round(2.0 * sum(least(x, y))::DOUBLE / sum(x + y)::DOUBLE, 6) AS f1 FROM c GROUP BY ALL)
+SELECT p.conv_id, p.turn, coalesce(f1, 0.0) AS f1 FROM p LEFT JOIN f USING (conv_id, turn)""")
 def _(t):
-    return plan.nested(plan.advanced(corpus(t), queries(t), plan.SearchConfig(k=K, methods=["bm25", "ngram"])))
+    answer = F.lead("text").over(W.partitionBy("conv_id").orderBy("turn"))
+    return evaluate.token_f1(t.conversations.withColumn("answer", answer), "text", "answer", ["conv_id", "turn"])
 
 

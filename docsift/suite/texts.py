@@ -329,7 +329,7 @@ def _(t):
     return docs(t).select("doc_id", ids.document_id(F.col("source"), F.col("lang")).alias("document_id"))
 
 
-@query("b4_row_id")
+@query("b4_row_id", "SELECT doc_id, substring(md5(concat_ws('::', text, source)), 1, 16) AS row_id FROM documents")
 def _(t):
     return docs(t).select("doc_id", ids.row_id(F.col("text"), F.col("source")).alias("row_id"))
 
