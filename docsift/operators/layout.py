@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+# Bytes above which an input is never dealt anew.
+SMALL = 256 << 20
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a small input enough tasks; leave an input with enough splits alone.
+    """Give a small input enough tasks; leave any other alone.
 
     A table in one small file arrives as one or two tasks and would leave the other
-    cores idle under heavy per-row work. An input that is estimated to give every
-    core a full-sized split is returned unchanged, so no shuffle happens at scale.
-    The estimate is the optimizer's; nothing is run for it.
+    cores idle under heavy per-row work. An input above SMALL bytes, or one that gives
+    every core a full-sized split, is returned unchanged, so nothing is shuffled at
+    scale. The estimate is the optimizer's; nothing is run for it.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    if size >= cores * split:
+    if size >= min(cores * split, SMALL):
         return df
     return df.repartition(cores, *keys)
 

@@ -55,6 +55,12 @@ def test_structural_min_repairs_gaps(spark):
     assert len(gap) == 1 and "8. tiny 8" in gap[0]["text"] and gap[0]["section_number"] is None
 
 
+def test_structural_min_loses_no_text(spark):
+    for body in ("tiny", "1. A\n2. B\n3. C", "1. " + "long enough " * 8 + "\n2. x\n3. " + "long again " * 8 + "\n4. y", "1. x\n2. " + "long enough " * 8):
+        top = [r for r in structural_min(one(spark, body)).orderBy("pos").collect() if r["level"] == 1]
+        assert re.sub(r"\s+", "", "".join(r["text"] for r in top)) == re.sub(r"\s+", "", body)
+
+
 def brute_recursive(body, limit=500):
     """The splitting rule written as a recursion."""
     if len(body) <= limit:
