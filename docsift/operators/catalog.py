@@ -138,7 +138,10 @@ def delete_files(chunks: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFr
 
 def merge_by_key(existing: DataFrame, incoming: DataFrame, key: str, order: str) -> DataFrame:
     """Existing rows without those the incoming ones replace, plus the last of each incoming key."""
-    latest = incoming.groupBy(key).agg(F.max_by(F.struct(*incoming.columns), order).alias("r")).select("r.*")
+    # Winners are chosen on key and order alone; texts and vectors move once, in the join.
+    last = incoming.groupBy(F.col(key).alias("_key")).agg(F.max(order).alias("_last"))
+    found = incoming.join(last, incoming[key].eqNullSafe(F.col("_key")) & incoming[order].eqNullSafe(F.col("_last")))
+    latest = found.dropDuplicates(["_key"]).select(*incoming.columns)
     kept = existing.join(incoming.select(key).distinct(), key, "left_anti")
     return kept.unionByName(latest, allowMissingColumns=True)
 

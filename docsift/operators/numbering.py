@@ -18,19 +18,19 @@ def staged(df: DataFrame) -> DataFrame:
 
 
 def number_rows(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), start: int = 1,
-                out: str = "chunk_number", costly: bool = False) -> DataFrame:
+                out: str = "chunk_number") -> DataFrame:
     """Gap-free numbers in ``order`` (unique within a group), over all rows or within groups.
 
     The rows are range-sorted once on group and order, so even a group that holds
     most rows spreads over many tasks. Each row gets its place in its task and the
     result is staged; the places are then shifted by the rows of the tasks before,
     which needs one count per task only. Within groups the number of the group's
-    first row is taken off. ``costly`` stages the input as well, because placing the
-    range borders reads it a second time.
+    first row is taken off.
+    Pass the keys of wide rows only, and join the rest to the numbers.
     """
     by = list(by)
     keys = [*by, *order]
-    ranged = (staged(df) if costly else df).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     rows = staged(ranged.withColumn("_m", F.monotonically_increasing_id()))
     rows = rows.withColumns({"_task": F.shiftright("_m", _PART), "_at": F.col("_m").bitwiseAND(2**_PART - 1)})
     counts = rows.groupBy("_task").agg(F.count("*").alias("_n"))

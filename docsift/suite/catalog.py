@@ -15,8 +15,10 @@ _C = f"({CHUNKS_SQL})"
 _NUM = f"(SELECT *, row_number() OVER (ORDER BY doc_id, method_ord, pos) AS chunk_number FROM {_C})"
 
 
-def numbered(t):
-    return numbering.number_rows(chunk_table(t), ["doc_id", "method_ord", "pos"])
+def numbered(t, *cols):
+    """The keys of the chunks, the columns ``cols`` and the chunk numbers; texts only where asked for."""
+    keys = ["doc_id", "method_ord", "pos"]
+    return numbering.number_rows(chunk_table(t).select(*keys, *cols), keys)
 
 
 @query("a10_collection_scan", f"SELECT id, text, chunking_method, source_file FROM {_C}")
@@ -50,7 +52,8 @@ SELECT id, chunk_number, md5(text) AS h FROM c WHERE id NOT IN (SELECT id FROM i
 UNION ALL SELECT id, chunk_number, md5('v2 ' || text) FROM i
 UNION ALL SELECT 'new-' || id, chunk_number, md5(text) FROM i""")
 def _(t):
-    old = numbered(t).select("id", "doc_id", "chunk_number", "text")
+    keys = numbered(t)
+    old = chunk_table(t).join(keys, ["doc_id", "method_ord", "pos"]).select("id", "doc_id", "chunk_number", "text")
     touched = old.join(t.labels.select("doc_id"), "doc_id", "left_semi")
     changed = touched.withColumn("text", F.concat(F.lit("v2 "), "text"))
     stale = touched.withColumn("text", F.concat(F.lit("v1 "), "text"))
@@ -207,7 +210,7 @@ def _(t):
 @query("h6_first_seen", f"""
 SELECT source_file, count(*) AS chunk_count, arg_min(chunking_method, chunk_number) AS chunking_method, arg_min(upload_timestamp, chunk_number) AS upload_timestamp FROM {_NUM} GROUP BY source_file""")
 def _(t):
-    return catalog.first_seen(numbered(t))
+    return catalog.first_seen(numbered(t, "source_file", "chunking_method", "upload_timestamp"))
 
 
 @query("h7_processed_files", f"""
@@ -275,7 +278,7 @@ _LEGACY = f"(SELECT *, CASE WHEN pos % 4 = 0 THEN NULL WHEN pos % 4 = 1 THEN -ch
 WITH c AS (SELECT id, source_file, page, CASE WHEN cn >= 0 THEN cn END AS n FROM {_LEGACY})
 SELECT id, source_file, coalesce(n, coalesce(max(n) OVER (PARTITION BY source_file), -1) + row_number() OVER (PARTITION BY source_file, n IS NULL ORDER BY page NULLS LAST, id)) AS chunk_number FROM c""")
 def _(t):
-    rows = numbered(t).withColumn("chunk_index", F.lit(None).cast("long"))
+    rows = numbered(t, "id", "source_file", "page", "chunking_method").withColumn("chunk_index", F.lit(None).cast("long"))
     n = F.col("chunk_number")
     rows = rows.withColumn("chunk_number", F.when(F.col("pos") % 4 == 0, F.lit(None)).when(F.col("pos") % 4 == 1, -n - 1).otherwise(n))
     return catalog.explore(rows, None, "recursive").select("id", "source_file", "chunk_number")
@@ -300,7 +303,7 @@ SELECT id, row_number() OVER (PARTITION BY source_file ORDER BY n NULLS LAST, pa
 FROM (SELECT *, CASE WHEN pos % 4 > 0 THEN chunk_number END AS n FROM {_NUM})""")
 def _(t):
     lacking = F.col("pos") % 4 == 0
-    rows = numbered(t).select(
+    rows = numbered(t, "id", "source_file", "page").select(
         "id", "source_file", F.when(lacking, 2**40).otherwise(F.col("chunk_number")).alias("n"), F.col("page").alias("page"))
     return numbering.number_rows(rows, ["n", "page", "id"], ["source_file"], out="place").select("id", "place")
 
@@ -336,7 +339,7 @@ def _(t):
 @query("i20_page_of_rows", f"SELECT id, chunk_number // 500 AS batch, chunk_number % 500 AS place FROM {_NUM}")
 def _(t):
     n = F.col("chunk_number")
-    return numbered(t).select("id", F.floor(n / 500).cast("long").alias("batch"), (n % 500).alias("place"))
+    return numbered(t, "id").select("id", F.floor(n / 500).cast("long").alias("batch"), (n % 500).alias("place"))
 
 
 # ---- joins ---------------------------------------------------------------------
