@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from docsift.functions import ids, legal, responses, text
-from docsift.operators import bm25, fusion, lexical, phrases, ranking
+from docsift.functions import ids, legal, responses, text, tokens
+from docsift.operators import bm25, fusion, lexical, numbering, phrases, ranking, references, rerank, vector
 from docsift.operators.chunking.windows import char_windows, word_windows
 
 DOCS = [("d1", "the agency shall pay the fee"), ("d2", "the client must pay"), ("d3", "termination of the agreement")]
@@ -154,3 +154,35 @@ def test_entities(spark):
 def test_clean_section_drops_blocks(spark):
     body = "# T\n## Abstract again\na\n### Summary\ngone\n\nkept\n### Introduction\ngone\n### Next\nb"
     assert value(spark, text.clean_section(F.lit(body))) == "# T\na\n\nkept\n### Next\nb"
+
+
+def test_numbers_have_no_upper_limit(spark):
+    rows = spark.createDataFrame([("7000000000",), ("-3",), ("x",), (None,)], "chunk_number string")
+    assert rows.agg(numbering.max_number().alias("n")).first()["n"] == 7_000_000_000
+
+
+def test_all_phrasings_are_kept(spark):
+    row = spark.createDataFrame([("Chromatic number",)], "text string").select(tokens.expand_query(F.col("text")).alias("v"), tokens.expand_query(F.col("text"), 3).alias("some")).first()
+    assert len(row["v"]) == 9 and row["v"][-1].endswith(" arises") and row["some"] == row["v"][:3]
+
+
+def test_references_match_by_any_year_of_a_date(spark):
+    texts = spark.createDataFrame([(1, "see [Kim, 2021] and [Lee, 1999]")], "doc_id long, text string")
+    refs = spark.createDataFrame([(4, "T4", "", "May 2021"), (5, "T5", "", "2021"), (6, "T6", "Lee", "around 1999/2000")], "ordinal long, title string, author string, date string")
+    got = {r["author"]: (r["ordinal"], r["title"]) for r in references.resolve_author_year(texts, refs).collect()}
+    assert got == {"Kim": (4, "T4"), "Lee": (6, "T6")}
+
+
+def test_best_rows_per_group(spark):
+    rows = [(i, [float(i % 7), 1.0], "ab"[i % 2]) for i in range(40)]
+    corpus = spark.createDataFrame(rows, "id long, vec array<double>, g string")
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vec array<double>")
+    got = vector.top(corpus, asked, 3, group="g").collect()
+    assert sorted((r["g"], r["rank"], r["id"]) for r in got) == [("a", 1, 6), ("a", 2, 20), ("a", 3, 34), ("b", 1, 13), ("b", 2, 27), ("b", 3, 5)]
+
+
+def test_equal_openings_are_different_texts(spark):
+    same = "word " * 60
+    rows = spark.createDataFrame([(1, 1, same + "one", 0.5), (1, 2, same + "two", 0.4), (1, 3, same.upper() + " ONE", 0.3)], "query_id long, id long, text string, score double")
+    features = rerank.query_features(spark.createDataFrame([(1, "zebra crossing")], "query_id long, text string"))
+    assert sorted(r["id"] for r in rerank.keyword_boost(rows, features).collect()) == [1, 2]
