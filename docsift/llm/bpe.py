@@ -32,8 +32,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .segments import buffer_of, hashes, mixed
 
 PIECE = 1 << 18  # bytes cut into words at a time
-BLOCK_WORDS = 4_000_000  # words after which a block ends
-ROW_WORDS = 1_000_000  # words of documents that one row holds
+BLOCK_WORDS = 1_000_000  # words after which a block ends
+ROW_WORDS = 200_000  # words of documents that one row holds
 
 # Code points with the Unicode property White_Space (fixed values).
 SPACES = [(0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
@@ -148,6 +148,13 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
 
 
+def gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of ``data`` one behind the other."""
+    at = np.repeat(start - (np.cumsum(size) - size), size)
+    at += np.arange(len(at))
+    return data[at]
+
+
 class Block:
     """Documents of one stretch of a task's input."""
 
@@ -155,7 +162,8 @@ class Block:
         self.keep, self.digest = keep_words, hashlib.blake2b(digest_size=16)
         self.docs: list[tuple[pa.Array, np.ndarray]] = []  # ids and words per document
         self.hashes: list[np.ndarray] = []
-        self.words: dict[int, bytes] = {}
+        self.seen = np.zeros(0, np.uint64)
+        self.words: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # hash, bytes, size
         self.size = 0
 
     def add(self, ids: pa.Array, texts: pa.Array) -> None:
@@ -166,10 +174,11 @@ class Block:
         self.hashes.append(found)
         if self.keep:
             new, where = np.unique(found, return_index=True)
-            raw = data.tobytes()
-            for h, s, e in zip(new.tolist(), starts[where].tolist(), ends[where].tolist()):
-                if h not in self.words:
-                    self.words[h] = raw[s:e]
+            fresh = ~np.isin(new, self.seen, assume_unique=True)
+            new, where = new[fresh], where[fresh]
+            size = ends[where] - starts[where]
+            self.words.append((new, gathered(data, starts[where], size), size))
+            self.seen = np.concatenate([self.seen, new])
         else:
             self.docs.append((ids, np.diff(first)))
 
@@ -188,7 +197,7 @@ def blocks(batches: Iterator[pa.RecordBatch], keep_words: bool) -> Iterator[Bloc
         while lo < batch.num_rows:
             # As many rows as stay near ROW_WORDS, counted in bytes.
             sizes = pa.compute.binary_length(batch.column(1)[lo:].cast(pa.large_binary())).fill_null(0).to_numpy(zero_copy_only=False)
-            n = max(1, int(np.searchsorted(np.cumsum(sizes), 4 * ROW_WORDS)))
+            n = max(1, int(np.searchsorted(np.cumsum(sizes), 5 * ROW_WORDS)))
             block.add(batch.column(0)[lo : lo + n], batch.column(1)[lo : lo + n])
             lo += n
             if block.size >= BLOCK_WORDS:
@@ -206,6 +215,9 @@ def distinct_words(n_buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, True):
             known, number = block.numbered()
+            found, data, size = (np.concatenate(x) for x in zip(*block.words))
+            at = np.argsort(found)
+            start, size = (np.cumsum(size) - size)[at], size[at]
             owner = (known % np.uint64(n_buckets)).astype(np.int64)
             order = np.lexsort((number, owner))
             edges = np.searchsorted(owner[order], np.arange(n_buckets + 1))
@@ -213,10 +225,9 @@ def distinct_words(n_buckets: int) -> Callable:
             for b in range(n_buckets):
                 part = order[edges[b] : edges[b + 1]]
                 if len(part):
-                    words = [block.words[h] for h in known[part].tolist()]
+                    words = gathered(data, start[part], size[part]).tobytes()
                     steps = np.diff(number[part], prepend=0)
-                    sizes = np.array([len(w) for w in words])
-                    out.append((b, block.digest.digest(), pack(steps), pack(sizes), zstandard.ZstdCompressor(level=3).compress(b"".join(words))))
+                    out.append((b, block.digest.digest(), pack(steps), pack(size[part]), zstandard.ZstdCompressor(level=3).compress(words)))
             columns = list(zip(*out)) if out else [[]] * 5
             kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["bucket", "block", "steps", "sizes", "words"])
@@ -339,14 +350,14 @@ class Lookup:
         if len(words) and words.max() >= len(self.count):
             raise RuntimeError("words of a block are missing: the documents changed while they were read")
         sizes = self.count[words]
-        before = np.cumsum(sizes) - sizes
-        at = np.arange(int(sizes.sum())) + np.repeat(self.start[words] - before, sizes)
-        return self.flat[at], sizes
+        return gathered(self.flat, self.start[words], sizes), sizes
 
 
-def encode(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
     """``doc_id, ids``: the ids of every whole text, without special tokens.
 
+    With ``decoded``, ``decode`` runs on the ids in the same workers and adds its column.
+
     ``ranks_path`` is a file of base64 tokens and ranks; words are cut by ``PATTERN``.
     Null and empty texts have no ids (an empty list); null ids, repeated ids and repeated
     rows each give their own row; an empty table gives none. Other columns are not read.
@@ -363,19 +374,12 @@ def encode(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text: str =
     owned = words.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
     encoded = owned.mapInArrow(encode_words(ranks, id_type), meet)
     both = rows.mapInArrow(positions(id_type), meet).unionByName(encoded)
-    return both.repartition("block").sortWithinPartitions("block", "kind", "part").mapInArrow(assemble, f"doc_id {kind}, ids array<int>")
-
-
-def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """``encoded`` (``doc_id, ids``) with ``decoded`` (binary): ids joined with the tokens' bytes.
+    return both.repartition("block").sortWithinPartitions("block", "kind", "part").mapInArrow(
+        (lambda batches: decoder(ranks)(assemble(batches))) if decoded else assemble, f"doc_id {kind}, ids array<int>" + ", decoded binary" * decoded)
 
-    The table of tokens is bounded by the vocabulary, so every task has it and joins by
-    place. A null list stays null, a null id has no bytes, and an id that is no token
-    ends the job.
-    """
-    ranks = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    kind = dict(encoded.dtypes)["doc_id"]
 
+def decoder(ranks) -> Callable:
+    """Joins ids (second column) with the tokens' bytes, by place."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = [b""] * (max(ranks.value.values(), default=-1) + 1)
         for token, rank in ranks.value.items():
@@ -389,10 +393,21 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
             ends = np.frombuffer(tokens.buffers()[1], np.int64)[tokens.offset : tokens.offset + len(tokens) + 1] if len(tokens) else np.zeros(1, np.int64)
             sizes = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
             at = ends[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int64)
-            valid = None if not lists.null_count else pa.array(lists.is_valid().to_numpy(zero_copy_only=False))
             texts = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(at), tokens.buffers()[2]])
-            if valid is not None:
-                texts = pa.compute.if_else(valid, texts, pa.scalar(None, pa.large_binary()))
+            if lists.null_count:
+                texts = pa.compute.if_else(lists.is_valid(), texts, pa.scalar(None, pa.large_binary()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, texts.cast(pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")
+    return run
+
+
+def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
+    """``encoded`` (``doc_id, ids``) with ``decoded`` (binary): ids joined with the tokens' bytes.
+
+    The table of tokens is bounded by the vocabulary, so every task has it and joins by
+    place. A null list stays null, a null id has no bytes, and an id that is no token
+    ends the job.
+    """
+    ranks = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    kind = dict(encoded.dtypes)["doc_id"]
+    return encoded.select("doc_id", "ids").mapInArrow(decoder(ranks), f"doc_id {kind}, ids array<int>, decoded binary")

@@ -98,8 +98,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 
 def token_digests(docs: DataFrame) -> DataFrame:
     """Documents encoded and decoded again, as digests."""
-    ranks = public_tokenizers.path(RANKS)
-    coded = bpe.decode(bpe.encode(docs, ranks), ranks)
+    coded = bpe.encode(docs, public_tokenizers.path(RANKS), decoded=True)
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
