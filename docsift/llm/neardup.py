@@ -3,18 +3,21 @@
 A document is the set of its word shingles. Equal sets are one document from the start.
 Every tree branches the documents by chosen minwise tokens: a node picks positions of the
 MinHash sketch, and documents with the same token at a position share a child. The first
-levels pick two positions each, further levels one or two, a quarter more than one on
-average, so a pair at the threshold survives although unrelated documents part. Nodes
-with few documents are compared exhaustively on sketches, and what may be similar is
-confirmed on the full sets; larger nodes branch again. Independent trees are repeated
-until a pair at the threshold is missed at most once in ``1 / miss``.
+levels pick two positions each, further levels ``positions_for`` many, so a pair at the
+threshold has 1.6 children or more on average and survives any number of levels, although
+unrelated documents part. Nodes with few documents are compared exhaustively on sketches,
+and what may be similar is confirmed on the full sets; larger nodes branch again.
+Independent trees are repeated until a pair at the threshold, after however many levels,
+is missed at most once in ``1 / miss``.
 
 A large group of near copies never parts. Its node is therefore dealt into blocks that
 all hold one common document: each block is confirmed exhaustively, which ties the group
 together. If only few documents stand outside a node's largest component then, they are
 compared with all others, in blocks; otherwise the node branches, and a child whose
-documents are all tied already is dropped. So no node emits its pairs, no task holds an
-unbounded node, and sets of one component are never compared.
+documents are all tied already is dropped. A node whose children together have no fewer
+pairs than it has itself (many documents that are alike, but below the threshold) gains
+nothing from branching: every two of its blocks are compared. So no node emits its pairs,
+no task holds an unbounded node, and sets of one component are never compared.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import segments
 from .components import components, contracted
@@ -37,6 +40,7 @@ LEVELS = 2  # taken in one step, with two positions a node
 NODE = 400  # documents of a node that is compared exhaustively
 NODE_SHINGLES = 4_000_000  # and their shingles, unless they are only two
 REST = 3000  # documents besides the largest component of a node that is compared exhaustively as well
+CHILDREN = 1.6  # of a pair at the threshold, on average, in a node that branches again
 DEPTH = 24  # levels after which what is still large is compared block by block
 FILTER_BITS = 1 << 23  # of the bitmap that keeps other documents' texts where they are; 1 MB
 SLACK = 0.2  # by which a sketch may show less than the threshold; five deviations
@@ -63,13 +67,24 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
 
 
 def trees_for(threshold: float, miss: float) -> int:
-    """Trees after which a pair at the threshold is missed with chance ``miss`` at most."""
+    """Trees after which a pair at the threshold is missed with chance ``miss`` at most.
+
+    A tree keeps a pair that further levels keep (the fixed point of their recursion, so it
+    holds for any depth) and that the first LEVELS levels keep.
+    """
     kept = 1.0
+    for _ in range(1000):
+        kept = 1 - (1 - threshold * kept) ** positions_for(threshold)
     for _ in range(LEVELS):
         kept = 1 - (1 - threshold * kept) ** 2
     return math.ceil(math.log(miss) / math.log(1 - kept))
 
 
+def positions_for(threshold: float) -> int:
+    """Positions a node of further levels branches by: a pair at the threshold has CHILDREN or more."""
+    return math.ceil(CHILDREN / threshold - 1e-9)
+
+
 def leaves(sketch: np.ndarray, trees: int) -> np.ndarray:
     """Keys of the nodes that a document reaches after LEVELS levels of every tree."""
     paths, at = np.arange(1, trees + 1, dtype=np.uint64), 0
@@ -247,8 +262,11 @@ def crossed(rows: DataFrame) -> DataFrame:
 
 
 def block_pairs(rows: DataFrame) -> DataFrame:
-    """(part, rep, label): every two blocks of a large node together, so that all its pairs meet."""
-    count = F.ceil(2 * F.greatest(F.col("c") / NODE, F.col("s") / NODE_SHINGLES))
+    """(part, rep, label): every two blocks of a large node together, so that all its pairs meet.
+
+    Blocks are as large as those of ``crossed``, as each text is needed in every block pair.
+    """
+    count = F.ceil(F.greatest(F.col("c") / max(NODE, REST), 2 * F.col("s") / NODE_SHINGLES))
     rows = rows.withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("rep", "node"), "blocks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     part = F.unhex(F.md5(F.concat_ws("/", "node", F.least("block", "other"), F.greatest("block", "other")).cast("binary")))
@@ -270,15 +288,35 @@ def possibly(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.filter(inside).drop("h", "bucket", "bits", "bit")
 
 
-def branch(rows: DataFrame, first: DataFrame) -> DataFrame:
-    """Children of large nodes whose documents are not all in one component yet."""
-    place = lambda i: F.pmod(F.xxhash64("node", F.lit(i)), F.lit(POSITIONS)).cast("int")
-    child = lambda i: F.xxhash64("node", F.lit(i), F.substring("sketch", place(i) + 1, F.lit(1)))
-    more = F.pmod(F.xxhash64("node", F.lit("more")), F.lit(4)) == 0
-    rows = rows.select("node", "rep", "n", "component").join(first.select("rep", "sketch"), "rep")
-    rows = rows.select(F.explode(F.when(more, F.array(child(0), child(1))).otherwise(F.array(child(0)))).alias("node"), "rep", "n", "component")
-    unsettled = rows.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("node")
-    return rows.select("node", "rep", "n").join(unsettled, "node", "left_semi")
+def leaf_places(leaf: Column, trees: int) -> Column:
+    """Positions on the way to a leaf, by its index among ``leaves``."""
+    return F.array(F.floor(leaf / 2), leaf + 2 * trees).cast("array<int>")
+
+
+def branch(rows: DataFrame, first: DataFrame, positions: int, trees: int) -> tuple[DataFrame, DataFrame]:
+    """Children of large nodes whose documents are not all in one component yet, and the
+    rows of nodes whose children have no fewer pairs than they have.
+
+    ``used`` holds the positions on a node's way, which would not part its documents.
+    """
+    if "used" in rows.columns:
+        held = rows.join(first.select("rep", "sketch"), "rep")
+    else:
+        held = rows.join(first.select("rep", "sketch", "leaves"), "rep")
+        held = held.withColumn("used", leaf_places(F.array_position("leaves", F.col("node")).cast("int") - 1, trees))
+    free = F.array_except(F.sequence(F.lit(0), F.lit(POSITIONS - 1)), F.transform("used", lambda p: F.pmod(p, F.lit(POSITIONS))))
+    drawn = F.slice(F.array_sort(F.transform(free, lambda p: F.struct(F.xxhash64("node", p).alias("h"), p.alias("p")))), 1, positions)
+    held = held.select(F.col("node").alias("parent"), "node", "rep", "n", "component", "c", "sketch", "used", F.explode(drawn["p"]).alias("p"))
+    child = F.xxhash64("node", "p", F.substring("sketch", F.col("p") + 1, F.lit(1)))
+    held = staged(held.select("parent", child.alias("node"), "rep", "n", "component", "c", F.array_append("used", F.col("p")).alias("used")))
+    nodes = held.groupBy("parent", "node").agg(F.count("*").alias("own"), F.first("c").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    nodes = staged(nodes.filter("lo < hi"))
+    pairs = F.sum(F.col("own").cast("double") * F.col("own"))
+    alike = nodes.groupBy("parent").agg(pairs.alias("pairs"), F.first("c").alias("c")).filter("pairs >= double(c) * c").select("parent")
+    alike = staged(alike)
+    parted = nodes.select("parent", "node").join(alike, "parent", "left_anti")
+    children = held.select("parent", "node", "rep", "n", "used").join(parted, ["parent", "node"], "left_semi").drop("parent")
+    return children, rows.join(alike.withColumnRenamed("parent", "node"), "node", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -297,6 +335,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     gives no rows. Other columns are not read. Ids must be whole numbers.
     """
     threshold, trees = percent / 100, trees_for(percent / 100, miss)
+    positions = positions_for(threshold)
     texts = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     described = staged(texts.mapInArrow(describe(k, trees), "doc_id long, n long, digest binary, sketch binary, leaves array<long>"))
     some = (F.col("n") > 0) & F.col("doc_id").isNotNull()
@@ -335,7 +374,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
         links = linked_by(parts.unionByName(block_pairs(large)) if last else parts, links)
         if last or large.isEmpty():
             break
-        rows, depth = staged(branch(large, first)), depth + 1
+        rows, alike = branch(large, first, positions, trees)
+        rows, alike, depth = staged(rows), staged(alike), depth + 1
+        if not alike.isEmpty():
+            links = linked_by(block_pairs(alike), links)
         if rows.isEmpty():
             break
     labels = components(links)

@@ -77,6 +77,37 @@ def test_large_nodes_are_settled(spark, monkeypatch):
         assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, k=2).collect()} == want
 
 
+def test_pairs_survive_many_levels(spark):
+    """1,000 pairs at the threshold, each in one node of four trees; eight further levels."""
+    rng, rows, sketches = np.random.default_rng(3), [], []
+    for p in range(1000):
+        one, two = rng.integers(0, 256, (2, neardup.POSITIONS), dtype=np.uint8)
+        two = np.where(rng.random(neardup.POSITIONS) < 0.8, one, two)
+        for rep, sketch in ((2 * p, one), (2 * p + 1, two)):
+            sketches.append((rep, bytearray(sketch.tobytes())))
+            rows += [(4 * p + tree, rep, 99, rep, 1000, []) for tree in range(4)]
+    first = spark.createDataFrame(sketches, "rep long, sketch binary")
+    nodes = spark.createDataFrame(rows, "node long, rep long, n long, component long, c long, used array<int>")
+    for _ in range(8):
+        nodes, alike = neardup.branch(nodes, first, neardup.positions_for(0.8), 4)
+        nodes = neardup.staged(nodes.selectExpr("*", "rep AS component", "1000L AS c"))
+        assert alike.isEmpty()
+    lost = 1000 - nodes.selectExpr("rep div 2").distinct().count()
+    assert lost <= 1
+
+
+def test_alike_documents_are_compared_at_once(spark, monkeypatch):
+    """Documents of one template below the threshold, which branching doesn't part, and pairs among them."""
+    monkeypatch.setattr(neardup, "NODE", 8)
+    monkeypatch.setattr(neardup, "REST", 0)
+    asked, block_pairs = [], neardup.block_pairs
+    monkeypatch.setattr(neardup, "block_pairs", lambda rows: asked.append(rows.count()) or block_pairs(rows))
+    template = [f"s{i}" for i in range(80)]
+    rows = [(i, " ".join(template + [f"d{i - i % 2 * (i < 40)}w{j}" for j in range(20)])) for i in range(120)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()}
+    assert got == {i: i - i % 2 * (i < 40) for i in range(120)} and asked
+
+
 def test_near_duplicates_edge_rows(spark):
     rows = [(None, "a b c"), (5, "a b c"), (5, "x y z"), (3, "a b c"), (9, "x y z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
