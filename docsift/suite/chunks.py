@@ -10,7 +10,7 @@ from ..operators.chunking import chunk
 from ..operators.chunking.packing import recursive_split, sentence_packs
 from ..operators.chunking.splitter import INGEST_SEPARATORS, splitter
 from ..operators.chunking.structure import (
-    assign_hierarchy, context_influence, sections, structural_min, subclauses,
+    assign_hierarchy, context_influence, join_short, sections, structural_min, subclauses,
 )
 from ..operators.chunking.windows import char_windows, page_of, word_windows
 from ..operators.layout import spread, unfold
@@ -129,7 +129,8 @@ def _(t):
     rejoined = split.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("_p", "_q", "_r", "text"))).alias("l")).select(
         "doc_id", F.array_join(F.transform("l", lambda x: x["text"]), "\n\n").alias("text"))
     chunks = structural_min(rejoined).withColumnRenamed("pos", "original")
-    return recursive_split(chunks.select("doc_id", "original", "level", "text"), "text").filter(F.length("text") >= 50)
+    pieces = recursive_split(chunks.select("doc_id", "original", "level", "text"), "text")
+    return join_short(pieces, ["doc_id", "original", "level"], ["_p", "_q", "_r"])
 
 
 @query("c13_recursive")

@@ -61,6 +61,19 @@ def test_structural_min_loses_no_text(spark):
         assert re.sub(r"\s+", "", "".join(r["text"] for r in top)) == re.sub(r"\s+", "", body)
 
 
+def test_process_document_loses_no_text(spark, tmp_path):
+    """A 10-character document, and a section whose last paragraph is a short tail."""
+    from docsift.suite import QUERIES
+
+    bodies = {1: "ten chars.", 2: "1. Scope\n" + "This clause has quite some words in it " * 14 + "\n\nshort tail", 3: "tiny\n\n" + "word " * 130}
+    spark.createDataFrame(list(bodies.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["c12_process_document"](spark, str(tmp_path)).filter("level = 1").collect()
+    for doc, body in bodies.items():
+        found = [r for r in sorted(rows, key=lambda r: (r["original"], r["_p"], r["_q"], r["_r"])) if r["doc_id"] == doc]
+        assert set(re.findall(r"\w+", " ".join(r["text"] for r in found))) == set(re.findall(r"\w+", body))
+        assert all(len(r["text"]) >= 50 for r in found) or len(found) == 1
+
+
 def brute_recursive(body, limit=500):
     """The splitting rule written as a recursion."""
     if len(body) <= limit:
