@@ -74,6 +74,16 @@ def test_process_document_loses_no_text(spark, tmp_path):
         assert all(len(r["text"]) >= 50 for r in found) or len(found) == 1
 
 
+def test_ingest_runs_all_methods_and_vectors(spark, tmp_path):
+    from docsift.suite import QUERIES
+
+    rows = [(i, f"src{i}", CONTRACT + f"\nThe number {i} is named here. Another sentence follows it.") for i in range(3)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["l1_ingest"](spark, str(tmp_path)).select("chunking_method", "embedding_digest").collect()
+    assert {r["chunking_method"] for r in got} == set(available_methods())
+    assert all(r["embedding_digest"] for r in got) and len({r["embedding_digest"] for r in got}) > 3
+
+
 def brute_recursive(body, limit=500):
     """The splitting rule written as a recursion."""
     if len(body) <= limit:
