@@ -169,6 +169,8 @@ class Block:
     def add(self, ids: pa.Array, texts: pa.Array) -> None:
         data, starts, ends, found, first = cut(texts)
         self.digest.update(len(texts).to_bytes(8, "little"))
+        # Where one text ends and the next begins decides on the words, too.
+        self.digest.update(pa.compute.binary_length(texts).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).tobytes())
         self.digest.update(data)
         self.size += len(found)
         self.hashes.append(found)

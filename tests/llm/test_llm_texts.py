@@ -182,3 +182,13 @@ def test_mixing_thresholds_are_refined(spark, monkeypatch):
 def test_digest_of_a_place_is_stable(spark):
     row = spark.createDataFrame([(1, "a")], "doc_id long, text string").select(mixing.place("doc_id", "text").alias("h")).first()
     assert row.h == int(hashlib.md5(b"1 a").hexdigest()[:15], 16)
+
+
+def test_block_names_tell_borders_of_texts():
+    """Equal joined bytes cut at other places are other words."""
+    names = set()
+    for texts in (["ab", "c"], ["a", "bc"], ["abc", None], [None, "abc"]):
+        block = bpe.Block(keep_words=False)
+        block.add(pa.array(range(2)), pa.array(texts))
+        names.add(block.digest.digest())
+    assert len(names) == 4
