@@ -87,18 +87,20 @@ def stretch_spans(rendered: Callable[[list[Turn]], str], turns: list[Turn], firs
     return added, places, rewrites
 
 
-def spans(rendered: Callable[[list[Turn]], str], turns: list[Turn]) -> tuple[str, list[Span] | None, list[int]]:
+def spans(rendered: Callable[[list[Turn]], str], turns: list[Turn], every: bool = False) -> tuple[str, list[Span] | None, list[int]]:
     """Whole text, each turn's span and its text's span, and the turns that rewrite history.
 
-    Spans are only given where history is never rewritten.
+    Spans are only given where history is never rewritten. Beyond STRETCH turns, only
+    rewrites within a stretch or visible in the whole text are found, unless ``every``
+    prefix is to be rendered.
     """
     whole = rendered(turns)
     head = rendered([])
     added, places, rewrites = [], [], []
-    for first in range(0, len(turns), STRETCH):
+    for first in range(0, 0 if every else len(turns), STRETCH):
         a, p, r = stretch_spans(rendered, turns, first, min(first + STRETCH, len(turns)), 1)
         added, places, rewrites = added + a, places + p, rewrites + r
-    if rewrites or head + "".join(added) != whole:
+    if every or rewrites or head + "".join(added) != whole:
         added, places, rewrites = stretch_spans(rendered, turns, 0, len(turns), 0)
         if rewrites:
             return whole, None, rewrites

@@ -176,3 +176,11 @@ def test_license_base_columns(spark):
         g = got[r.doc_id]
         assert (g.n_words, g.n_base, g.first_word, g.last_word) == (len(words), len(places), min(places)[0] if places else None, max(places)[0] if places else None)
         assert g.base_labels == ",".join(sorted({x for _, x in places})) and set(g.base_labels.split(",")) - {""} <= set(g.labels.split(",")) and 0 <= g.score <= 1
+
+
+def test_chat_finds_passing_rewrites():
+    """A turn far back is hidden while turn 49 is last, and shown again in the whole."""
+    turns = [("user", f"t{i}") for i in range(60)]
+    hides = lambda ts: "".join("" if i == 0 and x == "t0" and ts[-1][1] == "t49" else x + "|" for i, (_, x) in enumerate(ts))
+    assert chat.spans(hides, turns)[2] == []
+    assert chat.spans(hides, turns, every=True)[1:] == (None, [49, 50])
