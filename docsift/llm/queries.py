@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, licenses, mixing, nearest, neardup, topk, toxicity, urls, warc
+from . import bpe, chat, licenses, mixing, nearest, neardup, packing, topk, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -170,3 +170,8 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, folder, "labels"))
     score = F.col("score")
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", F.when(score >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+@query("op13_best_fit_packing")
+def op13_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
