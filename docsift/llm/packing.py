@@ -14,6 +14,7 @@ larger. What is left is packed best-fit, longest first.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
@@ -32,7 +33,8 @@ from .shared import stored
 
 CAPACITY = 4096  # tokens of a sequence
 END = 1  # id behind every document
-STRETCH = 1 << 25  # bytes of texts tokenized at a time
+STRETCH = 1 << 23  # bytes of texts tokenized at a time
+JOINED = 100  # new words given to the tokenizer in one string
 KNOWN = 500_000  # words whose ids a worker remembers
 
 # A word of letters without combining marks before and after lowering (U+0130 has one), and what is cut off behind it (fixed values).
@@ -43,6 +45,7 @@ Pattern = tuple[tuple[int, int], ...]  # lengths and how often each occurs
 
 
 def tokenizer(path: str, special: bool):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
@@ -56,7 +59,11 @@ class Words:
     held: dict[tuple[str, bool], "Words"] = {}
 
     def __init__(self, path: str, special: bool):
-        self.encode, self.known = tokenizer(path, special).encode_batch_fast, {}
+        found = tokenizer(path, special)
+        self.encode, self.known = found.encode_batch_fast, {}
+        # Tokens with which a word ends.
+        self.last = np.zeros(max(found.get_vocab().values(), default=0) + 1, bool)
+        self.last[[i for token, i in found.get_vocab().items() if token.endswith("</w>")]] = True
 
     @classmethod
     def of(cls, path: str, special: bool) -> "Words":
@@ -67,12 +74,29 @@ class Words:
         if len(self.known) > KNOWN:
             self.known.clear()
         new = [w for w in words if w not in self.known]
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, self.encode(part, add_special_tokens=False)))
+        # Strings of letters are one word each, so they can be told apart in a joined text.
+        single = [w for w in new if w.isalpha()]
+        self.learn([w for w in new if not w.isalpha()], 1)
+        self.learn(single, JOINED)
         found = [self.known[w] for w in words]
         return np.fromiter(map(len, found), np.int64, len(found)) // 4, np.frombuffer(b"".join(found), "<u4")
 
+    def learn(self, words: list[str], joined: int) -> None:
+        for lo in range(0, len(words), 20_000):
+            part = words[lo : lo + 20_000]
+            texts = [" ".join(part[i : i + joined]) for i in range(0, len(part), joined)]
+            for i, e in zip(range(0, len(part), joined), self.encode(texts, add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                if joined == 1:
+                    self.known[part[i]] = ids.tobytes()
+                    continue
+                ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+                if len(ends) != len(part[i : i + joined]):  # a letter that lowering parts
+                    self.learn(part[i : i + joined], 1)
+                    continue
+                raw = ids.tobytes()
+                self.known.update((w, raw[a:b]) for w, a, b in zip(part[i : i + joined], [0, *ends], ends))
+
 
 def token_ids(texts: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, one behind the other, and how many each has.
