@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, licenses, mixing, nearest, neardup, packing, topk, toxicity, urls, warc
+from . import bpe, chat, licenses, mixing, nearest, neardup, packing, repair, topk, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -175,3 +175,9 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_best_fit_packing")
 def op13_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op11_structure_repair")
+def op11_structure_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.for_all(rows, repair.repair(repair.damage(rows)))
