@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, licenses, mixing, nearest, neardup, packing, repair, topk, toxicity, urls, warc
+from . import bpe, chat, licenses, mixing, nearest, neardup, packing, phrases, repair, topk, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -181,3 +181,39 @@ def op13_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op11_structure_repair(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     return repair.for_all(rows, repair.repair(repair.damage(rows)))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+  FROM words, (SELECT unnest([1, 2, 3, 4]) AS k), LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i)),
+counts AS (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
+big AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE f >= 30),
+cuts AS (
+  SELECT lang, phrase, f AS a, j, array_to_string(w[1 : j], ' ') AS head, array_to_string(w[j + 1 : k], ' ') AS tail
+  FROM big, LATERAL (SELECT unnest(range(1, k)) AS j) WHERE k > 1),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.j, h.f AS l, t.f AS r, 2000000 * c.a // (h.f + t.f) AS score
+  FROM cuts c JOIN big h ON h.lang = c.lang AND h.phrase = c.head JOIN big t ON t.lang = c.lang AND t.phrase = c.tail),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(f) AS longer
+  FROM big, (SELECT unnest([2, 3]) AS m), LATERAL (SELECT unnest(range(1, k - m + 2)) AS i) WHERE m < k GROUP BY ALL),
+kept AS (
+  SELECT x.* FROM weakest x LEFT JOIN inside i ON i.lang = x.lang AND i.phrase = x.phrase
+  WHERE i.longer IS NULL OR 100 * i.longer < 80 * x.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+       a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+
+@query("op12_collocations", OP12_SQL)
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
