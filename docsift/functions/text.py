@@ -9,8 +9,12 @@ WS = r"[\s\x0B\x1c-\x1f\x85\p{Z}]"
 WORD = r"[\p{L}\p{N}_]+"
 
 
+# The characters of WS (fixed values).
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def non_empty(arr: Column) -> Column:

@@ -4,26 +4,30 @@ Definition: idf = ln((N - df + .5) / (df + .5)), negative values replaced by a
 quarter of the mean idf over the vocabulary; k1 = 1.5, b = 0.75; query tokens count
 as often as they occur.
 
-Plan: tokens and n-grams are 64-bit hashes made inside the document's row. Those the
-queries hold are kept, counted per document where they are made, and staged; document
-frequencies, scores and sums all come from these counts. The mean idf, which takes the
-frequency of every n-gram of the corpus, is only counted when a query token occurs in
-more than half of the documents, and then on hashes. When the query side is small it is
-broadcast; larger query sets join by token and leave hot tokens to the adaptive skew join.
+Plan: one pass over the corpus finds the queries' n-grams (``grams``) and stages them, one
+row per document; document frequencies and scores come from these rows, and tasks keep
+their best k per query. Query sets that tasks can't hold take the other way: n-grams are
+64-bit hashes made inside the document's row, those the queries hold are counted there
+and joined by token, which leaves hot tokens to the adaptive skew join. The mean idf,
+which takes the frequency of every n-gram of the corpus, is only counted when a query
+token occurs in more than half of the documents, and then on hashes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.tokens import hashed_ngrams
 from ..functions.text import word_tokens
-from ..session import fits_broadcast, localized, small_side
+from ..session import localized, small_side
+from . import grams
 from .layout import spread, unfold
 from .numbering import staged
-from .ranking import fixed, keep_first, scale, top_k, top_with_range
+from .ranking import fixed, merged, scale, top_k, top_with_range
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
@@ -67,28 +71,47 @@ def _hashes(corpus: DataFrame, tokens, upto: int) -> DataFrame:
     return tokenized(corpus, hashed_ngrams(tokens(F.col("text")), upto)).withColumnRenamed("tokens", "keys")
 
 
-def weigh(rows: DataFrame, tf: DataFrame, words: DataFrame, vocab: DataFrame | None) -> Weights:
-    """Totals, and the idf of the query tokens.
+def mean_of(docs: int, corpus: DataFrame, tokens, upto: int, vocab: DataFrame | None) -> float:
+    """Mean idf over the vocabulary: looked up in ``vocab``, or counted on the corpus."""
+    if vocab is None:
+        spread_of = grams.frequencies(corpus, tokens, upto)
+    else:
+        spread_of = vocab.filter(~F.col("token").isin(DOCS, LENGTH)).groupBy("n").agg(F.count("*").alias("m"))
+    raw = F.log(F.lit(docs) - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)
+    return spread_of.agg(F.sum(raw * F.col("m")) / F.sum("m")).first()[0] or 0.0
 
-    Their document frequencies come from the tokens' counts ``tf``. The mean idf takes the
-    frequency of every n-gram of the corpus, so it is only looked up (in ``vocab``) or
-    counted (on 64-bit hashes) when a query token occurs in more than half of the documents.
-    """
+
+def weigh(rows: DataFrame, tf: DataFrame, words: DataFrame, mean_idf: Callable[[int], float]) -> Weights:
+    """Totals, and the idf of the query tokens, whose document frequencies come from their counts ``tf``."""
     docs, length = rows.agg(F.count("*"), F.sum("dl")).first()
     raw = F.log(F.lit(docs) - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)
     df = staged(tf.groupBy("token").agg(F.count("*").alias("n")))
-    mean = 0.0
-    if 2 * (df.agg(F.max("n")).first()[0] or 0) > docs:
-        if vocab is None:
-            every = unfold(rows, [], F.array_distinct("keys"), "token").groupBy("token").agg(F.count("*").alias("n"))
-        else:
-            every = vocab.filter(~F.col("token").isin(DOCS, LENGTH))
-        spread_of = every.groupBy("n").agg(F.count("*").alias("m"))
-        mean = spread_of.agg(F.sum(raw * F.col("m")) / F.sum("m")).first()[0] or 0.0
+    mean = mean_idf(docs) if 2 * (df.agg(F.max("n")).first()[0] or 0) > docs else 0.0
     idf = words.join(df, "token").select("token", F.when(raw < 0, F.lit(FLOOR * mean)).otherwise(raw).alias("idf"))
     return Weights(docs, (length or 0) / max(docs, 1), mean, idf)
 
 
+class Held:
+    """A query set that every task holds, and the documents' n-grams of it."""
+
+    def __init__(self, corpus: DataFrame, asked: grams.Asked, tokens, upto: int, vocab: DataFrame | None, keep: list[str]):
+        self.asked, self.rows = asked, staged(grams.documents(corpus, asked, tokens, keep))
+        self.docs, length = self.rows.agg(F.count("*"), F.sum("dl")).first()
+        df = np.zeros(len(asked.keys), np.int64)
+        # One row per asked n-gram at most.
+        for r in self.rows.select(F.explode("nodes").alias("node")).groupBy("node").count().collect():
+            df[r["node"]] = r["count"]
+        raw = np.log(self.docs - df + 0.5) - np.log(df + 0.5)
+        self.mean_idf = mean_of(self.docs, corpus, tokens, upto, vocab) if 2 * df.max(initial=0) > self.docs else 0.0
+        self.weight = asked.times * np.where(raw < 0, FLOOR * self.mean_idf, raw)[asked.node]
+        self.mean_length = (length or 0) / max(self.docs, 1)
+
+    def scored(self, k: int | None, query_type: str, distinct: bool = False) -> DataFrame:
+        mean = max(self.mean_length, 1e-9)
+        share = lambda tf, dl: tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
+        return grams.scored(self.rows, self.asked, self.weight, share, k, query_type, distinct)
+
+
 def _asked(queries: DataFrame, tokens, upto: int) -> DataFrame:
     queries = queries.filter(F.col("query_id").isNotNull())
     return unfold(queries, ["query_id"], hashed_ngrams(tokens(F.col("text")), upto), "token").groupBy("query_id", "token").agg(
@@ -102,7 +125,7 @@ def _scores(corpus: DataFrame, asked: DataFrame, small: bool, tokens, upto: int,
     hits = unfold(rows, ["id", "dl"], "keys", "token").join(words, "token", "left_semi")
     # A document's tokens are in one task, so they are counted there before they move.
     tf = staged(hits.groupBy("id", "dl", "token").agg(F.count("*").alias("tf")))
-    weights = weigh(rows, tf, words, vocab)
+    weights = weigh(rows, tf, words, lambda docs: mean_of(docs, corpus, tokens, upto, vocab))
     per_token = asked.join(small_side(weights.idf, small), "token").select(
         "query_id", "token", (F.col("qtf") * F.col("idf")).alias("w")
     )
@@ -118,36 +141,57 @@ def scores(corpus: DataFrame, queries: DataFrame, tokens=word_tokens, vocab: Dat
     ``corpus(id, text)``, ``queries(query_id, text)``; ``tokens`` maps a text column
     to its token array, ``upto`` is the longest n-gram that counts as a token.
     """
+    held = grams.ask(queries, tokens, upto)
+    if held is not None:
+        return Held(corpus, held, tokens, upto, vocab, []).scored(None, dict(queries.dtypes)["query_id"])
     return _scores(corpus, *localized(_asked(queries, tokens, upto)), tokens, upto, vocab)[0]
 
 
 def top(corpus: DataFrame, queries: DataFrame, k: int, tokens=word_tokens,
-        vocab: DataFrame | None = None, norm: str = "min_max", upto: int = 1) -> DataFrame:
+        vocab: DataFrame | None = None, norm: str = "min_max", upto: int = 1, key: Column | None = None) -> DataFrame:
     """Best ``k`` documents per query with a score scaled over the whole corpus.
 
     Documents without a shared token score 0 and fill up a list that has too few
-    hits, smallest id first. ``norm``: ``min_max``, ``max`` or ``raw``.
+    hits, smallest id first. ``norm``: ``min_max``, ``max`` or ``raw``. With ``key``, a
+    digest of the text, of documents with equal keys only the best one counts.
     """
-    asked, small = localized(_asked(queries, tokens, upto))
-    found, weights = _scores(corpus, asked, small, tokens, upto, vocab)
-    if weights.mean_idf < 0:
-        found = _all_pairs(found, asked, corpus)
+    distinct = key is not None
+    if distinct:
+        corpus = corpus.select("id", "text", key.alias("_key"))
+    held = grams.ask(queries, tokens, upto)
+    if held is not None:
+        base = Held(corpus, held, tokens, upto, vocab, ["_key"] * distinct)
+        docs, mean_idf, kind = base.docs, base.mean_idf, dict(queries.dtypes)["query_id"]
+        asked, small = corpus.sparkSession.createDataFrame([(q,) for q in held.ids], f"query_id {kind}"), True
+        if mean_idf >= 0:
+            best = merged(base.scored(k, kind, distinct), k, distinct)
+        else:
+            found = base.scored(None, kind)
+    else:
+        asked, small = localized(_asked(queries, tokens, upto))
+        found, weights = _scores(corpus, asked, small, tokens, upto, vocab)
+        docs, mean_idf = weights.docs, weights.mean_idf
+    if held is None or mean_idf < 0:
+        if mean_idf < 0:
+            found = _all_pairs(found, asked, corpus)
+        if distinct:
+            found = found.join(corpus.select("id", "_key"), "id")
+        best = top_with_range(found, k, distinct)
     # At most k rows per query from here on.
-    best = staged(top_with_range(found, k))
-    zero = F.lit(0.0)
-    some = best.filter(F.col("rank") == 1).select("query_id", "hits", "low", "high")
-    spans = asked.select("query_id").distinct().join(some, "query_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
-    short = F.col("hits") < weights.docs
-    spans, fits = localized(spans.select(
-        "query_id", "hits",
-        F.when(short, F.least(F.coalesce("low", zero), zero)).otherwise(F.col("low")).alias("low"),
-        F.when(short, F.greatest(F.coalesce("high", zero), zero)).otherwise(F.col("high")).alias("high"),
-    ))
-    rows = best.select("query_id", "id", "score", "rank")
-    lacking = spans.filter((F.col("hits") < k) & (F.col("hits") < weights.docs))
+    best, zero, short = staged(best), F.lit(0.0), F.col("hits") < docs
+    bounds = {
+        "low": F.when(short, F.least(F.coalesce("low", zero), zero)).otherwise(F.col("low")),
+        "high": F.when(short, F.greatest(F.coalesce("high", zero), zero)).otherwise(F.col("high")),
+    }
+    columns = ["query_id", "id", *["_key"] * distinct, "score", "rank"]
+    full = best.groupBy("query_id").agg(F.count("*").alias("_full"), *[F.max(c).alias(c) for c in ("hits", "low", "high")])
+    spans = asked.select("query_id").distinct().join(full, "query_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("hits", "_full")})
+    lacking, fits = localized(spans.filter(short & (F.col("_full") < k)).withColumns(bounds))
+    rows = best.withColumns(bounds).select(*columns, "low", "high")
     if not lacking.isEmpty():
-        rows = _filled(rows, lacking, corpus, k)
-    rows = rows.join(small_side(spans, fits), "query_id")
+        few = rows.select(*columns).join(lacking.select("query_id"), "query_id", "left_semi")
+        few = _filled(few, lacking.select("query_id"), corpus, k, distinct).join(small_side(lacking.select("query_id", "low", "high"), fits), "query_id")
+        rows = rows.join(lacking.select("query_id"), "query_id", "left_anti").unionByName(few)
     scaled = {
         "min_max": scale(F.col("score"), F.col("low"), F.col("high")),
         "max": F.when(F.col("high") > 0, fixed(F.col("score") / F.col("high"))).otherwise(F.col("score")),
@@ -168,27 +212,20 @@ def _all_pairs(found: DataFrame, asked: DataFrame, corpus: DataFrame) -> DataFra
     return rows.select("query_id", "id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def _filled(rows: DataFrame, lacking: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """Lists with fewer than ``k`` hits get documents of score 0, found among the 2k smallest ids."""
-    firsts = (
-        corpus.filter(F.trim("text") != "").select("id").orderBy("id").limit(2 * k)
-        .agg(F.sort_array(F.collect_list("id"))).scalar()
-    )
-    fill = lacking.select("query_id", F.explode_outer(firsts).alias("id"))
-    fill = fill.join(rows.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("score", F.lit(0.0))
+def _filled(rows: DataFrame, lacking: DataFrame, corpus: DataFrame, k: int, distinct: bool) -> DataFrame:
+    """Lists with fewer than ``k`` hits get documents of score 0, found among the 2k smallest ids
+    (with ``distinct``, among the smallest ids of the 2k texts that begin first)."""
+    every = corpus.filter(F.trim("text") != "").select("id", *["_key"] * distinct)
+    if distinct:
+        every = every.groupBy("_key").agg(F.min("id").alias("id"))
+    firsts = every.orderBy("id").limit(2 * k).agg(F.sort_array(F.collect_list(F.struct(*["id", "_key"][: 1 + distinct])))).scalar()
+    fill = lacking.select("query_id", F.explode_outer(firsts).alias("_first")).select("query_id", "_first.*")
+    same = ["query_id", "_key" if distinct else "id"]
+    fill = fill.join(rows.select(*same), same, "left_anti").withColumn("score", F.lit(0.0))
     return top_k(rows.drop("rank").unionByName(fill), k, ["query_id"])
 
 
-def attach_text(results: DataFrame, corpus: DataFrame, fits: bool) -> DataFrame:
-    """Add document columns to a bounded result list; the list goes to the corpus scan."""
-    return small_side(results, fits).join(corpus, "id")
-
-
 def search(corpus: DataFrame, queries: DataFrame, k: int, key: Column, tokens=word_tokens,
            vocab: DataFrame | None = None, upto: int = 5) -> DataFrame:
-    """Keyword search: the best 2k by n-gram BM25, one per text, cut to ``k``."""
-    found = top(corpus, queries, 2 * k, tokens, vocab, upto=upto)
-    fits = fits_broadcast(queries.select("query_id"), max(1, 200_000 // (2 * k)))
-    rows = attach_text(found, corpus.select("id", F.md5(key).alias("_key")), fits)
-    rows = keep_first(rows, ["query_id", "_key"], [F.col("rank")])
-    return top_k(rows.drop("rank"), k, ["query_id"], "original_score").drop("_key")
+    """Keyword search: the best ``k`` different texts by n-gram BM25."""
+    return top(corpus, queries, k, tokens, vocab, upto=upto, key=F.md5(key))

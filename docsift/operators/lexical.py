@@ -1,61 +1,124 @@
-"""Keyword search by substring: match ratio, frequency and position."""
+"""Keyword search by substring: match ratio, frequency and position.
+
+A keyword consists of letters, digits and underscores, so it can only stand inside one run
+of those. The automaton therefore runs once per distinct run of a batch, not over the
+texts; what it finds goes back to the documents by the runs' numbers and places.
+"""
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
-import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import count_words
 from ..functions.tokens import keywords
 from ..session import localized
 from .layout import spread, unfold
-from .ranking import fixed, top_k
+from .ranking import fixed, keep_first, top_k
 
 # Distinct keywords one automaton holds; larger sets are searched block by block.
 BLOCK = 100_000
 
 
-def _matcher(keys: list[str]):
-    """Column function: text -> keywords inside it with first position and count.
-
-    One pass over the text finds all keywords; occurrences of one keyword that
-    overlap each other count once, as ``str.count`` does.
+@lru_cache(maxsize=1)
+def _inside() -> np.ndarray:
+    """Which code points are letters, numbers or underscores."""
+    out = np.fromiter((unicodedata.category(chr(c))[0] in "LN" for c in range(0x110000)), bool, 0x110000)
+    out[ord("_")] = True
+    return out
+
+
+def _runs(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+    """Runs of word characters of all texts, coded, the row of each and its place in the text."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    whole = "".join(texts.to_pylist())
+    points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+    sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.cumsum(sizes) - sizes
+    inside = _inside()[points]
+    before = np.zeros(len(points), bool)
+    before[1:] = inside[:-1]
+    before[first[sizes > 0]] = False
+    start = np.flatnonzero(inside & ~before)
+    # Everything else becomes a blank, and the runs are what stands between blanks.
+    data = np.frombuffer(whole.encode(), np.uint8).copy()
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    width = np.diff(np.append(lead, len(data)))
+    data[np.repeat(~inside, width)] = 0x20
+    at = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    blanked = pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(at), pa.py_buffer(data)])
+    runs = pc.ascii_split_whitespace(blanked).flatten()
+    runs = runs.filter(pc.greater(pc.binary_length(runs), 0)).dictionary_encode()
+    row = np.searchsorted(first, start, "right") - 1
+    return runs, row, start - first[row]
+
+
+def _matcher(keys: list[str], names: list[str]):
+    """Task function: documents -> their columns ``names`` and the keywords inside them with first position and count.
+
+    Occurrences of one keyword that overlap each other count once, as ``str.count`` does.
     """
-
-    @F.pandas_udf("array<struct<keyword:string,first:int,n:int>>")
-    def match(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        machine = ahocorasick.Automaton()
-        for key in keys or ["\0"]:
-            machine.add_word(key, key)
-        machine.make_automaton()
-
-        def one(text: str) -> list[dict]:
-            seen: dict[str, list[int]] = {}
-            for end, key in machine.iter(text):
-                start = end - len(key) + 1
-                if key not in seen:
-                    seen[key] = [start, 1, end]
-                elif start > seen[key][2]:
-                    seen[key][1:] = [seen[key][1] + 1, end]
-            return [{"keyword": k, "first": f, "n": n} for k, (f, n, _) in seen.items()]
-
-        for texts in batches:
-            yield texts.map(one)
-
-    return match
-
-
-def matches(corpus: DataFrame, keys: DataFrame) -> DataFrame:
-    """``id, chars, words, keyword, first, n`` for each keyword found in a text."""
-    docs = spread(corpus.select("id", "text"), "id").select("id", F.lower("text").alias("text"))
-    docs = docs.select("id", "text", F.length("text").alias("chars"), count_words(F.col("text")).alias("words"))
+    def machine():
+        out = ahocorasick.Automaton()
+        for i, key in enumerate(keys):
+            out.add_word(key, (i, key))
+        out.make_automaton()
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = machine() if keys else None
+        for batch in batches:
+            if found is None:
+                return
+            runs, row, place = _runs(batch.column("text"))
+            code, cells = runs.indices.to_numpy(zero_copy_only=False), []
+            for i, run in enumerate(runs.dictionary.to_pylist()):
+                seen: dict[int, list[int]] = {}
+                for end, (key, text) in found.iter(run):
+                    begin = end - len(text) + 1
+                    if key not in seen:
+                        seen[key] = [begin, 1, end]
+                    elif begin > seen[key][2]:
+                        seen[key][1:] = [seen[key][1] + 1, end]
+                cells += [(i, key, begin, n) for key, (begin, n, _) in seen.items()]
+            cells = np.array(cells, np.int64).reshape(-1, 4)
+            first = np.searchsorted(cells[:, 0], np.arange(len(runs.dictionary) + 1))
+            n = first[code + 1] - first[code]
+            at = np.repeat(first[code] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            pair = np.repeat(row, n) * len(keys) + cells[at, 1]
+            where, count = np.repeat(place, n) + cells[at, 2], cells[at, 3]
+            # Runs come in order, so the first of a pair is its first position.
+            pair, once, back = np.unique(pair, return_index=True, return_inverse=True)
+            doc = pa.array(pair // len(keys))
+            out = [batch.column(c).take(doc) for c in names]
+            yield pa.RecordBatch.from_arrays(
+                [*out, pa.array(keys, pa.string()).take(pa.array(pair % len(keys))), pa.array(where[once].astype(np.int32)),
+                 pa.array(np.bincount(back, count, len(pair)).astype(np.int32))], [*names, "keyword", "first", "n"])
+
+    return run
+
+
+def _documents(corpus: DataFrame, keep: list[str]) -> DataFrame:
+    docs = spread(corpus.select("id", "text", *keep), "id").select("id", *keep, F.lower("text").alias("text"))
+    return docs.select("id", *keep, "text", F.length("text").alias("chars"), count_words(F.col("text")).alias("words"))
+
+
+def matches(corpus: DataFrame, keys: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``id, chars, words, keyword, first, n`` (and columns ``keep``) for each keyword found in a text."""
+    columns = ["id", *(keep or []), "chars", "words"]
+    docs = _documents(corpus, keep or [])
+    kinds = dict(docs.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", keyword string, first int, n int"
     found = None
     for block in _blocks(keys):
-        rows = unfold(docs, ["id", "chars", "words"], _matcher(block)(F.col("text")), "m")
-        rows = rows.select("id", "chars", "words", "m.*")
+        rows = docs.mapInArrow(_matcher(block, columns), schema)
         found = rows if found is None else found.unionByName(rows)
     return found
 
@@ -70,34 +133,49 @@ def _blocks(keys: DataFrame) -> list[list[str]]:
     return [[r["keyword"] for r in part(b).collect()] for b in range(n)]
 
 
-def scores(corpus: DataFrame, queries: DataFrame, position: bool = True) -> DataFrame:
-    """``query_id, id, score, keyword_matches, matched_keywords``; texts without a hit are left out.
-
-    A keyword a query repeats counts as often. Without ``position`` the frequency
-    part weighs one half instead.
-    """
-    asked = (
+def _asked(queries: DataFrame) -> DataFrame:
+    """``query_id, keyword, times, k``: a query's keywords, and how many it has with repeats."""
+    return (
         unfold(queries, ["query_id"], keywords(F.col("text")), "keyword")
         .groupBy("query_id", "keyword").agg(F.count("*").alias("times"))
         .withColumn("k", F.sum("times").over(W.partitionBy("query_id")))
     )
-    asked, _ = localized(asked)
-    found = matches(corpus, asked.select("keyword").distinct())
-    hit = found.join(asked, "keyword").groupBy("query_id", "k", "id", "chars", "words").agg(
+
+
+def _score(position: bool) -> Column:
+    ratio = F.col("hits") / F.col("k")
+    frequency = F.col("occurrences") / F.greatest("words", F.lit(1))
+    early = F.greatest((F.col("chars") - F.col("positions") / F.col("hits")) / F.col("chars"), F.lit(0.0))
+    return ratio * 0.5 + frequency * 0.3 + early * 0.2 if position else ratio * 0.5 + frequency * 0.5
+
+
+def scores(corpus: DataFrame, queries: DataFrame, position: bool = True, keep: list[str] | None = None, names: bool = True) -> DataFrame:
+    """``query_id, id, score, keyword_matches, matched_keywords``; texts without a hit are left out.
+
+    A keyword a query repeats counts as often. Without ``position`` the frequency
+    part weighs one half instead. Columns ``keep`` of the corpus stay; ``names=False``
+    leaves the matched keywords out.
+    """
+    keep = keep or []
+    asked, _ = localized(_asked(queries))
+    found = matches(corpus, asked.select("keyword").distinct(), keep)
+    # A document's matches are in one task, so its sums are complete before they move.
+    hit = found.join(asked, "keyword").groupBy("query_id", "k", "id", *keep, "chars", "words").agg(
         F.sum("times").alias("hits"),
         F.sum(F.col("times") * F.col("n")).alias("occurrences"),
         F.sum(F.col("times") * F.col("first")).alias("positions"),
-        F.sort_array(F.collect_set("keyword")).alias("matched_keywords"),
+        *[F.sort_array(F.collect_set("keyword")).alias("matched_keywords")] * names,
     )
-    ratio = F.col("hits") / F.col("k")
-    frequency = F.col("occurrences") / F.greatest("words", F.lit(1))
-    early = F.greatest((F.col("chars") - F.col("positions") / F.col("hits")) / F.col("chars"), F.lit(0.0))
-    score = ratio * 0.5 + frequency * 0.3 + early * 0.2 if position else ratio * 0.5 + frequency * 0.5
     return hit.select(
-        "query_id", "id", fixed(F.least(score, F.lit(1.0))).alias("score"),
-        F.col("hits").alias("keyword_matches"), "matched_keywords",
+        "query_id", "id", *keep, fixed(F.least(_score(position), F.lit(1.0))).alias("score"),
+        F.col("hits").alias("keyword_matches"), *["matched_keywords"] * names,
     )
 
 
-def top(corpus: DataFrame, queries: DataFrame, k: int, position: bool = True) -> DataFrame:
-    return top_k(scores(corpus, queries, position), k, ["query_id"])
+def top(corpus: DataFrame, queries: DataFrame, k: int, position: bool = True, key: Column | None = None) -> DataFrame:
+    """Best ``k`` per query; with ``key``, of documents with equal keys only the best one counts."""
+    if key is None:
+        return top_k(scores(corpus, queries, position, names=False), k, ["query_id"])
+    rows = scores(corpus.select("id", "text", key.alias("_key")), queries, position, ["_key"], names=False)
+    rows = keep_first(rows, ["query_id", "_key"], [F.desc("score"), F.col("id")])
+    return top_k(rows, k, ["query_id"]).drop("_key")

@@ -67,9 +67,11 @@ def confident(df: DataFrame, threshold: float, by: list[str], fallback: int = 3,
     return df.filter(keep).withColumn("low_confidence", F.col("_some") == 0).drop("_some")
 
 
-def top_with_range(df: DataFrame, k: int) -> DataFrame:
+def top_with_range(df: DataFrame, k: int, distinct: bool = False) -> DataFrame:
     """Best ``k`` of ``query_id, id, score`` with ``hits, low, high`` over all rows of the query.
 
+    With ``distinct``, the best row of each ``_key`` counts.
+
     One pass: every task keeps its best k per query and the count and range of what
     it saw, so the scored pairs are neither sorted nor shuffled nor computed a second
     time for their range. The window sees k rows per query and task.
@@ -77,6 +79,8 @@ def top_with_range(df: DataFrame, k: int) -> DataFrame:
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         order = pdf.sort_values(["query_id", "score", "id"], ascending=[True, False, True], kind="stable")
+        if distinct:
+            order = order.drop_duplicates(["query_id", "_key"])
         return order.groupby("query_id", sort=False).head(k)
 
     def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,11 +100,15 @@ def top_with_range(df: DataFrame, k: int) -> DataFrame:
             yield out
 
     types = dict(df.dtypes)
-    schema = f"query_id {types['query_id']}, id {types['id']}, score double, hits long, low double, high double"
-    rows = df.select("query_id", "id", F.col("score").cast("double")).mapInPandas(shrink, schema)
+    schema = f"query_id {types['query_id']}, id {types['id']}, {'_key string, ' * distinct}score double, hits long, low double, high double"
+    rows = df.select("query_id", "id", *["_key"] * distinct, F.col("score").cast("double")).mapInPandas(shrink, schema)
+    return merged(rows, k, distinct)
+
+
+def merged(parts: DataFrame, k: int, distinct: bool = False) -> DataFrame:
+    """Ranks 1 to ``k`` from the tasks' best, with ``hits, low, high`` over all pairs of the query."""
     w = W.partitionBy("query_id")
-    rows = rows.withColumns({
-        "rank": F.row_number().over(w.orderBy(F.desc("score"), "id")), "hits": F.sum("hits").over(w),
-        "low": F.min("low").over(w), "high": F.max("high").over(w),
-    })
-    return rows.filter(F.col("rank") <= k)
+    rows = parts.withColumns({"hits": F.sum("hits").over(w), "low": F.min("low").over(w), "high": F.max("high").over(w)})
+    if distinct:
+        rows = keep_first(rows, ["query_id", "_key"], [F.desc("score"), F.col("id")])
+    return rows.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)

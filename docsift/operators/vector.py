@@ -14,14 +14,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .grams import reaching
 from .layout import spread
-from .ranking import DIGITS, min_max, top_k
+from .ranking import DIGITS, keep_first, min_max, top_k
 
 # Query vectors per block.
 BLOCK = 2_000
 
 
-def _scorer(ids: list, matrix: np.ndarray, k: int | None, keep: list[str], group: str | None):
+def _scorer(ids: list, matrix: np.ndarray, k: int | None, keep: list[str], group: str | None, distinct: bool):
     unit = matrix / np.where(np.linalg.norm(matrix, axis=1, keepdims=True) == 0, 1, np.linalg.norm(matrix, axis=1, keepdims=True))
 
     def rows(pdf: pd.DataFrame, scores: np.ndarray, pick: np.ndarray) -> pd.DataFrame:
@@ -34,7 +35,10 @@ def _scorer(ids: list, matrix: np.ndarray, k: int | None, keep: list[str], group
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         order = pdf.sort_values(["query_id", "score", "id"], ascending=[True, False, True], kind="stable")
-        return order.groupby(["query_id", *([group] if group else [])], sort=False, dropna=False).head(k)
+        by = ["query_id", *([group] if group else [])]
+        if distinct:
+            order = order.drop_duplicates([*by, "_key"])
+        return order.groupby(by, sort=False, dropna=False).head(k)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -50,9 +54,9 @@ def _scorer(ids: list, matrix: np.ndarray, k: int | None, keep: list[str], group
                 continue
             # Cells at or above the k-th best of their query (and group) in this batch.
             cut = np.full(scores.shape, -np.inf)
+            keys = pd.factorize(pdf["_key"])[0] if distinct else None
             for at in pdf.groupby(group, sort=False, dropna=False).indices.values() if group else [np.arange(len(pdf))]:
-                if len(at) > k:
-                    cut[at] = np.partition(scores[at], -k, axis=0)[-k]
+                cut[at] = reaching(scores[at], k, keys[at] if distinct else None)
             part = rows(pdf, scores, scores >= cut)
             held = best(part if held is None else pd.concat([held, part]))
         if held is not None:
@@ -61,7 +65,7 @@ def _scorer(ids: list, matrix: np.ndarray, k: int | None, keep: list[str], group
     return score
 
 
-def _search(corpus: DataFrame, queries: DataFrame, k: int | None, group: str | None = None) -> DataFrame:
+def _search(corpus: DataFrame, queries: DataFrame, k: int | None, group: str | None = None, distinct: bool = False) -> DataFrame:
     keep = [c for c in corpus.columns if c not in ("id", "vec")]
     fields = ", ".join(f"`{c}` {t}" for c, t in corpus.select("id", *keep).dtypes)
     schema = f"query_id {dict(queries.dtypes)['query_id']}, {fields}, score double"
@@ -69,7 +73,7 @@ def _search(corpus: DataFrame, queries: DataFrame, k: int | None, group: str | N
     out = None
     for block in _blocks(queries.select("query_id", "vec").filter(F.col("vec").isNotNull())):
         matrix = np.stack(block["vec"].to_numpy()).astype(float) if len(block) else np.zeros((0, 1))
-        part = corpus.mapInPandas(_scorer(block["query_id"].tolist(), matrix, k, keep, group), schema)
+        part = corpus.mapInPandas(_scorer(block["query_id"].tolist(), matrix, k, keep, group, distinct), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -91,9 +95,16 @@ def scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     return _search(corpus, queries, None)
 
 
-def top(corpus: DataFrame, queries: DataFrame, k: int, group: str | None = None) -> DataFrame:
-    """Best ``k`` rows per query by cosine, or per query and value of ``group``: ``query_id, id, score, rank``."""
-    return top_k(_search(corpus, queries, k, group), k, ["query_id", *([group] if group else [])])
+def top(corpus: DataFrame, queries: DataFrame, k: int, group: str | None = None, distinct: bool = False) -> DataFrame:
+    """Best ``k`` rows per query by cosine, or per query and value of ``group``: ``query_id, id, score, rank``.
+
+    With ``distinct``, of rows with an equal ``_key`` only the best one counts (the smaller
+    id where scores are equal); tasks keep k different keys per query.
+    """
+    rows, by = _search(corpus, queries, k, group, distinct), ["query_id", *([group] if group else [])]
+    if distinct:
+        rows = keep_first(rows, [*by, "_key"], [F.desc("score"), F.col("id")])
+    return top_k(rows, k, by)
 
 
 def distance_score(cosine):

@@ -29,8 +29,6 @@ class SearchConfig:
     documents: int = 5
 
 
-
-
 def _bounded(results: DataFrame, queries: DataFrame, width: int) -> DataFrame:
     return small_side(results, fits_broadcast(queries, max(1, BROADCAST_ROWS // max(1, width))))
 
@@ -43,14 +41,19 @@ def _vec(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, "vec")
 
 
-def semantic(corpus: DataFrame, queries: DataFrame, k: int, dedup: bool = True) -> DataFrame:
-    """Nearest 2k by cosine, scaled over those, one per text, cut to ``k``."""
-    found = vector.normalised(vector.top(_vec(corpus, "id"), _vec(queries, "query_id"), 2 * k))
-    if not dedup:
-        return found
-    rows = _join_text(found, corpus, queries, 2 * k, F.md5(dedup_key(F.col("text"))).alias("_key"))
-    rows = keep_first(rows, ["query_id", "_key"], [F.col("rank")])
-    return top_k(rows.drop("rank", "_key"), k, ["query_id"], "original_score")
+def _keyed(corpus: DataFrame, key: Column) -> DataFrame:
+    return corpus.select("id", "vec", key.alias("_key"))
+
+
+def text_key() -> Column:
+    return F.md5(dedup_key(F.col("text")))
+
+
+def semantic(corpus: DataFrame, queries: DataFrame, k: int, keep_key: bool = False) -> DataFrame:
+    """Nearest 2k different texts by cosine, scaled over those, cut to ``k``."""
+    found = vector.normalised(vector.top(_keyed(corpus, text_key()), _vec(queries, "query_id"), 2 * k, distinct=True))
+    found = found.filter(F.col("rank") <= k)
+    return found if keep_key else found.drop("_key")
 
 
 def keyword(corpus: DataFrame, queries: DataFrame, k: int, vocab: DataFrame | None = None) -> DataFrame:
@@ -58,10 +61,9 @@ def keyword(corpus: DataFrame, queries: DataFrame, k: int, vocab: DataFrame | No
 
 
 def mixed(corpus: DataFrame, queries: DataFrame, k: int, vocab: DataFrame | None = None) -> DataFrame:
-    """Semantic and keyword lists of 2k fused by reciprocal rank on the text."""
-    key = F.md5(dedup_key(F.col("text"))).alias("key")
-    sem = _join_text(semantic(corpus, queries, k, dedup=False), corpus, queries, 2 * k, key)
-    key_list = _join_text(keyword(corpus, queries, 2 * k, vocab), corpus, queries, 2 * k, key)
+    """Semantic and keyword lists of 2k different texts fused by reciprocal rank on the text."""
+    sem = semantic(corpus, queries, 2 * k, keep_key=True).withColumnRenamed("_key", "key")
+    key_list = _join_text(keyword(corpus, queries, 2 * k, vocab), corpus, queries, 2 * k, text_key().alias("key"))
     return top_k(fusion.rrf_by_text(sem, key_list), k, ["query_id"])
 
 
@@ -75,31 +77,31 @@ def search(corpus: DataFrame, queries: DataFrame, mode: str, k: int = 5, where:
 
 
 def hybrid(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Semantic 2k and lexical 2k fused by id; of equal texts the better stays."""
-    sem = vector.top(_vec(corpus, "id"), _vec(queries, "query_id"), 2 * k)
-    lex = lexical.top(corpus.select("id", "text"), queries.select("query_id", "text"), 2 * k)
+    """Semantic and lexical lists of 2k different texts fused by id; of equal texts the better stays."""
+    sem = vector.top(_keyed(corpus, text_key()), _vec(queries, "query_id"), 2 * k, distinct=True)
+    lex = lexical.top(corpus.select("id", "text"), queries.select("query_id", "text"), 2 * k, key=text_key())
     cols = ["query_id", "id", "rank"]
     ids = _bounded(sem.select(*cols).unionByName(lex.select(*cols)).select("id").distinct(), queries, 4 * k)
-    heads = corpus.select("id", F.md5(dedup_key(F.col("text"))).alias("head")).join(ids, "id", "left_semi")
+    heads = corpus.select("id", text_key().alias("head")).join(ids, "id", "left_semi")
     return fusion.hybrid(sem, lex, heads, k)
 
 
 def advanced(corpus: DataFrame, queries: DataFrame, cfg: SearchConfig | None = None) -> DataFrame:
-    """Up to three ranked lists -> weighted fusion -> one per text -> contract boost -> ``k``."""
+    """Up to three ranked lists of different texts -> weighted fusion -> 2k -> contract boost -> ``k``.
+
+    Equal texts score alike in each list, so they are represented by the same id.
+    """
     cfg = cfg or SearchConfig(k=10)
-    k, texts, asked = cfg.k, corpus.select("id", "text"), queries.select("query_id", "text")
+    k, texts, asked, key = cfg.k, corpus.select("id", "text"), queries.select("query_id", "text"), content_hash(F.col("text"))
     makers = {
-        "semantic": lambda: vector.top(_vec(corpus, "id"), _vec(queries, "query_id"), 4 * k),
-        "bm25": lambda: bm25.top(texts, asked, 2 * k, lambda c: words(F.lower(c)), norm="max"),
-        "ngram": lambda: phrases.top(texts, asked, 2 * k),
+        "semantic": lambda: vector.top(_keyed(corpus, key), _vec(queries, "query_id"), 4 * k, distinct=True),
+        "bm25": lambda: bm25.top(texts, asked, 2 * k, lambda c: words(F.lower(c)), norm="max", key=key),
+        "ngram": lambda: phrases.top(texts, asked, 2 * k, key=key),
     }
     lists = [(m, makers[m]()) for m in ("semantic", "bm25", "ngram") if m in cfg.methods]
     fused = fusion.weighted_rrf(lists, [cfg.weights[m] for m, _ in lists])
-    rows = top_k(fused, 3 * k, ["query_id"]).drop("rank")
-    rows = _join_text(rows, corpus, queries, 3 * k, "text").withColumn("_key", content_hash(F.col("text")))
-    rows = keep_first(rows, ["query_id", "_key"], [F.col("score").desc(), F.col("id")])
-    rows = top_k(rows, 2 * k, ["query_id"]).drop("rank", "_key")
-    rows = rerank.legal_boost(rows, asked)
+    rows = top_k(fused, 2 * k, ["query_id"]).drop("rank")
+    rows = rerank.legal_boost(_join_text(rows, corpus, queries, 2 * k, "text"), asked)
     one = F.when(F.size("methods") == 1, F.get("methods", F.lit(0))).otherwise("hybrid")
     rows = rows.withColumn("retrieval_method", one).drop("methods")
     return top_k(rows, k, ["query_id"], "final_score")

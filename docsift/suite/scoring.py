@@ -30,7 +30,8 @@ def _blank(x: str) -> str:
 
 @query("f6_bm25_search", f"""
 WITH {_D}, {_Q}, {s.bm25('d', 'q', 5)},
- c AS (SELECT *, {s.dedup_key('text')} AS k FROM b_rank JOIN d USING (id) WHERE rk <= {2 * K}),
+ k AS MATERIALIZED (SELECT id, md5({s.dedup_key('text')}) AS k FROM d),
+ c AS (SELECT * FROM b_rank JOIN k USING (id)),
  u AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query_id, k ORDER BY rk) = 1)
 SELECT query_id, id, norm AS score, score AS original_score, row_number() OVER (PARTITION BY query_id ORDER BY rk) AS rank FROM u QUALIFY rank <= {K}""")
 def _(t):

@@ -46,6 +46,11 @@ BASE = f"""d AS MATERIALIZED (SELECT doc_id AS id, text, source || '.txt' AS fil
 _MM = "CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w), 6) END"
 
 
+# Of equal texts the nearest row.
+UNIQUE = """su AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rk) AS r FROM (
+   SELECT sem.*, d.k FROM sem JOIN d USING (id) QUALIFY row_number() OVER (PARTITION BY query_id, k ORDER BY rk) = 1))"""
+
+
 @query("k1_embedding", f"WITH d AS (SELECT doc_id AS id, text FROM documents), e AS ({s.embedding_cells('d', 'id')}) SELECT id, count(*) AS filled, round(sum(v), 6) + 0.0 AS total FROM e GROUP BY id")
 def _(t):
     rows = spread(t.documents, "doc_id").select(F.col("doc_id").alias("id"), embed_udf(hashing_embed)(F.col("text")).alias("v"))
@@ -54,23 +59,19 @@ def _(t):
 
 
 @query("f1_semantic_search", f"""
-WITH {BASE}, n AS (SELECT *, {_MM} AS norm FROM sem WHERE rk <= {2 * K} WINDOW w AS (PARTITION BY query_id)),
- u AS (SELECT n.* FROM n JOIN d USING (id) QUALIFY row_number() OVER (PARTITION BY query_id, k ORDER BY rk) = 1)
-SELECT query_id, id, norm AS score, score AS original_score, row_number() OVER (PARTITION BY query_id ORDER BY rk) AS rank FROM u QUALIFY rank <= {K}""")
+WITH {BASE}, {UNIQUE}, n AS (SELECT *, {_MM} AS norm FROM su WHERE r <= {2 * K} WINDOW w AS (PARTITION BY query_id))
+SELECT query_id, id, norm AS score, score AS original_score, r AS rank FROM n WHERE r <= {K}""")
 def _(t):
     rows = plan.search(corpus(t), queries(t), "semantic", K)
     return rows.select("query_id", "id", "score", "original_score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("f15_mixed_search", f"""
-WITH {BASE}, {s.bm25('d', 'q', 5)},
- a AS (SELECT query_id, k, min(rk) AS r FROM sem JOIN d USING (id) WHERE rk <= {2 * K} GROUP BY ALL),
- c AS (SELECT query_id, id, k, rk FROM b_rank JOIN d USING (id) WHERE rk <= {4 * K}),
- u AS (SELECT query_id, k, rk FROM c QUALIFY row_number() OVER (PARTITION BY query_id, k ORDER BY rk) = 1),
- b AS (SELECT query_id, k, row_number() OVER (PARTITION BY query_id ORDER BY rk) AS r FROM u QUALIFY r <= {2 * K}),
- f AS (SELECT query_id, k, round(coalesce(1.0 / (60 + a.r), 0)::DOUBLE + coalesce(1.0 / (60 + b.r), 0)::DOUBLE, 9) AS score FROM a FULL JOIN b USING (query_id, k)),
- i AS (SELECT f.*, coalesce((SELECT arg_min(s2.id, s2.rk) FROM sem s2 JOIN d d2 USING (id) WHERE s2.query_id = f.query_id AND d2.k = f.k AND s2.rk <= {2 * K}),
-   (SELECT arg_min(c2.id, c2.rk) FROM c c2 WHERE c2.query_id = f.query_id AND c2.k = f.k)) AS id FROM f)
+WITH {BASE}, {UNIQUE}, {s.bm25('d', 'q', 5)},
+ a AS (SELECT query_id, k, id, r FROM su WHERE r <= {2 * K}),
+ u AS (SELECT query_id, id, k, rk FROM b_rank JOIN d USING (id) QUALIFY row_number() OVER (PARTITION BY query_id, k ORDER BY rk) = 1),
+ b AS (SELECT query_id, k, id, row_number() OVER (PARTITION BY query_id ORDER BY rk) AS r FROM u QUALIFY r <= {2 * K}),
+ i AS (SELECT query_id, coalesce(a.id, b.id) AS id, round(coalesce(1.0 / (60 + a.r), 0)::DOUBLE + coalesce(1.0 / (60 + b.r), 0)::DOUBLE, 9) AS score FROM a FULL JOIN b USING (query_id, k))
 SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM i QUALIFY rank <= {K}""")
 def _(t):
     rows = plan.search(corpus(t), queries(t), "mixed", K)
@@ -78,9 +79,10 @@ def _(t):
 
 
 @query("f16_hybrid_search", f"""
-WITH {BASE}, {lexical_sql(True)},
- l AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM lex QUALIFY r <= {2 * K}),
- m AS (SELECT query_id, id, rk AS r FROM sem WHERE rk <= {2 * K}),
+WITH {BASE}, {UNIQUE}, {lexical_sql(True)},
+ lu AS (SELECT lex.* FROM lex JOIN d USING (id) QUALIFY row_number() OVER (PARTITION BY query_id, d.k ORDER BY score DESC, id) = 1),
+ l AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM lu QUALIFY r <= {2 * K}),
+ m AS (SELECT query_id, id, r FROM su WHERE r <= {2 * K}),
  f AS (SELECT query_id, id, round(coalesce(1.0 / (60 + m.r), 0)::DOUBLE + coalesce(1.0 / (60 + l.r), 0)::DOUBLE, 9) AS score FROM m FULL JOIN l USING (query_id, id)),
  u AS (SELECT f.* FROM f JOIN d USING (id) QUALIFY row_number() OVER (PARTITION BY query_id, d.k ORDER BY score DESC, id) = 1)
 SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM u QUALIFY rank <= {K}""")
@@ -107,15 +109,22 @@ def _(t):
     return rerank.legal_boost(rows, asked).select("id", "clause_type", "section_id", "is_obligation", "party_relevance", "final_score")
 
 
+def distinct_list(src: str, order: str, n: int) -> str:
+    """The best ``n`` of ``src``, of texts equal up to case and outer white space the first."""
+    return f"""(SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS r FROM (
+     SELECT x.* FROM {src} x JOIN h USING (id) QUALIFY row_number() OVER (PARTITION BY query_id, h ORDER BY {order}) = 1) QUALIFY r <= {n})"""
+
+
+_HASHES = f"h AS MATERIALIZED (SELECT id, md5(lower({s.strip('text')})) AS h FROM d)"
+
+
 @query("f22_advanced_search", f"""
-WITH {BASE}, {s.bm25('d', 'q', 1, _blank)}, {_PHRASES},
- u AS (SELECT query_id, id, 0.4::DOUBLE / (60 + rk) AS p, 'semantic' AS m FROM sem WHERE rk <= {4 * K}
-   UNION ALL SELECT query_id, id, 0.35::DOUBLE / (60 + rk), 'bm25' FROM b_rank WHERE rk <= {2 * K}
-   UNION ALL SELECT query_id, id, 0.25::DOUBLE / (60 + r), 'ngram' FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM ph QUALIFY r <= {2 * K})),
+WITH {BASE}, {s.bm25('d', 'q', 1, _blank)}, {_PHRASES}, {_HASHES},
+ u AS (SELECT query_id, id, 0.4::DOUBLE / (60 + r) AS p, 'semantic' AS m FROM {distinct_list('sem', 'rk', 4 * K)}
+   UNION ALL SELECT query_id, id, 0.35::DOUBLE / (60 + r), 'bm25' FROM {distinct_list('b_rank', 'rk', 2 * K)}
+   UNION ALL SELECT query_id, id, 0.25::DOUBLE / (60 + r), 'ngram' FROM {distinct_list('ph', 'score DESC, id', 2 * K)}),
  f AS (SELECT query_id, id, round(sum(p), 9) AS score, CASE WHEN count(*) = 1 THEN min(m) ELSE 'hybrid' END AS retrieval_method FROM u GROUP BY query_id, id),
- f1 AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {3 * K}),
- f2 AS (SELECT f1.*, d.text FROM f1 JOIN d USING (id) QUALIFY row_number() OVER (PARTITION BY query_id, md5(lower({s.strip('d.text')})) ORDER BY score DESC, id) = 1),
- f3 AS (SELECT f2.*, q.text AS qtext FROM f2 JOIN q USING (query_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {2 * K}),
+ f3 AS (SELECT f.*, d.text, q.text AS qtext FROM f JOIN d USING (id) JOIN q USING (query_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {2 * K}),
  fin AS (SELECT *, round(score * boost::DOUBLE, 9) AS final_score FROM ({boost_sql('SELECT * FROM f3')}))
 SELECT query_id, id, kind AS clause_type, section_id, retrieval_method, final_score, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, id) AS rank FROM fin QUALIFY rank <= {K}""")
 def _(t):
@@ -233,13 +242,11 @@ def _(t):
 
 
 @query("f26_facade", f"""
-WITH {BASE}, {s.bm25('d', 'q', 1, _blank)}, {_PHRASES},
- u AS (SELECT query_id, id, {0.35 / (0.35 + 0.25)}::DOUBLE / (60 + rk) AS p, 'bm25' AS m FROM b_rank WHERE rk <= {2 * K}
-   UNION ALL SELECT query_id, id, {0.25 / (0.35 + 0.25)}::DOUBLE / (60 + r), 'ngram' FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM ph QUALIFY r <= {2 * K})),
+WITH {BASE}, {s.bm25('d', 'q', 1, _blank)}, {_PHRASES}, {_HASHES},
+ u AS (SELECT query_id, id, {0.35 / (0.35 + 0.25)}::DOUBLE / (60 + r) AS p, 'bm25' AS m FROM {distinct_list('b_rank', 'rk', 2 * K)}
+   UNION ALL SELECT query_id, id, {0.25 / (0.35 + 0.25)}::DOUBLE / (60 + r), 'ngram' FROM {distinct_list('ph', 'score DESC, id', 2 * K)}),
  f AS (SELECT query_id, id, round(sum(p), 9) AS score, CASE WHEN count(*) = 1 THEN min(m) ELSE 'hybrid' END AS retrieval_method FROM u GROUP BY query_id, id),
- f1 AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {3 * K}),
- f2 AS (SELECT f1.*, d.text FROM f1 JOIN d USING (id) QUALIFY row_number() OVER (PARTITION BY query_id, md5(lower({s.strip('d.text')})) ORDER BY score DESC, id) = 1),
- f3 AS (SELECT f2.*, q.text AS qtext FROM f2 JOIN q USING (query_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {2 * K}),
+ f3 AS (SELECT f.*, d.text, q.text AS qtext FROM f JOIN d USING (id) JOIN q USING (query_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {2 * K}),
  fin AS (SELECT *, round(score * boost::DOUBLE, 9) AS final_score FROM ({boost_sql('SELECT * FROM f3')}))
 SELECT query_id, id::VARCHAR AS id, md5(text) AS content, score AS base, final_score AS final, kind AS clause_type, section_id, round(party, 6) AS party_relevance, oblig AS is_obligation, retrieval_method,
   row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, id) AS rank FROM fin QUALIFY rank <= {K}""")
