@@ -154,6 +154,17 @@ class Best:
     def __init__(self, k: int, distinct: bool):
         self.k, self.distinct, self.held = k, distinct, None
 
+    def add_block(self, table: pd.DataFrame, scores: np.ndarray, inside: np.ndarray, ids: list) -> None:
+        """Rows of ``table`` by their scores for every query, where ``inside`` is set."""
+        if not len(table):
+            return
+        scores = np.where(inside, scores, -np.inf)
+        keys = pd.factorize(table["_key"])[0] if self.distinct else None
+        row, query = np.nonzero(inside & (scores >= reaching(scores, self.k, keys)))
+        part = table.iloc[row].reset_index(drop=True)
+        part.insert(0, "query_id", pd.Series(ids, dtype=None).iloc[query].to_numpy())
+        self.add(part.assign(score=scores[row, query]))
+
     def add(self, part: pd.DataFrame) -> None:
         rows = part if self.held is None else pd.concat([self.held, part], ignore_index=True)
         rows = rows.sort_values(["query_id", "score", "id"], ascending=[True, False, True], kind="stable")
@@ -186,10 +197,8 @@ def scored(rows: DataFrame, asked: Asked, weight: np.ndarray, part: Callable, k:
                     continue
                 hits += inside.sum(axis=0)
                 low = np.minimum(low, np.where(inside, scores, np.inf).min(axis=0))
-                scores = np.where(inside, scores, -np.inf)
-                high = np.maximum(high, scores.max(axis=0))
-                cut = reaching(scores, k, pd.factorize(table["_key"])[0] if distinct else None)
-                best.add(picked(table, scores, inside & (scores >= cut)))
+                high = np.maximum(high, np.where(inside, scores, -np.inf).max(axis=0))
+                best.add_block(table, scores, inside, asked.ids)
         if best.held is not None and len(best.held):
             query = best.held["query_id"].map({q: i for i, q in enumerate(asked.ids)}).to_numpy()
             out = best.held.assign(hits=hits[query], low=low[query], high=high[query])

@@ -16,12 +16,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.text import count_words
+from ..functions.text import SPACES
 from ..functions.tokens import keywords
 from ..session import localized
+from .grams import CELLS, Best
 from .layout import spread, unfold
-from .ranking import fixed, keep_first, top_k
+from .ranking import DIGITS, fixed, keep_first, top_k
 
 # Distinct keywords one automaton holds; larger sets are searched block by block.
 BLOCK = 100_000
@@ -35,18 +37,33 @@ def _inside() -> np.ndarray:
     return out
 
 
-def _runs(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
-    """Runs of word characters of all texts, coded, the row of each and its place in the text."""
+@lru_cache(maxsize=1)
+def _blank() -> np.ndarray:
+    """Which code points are white space."""
+    out = np.zeros(0x110000, bool)
+    out[[ord(c) for c in SPACES]] = True
+    return out
+
+
+def _starts(inside: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where runs of true values begin; none reaches over the beginning of a text."""
+    before = np.zeros(len(inside), bool)
+    before[1:] = inside[:-1]
+    before[first[first < len(inside)]] = False
+    return np.flatnonzero(inside & ~before)
+
+
+def _runs(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of word characters of all texts, coded, the row of each and its place in the text;
+    and the number of words between white space of each text."""
     texts = texts.cast(pa.large_string()).fill_null("")
     whole = "".join(texts.to_pylist())
     points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
     sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
     first = np.cumsum(sizes) - sizes
     inside = _inside()[points]
-    before = np.zeros(len(points), bool)
-    before[1:] = inside[:-1]
-    before[first[sizes > 0]] = False
-    start = np.flatnonzero(inside & ~before)
+    start = _starts(inside, first)
+    spoken = np.searchsorted(_starts(~_blank()[points], first), np.append(first, len(points)))
     # Everything else becomes a blank, and the runs are what stands between blanks.
     data = np.frombuffer(whole.encode(), np.uint8).copy()
     lead = np.flatnonzero((data & 0xC0) != 0x80)
@@ -57,65 +74,111 @@ def _runs(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
     runs = pc.ascii_split_whitespace(blanked).flatten()
     runs = runs.filter(pc.greater(pc.binary_length(runs), 0)).dictionary_encode()
     row = np.searchsorted(first, start, "right") - 1
-    return runs, row, start - first[row]
+    return runs, row, start - first[row], np.diff(spoken)
 
 
-def _matcher(keys: list[str], names: list[str]):
-    """Task function: documents -> their columns ``names`` and the keywords inside them with first position and count.
+class Finder:
+    """Documents of a batch -> the keywords in them, with first position and count.
 
     Occurrences of one keyword that overlap each other count once, as ``str.count`` does.
     """
-    def machine():
-        out = ahocorasick.Automaton()
+
+    def __init__(self, keys: list[str]):
+        self.n, self.machine = len(keys), ahocorasick.Automaton()
         for i, key in enumerate(keys):
-            out.add_word(key, (i, key))
-        out.make_automaton()
-        return out
+            self.machine.add_word(key, (i, key))
+        self.machine.make_automaton()
+
+    def of_run(self, run: str) -> Iterator[tuple[int, int, int]]:
+        """Keyword, first position and count in one run."""
+        seen: dict[int, list[int]] = {}
+        for end, (key, text) in self.machine.iter(run):
+            begin = end - len(text) + 1
+            if key not in seen:
+                seen[key] = [begin, 1, end]
+            elif begin > seen[key][2]:
+                seen[key][1:] = [seen[key][1] + 1, end]
+        return ((key, begin, n) for key, (begin, n, _) in seen.items())
+
+    def found(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``row, keyword, first, n`` in order of row, and the words of each text."""
+        runs, row, place, spoken = _runs(texts)
+        code = runs.indices.to_numpy(zero_copy_only=False)
+        cells = np.array([(i, *x) for i, run in enumerate(runs.dictionary.to_pylist()) for x in self.of_run(run)], np.int64).reshape(-1, 4)
+        first = np.searchsorted(cells[:, 0], np.arange(len(runs.dictionary) + 1))
+        n = first[code + 1] - first[code]
+        at = np.repeat(first[code] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        where = np.repeat(place, n) + cells[at, 2]
+        # Runs come in order, so the first of a pair is its first position.
+        pair, once, back = np.unique(np.repeat(row, n) * self.n + cells[at, 1], return_index=True, return_inverse=True)
+        return pair // self.n, pair % self.n, where[once], np.bincount(back, cells[at, 3], len(pair)).astype(np.int64), spoken
+
 
+def _matcher(keys: list[str], names: list[str]):
+    """Task function: documents -> their columns ``names``, their words, and a row for each keyword in them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = machine() if keys else None
-        for batch in batches:
-            if found is None:
-                return
-            runs, row, place = _runs(batch.column("text"))
-            code, cells = runs.indices.to_numpy(zero_copy_only=False), []
-            for i, run in enumerate(runs.dictionary.to_pylist()):
-                seen: dict[int, list[int]] = {}
-                for end, (key, text) in found.iter(run):
-                    begin = end - len(text) + 1
-                    if key not in seen:
-                        seen[key] = [begin, 1, end]
-                    elif begin > seen[key][2]:
-                        seen[key][1:] = [seen[key][1] + 1, end]
-                cells += [(i, key, begin, n) for key, (begin, n, _) in seen.items()]
-            cells = np.array(cells, np.int64).reshape(-1, 4)
-            first = np.searchsorted(cells[:, 0], np.arange(len(runs.dictionary) + 1))
-            n = first[code + 1] - first[code]
-            at = np.repeat(first[code] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            pair = np.repeat(row, n) * len(keys) + cells[at, 1]
-            where, count = np.repeat(place, n) + cells[at, 2], cells[at, 3]
-            # Runs come in order, so the first of a pair is its first position.
-            pair, once, back = np.unique(pair, return_index=True, return_inverse=True)
-            doc = pa.array(pair // len(keys))
-            out = [batch.column(c).take(doc) for c in names]
+        finder = Finder(keys) if keys else None
+        for batch in batches if finder else ():
+            row, key, first, n, spoken = finder.found(batch.column("text"))
+            out = [*[batch.column(c) for c in names], pa.array(spoken.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(
-                [*out, pa.array(keys, pa.string()).take(pa.array(pair % len(keys))), pa.array(where[once].astype(np.int32)),
-                 pa.array(np.bincount(back, count, len(pair)).astype(np.int32))], [*names, "keyword", "first", "n"])
+                [*[c.take(pa.array(row)) for c in out], pa.array(keys, pa.string()).take(pa.array(key)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))],
+                [*names, "words", "keyword", "first", "n"])
 
     return run
 
 
+def _best(rows: DataFrame, asked: list, k: int, position: bool, distinct: bool, query_type: str) -> DataFrame:
+    """Each task's best ``k`` per query; scores of a batch are a dense block, documents by queries."""
+    keys, ids = sorted({r["keyword"] for r in asked}), list(dict.fromkeys(r["query_id"] for r in asked))
+    number, query = {key: i for i, key in enumerate(keys)}, {q: i for i, q in enumerate(ids)}
+    cells = np.array(sorted((number[r["keyword"]], query[r["query_id"]], r["times"]) for r in asked), np.int64).reshape(-1, 3)
+    first, width = np.searchsorted(cells[:, 0], np.arange(len(keys) + 1)), len(ids)
+    total = np.zeros(width)
+    total[[query[r["query_id"]] for r in asked]] = [r["k"] for r in asked]
+    names, kinds = ["id", *["_key"] * distinct], dict(rows.dtypes)
+    schema = f"query_id {query_type}, id {kinds['id']}, {'_key string, ' * distinct}score double"
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in rows.sparkSession.createDataFrame([], schema).schema])
+
+    def scored(batch: pa.RecordBatch, finder: Finder) -> tuple[np.ndarray, np.ndarray]:
+        row, key, at, n, spoken = finder.found(batch.column("text"))
+        many = first[key + 1] - first[key]
+        inner = np.repeat(first[key] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        cell, times = np.repeat(row, many) * width + cells[inner, 1], cells[inner, 2]
+        add = lambda w: np.bincount(cell, w, batch.num_rows * width).reshape(batch.num_rows, width)
+        hits, found, places = add(times), add(times * np.repeat(n, many)), add(times * np.repeat(at, many))
+        often = found / np.maximum(spoken, 1)[:, None]
+        score = hits / total * 0.5 + often * (0.3 if position else 0.5)
+        if position:
+            chars = batch.column("chars").to_numpy(zero_copy_only=False)[:, None]
+            score += np.maximum((chars - places / np.maximum(hits, 1)) / np.maximum(chars, 1), 0.0) * 0.2
+        return np.round(np.minimum(score, 1.0), DIGITS), hits > 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder, best = Finder(keys), Best(k, distinct)
+        for batch in batches:
+            step = max(1, CELLS // (4 * width))
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                scores, inside = scored(part, finder)
+                best.add_block(pa.table([part.column(c) for c in names], names).to_pandas(), scores, inside, ids)
+        if best.held is not None:
+            yield from pa.Table.from_pandas(best.held, schema=arrow, preserve_index=False).to_batches()
+
+    return rows.mapInArrow(run, schema)
+
+
 def _documents(corpus: DataFrame, keep: list[str]) -> DataFrame:
     docs = spread(corpus.select("id", "text", *keep), "id").select("id", *keep, F.lower("text").alias("text"))
-    return docs.select("id", *keep, "text", F.length("text").alias("chars"), count_words(F.col("text")).alias("words"))
+    return docs.withColumn("chars", F.length("text"))
 
 
 def matches(corpus: DataFrame, keys: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``id, chars, words, keyword, first, n`` (and columns ``keep``) for each keyword found in a text."""
-    columns = ["id", *(keep or []), "chars", "words"]
+    columns = ["id", *(keep or []), "chars"]
     docs = _documents(corpus, keep or [])
     kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", keyword string, first int, n int"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", words int, keyword string, first int, n int"
     found = None
     for block in _blocks(keys):
         rows = docs.mapInArrow(_matcher(block, columns), schema)
@@ -173,9 +236,19 @@ def scores(corpus: DataFrame, queries: DataFrame, position: bool = True, keep: l
 
 
 def top(corpus: DataFrame, queries: DataFrame, k: int, position: bool = True, key: Column | None = None) -> DataFrame:
-    """Best ``k`` per query; with ``key``, of documents with equal keys only the best one counts."""
-    if key is None:
-        return top_k(scores(corpus, queries, position, names=False), k, ["query_id"])
-    rows = scores(corpus.select("id", "text", key.alias("_key")), queries, position, ["_key"], names=False)
-    rows = keep_first(rows, ["query_id", "_key"], [F.desc("score"), F.col("id")])
+    """Best ``k`` per query; with ``key``, of documents with equal keys only the best one counts.
+
+    A bounded query set is scored where the documents are; a larger one is joined by keyword.
+    """
+    distinct = key is not None
+    if distinct:
+        corpus = corpus.select("id", "text", key.alias("_key"))
+    asked = _asked(queries)
+    held = asked.limit(BLOCK + 1).collect()
+    if 0 < len(held) <= BLOCK:
+        rows = _best(_documents(corpus, ["_key"] * distinct), held, k, position, distinct, dict(queries.dtypes)["query_id"])
+    else:
+        rows = scores(corpus, queries, position, ["_key"] * distinct, names=False)
+    if distinct:
+        rows = keep_first(rows, ["query_id", "_key"], [F.desc("score"), F.col("id")])
     return top_k(rows, k, ["query_id"]).drop("_key")
