@@ -5,10 +5,10 @@ before, what it adds is the new turn's span. Where it does not, the template rew
 history, and the turn at which it did is reported. A turn rendered with one marker
 character instead of its text shows where the text stands within the span.
 
-Prefixes of a long conversation would cost the square of its length. Its turns are
-therefore rendered in stretches, each behind the turn before it, and the pieces must add
-up to the rendering of the whole, which is checked for each conversation. Where they do
-not, all prefixes are rendered after all.
+Prefixes of a long conversation cost the square of its length. A caller whose template
+never looks back may have turns rendered in stretches, each behind the turn before it; the
+pieces must then add up to the rendering of the whole, which is checked for each
+conversation, and where they do not, all prefixes are rendered after all.
 """
 
 from __future__ import annotations
@@ -87,12 +87,12 @@ def stretch_spans(rendered: Callable[[list[Turn]], str], turns: list[Turn], firs
     return added, places, rewrites
 
 
-def spans(rendered: Callable[[list[Turn]], str], turns: list[Turn], every: bool = False) -> tuple[str, list[Span] | None, list[int]]:
+def spans(rendered: Callable[[list[Turn]], str], turns: list[Turn], every: bool = True) -> tuple[str, list[Span] | None, list[int]]:
     """Whole text, each turn's span and its text's span, and the turns that rewrite history.
 
-    Spans are only given where history is never rewritten. Beyond STRETCH turns, only
-    rewrites within a stretch or visible in the whole text are found, unless ``every``
-    prefix is to be rendered.
+    Spans are only given where history is never rewritten. Unless ``every`` prefix is
+    rendered, beyond STRETCH turns only rewrites within a stretch or visible in the whole
+    text are found.
     """
     whole = rendered(turns)
     head = rendered([])
@@ -115,12 +115,13 @@ SPAN = pa.struct([("role", pa.string()), ("first", pa.int64()), ("last", pa.int6
 
 
 def format_chats(rows: DataFrame, rendered: Callable[[list[Turn]], str] = render, conv_id: str = "conv_id", turn: str = "turn",
-                 role: str = "role", text: str = "text") -> DataFrame:
+                 role: str = "role", text: str = "text", every: bool = True) -> DataFrame:
     """``conv_id, formatted, turns, rewrites``, one row per conversation.
 
     Turns are put in order of ``turn``, then role and text. ``turns`` holds each turn's
     role and spans in characters, ends excluded, or is null where the template rewrote
-    history at the turns in ``rewrites``. A null text or role is empty, a null turn comes
+    history at the turns in ``rewrites``; ``every=False`` renders long conversations in stretches
+    (see ``spans``), for templates known not to look back. A null text or role is empty, a null turn comes
     first, rows without an id are one conversation, repeated rows are turns of their own;
     an empty table gives no rows. Other columns are not read. A conversation is one value
     and so has to fit into a task, as its formatted text does; no two must fit together.
@@ -134,7 +135,7 @@ def format_chats(rows: DataFrame, rendered: Callable[[list[Turn]], str] = render
         for t in grouped(batches, "key"):
             keys, roles, texts = (t.column(c).to_pylist() for c in ("key", "role", "text"))
             edges = [i for i in range(len(keys) + 1) if i in (0, len(keys)) or keys[i] != keys[i - 1]]
-            found = [spans(rendered, list(zip(roles[a:b], texts[a:b]))) for a, b in zip(edges, edges[1:])]
+            found = [spans(rendered, list(zip(roles[a:b], texts[a:b])), every) for a, b in zip(edges, edges[1:])]
             turns = [None if s is None else [dict(zip(SPAN.names, (r, *x))) for r, x in zip(roles[a:], s)] for a, (_, s, _) in zip(edges, found)]
             for lo in range(0, len(found), 256):
                 part = slice(lo, lo + 256)

@@ -25,13 +25,17 @@ TILE = 256  # queries of a tile
 def coded(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Codes (-127..127), scale, coding error and squared length of the codes, per row."""
     scale = np.abs(data).max(1) / 127
+    scale[scale < 1e-300] = 1.0  # codes are 0, all is error
     codes = np.rint(data / scale[:, None]).astype(np.int8)
     error = np.linalg.norm(data - codes * scale[:, None], axis=1)
     return codes, scale, error, (codes.astype(np.int32) ** 2).sum(1)
 
 
 def bounds(q: tuple, c: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of all distances between two coded tiles."""
+    """Lower and upper bounds of all distances between two coded tiles.
+
+    Where components are so large that squares overflow, nothing is known of a pair.
+    """
     (qc, qs, qe, qn), (cc, cs, ce, cn) = q, c
     product = qc.astype(np.float32) @ cc.astype(np.float32).T  # exact: below 2^24 up to 1,040 dimensions
     square = (qs**2 * qn)[:, None] + (cs**2 * cn)[None, :] - 2 * product * (qs[:, None] * cs[None, :])
@@ -41,18 +45,35 @@ def bounds(q: tuple, c: tuple) -> tuple[np.ndarray, np.ndarray]:
     error = qe[:, None] + ce[None, :]
     low, high = np.sqrt(np.maximum(square - loose, 0)) - error, np.sqrt(np.maximum(square + loose, 0)) + error
     slack = 1e-12 * (1 + high)
-    return low - slack, high + slack
+    low, high = low - slack, high + slack
+    unknown = ~(np.isfinite(low) & np.isfinite(high))
+    return np.where(unknown, -np.inf, low), np.where(unknown, np.inf, high)
+
+
+def distances(c: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Distances of rows to ``q``, squares summed in order, as anyone would; by parts of the
+    largest difference where squares leave the range of doubles."""
+    apart = c - q
+    out = np.sqrt(np.cumsum(apart**2, axis=1)[:, -1])
+    odd = np.flatnonzero(~((out > 1e-150) & (out < 1e150)))
+    if len(odd):
+        most = np.abs(apart[odd]).max(axis=1)
+        parts = np.divide(apart[odd], most[:, None], out=np.zeros_like(apart[odd]), where=(most > 0)[:, None] & np.isfinite(most)[:, None])
+        out[odd] = np.where(np.isfinite(most), most * np.sqrt(np.cumsum(parts**2, axis=1)[:, -1]), np.inf)
+    return out
 
 
 def best_of_tile(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, coded_c: tuple, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Query, ids and distances of its ``k`` nearest in the tile, nearest first."""
-    low, high = bounds(coded(q), coded_c)
+    with np.errstate(all="ignore"):
+        low, high = bounds(coded(q), coded_c)
     for i in range(len(q_ids)):
         own = ids == q_ids[i]
         reach = np.where(own, np.inf, high[i])
         limit = np.partition(reach, k - 1)[k - 1] if len(reach) > k else np.inf
         left = np.flatnonzero((low[i] <= limit) & ~own)
-        exact = np.sqrt(np.cumsum((c[left] - q[i]) ** 2, axis=1)[:, -1])  # summed in order, as anyone would
+        with np.errstate(all="ignore"):
+            exact = distances(c[left], q[i])
         order = np.lexsort((ids[left], exact))[:k]
         yield int(q_ids[i]), ids[left][order], exact[order]
 
@@ -64,14 +85,17 @@ def nearest(table: DataFrame, k: int = 10, every: int = 100, vec_id: str = "vec_
     with the query's id; ties go to the smaller id. Null, empty and zero vectors, vectors
     with null or non-finite components and rows without an id take no part; vectors of
     different lengths are not compared. Repeated candidates count as often as they occur,
-    a repeated query once. Fewer candidates than ``k`` give fewer rows, none give none.
+    a repeated query once; no row with the query's id is its candidate. Components of any
+    finite size take part (a distance beyond the doubles is infinite). Fewer candidates
+    than ``k`` give fewer rows, none give none.
     """
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heaps: dict[int, list[tuple[float, int]]] = {}
         for row in each(batches):
             ids, c = unpacked(row["ids"], row["data"])
             q_ids, q = unpacked(row["q_ids"], row["q_data"])
-            coded_c = coded(c)
+            with np.errstate(all="ignore"):
+                coded_c = coded(c)
             for lo in range(0, len(q_ids), TILE):
                 for query, found, score in best_of_tile(q_ids[lo : lo + TILE], q[lo : lo + TILE], ids, c, coded_c, k):
                     heap = heaps.setdefault(query, [])

@@ -1,10 +1,12 @@
 """Splitting and hashing of whole text columns in numpy.
 
 A column's texts lie in one buffer. Segments (words, pre-tokens) are found by comparing
-neighbouring characters' classes, and all of them are hashed with one running sum: with
-an odd multiplier, the sum over a segment, divided by the power at its start, depends on
-the segment alone. Work goes through pieces of bounded size, so a very long text needs no
-more memory than a few short ones.
+neighbouring characters' classes, and all of them are hashed with two running sums: the
+sum over a segment, divided by the multiplier's power at its start, depends on the segment
+alone. One sum is modulo 2^64 with an odd multiplier. Regular words can defeat that (two
+long Thue-Morse words over the same letters have one sum, whatever the multiplier), so the
+other is modulo a prime, where they don't. Work goes through pieces of bounded size, so a
+very long text needs no more memory than a few short ones.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ STRETCH = 1 << 22  # bytes of texts whose words are held at a time
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # odd
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_PRIME, _BASE = (1 << 31) - 1, 1_220_703_125
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -41,6 +44,26 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][: n + 1], _powers["down"][: n + 1]
 
 
+def prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0..n of the base and of its inverse modulo the prime."""
+    if "prime" not in _powers or len(_powers["prime"]) <= n:
+        size = max(n, PIECE) + 1
+        for name, step in (("prime", _BASE), ("inverse", pow(_BASE, -1, _PRIME))):
+            a = np.ones(1, np.uint64)
+            while len(a) < size:  # twice as many each time
+                a = np.concatenate([a, a * np.uint64(pow(step, len(a), _PRIME)) % np.uint64(_PRIME)])
+            _powers[name] = a[:size]
+    return _powers["prime"][: n + 1], _powers["inverse"][: n + 1]
+
+
+def prime_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The second sum of ``hashes``: 31 bits for each segment."""
+    up, down = prime_powers(len(values))
+    prime, sums = np.uint64(_PRIME), np.zeros(len(values) + 1, np.uint64)
+    np.cumsum((values >> np.uint64(33)) * up[: len(values)] % prime, out=sums[1:])  # below 2^31 each
+    return (sums[ends] - sums[starts]) % prime * down[starts] % prime
+
+
 def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts and the places where they begin and end; null is empty."""
     texts = texts.cast(pa.large_string()).fill_null("") if not pa.types.is_large_binary(texts.type) else texts.fill_null(b"")
@@ -76,7 +99,8 @@ def hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     up, down = powers(len(values))
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    first = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)
+    return mixed(first + mixed(prime_sums(values, starts, ends) + _STEP))
 
 
 def byte_values(lower: bool) -> np.ndarray:

@@ -30,6 +30,7 @@ TOGETHER = 4096  # windows that run side by side
 
 # The sample to fit on: labelled texts of each class, in order of a hash of the id.
 SAMPLE, SAMPLE_BYTES = 1000, 20_000
+LEAST_APART = 50  # toxic texts set apart from which on the border between the classes is set on these alone
 ROUNDS, STEPS, BATCH, RATE, SEED = 6, 200, 384, 0.015, 7  # more rounds for small samples, to STEPS batches
 APART = 5  # every so manieth text of the sample only sets the border between the classes
 
@@ -229,13 +230,17 @@ def fit(texts: list[str], labels: list[int]) -> Model | None:
                 words[:, k] = np.bincount(place[present], dx[:, k], len(words))
                 pieces[:, k] = np.bincount(piece, per_piece[:, k], PIECES)
             adam.step(model, grad | {"word": words, "piece": pieces}, RATE * (1 - turn / rounds))
-    # The border between the classes' worst windows, where most texts that were set apart are right.
+    # The border between the classes' worst windows, where the mean of both classes' rates among
+    # the texts that were set apart is best, however rare one class is.
     worst = np.full(len(label), -np.inf)
     np.maximum.at(worst, row, logits(model, place, data, start, length))
-    seen = np.isfinite(worst) & (~fitted if not fitted.all() else fitted)
+    # Too few toxic texts set apart say nothing; then all of the sample counts.
+    apart = ~fitted if (label[~fitted] == 1).sum() >= LEAST_APART else np.ones_like(fitted)
+    seen = np.isfinite(worst) & apart
     order = np.argsort(worst[seen], kind="stable")
     value, positive = worst[seen][order], label[seen][order]
-    right = np.concatenate([[positive.sum()], positive.sum() - np.cumsum(positive) + np.cumsum(1 - positive)])
+    caught, passed = positive / max(1, positive.sum()), (1 - positive) / max(1, (1 - positive).sum())
+    right = np.round(np.concatenate([[0.0], np.cumsum(passed - caught)]), 12)
     best = np.flatnonzero(right == right.max())
     k = int(best[len(best) // 2])
     model["b"] -= np.float32(0 if not len(value) else value[0] - 1 if k == 0 else value[-1] + 1 if k == len(value) else (value[k - 1] + value[k]) / 2)
