@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import content_hash, dedup_key
 from ..functions.text import words
 from ..operators import bm25, fusion, lexical, phrases, rerank, vector
-from ..operators.ranking import confident, keep_first, ranked, top_k
+from ..operators.numbering import staged
+from ..operators.ranking import confident, distinct_texts, keep_first, ranked, top_k
 from ..session import BROADCAST_ROWS, fits_broadcast, small_side
 
 
@@ -155,10 +156,42 @@ def retrieve(corpus: DataFrame, queries: DataFrame, cfg: SearchConfig, kind: str
     return rows.filter(F.col("rank") <= k)
 
 
+# What a chunk's score can gain from keywords, cues and phrases (rerank.keyword_boost).
+MOST_BOOST = 0.9
+
+
+def by_documents(corpus: DataFrame, queries: DataFrame, each: int, documents: int) -> DataFrame:
+    """``query_id, id, file_name, score``: the best ``each`` chunks of every document that can
+    still be among a query's best ``documents`` after the boost.
+
+    Tasks keep their best chunks per query and document. A document's best score only
+    grows by the boost, so those whose best stays below that of the last place even
+    with the whole boost are left out.
+    """
+    found = staged(vector.top(corpus.select("id", "vec", "file_name"), _vec(queries, "query_id"), each, group="file_name"))
+    first = found.filter(F.col("rank") == 1).select("query_id", "file_name", F.col("score").alias("best"))
+    last = top_k(first, documents, ["query_id"], "best", "file_name").filter(F.col("rank") == documents)
+    last = last.select("query_id", (F.col("best") - MOST_BOOST).alias("floor"))
+    able = first.join(last, "query_id", "left").filter(F.col("floor").isNull() | (F.col("best") >= F.col("floor")))
+    return found.drop("rank").join(able.select("query_id", "file_name"), ["query_id", "file_name"], "left_semi")
+
+
 def retrieve_hierarchical(corpus: DataFrame, queries: DataFrame, cfg: SearchConfig,
                           more: DataFrame | None = None) -> DataFrame:
-    """Best documents first, then the best chunks of each; needs ``file_name``."""
-    found = candidates(corpus, queries, max(3 * cfg.k, 20), more, cfg.k)
+    """Best documents by their best chunk, then the best chunks of each; needs ``file_name``.
+
+    Of equal texts the one with the smallest id counts. Each document offers three times
+    the chunks that its share of the list takes, so no document is missed because another's
+    chunks are nearer. A chunk that several phrasings in ``more`` find keeps its best score.
+    """
+    corpus = distinct_texts(corpus, dedup_key(F.col("text")), "id")
+    each = 3 * max(1, cfg.k // cfg.documents)
+    found = by_documents(corpus, queries, each, cfg.documents)
+    if more is not None:
+        tagged = more.select(F.struct("query_id", "variant").alias("query_id"), "vec")
+        extra = by_documents(corpus, tagged, each, cfg.documents).withColumn("query_id", F.col("query_id.query_id"))
+        found = found.unionByName(extra).groupBy("query_id", "id", "file_name").agg(F.max("score").alias("score"))
+    found = found.join(corpus.drop("vec", "file_name"), "id")
     rows = rerank.keyword_boost(found, rerank.query_features(queries))
     rows = rerank.by_document(rows, cfg.k, cfg.documents).drop("rank")
     return confident(rows, cfg.threshold, ["query_id"])

@@ -190,7 +190,9 @@ def _(t):
     return rows.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"), "low_confidence")
 
 
-HIER = f"""{rerank_sql('SELECT query_id, id, score FROM sem WHERE rk <= 20')},
+# Each document offers its best six chunks, of equal texts the one with the smallest id.
+HIER = f"""ft AS MATERIALIZED (SELECT id, file_name FROM d QUALIFY row_number() OVER (PARTITION BY k ORDER BY id) = 1),
+ near AS MATERIALIZED (SELECT query_id, id, score FROM sem JOIN ft USING (id) QUALIFY row_number() OVER (PARTITION BY query_id, file_name ORDER BY rk) <= 6),{rerank_sql('SELECT query_id, id, score FROM near')},
  ds AS (SELECT query_id, file_name, max(score) AS document_score FROM rr GROUP BY query_id, file_name QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, file_name) <= 3),
  dc AS (SELECT rr.*, ds.document_score FROM rr JOIN ds USING (query_id, file_name) QUALIFY row_number() OVER (PARTITION BY query_id, file_name ORDER BY score DESC, id) <= 2),
  dk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM dc QUALIFY rank <= 6)"""
