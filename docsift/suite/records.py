@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import web
 from ..functions.text import word_tokens
+from ..functions.vectors import cosine, embed_udf, hashing_embed
 from ..operators import bm25, filters, papers as ranking_papers, references, rerank, vector
 from ..operators.layout import spread
 from ..operators.numbering import number_rows, staged
 from ..operators.ranking import keep_first, top_k
+from ..plans import cache
+from ..session import ensure_checkpoint_dir
 from ..sources import web as pages
 from . import sqlbits as s
 from .registry import query
@@ -89,8 +94,6 @@ _WEB = f"""r AS MATERIALIZED ({WHOLE_SQL}), w AS MATERIALIZED (SELECT id, {s.str
 
 def web_pairs(t):
     """Every result scored by both methods; result lists are what one search returned."""
-    from ..functions.vectors import embed_udf, hashing_embed
-
     texts = staged(pages.result_text(pages.normalised(raw(t))))
     asked = text_queries(t)
     embed = embed_udf(hashing_embed)
@@ -109,6 +112,33 @@ def _(t):
     return rows.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+# Half of the queries are asked before, and then all of them.
+@query("f20_cached_search", f"""
+WITH {_WEB}, c AS (SELECT x.*, f.rk FROM x JOIN b_rank f USING (query_id, id) WHERE f.rk <= 30),
+ y AS (SELECT query_id, id, round(bm25 * 0.4::DOUBLE + (cosine + 1) / 2 * 0.6::DOUBLE, 9) AS score FROM c)
+SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, query_id % 2 = 0 AS cached FROM y QUALIFY rank <= 10""")
+def _(t):
+    texts = staged(pages.result_text(pages.normalised(raw(t))).select("id", "text"))
+    embed, asked = embed_udf(hashing_embed), text_queries(t)
+    vectors = staged(texts.select("id", embed(F.col("text")).alias("vec")))
+
+    def engine(queries, n):
+        return bm25.top(texts, queries, n, word_tokens, norm="max").select("query_id", "id", "score")
+
+    def again(found, queries):
+        asked = queries.select("query_id", embed(F.col("text")).alias("_q"))
+        rows = found.withColumnRenamed("score", "bm25").join(vectors, "id").join(asked, "query_id")
+        near = F.coalesce(F.round(cosine(F.col("vec"), F.col("_q")), 6), F.lit(0.0))
+        return rerank.weighted_web(rows.withColumn("cosine", near)).select("query_id", "id", "score")
+
+    path = f"{ensure_checkpoint_dir(texts.sparkSession)}/searches-{uuid.uuid4().hex}"
+    now = F.lit("2025-01-01 00:00:00").cast("timestamp")
+    run = lambda queries, now: cache.cached_search(queries, engine, path, 10, "pages", "weighted", now, again)
+    run(asked.filter(F.col("query_id") % 2 == 0), now).count()
+    rows = run(asked, now + F.expr("INTERVAL 1 HOUR"))
+    return rows.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"), "cached")
+
+
 @query("f19_meta_rrf", f"""
 WITH {_WEB}, y AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, id) AS a, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS b FROM x),
  z AS (SELECT query_id, url, round(sum(1.0 / (60 + a)::DOUBLE + 1.0 / (60 + b)::DOUBLE), 9) AS score FROM y JOIN r USING (id) GROUP BY query_id, url)
