@@ -248,7 +248,7 @@ def top(corpus: DataFrame, queries: DataFrame, k: int, position: bool = True, ke
     if 0 < len(held) <= BLOCK:
         rows = _best(_documents(corpus, ["_key"] * distinct), held, k, position, distinct, dict(queries.dtypes)["query_id"])
     else:
-        rows = scores(corpus, queries, position, ["_key"] * distinct, names=False)
+        rows = scores(corpus, queries, position, ["_key"] * distinct, names=False).drop("keyword_matches")
     if distinct:
         rows = keep_first(rows, ["query_id", "_key"], [F.desc("score"), F.col("id")])
     return top_k(rows, k, ["query_id"]).drop("_key")
