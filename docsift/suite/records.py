@@ -177,13 +177,17 @@ def _(t):
     return papers(t).select("id", ranking_papers.paper_score(F.lit(_TOPIC), 2025).alias("score"))
 
 
+def both_sources(t):
+    """Two sources that cover all papers: English ones, and the others (those of no language, too)."""
+    p, english = papers(t), F.col("lang").eqNullSafe("en")
+    return [p.filter(english), p.filter(~english)]
+
+
 @query("f31_paper_search", f"""
-WITH p AS (SELECT *, CASE WHEN doc_src = 'fr' THEN 1 ELSE 0 END AS part FROM (SELECT *, lang AS doc_src FROM ({PAPERS_SQL}))),
- u AS (SELECT * FROM p WHERE lang IN ('en', 'fr') QUALIFY row_number() OVER (PARTITION BY lower(title) ORDER BY part, id) = 1)
+WITH u AS (SELECT * FROM ({PAPERS_SQL}) QUALIFY row_number() OVER (PARTITION BY lower(title) ORDER BY CASE WHEN lang = 'en' THEN 0 ELSE 1 END, id) = 1)
 SELECT id, title, {_SCORE} AS score FROM u ORDER BY score DESC, id LIMIT 40""")
 def _(t):
-    p = papers(t)
-    rows = ranking_papers.merge_sources([p.filter(F.col("lang") == "en"), p.filter(F.col("lang") == "fr")], "title")
+    rows = ranking_papers.merge_sources(both_sources(t), "title")
     rows = rows.withColumn("score", ranking_papers.paper_score(F.lit(_TOPIC), 2025))
     return rows.orderBy(F.desc("score"), "id").limit(40).select("id", "title", "score")
 
@@ -191,8 +195,7 @@ def _(t):
 @query("f32_merge_by_title", f"""
 SELECT id, CASE WHEN year >= 2023 THEN 'Recent' ELSE 'Foundational' END AS era FROM ({PAPERS_SQL}) QUALIFY row_number() OVER (PARTITION BY lower(title) ORDER BY CASE WHEN lang = 'en' THEN 0 ELSE 1 END, id) = 1""")
 def _(t):
-    p = papers(t)
-    rows = ranking_papers.merge_sources([p.filter(F.col("lang") == "en"), p.filter(F.col("lang") != "en")], "title")
+    rows = ranking_papers.merge_sources(both_sources(t), "title")
     return rows.select("id", ranking_papers.era(2024).alias("era"))
 
 

@@ -267,6 +267,22 @@ def _(t):
     return rows.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"), "low_confidence")
 
 
+@query("f27_hybrid", f"""
+WITH {BASE}, {UNIQUE}, {lexical_sql(True)},
+ lu AS (SELECT lex.* FROM lex JOIN d USING (id) QUALIFY row_number() OVER (PARTITION BY query_id, d.k ORDER BY score DESC, id) = 1),
+ l AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM lu QUALIFY r <= {4 * K}),
+ s AS (SELECT query_id, id, r FROM su WHERE r <= {4 * K}),
+ fu AS (SELECT query_id, id, round(coalesce(1.0 / (60 + s.r), 0)::DOUBLE + coalesce(1.0 / (60 + l.r), 0)::DOUBLE, 9) AS score FROM s FULL JOIN l USING (query_id, id)),
+ fd AS (SELECT fu.* FROM fu JOIN d USING (id) QUALIFY row_number() OVER (PARTITION BY query_id, d.k ORDER BY score DESC, id) = 1),
+ hy AS MATERIALIZED (SELECT * FROM fd QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {2 * K}),
+ {rerank_sql('SELECT query_id, id, score FROM hy')},
+ m AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS mx, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM rr)
+SELECT query_id, id, score, rank, mx < 0.5 AS low_confidence FROM m WHERE ((mx >= 0.5 AND score >= 0.5) OR (mx < 0.5 AND rank <= 3)) AND rank <= {K}""")
+def _(t):
+    rows = plan.retrieve(corpus(t), queries(t), plan.SearchConfig(k=K, threshold=0.5, search_type="hybrid"))
+    return rows.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"), "low_confidence")
+
+
 @query("k5_token_f1", f"""
 WITH p AS (SELECT conv_id, turn, text AS a, coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS b FROM conversations),
  t AS (SELECT conv_id, turn, unnest({s.tokens('a')}) AS token, 1 AS x, 0 AS y FROM p UNION ALL SELECT conv_id, turn, unnest({s.tokens('b')}), 0, 1 FROM p),
