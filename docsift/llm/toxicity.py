@@ -6,18 +6,19 @@ WINDOW words, each overlapping the next, run through the network in both directi
 weighs their states; a text's score is that of its worst window. A task computes inputs
 once for each distinct word of a stretch of texts and runs all its windows side by side.
 
-The network is fitted on the driver with a bounded sample of labelled texts. A toxic text
+The network is fitted in one task on a bounded sample of labelled texts. A toxic text
 need not be toxic throughout: after the first rounds, only the windows of a toxic text
 that look worst count as such, while every window of a clean text is clean.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from . import segments
@@ -282,15 +283,27 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", doc_id: str
     """Fit on at most SAMPLE labelled texts of each class with at most SAMPLE_BYTES bytes.
 
     The sample is the same in every run. Held-out rows, null ids and null labels are left
-    out; None if the labels have one class only.
+    out; of an id with several such texts, the smallest counts. None if the labels have one
+    class only. One task holds the sample, which is bounded, and returns the model.
     """
     marks = labels.select(labels[doc_id].alias("doc_id"), labels[target].cast("int").alias("label"))
     marks = marks.filter("doc_id IS NOT NULL AND label IN (0, 1)").filter(~held_out()).distinct()
     texts = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES)
-    parts = [marks.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for y in (0, 1)]
-    chosen = F.broadcast(parts[0].unionByName(parts[1]))  # 2 * SAMPLE rows at most
-    rows = texts.join(chosen, "doc_id").select("doc_id", "label", "text").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending"), ("text", "ascending")])
-    return fit(rows.column("text").to_pylist(), rows.column("label").to_pylist())
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    known = texts.select("doc_id").join(marks, "doc_id").distinct().withColumn("nth", F.row_number().over(order))
+    chosen = F.broadcast(known.filter(F.col("nth") <= SAMPLE).drop("nth"))  # 2 * SAMPLE rows at most
+    rows = texts.join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    found = rows.repartition(1).mapInArrow(learned, "model binary").first()
+    return pickle.loads(found["model"]) if found else None
+
+
+def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, label, text) -> one row with their model, whatever their order."""
+    held = [batch for batch in batches if batch.num_rows]
+    if held:
+        rows = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("label", "ascending")])
+        model = fit(rows.column("text").to_pylist(), rows.column("label").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", out: str = "score") -> DataFrame:
