@@ -45,6 +45,37 @@ def number_rows(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), sta
     return rows.withColumn(out, (F.col("_g") + start).cast("long")).drop(*drop)
 
 
+def running_totals(sizes: DataFrame, keys: Sequence[str], n: str, out: str = "before") -> DataFrame:
+    """``sizes`` with the sum of ``n`` over all rows that come before in the order of ``keys`` (unique).
+
+    Two levels: rows are range-sorted and summed within their task, and the tasks' totals,
+    one row each, are summed on top. The staged table has one row per group, not per member.
+    Without a size (null), a group counts as empty.
+    """
+    keys = list(keys)
+    ranged = staged(sizes.repartitionByRange(*keys).withColumn("_task", F.spark_partition_id()))
+    inside = W.partitionBy("_task").orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)
+    tasks = W.orderBy("_task").rowsBetween(W.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    totals = ranged.groupBy("_task").agg(F.sum(n).alias("_t")).select("_task", F.coalesce(F.sum("_t").over(tasks), zero).alias("_shift"))
+    rows = ranged.withColumn("_in", F.coalesce(F.sum(n).over(inside), zero))
+    # One row per task of the range sort.
+    return rows.join(F.broadcast(totals), "_task").withColumn(out, F.col("_shift") + F.col("_in")).drop("_task", "_in", "_shift")
+
+
+def number_pieces(sizes: DataFrame, keys: Sequence[str], n: str = "n", pos: str = "pos", start: int = 1,
+                  first: int = 1, out: str = "chunk_number") -> DataFrame:
+    """A row per piece with its place and number, from the number of pieces per group.
+
+    Pieces have places ``first``, ``first + 1``, … in their group, so their keys follow from
+    its size: groups get the pieces before them (``running_totals``) and are unfolded after
+    that. No row of a piece is sorted, shuffled or staged. Empty groups have no rows.
+    """
+    rows = running_totals(sizes.filter(F.col(n) > 0), keys, n, "_before")
+    rows = rows.select(*keys, "_before", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1)).alias("_i"))
+    return rows.select(*keys, (F.col("_i") + first).alias(pos), (F.col("_before") + F.col("_i") + start).alias(out))
+
+
 def max_number(col: str = "chunk_number") -> Column:
     """Aggregate: highest chunk number, 0 when there is none; negative and other values don't count."""
     n = F.col(col).try_cast("long")

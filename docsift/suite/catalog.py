@@ -9,7 +9,7 @@ from ..operators import catalog, filters, numbering
 from ..operators.layout import spread, unfold
 from ..plans import evaluate
 from .registry import query
-from .views import CHUNKS_SQL, chunk_table
+from .views import CHUNKS_SQL, chunk_sizes, chunk_table
 
 _C = f"({CHUNKS_SQL})"
 _NUM = f"(SELECT *, row_number() OVER (ORDER BY doc_id, method_ord, pos) AS chunk_number FROM {_C})"
@@ -17,6 +17,8 @@ _NUM = f"(SELECT *, row_number() OVER (ORDER BY doc_id, method_ord, pos) AS chun
 
 def numbered(t, *cols):
     """The keys of the chunks, the columns ``cols`` and the chunk numbers; texts only where asked for."""
+    if not cols:
+        return numbering.number_pieces(chunk_sizes(t), ["doc_id", "method_ord"])
     keys = ["doc_id", "method_ord", "pos"]
     return numbering.number_rows(chunk_table(t).select(*keys, *cols), keys)
 

@@ -17,7 +17,7 @@ from ..operators.layout import spread, unfold
 from ..plans import ingest as plan
 from . import sqlbits as s
 from .registry import query
-from .views import CHUNKS_SQL, CONTRACT_SQL, chunk_table, contracts
+from .views import CHUNKS_SQL, CONTRACT_SQL, chunk_sizes, chunk_table, contracts
 
 WS = s.WS
 
@@ -199,8 +199,8 @@ _NUMBERED = f"SELECT *, row_number() OVER (ORDER BY doc_id, method_ord, pos) AS
 
 @query("c26_chunk_numbering", f"SELECT id, chunk_number + 1000 AS chunk_number FROM ({_NUMBERED})")
 def _(t):
-    rows = chunk_table(t).select("id", "doc_id", "method_ord", "pos")
-    return numbering.number_rows(rows, ["doc_id", "method_ord", "pos"], start=1001).select("id", "chunk_number")
+    rows = numbering.number_pieces(chunk_sizes(t), ["doc_id", "method_ord"], start=1001)
+    return rows.select(F.concat_ws("-", "doc_id", "method_ord", "pos").alias("id"), "chunk_number")
 
 
 # Every third chunk of a document opens a clause, the next two belong to it.

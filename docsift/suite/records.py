@@ -18,7 +18,7 @@ from ..session import ensure_checkpoint_dir
 from ..sources import web as pages
 from . import sqlbits as s
 from .registry import query
-from .texts import AUTHOR_YEAR_SQL, CITE_NUM_SQL, CITED_SQL, cited
+from .texts import AUTHOR_YEAR_SQL, CITE_NUM_SQL, CITED_SQL, _AY, cited
 from .views import PAPERS_SQL, papers, text_queries
 
 _TITLE = s.strip("regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', '', 'g')")
@@ -232,6 +232,30 @@ def _(t):
     return rows.withColumn("ordinal", F.coalesce("ordinal", F.lit(-1).cast("long")))
 
 
+# Every tenth document has lost its citations and uses the whole list.
+_SOME = "CASE WHEN doc_id % 10 = 3 THEN regexp_replace(text, '\\[[^\\]]*\\]', '', 'g') ELSE text END"
+
+
+@query("f33_used_references", f"""
+WITH r AS MATERIALIZED ({REFS_SQL}), t AS MATERIALIZED (SELECT doc_id, {_SOME} AS text FROM ({CITED_SQL})),
+ n AS (SELECT doc_id, unnest({CITE_NUM_SQL}) AS ordinal FROM t),
+ l AS (SELECT doc_id, regexp_extract_all(text, '{_AY}', 1) AS a, regexp_extract_all(text, '{_AY}', 2) AS y FROM t),
+ c AS MATERIALIZED (SELECT doc_id, generate_subscripts(a, 1) AS nth, {s.strip('unnest(a)')} AS author, unnest(y) AS year FROM l),
+ m AS (SELECT c.author, c.year, min(r.ordinal) AS ordinal FROM (SELECT DISTINCT author, year FROM c) c JOIN r ON
+   (contains(lower(r.author), lower(c.author)) OR contains(lower(c.author), lower(r.author)) OR len(list_filter({s.words('c.author')}, lambda w: length(w) > 3 AND contains(lower(r.author), lower(w)))) > 0)
+   AND (contains(r.date, c.year) OR contains(c.year, r.date) OR r.date = '') GROUP BY ALL),
+ u AS (SELECT doc_id, 0 AS part, ordinal AS nth, ordinal, title, author, date, 'reference' AS source_type FROM n JOIN r USING (ordinal)
+   UNION ALL SELECT c.doc_id, 1, c.nth, m.ordinal, CASE WHEN m.ordinal IS NULL THEN 'Research paper by ' || c.author ELSE r.title END, CASE WHEN m.ordinal IS NULL THEN c.author ELSE r.author END,
+     CASE WHEN m.ordinal IS NULL THEN c.year ELSE r.date END, CASE WHEN m.ordinal IS NULL THEN 'placeholder' ELSE 'reference' END FROM c LEFT JOIN m USING (author, year) LEFT JOIN r ON r.ordinal = m.ordinal),
+ d AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY doc_id, lower(title), lower(author) ORDER BY part, nth) = 1)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part, nth) AS place, coalesce(ordinal, -1) AS ordinal, title, author, date, source_type FROM d
+UNION ALL SELECT doc_id, 0, -1, NULL, NULL, NULL, 'all references' FROM t WHERE doc_id NOT IN (SELECT doc_id FROM n) AND doc_id NOT IN (SELECT doc_id FROM c)""")
+def _(t):
+    text = F.when(F.col("doc_id") % 10 == 3, F.regexp_replace("text", r"\[[^\]]*\]", "")).otherwise(F.col("text"))
+    rows = references.used_references(cited(t).withColumn("text", text), refs(t))
+    return rows.withColumns({"place": F.col("place").cast("long"), "ordinal": F.coalesce("ordinal", F.lit(-1).cast("long"))})
+
+
 @query("a17_relation_links", """
 SELECT conv_id, role AS source, 'place ' || (turn % 3) AS target, unnest([turn, turn + 1]) AS chunk FROM conversations""")
 def _(t):

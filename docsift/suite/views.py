@@ -85,6 +85,11 @@ def chunk_table(t: Tables) -> DataFrame:
     })
 
 
+def chunk_sizes(t: Tables) -> DataFrame:
+    """``doc_id, method_ord, n``: chunks per document and method, summed where they are cut."""
+    return chunk_table(t).groupBy("doc_id", "method_ord").agg(F.count("*").alias("n"))
+
+
 CHUNKS_SQL = f"""SELECT *, doc_id || '-' || method_ord || '-' || pos AS id,
       '2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') || 'T08:00:00' AS upload_timestamp,
       CASE WHEN lang = 'en' THEN 'model-a' ELSE 'model-b' END AS embedding_model,

@@ -10,7 +10,7 @@ from docsift.operators.chunking import METHODS, available_methods, chunk, defaul
 from docsift.operators.chunking.packing import recursive_split
 from docsift.operators.chunking.splitter import split_text
 from docsift.operators.chunking.structure import structural, structural_min
-from docsift.operators.numbering import fill_missing, number_rows
+from docsift.operators.numbering import fill_missing, number_pieces, number_rows, running_totals
 
 SF = "/root/testdata/sf0.001"
 
@@ -167,3 +167,18 @@ def test_fill_missing_continues_after_the_highest(spark):
     rows = spark.createDataFrame([("f", 3, 1), ("f", None, 2), ("f", None, 3), ("g", None, 1)], "f string, chunk_number long, id int")
     got = sorted((r["f"], r["id"], r["chunk_number"]) for r in fill_missing(rows, ["f"], ["id"]).collect())
     assert got == [("f", 1, 3), ("f", 2, 4), ("f", 3, 5), ("g", 1, 0)]
+
+
+def test_pieces_are_numbered_from_group_sizes(spark):
+    sizes = [(d, m, (d * 7 + m * 3) % 5) for d in range(40) for m in range(2)] + [(40, 0, 3000), (41, 0, None)]
+    df = spark.createDataFrame(sizes, "doc_id long, method_ord int, n long").repartition(7)
+    want, total = {}, 0
+    for d, m, n in sorted(sizes, key=lambda r: r[:2]):
+        for p in range(n or 0):
+            total += 1
+            want[d, m, p + 1] = total + 9
+    got = number_pieces(df, ["doc_id", "method_ord"], start=10).collect()
+    assert len(got) == len(want) and {(r["doc_id"], r["method_ord"], r["pos"]): r["chunk_number"] for r in got} == want
+    before = {(r["doc_id"], r["method_ord"]): r["before"] for r in running_totals(df, ["doc_id", "method_ord"], "n").collect()}
+    assert len(before) == len(sizes) and before[0, 0] == 0 and before[41, 0] == total
+    assert number_pieces(df.limit(0), ["doc_id", "method_ord"]).count() == 0

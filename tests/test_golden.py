@@ -186,3 +186,30 @@ def test_equal_openings_are_different_texts(spark):
     rows = spark.createDataFrame([(1, 1, same + "one", 0.5), (1, 2, same + "two", 0.4), (1, 3, same.upper() + " ONE", 0.3)], "query_id long, id long, text string, score double")
     features = rerank.query_features(spark.createDataFrame([(1, "zebra crossing")], "query_id long, text string"))
     assert sorted(r["id"] for r in rerank.keyword_boost(rows, features).collect()) == [1, 2]
+
+
+def test_contained_finds_every_pair(spark):
+    import random
+
+    rng = random.Random(5)
+    text = lambda top: "".join(rng.choice("ab c") for _ in range(rng.randrange(top)))
+    needles, hays = {text(7) for _ in range(60)}, {text(14) for _ in range(80)}
+    want = sorted((n, h) for n in needles for h in hays if n and n in h)
+    got = references.contained(spark.createDataFrame([(n,) for n in needles] * 2, "needle string"), spark.createDataFrame([(h,) for h in hays] * 2, "hay string"))
+    assert sorted((r["needle"], r["hay"]) for r in got.collect()) == want
+
+
+def test_used_references(spark):
+    refs = spark.createDataFrame(
+        [(1, "One", "Kim, Lee", "2020"), (2, "ONE", "kim, lee", "2021"), (3, "Three", None, "2019-05-01"), (4, "Four", "Ng", None)],
+        "ordinal long, title string, author string, date string")
+    texts = spark.createDataFrame([
+        (1, "a [2, 1] b [Kim, 2020] c [9]"), (2, "[Roe, 2019] [Roe, 1999] [ROE, 1999]"), (3, "nothing"), (4, None), (5, "[9]"), (6, "[Zed, 1990] [Ng, 1990]"), (7, "[ , 2021]")],
+        "doc_id long, text string")
+    rows = references.used_references(texts, refs).orderBy("doc_id", "place").collect()
+    got = [(r["doc_id"], r["place"], r["ordinal"], r["title"], r["source_type"]) for r in rows]
+    assert got == [
+        (1, 1, 1, "One", "reference"), (2, 1, 3, "Three", "reference"), (2, 2, None, "Research paper by Roe", "placeholder"),
+        (3, 0, None, None, "all references"), (4, 0, None, None, "all references"),
+        (6, 1, None, "Research paper by Zed", "placeholder"), (6, 2, 4, "Four", "reference"), (7, 1, 2, "ONE", "reference")]
+    assert references.used_references(texts, refs.limit(0)).filter("doc_id = 3").count() == 0
