@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import web
 from ..functions.text import word_tokens
 from ..functions.vectors import cosine, embed_udf, hashing_embed
-from ..operators import bm25, filters, papers as ranking_papers, references, rerank, vector
+from ..operators import bm25, filters, meta, papers as ranking_papers, references, rerank, vector
 from ..operators.layout import spread
 from ..operators.numbering import number_rows, staged
 from ..operators.ranking import keep_first, top_k
@@ -106,9 +106,16 @@ def web_pairs(t):
     return pairs.withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
 
 
+def web_search(t):
+    """Results with text and vector, and the queries with theirs."""
+    embed = embed_udf(hashing_embed)
+    texts = staged(pages.result_text(pages.normalised(raw(t))).select("id", "text").withColumn("vec", embed(F.col("text"))))
+    return texts, text_queries(t).withColumn("vec", embed(F.col("text")))
+
+
 @query("f18_web_rerank", f"WITH {_WEB} SELECT query_id, id, round(bm25 * 0.4::DOUBLE + (cosine + 1) / 2 * 0.6::DOUBLE, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25 * 0.4::DOUBLE + (cosine + 1) / 2 * 0.6::DOUBLE, 9) DESC, id) AS rank FROM x QUALIFY rank <= 10")
 def _(t):
-    rows = top_k(rerank.weighted_web(web_pairs(t)), 10, ["query_id"])
+    rows = meta.by_both(*web_search(t), 10)
     return rows.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -157,6 +164,27 @@ def _(t):
     return top_k(rows, 10, ["query_id"], tie="url").withColumn("rank", F.col("rank").cast("long"))
 
 
+@query("f19_meta_bm25", f"WITH {_WEB} SELECT f.query_id, f.id, r.url, f.by_max AS score, f.rk AS rank FROM b_rank f JOIN r USING (id) WHERE f.rk <= 10")
+def _(t):
+    return with_url(meta.by_words(*web_search(t), 10), t)
+
+
+@query("f19_meta_embedding", f"WITH {_WEB} SELECT query_id, id, url, cosine AS score, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS rank FROM x JOIN r USING (id) QUALIFY rank <= 10")
+def _(t):
+    return with_url(meta.by_meaning(*web_search(t), 10), t)
+
+
+@query("f19_meta_weighted", f"""
+WITH {_WEB}, y AS (SELECT query_id, id, bm25, (cosine + 1) / 2 AS near, round(bm25 * 0.4::DOUBLE + (cosine + 1) / 2 * 0.6::DOUBLE, 9) AS score FROM x)
+SELECT query_id, id, url, score, bm25 AS bm25_score, round(near, 7) AS embedding_score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM y JOIN r USING (id) QUALIFY rank <= 10""")
+def _(t):
+    return with_url(meta.by_both(*web_search(t), 10), t).withColumn("embedding_score", F.round("embedding_score", 7))
+
+
+def with_url(rows, t):
+    return rows.withColumn("rank", F.col("rank").cast("long")).join(results(t).select("id", "url"), "id")
+
+
 @query("i16_distinct_urls", f"SELECT id, url FROM ({RESULT_SQL}) QUALIFY row_number() OVER (PARTITION BY lower(url) ORDER BY id) = 1")
 def _(t):
     return keep_first(results(t).withColumn("_k", F.lower("url")), ["_k"], [F.col("id")]).select("id", "url")

@@ -116,3 +116,19 @@ def test_cache_serves_fresh_rows_only(spark, tmp_path):
     assert run([(7, "a"), (8, "b")], 1) == [(7, 1, 1, True), (7, 2, 2, True), (8, 1, 1, False), (8, 2, 2, False)]
     assert run([(7, "a"), (8, "b")], 24) == [(7, 1, 1, False), (7, 2, 2, False), (8, 1, 1, True), (8, 2, 2, True)]
     assert calls == [["a", "none"], ["b"], ["a"]]
+
+
+def test_meta_search_in_blocks_and_edges(spark, monkeypatch):
+    from docsift.operators import meta, vector as vectors
+
+    docs = spark.createDataFrame(
+        [(1, "red fox", [1.0, 0.0]), (2, "red red fox den", [0.0, 1.0]), (3, "blue sky", None), (4, None, [1.0, 0.0]), (5, "blue sky", [0.0, 0.0]), (6, "plain", [1.0, 1.0])],
+        "id long, text string, vec array<double>")
+    asked = spark.createDataFrame([("a", "fox", [1.0, 0.0]), ("b", "blue", [0.0, 1.0]), ("c", "", [1.0, 0.0]), ("d", None, None)], "query_id string, text string, vec array<double>")
+    once = sorted(map(tuple, meta.by_both(docs, asked, 3).collect()))
+    monkeypatch.setattr(vectors, "BLOCK", 1)
+    assert sorted(map(tuple, meta.by_both(docs, asked, 3).collect())) == once
+    got = {q: [(r[1], round(r[2], 4)) for r in sorted(once, key=lambda r: r[5]) if r[0] == q] for q in "abcd"}
+    assert got["a"][0] == (1, 1.0) and got["b"] == [(3, 0.7), (5, 0.7), (2, 0.6)]
+    assert got["c"] == [(1, 0.6), (6, 0.5121), (2, 0.3)]
+    assert got["d"] == [(1, 0.3), (2, 0.3), (3, 0.3)]
