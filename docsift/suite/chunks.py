@@ -15,6 +15,7 @@ from ..operators.chunking.structure import (
 from ..operators.chunking.windows import char_windows, page_of, word_windows
 from ..operators.layout import spread, unfold
 from ..plans import ingest as plan
+from ..sources import files
 from . import sqlbits as s
 from .registry import query
 from .views import CHUNKS_SQL, CONTRACT_SQL, chunk_sizes, chunk_table, contracts
@@ -267,3 +268,32 @@ def _(t):
     return plan.log_lines(chunk_table(t).withColumn("chunk_index", F.col("pos")))
 
 
+# Every document as a file: five kinds, one of them also broken, and one that nothing reads. Every seventh is stored.
+_KINDS = ["txt", "md", "json", "json", "vtt", "xyz"]
+_FILE = f"source || '-' || doc_id || '.' || ({_KINDS})[doc_id % 6 + 1]"
+_PARSED = f"""SELECT file_name, kind, CASE WHEN stored THEN 'SKIPPED' WHEN m IS NOT NULL THEN 'ERROR' ELSE 'APPLIED' END AS status, CASE WHEN stored THEN 'already processed' ELSE m END AS message,
+   CASE WHEN NOT stored AND m IS NULL AND kind <> 'txt' THEN body END AS text FROM (
+  SELECT *, CASE WHEN kind = 'xyz' THEN 'unsupported file type: xyz' WHEN doc_id % 6 = 3 THEN 'no turns' WHEN body = '' THEN 'no text' END AS m FROM (
+   SELECT doc_id, {_FILE} AS file_name, ({_KINDS})[doc_id % 6 + 1] AS kind, doc_id % 7 = 0 AS stored, CASE doc_id % 6 WHEN 1 THEN {s.strip("regexp_replace(text, chr(10) || '{3,}', chr(10) || chr(10), 'g')")}
+     WHEN 2 THEN 'A: ' || text WHEN 4 THEN {s.strip("regexp_replace(text, chr(10) || '+', ' ', 'g')")} ELSE text END AS body FROM documents))"""
+
+
+def parsed_files(t):
+    i, line = F.col("doc_id") % 6, F.regexp_replace("text", "\n+", " ")
+    body = F.when(i == 2, F.to_json(F.array(F.struct(F.lit("A").alias("speaker"), "text")))).when(i == 3, F.concat(F.lit("{"), "text"))
+    body = body.when(i == 4, F.concat(F.lit("WEBVTT\n\n1\n00:00:01.000 --> 00:00:02.000\n"), line)).otherwise(F.col("text"))
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (i + 1).cast("int"))
+    named = spread(t.documents, "doc_id").withColumn("file_name", F.concat("source", F.lit("-"), "doc_id", F.lit("."), kind))
+    stored = named.filter(F.col("doc_id") % 7 == 0).select("file_name")
+    return files.parse_files(named.select(F.concat(F.lit("in/"), "file_name").alias("path"), F.encode(body, "UTF-8").alias("content")), stored)
+
+
+@query("l3_files_by_kind", _PARSED)
+def _(t):
+    rows = parsed_files(t)
+    return rows.select("file_name", "kind", "status", "message", F.when(F.col("kind") != "txt", F.col("text")).alias("text"))
+
+
+@query("b8_file_log", f"SELECT concat_ws('|', '2024-01-01T00:00:00', file_name, kind, status, message) AS line FROM ({_PARSED})")
+def _(t):
+    return plan.file_log(parsed_files(t), "2024-01-01T00:00:00")

@@ -151,3 +151,33 @@ def test_metric_summary_ties_and_nulls(spark):
     rows = spark.createDataFrame([("b", "m", 1.0), ("a", "m", 1.0), ("c", "m", None), ("d", "m", 0.5)], "combination string, metric string, value double")
     r = evaluate.metric_summary(rows).first()
     assert (r["best"], r["worst"], r["mean"]) == ("a", "d", 0.833333)
+
+
+def test_every_file_has_a_status(spark):
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:p><w:r><w:t>In a paragraph.</w:t></w:r></w:p></w:document>')
+    rows = [
+        ("x/a.txt", b"A longer line that ends with a stop."), ("x/b.md", b"# T\n\n\n\nx"), ("x/c.VTT", b"WEBVTT\n\n1\n00:01 --> 00:02\nHello"),
+        ("x/d.json", b'{"turns": [{"speaker": "B", "text": "z"}, {"text": null}]}'), ("x/e.json", b"[oops"), ("x/f.docx", buf.getvalue()),
+        ("x/g.docx", b"not a zip"), ("x/h.xyz", b"?"), ("x/i", b"?"), ("x/j.txt", None), ("x/k.txt", b" "), ("x/l.docx", b"not read")]
+    df = spark.createDataFrame(rows, "path string, content binary")
+    stored = spark.createDataFrame([("l.docx",), ("l.docx",), (None,)], "file_name string")
+    got = {r["file_name"]: (r["status"], r["message"], r["text"]) for r in files.parse_files(df, stored).collect()}
+    assert len(got) == len(rows)
+    assert got["a.txt"] == ("APPLIED", None, "A longer line that ends with a stop.") and got["b.md"][2] == "# T\n\nx" and got["c.VTT"][2] == "Hello"
+    assert got["d.json"][2] == "B: z\nunknown: " and got["e.json"][:2] == ("ERROR", "no turns") and got["f.docx"][2] == "In a paragraph."
+    assert got["g.docx"][0] == "ERROR" and got["g.docx"][1].startswith("BadZipFile") and got["g.docx"][2] is None
+    assert got["h.xyz"][1] == "unsupported file type: xyz" and got["i"][1] == "unsupported file type: "
+    assert got["j.txt"][1] == "no content" and got["k.txt"][1] == "no text" and got["l.docx"] == ("SKIPPED", "already processed", None)
+    assert files.parse_files(df.limit(0)).count() == 0
+
+
+def test_merge_takes_the_same_row_of_a_tie(spark):
+    old = spark.createDataFrame([("a", 1, "old"), ("b", 1, "kept")], "k string, n int, text string")
+    new = [("a", 2, "x"), ("a", 2, "y"), ("a", 1, "z"), ("a", 2, "x"), (None, None, "p"), (None, None, "q")]
+    runs = set()
+    for rows in (new, new[::-1], new[3:] + new[:3]):
+        merged = catalog.merge_by_key(old, spark.createDataFrame(rows, "k string, n int, text string").repartition(3), "k", "n")
+        runs.add(tuple(sorted(map(str, merged.collect()))))
+    assert len(runs) == 1 and len(runs.pop()) == 3
