@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, fits_broadcast, small_side
 
 _PART = 33  # bits below the task number in monotonically_increasing_id
 
@@ -76,6 +76,22 @@ def number_pieces(sizes: DataFrame, keys: Sequence[str], n: str = "n", pos: str
     return rows.select(*keys, (F.col("_i") + first).alias(pos), (F.col("_before") + F.col("_i") + start).alias(out))
 
 
+def number_members(rows: DataFrame, keys: Sequence[str], pos: str, start: int = 1, out: str = "chunk_number") -> DataFrame:
+    """``rows`` (staged, read twice) numbered in the order of ``keys`` and ``pos``, without gaps.
+
+    Where places are gap-free in their group, a row's number is its place after the groups
+    before it, so only the table of groups is sorted and joined; otherwise rows are sorted
+    by their keys (``number_rows``). ``pos`` is unique in its group, keys are not null.
+    """
+    keys = list(keys)
+    sizes = staged(rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(pos).alias("_lo"), F.max(pos).alias("_hi")))
+    if not sizes.filter("_hi - _lo + 1 <> _n").isEmpty():
+        return rows.join(number_rows(rows.select(*keys, pos), [*keys, pos], start=start, out=out), [*keys, pos])
+    groups = running_totals(sizes, keys, "_n", "_before").select(*keys, (F.col("_before") - F.col("_lo") + start).alias("_shift"))
+    rows = rows.join(small_side(groups, fits_broadcast(sizes)), keys)
+    return rows.withColumn(out, (F.col(pos) + F.col("_shift")).cast("long")).drop("_shift")
+
+
 def max_number(col: str = "chunk_number") -> Column:
     """Aggregate: highest chunk number, 0 when there is none; negative and other values don't count."""
     n = F.col(col).try_cast("long")

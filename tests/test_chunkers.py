@@ -10,7 +10,7 @@ from docsift.operators.chunking import METHODS, available_methods, chunk, defaul
 from docsift.operators.chunking.packing import recursive_split
 from docsift.operators.chunking.splitter import split_text
 from docsift.operators.chunking.structure import structural, structural_min
-from docsift.operators.numbering import fill_missing, number_pieces, number_rows, running_totals
+from docsift.operators.numbering import fill_missing, number_members, number_pieces, number_rows, running_totals
 
 SF = "/root/testdata/sf0.001"
 
@@ -182,3 +182,11 @@ def test_pieces_are_numbered_from_group_sizes(spark):
     before = {(r["doc_id"], r["method_ord"]): r["before"] for r in running_totals(df, ["doc_id", "method_ord"], "n").collect()}
     assert len(before) == len(sizes) and before[0, 0] == 0 and before[41, 0] == total
     assert number_pieces(df.limit(0), ["doc_id", "method_ord"]).count() == 0
+
+
+@pytest.mark.parametrize("gap", [False, True])
+def test_members_are_numbered_with_and_without_gaps(spark, gap):
+    rows = [(d, m, p + 3 + (gap and d == 2 and p > 1), f"{d}.{m}.{p}") for d in range(5) for m in range(2) for p in range((d + m) % 4)]
+    df = spark.createDataFrame(rows, "doc_id long, method_ord int, pos long, text string").repartition(3)
+    got = {r["text"]: r["chunk_number"] for r in number_members(df, ["doc_id", "method_ord"], "pos", 7).collect()}
+    assert got == {r[3]: i + 7 for i, r in enumerate(sorted(rows))}
