@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W, functions as F
 
 from ..functions.text import clip
 from ..operators import catalog, filters, numbering
 from ..operators.layout import spread, unfold
 from ..plans import evaluate
+from ..session import ensure_checkpoint_dir
+from ..sources import exports
 from .registry import query
 from .views import CHUNKS_SQL, chunk_sizes, chunk_table
 
@@ -100,6 +104,27 @@ def _(t):
     return chunk_table(t).select("id", "chunking_method", "embedding_model", "source_file", "page", "chunk_level", F.substring("text", 1, 500).alias("text"))
 
 
+_EXPORT_SQL = f"SELECT id, chunking_method, source_file, page, chunk_level, text FROM {_C}"
+
+
+def exported(t, write, read):
+    """The chunks written to files of a new folder, and read from them."""
+    rows = chunk_table(t).select("id", "chunking_method", "source_file", "page", "chunk_level", "text")
+    path = f"{ensure_checkpoint_dir(rows.sparkSession)}/export-{uuid.uuid4().hex}"
+    write(rows, path)
+    return read(rows.sparkSession, path, ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes))
+
+
+@query("b7_jsonl_files", _EXPORT_SQL)
+def _(t):
+    return exported(t, exports.write_jsonl, exports.read_jsonl)
+
+
+@query("b7_csv_files", _EXPORT_SQL)
+def _(t):
+    return exported(t, exports.write_csv, exports.read_csv)
+
+
 @query("b7_jsonl", "SELECT doc_id, '{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\",\"n_chars\":' || n_chars || '}' AS line FROM documents")
 def _(t):
     return t.documents.select("doc_id", F.to_json(F.struct("doc_id", "lang", "n_chars")).alias("line"))

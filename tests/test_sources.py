@@ -12,7 +12,7 @@ from docsift.operators import catalog, filters, vector
 from docsift.operators.highlight import CLOSE, OPEN, highlight
 from docsift.plans import ingest as plan
 from docsift.plans import evaluate
-from docsift.sources import artifacts, files, transcripts
+from docsift.sources import artifacts, exports, files, transcripts
 from docsift.streaming.ingest import ingest_stream
 
 
@@ -181,3 +181,17 @@ def test_merge_takes_the_same_row_of_a_tie(spark):
         merged = catalog.merge_by_key(old, spark.createDataFrame(rows, "k string, n int, text string").repartition(3), "k", "n")
         runs.add(tuple(sorted(map(str, merged.collect()))))
     assert len(runs) == 1 and len(runs.pop()) == 3
+
+
+def test_exports_come_back_whole(spark, tmp_path):
+    texts = ["plain", "", None, ' lead and trail ', 'say "so", twice ""', "two\nlines\r\nthree\n", "back\\slash \\\" end", ",", "é\u2028x\t", '"', "null", "\\N", "x" * 300_000]
+    schema = "id long, text string, score double"
+    df = spark.createDataFrame([(i, t, None if i % 2 else i / 3) for i, t in enumerate(texts)], schema).repartition(3)
+    want = sorted(map(str, df.collect()))
+    for name, write, read in (("j", exports.write_jsonl, exports.read_jsonl), ("c", exports.write_csv, exports.read_csv)):
+        for part, rows in (("", df), ("-empty", df.limit(0))):
+            write(rows, f"{tmp_path}/{name}{part}")
+        assert sorted(map(str, read(spark, f"{tmp_path}/{name}", schema).collect())) == want
+        assert read(spark, f"{tmp_path}/{name}-empty", schema).count() == 0
+        with pytest.raises(Exception, match="already exists"):
+            write(df, f"{tmp_path}/{name}")
