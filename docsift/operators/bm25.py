@@ -162,7 +162,8 @@ def top(corpus: DataFrame, queries: DataFrame, k: int, tokens=word_tokens,
     if held is not None:
         base = Held(corpus, held, tokens, upto, vocab, ["_key"] * distinct)
         docs, mean_idf, kind = base.docs, base.mean_idf, dict(queries.dtypes)["query_id"]
-        asked, small = corpus.sparkSession.createDataFrame([(q,) for q in held.ids], f"query_id {kind}"), True
+        # A query without tokens has no list.
+        asked, small = corpus.sparkSession.createDataFrame([(held.ids[i],) for i in np.unique(held.query)], f"query_id {kind}"), True
         if mean_idf >= 0:
             best = merged(base.scored(k, kind, distinct), k, distinct)
         else:
