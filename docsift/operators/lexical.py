@@ -22,11 +22,13 @@ from ..functions.text import SPACES
 from ..functions.tokens import keywords
 from ..session import localized
 from .grams import CELLS, Best
-from .layout import spread, unfold
+from .layout import bounded, spread, unfold
 from .ranking import DIGITS, fixed, keep_first, top_k
 
 # Distinct keywords one automaton holds; larger sets are searched block by block.
 BLOCK = 100_000
+# Bytes of texts that a task searches at once, and runs whose keywords it remembers.
+BYTES, RUNS = 2 << 20, 200_000
 
 
 @lru_cache(maxsize=1)
@@ -88,6 +90,7 @@ class Finder:
         for i, key in enumerate(keys):
             self.machine.add_word(key, (i, key))
         self.machine.make_automaton()
+        self.known: dict[str, tuple[tuple[int, int, int], ...]] = {}
 
     def of_run(self, run: str) -> Iterator[tuple[int, int, int]]:
         """Keyword, first position and count in one run."""
@@ -100,11 +103,22 @@ class Finder:
                 seen[key][1:] = [seen[key][1] + 1, end]
         return ((key, begin, n) for key, (begin, n, _) in seen.items())
 
+    def of_runs(self, runs: list[str]) -> Iterator[tuple[int, int, int, int]]:
+        """Number of the run, keyword, first position and count; runs seen before are looked up."""
+        if len(self.known) > RUNS:
+            self.known.clear()
+        for i, run in enumerate(runs):
+            found = self.known.get(run)
+            if found is None:
+                found = self.known[run] = tuple(self.of_run(run))
+            for x in found:
+                yield (i, *x)
+
     def found(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """``row, keyword, first, n`` in order of row, and the words of each text."""
         runs, row, place, spoken = _runs(texts)
         code = runs.indices.to_numpy(zero_copy_only=False)
-        cells = np.array([(i, *x) for i, run in enumerate(runs.dictionary.to_pylist()) for x in self.of_run(run)], np.int64).reshape(-1, 4)
+        cells = np.array(list(self.of_runs(runs.dictionary.to_pylist())), np.int64).reshape(-1, 4)
         first = np.searchsorted(cells[:, 0], np.arange(len(runs.dictionary) + 1))
         n = first[code + 1] - first[code]
         at = np.repeat(first[code] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
@@ -118,7 +132,7 @@ def _matcher(keys: list[str], names: list[str]):
     """Task function: documents -> their columns ``names``, their words, and a row for each keyword in them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(keys) if keys else None
-        for batch in batches if finder else ():
+        for batch in (part for b in batches for part in bounded(b, "text", BYTES)) if finder else ():
             row, key, first, n, spoken = finder.found(batch.column("text"))
             out = [*[batch.column(c) for c in names], pa.array(spoken.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(
@@ -128,46 +142,95 @@ def _matcher(keys: list[str], names: list[str]):
     return run
 
 
-def _best(rows: DataFrame, asked: list, k: int, position: bool, distinct: bool, query_type: str) -> DataFrame:
+class Asked:
+    """Keywords of a bounded query set: ``keys``, the queries' ``ids`` and number of keywords with repeats."""
+
+    def __init__(self, rows: list):
+        self.keys, self.ids = sorted({r["keyword"] for r in rows}), list(dict.fromkeys(r["query_id"] for r in rows))
+        number, query = {key: i for i, key in enumerate(self.keys)}, {q: i for i, q in enumerate(self.ids)}
+        self.total = np.zeros(len(self.ids), np.int64)
+        self.total[[query[r["query_id"]] for r in rows]] = [r["k"] for r in rows]
+        cells = np.array(sorted((number[r["keyword"]], query[r["query_id"]], r["times"]) for r in rows), np.int64).reshape(-1, 3)
+        self.first, self.query, self.times = np.searchsorted(cells[:, 0], np.arange(len(self.keys) + 1)), cells[:, 1], cells[:, 2]
+
+    def parts(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches cut to what a task searches and scores at once."""
+        step = max(1, CELLS // (4 * len(self.ids)))
+        for batch in batches:
+            for part in bounded(batch, "text", BYTES):
+                yield from (part.slice(lo, step) for lo in range(0, part.num_rows, step))
+
+    def found(self, batch: pa.RecordBatch, finder: Finder) -> tuple[np.ndarray, ...]:
+        """``cell, times, n, at, key`` in order of row and keyword, where a cell is row times queries
+        plus query; and the words of each text."""
+        row, key, at, n, spoken = finder.found(batch.column("text"))
+        many = self.first[key + 1] - self.first[key]
+        inner = np.repeat(self.first[key] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        cell = np.repeat(row, many) * len(self.ids) + self.query[inner]
+        return cell, self.times[inner], np.repeat(n, many), np.repeat(at, many), np.repeat(key, many), spoken
+
+
+def _arrow(df: DataFrame, fields: str) -> pa.Schema:
+    return pa.schema([(f.name, to_arrow_type(f.dataType)) for f in df.sparkSession.createDataFrame([], fields).schema])
+
+
+def _best(rows: DataFrame, asked: Asked, k: int, position: bool, distinct: bool, query_type: str) -> DataFrame:
     """Each task's best ``k`` per query; scores of a batch are a dense block, documents by queries."""
-    keys, ids = sorted({r["keyword"] for r in asked}), list(dict.fromkeys(r["query_id"] for r in asked))
-    number, query = {key: i for i, key in enumerate(keys)}, {q: i for i, q in enumerate(ids)}
-    cells = np.array(sorted((number[r["keyword"]], query[r["query_id"]], r["times"]) for r in asked), np.int64).reshape(-1, 3)
-    first, width = np.searchsorted(cells[:, 0], np.arange(len(keys) + 1)), len(ids)
-    total = np.zeros(width)
-    total[[query[r["query_id"]] for r in asked]] = [r["k"] for r in asked]
-    names, kinds = ["id", *["_key"] * distinct], dict(rows.dtypes)
+    names, kinds, width = ["id", *["_key"] * distinct], dict(rows.dtypes), len(asked.ids)
     schema = f"query_id {query_type}, id {kinds['id']}, {'_key string, ' * distinct}score double"
-    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in rows.sparkSession.createDataFrame([], schema).schema])
+    arrow = _arrow(rows, schema)
 
     def scored(batch: pa.RecordBatch, finder: Finder) -> tuple[np.ndarray, np.ndarray]:
-        row, key, at, n, spoken = finder.found(batch.column("text"))
-        many = first[key + 1] - first[key]
-        inner = np.repeat(first[key] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-        cell, times = np.repeat(row, many) * width + cells[inner, 1], cells[inner, 2]
+        cell, times, n, at, _, spoken = asked.found(batch, finder)
         add = lambda w: np.bincount(cell, w, batch.num_rows * width).reshape(batch.num_rows, width)
-        hits, found, places = add(times), add(times * np.repeat(n, many)), add(times * np.repeat(at, many))
+        hits, found, places = add(times), add(times * n), add(times * at)
         often = found / np.maximum(spoken, 1)[:, None]
-        score = hits / total * 0.5 + often * (0.3 if position else 0.5)
+        score = hits / asked.total * 0.5 + often * (0.3 if position else 0.5)
         if position:
             chars = batch.column("chars").to_numpy(zero_copy_only=False)[:, None]
             score += np.maximum((chars - places / np.maximum(hits, 1)) / np.maximum(chars, 1), 0.0) * 0.2
         return np.round(np.minimum(score, 1.0), DIGITS), hits > 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder, best = Finder(keys), Best(k, distinct)
-        for batch in batches:
-            step = max(1, CELLS // (4 * width))
-            for lo in range(0, batch.num_rows, step):
-                part = batch.slice(lo, step)
-                scores, inside = scored(part, finder)
-                best.add_block(pa.table([part.column(c) for c in names], names).to_pandas(), scores, inside, ids)
+        finder, best = Finder(asked.keys), Best(k, distinct)
+        for part in asked.parts(batches):
+            scores, inside = scored(part, finder)
+            best.add_block(pa.table([part.column(c) for c in names], names).to_pandas(), scores, inside, asked.ids)
         if best.held is not None:
             yield from pa.Table.from_pandas(best.held, schema=arrow, preserve_index=False).to_batches()
 
     return rows.mapInArrow(run, schema)
 
 
+def _pairs(rows: DataFrame, asked: Asked, keep: list[str], names: bool, query_type: str) -> DataFrame:
+    """What a document and a query share, pair by pair, summed in the document's task; nothing is shuffled."""
+    columns, kinds = ["id", *keep, "chars"], dict(rows.dtypes)
+    schema = f"query_id {query_type}, k long, " + ", ".join(f"`{c}` {kinds[c]}" for c in columns)
+    schema += ", words int, hits long, occurrences long, positions long" + ", matched_keywords array<string>" * names
+    arrow = _arrow(rows, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(asked.keys)
+        ids, keys = pa.array(asked.ids, arrow.field("query_id").type), pa.array(asked.keys, pa.string())
+        for part in asked.parts(batches):
+            cell, times, n, at, key, spoken = asked.found(part, finder)
+            # A stable order leaves the keywords of a pair in theirs.
+            order = np.argsort(cell, kind="stable")
+            pair, start = np.unique(cell[order], return_index=True)
+            if not len(pair):
+                continue
+            row, query = np.divmod(pair, len(asked.ids))
+            sums = [np.add.reduceat(x[order], start) for x in (times, times * n, times * at)]
+            out = [ids.take(pa.array(query)), pa.array(asked.total[query]), *[part.column(c).take(pa.array(row)) for c in columns]]
+            out += [pa.array(spoken[row].astype(np.int32)), *map(pa.array, sums)]
+            if names:
+                ends = pa.array(np.append(start, len(order)).astype(np.int32))
+                out.append(pa.ListArray.from_arrays(ends, keys.take(pa.array(key[order]))))
+            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(out, arrow.types)], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
 def _documents(corpus: DataFrame, keep: list[str]) -> DataFrame:
     docs = spread(corpus.select("id", "text", *keep), "id").select("id", *keep, F.lower("text").alias("text"))
     return docs.withColumn("chars", F.length("text"))
@@ -205,6 +268,12 @@ def _asked(queries: DataFrame) -> DataFrame:
     )
 
 
+def _held(queries: DataFrame) -> Asked | None:
+    """The queries' keywords, or None if there are none or too many for every task to hold."""
+    rows = _asked(queries).limit(BLOCK + 1).collect()
+    return Asked(rows) if 0 < len(rows) <= BLOCK else None
+
+
 def _score(position: bool) -> Column:
     ratio = F.col("hits") / F.col("k")
     frequency = F.col("occurrences") / F.greatest("words", F.lit(1))
@@ -212,23 +281,33 @@ def _score(position: bool) -> Column:
     return ratio * 0.5 + frequency * 0.3 + early * 0.2 if position else ratio * 0.5 + frequency * 0.5
 
 
-def scores(corpus: DataFrame, queries: DataFrame, position: bool = True, keep: list[str] | None = None, names: bool = True) -> DataFrame:
-    """``query_id, id, score, keyword_matches, matched_keywords``; texts without a hit are left out.
-
-    A keyword a query repeats counts as often. Without ``position`` the frequency
-    part weighs one half instead. Columns ``keep`` of the corpus stay; ``names=False``
-    leaves the matched keywords out.
-    """
-    keep = keep or []
+def _joined(corpus: DataFrame, queries: DataFrame, keep: list[str], names: bool) -> DataFrame:
+    """What a document and a query share, for query sets that tasks can't hold."""
     asked, _ = localized(_asked(queries))
     found = matches(corpus, asked.select("keyword").distinct(), keep)
     # A document's matches are in one task, so its sums are complete before they move.
-    hit = found.join(asked, "keyword").groupBy("query_id", "k", "id", *keep, "chars", "words").agg(
+    return found.join(asked, "keyword").groupBy("query_id", "k", "id", *keep, "chars", "words").agg(
         F.sum("times").alias("hits"),
         F.sum(F.col("times") * F.col("n")).alias("occurrences"),
         F.sum(F.col("times") * F.col("first")).alias("positions"),
         *[F.sort_array(F.collect_set("keyword")).alias("matched_keywords")] * names,
     )
+
+
+def scores(corpus: DataFrame, queries: DataFrame, position: bool = True, keep: list[str] | None = None, names: bool = True) -> DataFrame:
+    """``query_id, id, score, keyword_matches, matched_keywords``; texts without a hit are left out.
+
+    A keyword a query repeats counts as often. Without ``position`` the frequency
+    part weighs one half instead. Columns ``keep`` of the corpus stay; ``names=False``
+    leaves the matched keywords out. A bounded query set is scored where the documents are;
+    a larger one is joined by keyword.
+    """
+    keep = keep or []
+    held = _held(queries)
+    if held is not None:
+        hit = _pairs(_documents(corpus, keep), held, keep, names, dict(queries.dtypes)["query_id"])
+    else:
+        hit = _joined(corpus, queries, keep, names)
     return hit.select(
         "query_id", "id", *keep, fixed(F.least(_score(position), F.lit(1.0))).alias("score"),
         F.col("hits").alias("keyword_matches"), *["matched_keywords"] * names,
@@ -243,9 +322,8 @@ def top(corpus: DataFrame, queries: DataFrame, k: int, position: bool = True, ke
     distinct = key is not None
     if distinct:
         corpus = corpus.select("id", "text", key.alias("_key"))
-    asked = _asked(queries)
-    held = asked.limit(BLOCK + 1).collect()
-    if 0 < len(held) <= BLOCK:
+    held = _held(queries)
+    if held is not None:
         rows = _best(_documents(corpus, ["_key"] * distinct), held, k, position, distinct, dict(queries.dtypes)["query_id"])
     else:
         rows = scores(corpus, queries, position, ["_key"] * distinct, names=False).drop("keyword_matches")

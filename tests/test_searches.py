@@ -132,3 +132,30 @@ def test_meta_search_in_blocks_and_edges(spark, monkeypatch):
     assert got["a"][0] == (1, 1.0) and got["b"] == [(3, 0.7), (5, 0.7), (2, 0.6)]
     assert got["c"] == [(1, 0.6), (6, 0.5121), (2, 0.3)]
     assert got["d"] == [(1, 0.3), (2, 0.3), (3, 0.3)]
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keyword_pairs_are_scored_in_bounded_parts_where_the_documents_are(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["client", "clients", "fee", "fees", "pay", "vendor"]) for _ in range(rng.randrange(30))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    asked = spark.createDataFrame([(1, "client fee fee"), (2, "vendor pay client"), (3, "nothing here")], "query_id long, text string")
+    got = lexical.scores(df, asked)
+    assert "Join" not in _plan(got) and "Aggregate" not in _plan(got)
+    want = sorted(got.collect())
+    monkeypatch.setattr(lexical, "BYTES", 50)
+    assert want and sorted(lexical.scores(df, asked).collect()) == want
+    monkeypatch.setattr(lexical, "BLOCK", 2)
+    assert sorted(lexical.scores(df, asked).collect()) == want
+
+
+def test_batches_are_cut_by_what_they_hold():
+    from docsift.operators.layout import bounded
+
+    lists = pa.array([["a"] * n for n in (3, 0, 4, 50, 1)] + [None], pa.list_(pa.string()))
+    for column, values in (("t", pa.array(["a" * (len(x.as_py() or [])) for x in lists])), ("t", lists)):
+        parts = list(bounded(pa.record_batch([values], [column]), column, 7))
+        assert [p.num_rows for p in parts] == [3, 1, 2] and pa.concat_arrays([p.column(0) for p in parts]) == values
