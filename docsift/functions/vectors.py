@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from hashlib import md5
 
 import numpy as np
@@ -13,7 +13,25 @@ from pyspark.sql import Column, functions as F
 
 EmbedFn = Callable[[list[str]], np.ndarray]
 
+
 _TOKEN = regex.compile(r"[\p{L}\p{N}_]+")
+# The faster module's \w, which is the same in texts of these characters alone (Latin letters, general
+# punctuation), whatever the versions of Unicode.
+_WORD, _OTHER = re.compile(r"\w+"), re.compile("[^\x00-\u036f\u2010-\u205e]")
+# Tokens a worker remembers.
+TOKENS = 1 << 18
+
+
+class _Slots(dict):
+    """Token -> its dimension, behind those of positive sign the negative ones."""
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        h = md5(token.encode()).hexdigest()
+        slot = self[token] = int(h[:2], 16) % self.dim + (0 if int(h[2], 16) < 8 else self.dim)
+        return slot
 
 
 def hashing_embed(dim: int = 64) -> EmbedFn:
@@ -21,18 +39,17 @@ def hashing_embed(dim: int = 64) -> EmbedFn:
 
     The first two md5 hex digits of a token choose the dimension, the third the sign.
     """
-
-    @lru_cache(maxsize=1 << 18)
-    def slot(token: str) -> tuple[int, float]:
-        h = md5(token.encode()).hexdigest()
-        return int(h[:2], 16) % dim, 1.0 if int(h[2], 16) < 8 else -1.0
+    slots = _Slots(dim)
 
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim))
         for row, text in enumerate(texts):
-            for token in _TOKEN.findall((text or "").lower()):
-                d, sign = slot(token)
-                out[row, d] += sign
+            low = (text or "").lower()
+            tokens = (_TOKEN if _OTHER.search(low) else _WORD).findall(low)
+            if len(slots) > TOKENS:
+                slots.clear()
+            n = np.bincount(np.fromiter(map(slots.__getitem__, tokens), np.int64, len(tokens)), minlength=2 * dim)
+            out[row] = n[:dim] - n[dim:]
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norms == 0, 1.0, norms)
 

@@ -190,3 +190,53 @@ def test_members_are_numbered_with_and_without_gaps(spark, gap):
     df = spark.createDataFrame(rows, "doc_id long, method_ord int, pos long, text string").repartition(3)
     got = {r["text"]: r["chunk_number"] for r in number_members(df, ["doc_id", "method_ord"], "pos", 7).collect()}
     assert got == {r[3]: i + 7 for i, r in enumerate(sorted(rows))}
+
+
+def test_methods_that_cut_alike_cut_once(spark):
+    from docsift.plans.ingest import chunk_documents
+
+    docs = spark.createDataFrame([(1, "1. Terms\nThe client shall pay. " * 30), (2, "plain words")], "doc_id long, text string")
+    calls = lambda ms: chunk_documents(docs, ms)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+    assert calls(["hierarchical", "structural"]) == calls(["structural"])
+    rows = chunk_documents(docs, ["structural", "recursive", "hierarchical"]).collect()
+    texts = {m: sorted((r["doc_id"], r["pos"], r["text"]) for r in rows if (r["chunking_method"], r["method_ord"]) == m)
+             for m in (("structural", 0), ("recursive", 1), ("hierarchical", 2))}
+    assert texts["structural", 0] == texts["hierarchical", 2] and sum(map(len, texts.values())) == len(rows)
+
+
+def test_only_groups_with_gaps_are_sorted_for_their_numbers(spark, monkeypatch):
+    from docsift.operators import numbering
+
+    seen, plain = [], numbering.number_rows
+    monkeypatch.setattr(numbering, "number_rows", lambda rows, *a, **k: seen.append(rows.count()) or plain(rows, *a, **k))
+    df = spark.createDataFrame([(d, p) for d, ps in ((1, (1, 2, 3)), (2, (5, 9, 7)), (3, (4,))) for p in ps], "doc_id long, pos long")
+    got = {(r["doc_id"], r["pos"]): r["chunk_number"] for r in number_members(df, ["doc_id"], "pos", 1).collect()}
+    assert got == {(1, 1): 1, (1, 2): 2, (1, 3): 3, (2, 5): 4, (2, 7): 5, (2, 9): 6, (3, 4): 7} and seen == [3]
+
+
+def test_inputs_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch):
+    from docsift.operators import layout
+
+    df = spark.range(100).withColumn("text", F.repeat(F.lit("words "), F.lit(50)))
+    monkeypatch.setattr(layout, "SMALL", 0, raising=False)
+    monkeypatch.setattr(layout, "TASK", 1 << 7, raising=False)
+    assert layout.spread(df, "id").rdd.getNumPartitions() > 8 and layout.spread(df, "id").count() == 100
+
+
+def test_vectors_of_texts_beyond_latin(spark):
+    from hashlib import md5
+
+    import numpy as np
+    import regex
+    from docsift.functions import vectors
+
+    texts = ["Été œuvre ² _x1 x1", "日本 語 ٠١ a", "", None, "‘a’—b… ª"]
+    want = np.zeros((len(texts), 64))
+    for row, text in enumerate(texts):
+        for token in regex.findall(r"[\p{L}\p{N}_]+", (text or "").lower()):
+            h = md5(token.encode()).hexdigest()
+            want[row, int(h[:2], 16) % 64] += 1 if int(h[2], 16) < 8 else -1
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-300)
+    assert (vectors.hashing_embed()(texts) == want).all()
+    same = [c for c in map(chr, range(0x110000)) if not vectors._OTHER.match(c)]
+    assert all(bool(vectors._WORD.match(c)) == bool(vectors._TOKEN.match(c)) for c in same)
