@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .grams import reaching
+from .grams import CELLS, best_cells, places
 from .layout import spread
 from .ranking import DIGITS, keep_first, min_max, top_k
 
@@ -25,9 +25,8 @@ BLOCK = 2_000
 def _scorer(ids: list, matrix: np.ndarray, k: int | None, keep: list[str], group: str | None, distinct: bool):
     unit = matrix / np.where(np.linalg.norm(matrix, axis=1, keepdims=True) == 0, 1, np.linalg.norm(matrix, axis=1, keepdims=True))
 
-    def rows(pdf: pd.DataFrame, scores: np.ndarray, pick: np.ndarray) -> pd.DataFrame:
+    def rows(pdf: pd.DataFrame, scores: np.ndarray, r: np.ndarray, q: np.ndarray) -> pd.DataFrame:
         """Long form of the picked (row, query) cells."""
-        r, q = np.nonzero(pick)
         out = pdf.iloc[r].reset_index(drop=True)
         out.insert(0, "query_id", [ids[i] for i in q])
         out["score"] = scores[r, q]
@@ -42,22 +41,23 @@ def _scorer(ids: list, matrix: np.ndarray, k: int | None, keep: list[str], group
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
-        for pdf in batches:
-            if pdf.empty or not ids:
-                continue
+        step = max(1, CELLS // max(1, len(ids)))
+        for pdf in (b.iloc[lo : lo + step] for b in batches if ids for lo in range(0, len(b), step)):
             v = np.stack(pdf["vec"].to_numpy()).astype(float)
             length = np.linalg.norm(v, axis=1, keepdims=True)
             scores = np.round(v @ unit.T / np.where(length == 0, 1, length), DIGITS) + 0.0
-            pdf = pdf[["id", *keep]]
+            pdf = pdf[["id", *keep]].reset_index(drop=True)
             if k is None:
-                yield rows(pdf, scores, np.ones_like(scores, dtype=bool))
+                yield rows(pdf, scores, *np.divmod(np.arange(scores.size), len(ids)))
                 continue
-            # Cells at or above the k-th best of their query (and group) in this batch.
-            cut = np.full(scores.shape, -np.inf)
-            keys = pd.factorize(pdf["_key"])[0] if distinct else None
+            # The best k of their query (and group) in this block.
+            place = places(pdf["id"])
+            keys = pd.factorize(pdf["_key"], use_na_sentinel=False)[0] if distinct else None
+            found = []
             for at in pdf.groupby(group, sort=False, dropna=False).indices.values() if group else [np.arange(len(pdf))]:
-                cut[at] = reaching(scores[at], k, keys[at] if distinct else None)
-            part = rows(pdf, scores, scores >= cut)
+                r, q = best_cells(scores[at], place[at], k, keys[at] if distinct else None)
+                found.append((at[r], q))
+            part = rows(pdf, scores, *map(np.concatenate, zip(*found)))
             held = best(part if held is None else pd.concat([held, part]))
         if held is not None:
             yield held

@@ -159,3 +159,39 @@ def test_batches_are_cut_by_what_they_hold():
     for column, values in (("t", pa.array(["a" * (len(x.as_py() or [])) for x in lists])), ("t", lists)):
         parts = list(bounded(pa.record_batch([values], [column]), column, 7))
         assert [p.num_rows for p in parts] == [3, 1, 2] and pa.concat_arrays([p.column(0) for p in parts]) == values
+
+
+def test_blocks_stay_small_and_copies_are_cut_before_rows_are_made(spark, monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    sizes, plain = [], grams.Best.add
+    monkeypatch.setattr(grams.Best, "add", lambda self, part: sizes.append(len(part)) or plain(self, part))
+    table = pd.DataFrame({"id": np.arange(400)[::-1], "_key": ["a"] * 200 + ["b"] * 150 + list(map(str, range(50)))})
+    best = grams.Best(2, True)
+    best.add_block(table, np.repeat([1.0, 0.5, 0.1], [200, 150, 50])[:, None], np.ones((400, 1), bool), ["q"])
+    assert sizes == [2] and best.held[["id", "score"]].values.tolist() == [[200, 1.0], [50, 0.5]]
+    # Common n-grams unfold to many cells: blocks count those, too.
+    asked = grams.Asked([(q, ["a", "b", "c"]) for q in range(20)], 1)
+    batch = pa.record_batch([pa.array([[0, 1, 2]] * 30, pa.list_(pa.int32())), pa.array([[1, 1, 1]] * 30, pa.list_(pa.int32())), pa.array([3] * 30)], ["nodes", "times", "dl"])
+    monkeypatch.setattr(grams, "CELLS", 120)
+    blocks = list(grams.dense(asked, np.ones(60), lambda tf, dl: tf, batch))
+    assert [s.shape[0] for _, s, _ in blocks] == [2] * 15 and all((s == 3).all() for _, s, _ in blocks)
+
+
+def test_vectors_are_scored_in_bounded_blocks(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    df = pd.DataFrame([(i, np.array([float(i % 7), 1.0, float(i % 3)]), "ab"[i % 2], str(i % 11)) for i in range(80)], columns=["id", "vec", "part", "_key"])
+    asked, sizes, plain = np.array([[1.0, 0.0, 0.0], [0.0, 1.0, 1.0]]), [], vector.best_cells
+    monkeypatch.setattr(vector, "best_cells", lambda scores, *a: sizes.append(scores.size) or plain(scores, *a))
+
+    def run():
+        return [sorted(map(tuple, pd.concat(vector._scorer([1, 2], asked, k, keep, group, distinct)(iter([df]))).values.tolist()))
+                for k, keep, group, distinct in ((5, ["_key"], None, True), (3, ["part"], "part", False), (4, [], None, False))]
+
+    want = run()
+    monkeypatch.setattr(vector, "CELLS", 6)
+    sizes.clear()
+    assert run() == want and max(sizes) == 6
