@@ -30,8 +30,9 @@ LONGEST = 4  # words of a phrase
 OVERLAP = LONGEST - 1  # words of the window, and of the overlap
 MODULUS = 16  # a window in so many ends a chunk
 FORCED = 256  # words after which a chunk ends in any case
-STRETCH = 1 << 23  # bytes of texts parsed at a time
-BLOCK = 1 << 24  # bytes of chunks counted at a time
+STRETCH = 1 << 22  # bytes of texts parsed at a time
+BLOCK = 1 << 22  # bytes of chunks counted at a time
+HELD = 1 << 21  # buckets of earlier blocks that wait to be put out together
 RANGE_BITS = 12  # the table's parts: 4,096
 LEAST_BITS, MOST_BITS = 18, 28
 FULL = 255  # buckets count no further
@@ -51,7 +52,8 @@ def parsed(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarra
     if not n:
         return pa.array([], pa.string()), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(texts)), np.diff(words.first))
-    upto = np.concatenate([[0], np.cumsum(PARTS[words.data], dtype=np.int32)])
+    upto = np.zeros(len(words.data) + 1, np.int32)
+    np.cumsum(PARTS[words.data], out=upto[1:])
     opens = np.ones(n, bool)  # first words of pieces
     opens[1:] = (row[1:] != row[:-1]) | (upto[words.start[1:]] != upto[words.end[:-1]])
     place = np.arange(n) - np.maximum.accumulate(np.where(opens, np.arange(n), 0))
@@ -96,11 +98,11 @@ class Block:
         lists = pc.ascii_split_whitespace(table.column("chunk").combine_chunks().cast(pa.large_string()))
         coded = lists.flatten().dictionary_encode()
         self.langs, self.words = langs.dictionary, coded.dictionary
-        self.code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.code = coded.indices.to_numpy(zero_copy_only=False)
         at = lists.offsets.to_numpy(zero_copy_only=False)
         sizes = np.diff(at)
-        chunk = np.repeat(np.arange(len(sizes)), sizes)
-        self.place = np.arange(len(chunk)) - (at[:-1] - at[0])[chunk]
+        chunk = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.place = np.arange(len(chunk), dtype=np.int32) - (at[:-1] - at[0]).astype(np.int32)[chunk]
         led = table.column("led").to_numpy()
         self.own = self.place >= OVERLAP * led[chunk]  # not of the overlap
         self.times = table.column("n").to_numpy()[chunk]
@@ -138,7 +140,7 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
 
 def summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and the sums of their times."""
-    order = np.argsort(keys)
+    order = np.argsort(keys, kind="stable")  # merges what is sorted
     keys, times = keys[order], times[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return keys[first], np.add.reduceat(times, first) if len(keys) else times
@@ -147,15 +149,26 @@ def summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def bucket_counts(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inner = bits - RANGE_BITS
-        for block in blocks(batches):
-            found = [((h >> np.uint64(64 - bits)).astype(np.int64), block.times[at]) for _, at, h in block.hashed()]
-            keys, times = summed(*(np.concatenate(x) for x in zip(*found)))
-            part = keys >> inner
-            edges = np.searchsorted(part, np.arange((1 << RANGE_BITS) + 1))
-            rows = [(r, pack(np.diff(keys[a:b], prepend=r << inner)), pack(np.minimum(times[a:b], FULL)))
+
+        def packed(keys: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+            edges = np.searchsorted(keys, np.arange((1 << RANGE_BITS) + 1) << inner)
+            rows = [(r, pack(np.diff(keys[a:b], prepend=r << inner)), pack(times[a:b]))
                     for r, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if b > a]
             columns = list(zip(*rows)) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()))], ["part", "steps", "times"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()))], ["part", "steps", "times"])
+
+        none = np.zeros(0, np.int32)
+        held = none, none
+        for block in blocks(batches):
+            for _, at, h in block.hashed():
+                found = summed((h >> np.uint64(64 - bits)).astype(np.int32), block.times[at])
+                keys, times = summed(*(np.concatenate(x) for x in zip(held, found)))
+                held = keys, np.minimum(times, FULL).astype(np.int32)
+            if len(held[0]) >= HELD:
+                yield packed(*held)
+                held = none, none
+        if len(held[0]):
+            yield packed(*held)
 
     return run
 
