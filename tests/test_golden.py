@@ -1,5 +1,6 @@
 """Small cases worked out by hand."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,3 +214,26 @@ def test_used_references(spark):
         (3, 0, None, None, "all references"), (4, 0, None, None, "all references"),
         (6, 1, None, "Research paper by Zed", "placeholder"), (6, 2, 4, "Four", "reference"), (7, 1, 2, "ONE", "reference")]
     assert references.used_references(texts, refs.limit(0)).filter("doc_id = 3").count() == 0
+
+
+def test_ngrams_are_stretches_of_their_text():
+    """N-grams of a batch are cut at once, whatever the texts, nulls and slices."""
+    def plain(text, upto):
+        words = text.split(" ") if text else []
+        return None if text is None else [" ".join(words[i : i + n]) for n in range(1, upto + 1) for i in range(len(words) - n + 1)]
+
+    texts = ["a bé ccc 日本 x", None, "", "one", "日本 日本", "a b", None, "last one of all of them"]
+    for lo in range(len(texts)):
+        for hi in range(lo, len(texts) + 1):
+            for upto in (1, 2, 5):
+                got = tokens.cut_ngrams(pa.array(texts, pa.string())[lo:hi], upto)
+                assert got.to_pylist() == [plain(t, upto) for t in texts[lo:hi]]
+
+
+def test_ngrams_in_tables(spark):
+    rows = [(1, "The  FEE is\tdue"), (2, ""), (3, None), (4, " \n ")]
+    df = spark.createDataFrame(rows, "id long, text string").select("id", tokens.blank_ngrams(F.col("text"), 3).alias("g"), tokens.word_ngrams(F.col("text"), 2).alias("w"))
+    got = {r["id"]: (r["g"], r["w"]) for r in df.collect()}
+    assert got[1][0] == ["the", "fee", "is", "due", "the fee", "fee is", "is due", "the fee is", "fee is due"]
+    assert got[1][1] == ["the", "fee", "is", "due", "the fee", "fee is", "is due"]
+    assert got[2] == got[4] == ([], []) and got[3] == (None, None)
