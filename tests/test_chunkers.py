@@ -240,3 +240,16 @@ def test_vectors_of_texts_beyond_latin(spark):
     assert (vectors.hashing_embed()(texts) == want).all()
     same = [c for c in map(chr, range(0x110000)) if not vectors._OTHER.match(c)]
     assert all(bool(vectors._WORD.match(c)) == bool(vectors._TOKEN.match(c)) for c in same)
+
+
+def test_splitter_leaves_in_parts(spark):
+    """A batch of long texts is split in stretches of bytes, so that its chunks aren't all held at once."""
+    import pyarrow as pa
+
+    from docsift.operators.chunking import splitter as module
+
+    texts = [None, "", *[f"Sentence {i} of a text. " * 20_000 for i in range(8)]]
+    parts = list(module.splitter().func(iter([pa.array(texts)])))
+    assert len(parts) >= 3 and max(p.nbytes for p in parts) < 4 * module.CUT
+    got = [chunks for p in parts for chunks in p.to_pylist()]
+    assert got == [module.split_text(t, 500, 50, module.RECURSIVE_SEPARATORS) if t else [] for t in texts]
