@@ -38,7 +38,7 @@ def normalised(raw: DataFrame, chars: int | None = None) -> DataFrame:
     )
 
 
-def result_text(df: DataFrame) -> DataFrame:
-    """``id, text`` for ranking: title and snippet, or the URL when both are empty."""
+def result_text(df: DataFrame, *keep: str) -> DataFrame:
+    """``id, text`` and the columns ``keep`` for ranking: title and snippet, or the URL when both are empty."""
     both = strip(F.concat(F.col("title"), F.lit(". "), F.col("snippet")))
-    return df.select("id", F.when(both == "", F.col("url")).otherwise(both).alias("text"))
+    return df.select("id", F.when(both == "", F.col("url")).otherwise(both).alias("text"), *keep)

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from ..functions import web
 from ..functions.text import word_tokens
 from ..functions.vectors import cosine, embed_udf, hashing_embed
-from ..operators import bm25, filters, meta, papers as ranking_papers, references, rerank, vector
+from ..operators import bm25, filters, meta, papers as ranking_papers, references, rerank
 from ..operators.layout import spread
-from ..operators.numbering import number_rows, staged
-from ..operators.ranking import keep_first, top_k
+from ..operators.numbering import staged
+from ..operators.ranking import keep_first
 from ..plans import cache
 from ..session import ensure_checkpoint_dir
 from ..sources import web as pages
@@ -92,24 +92,10 @@ _WEB = f"""r AS MATERIALIZED ({WHOLE_SQL}), w AS MATERIALIZED (SELECT id, {s.str
  x AS MATERIALIZED (SELECT f.query_id, f.id, f.by_max AS bm25, round(coalesce(cs.c, 0), 6) + 0.0 AS cosine FROM b_rank f LEFT JOIN cs USING (query_id, id))"""
 
 
-def web_pairs(t):
-    """Every result scored by both methods; result lists are what one search returned."""
-    texts = staged(pages.result_text(pages.normalised(raw(t))))
-    asked = text_queries(t)
+def web_search(t, *keep):
+    """Results with text and vector, and the queries with theirs; result lists are what one search returned."""
     embed = embed_udf(hashing_embed)
-    cos = vector.scores(texts.select("id", embed(F.col("text")).alias("vec")), asked.select("query_id", embed(F.col("text")).alias("vec")))
-    found = bm25.scores(texts, asked, word_tokens)
-    best = found.groupBy("query_id").agg(F.max("score").alias("best"))
-    found = found.join(best, "query_id").select(
-        "query_id", "id", F.when(F.col("best") > 0, F.round(F.col("score") / F.col("best"), 6)).otherwise(F.col("score")).alias("bm25"))
-    pairs = cos.withColumnRenamed("score", "cosine").join(found, ["query_id", "id"], "left")
-    return pairs.withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
-
-
-def web_search(t):
-    """Results with text and vector, and the queries with theirs."""
-    embed = embed_udf(hashing_embed)
-    texts = staged(pages.result_text(pages.normalised(raw(t))).select("id", "text").withColumn("vec", embed(F.col("text"))))
+    texts = staged(pages.result_text(pages.normalised(raw(t)), *keep).withColumn("vec", embed(F.col("text"))))
     return texts, text_queries(t).withColumn("vec", embed(F.col("text")))
 
 
@@ -151,17 +137,7 @@ WITH {_WEB}, y AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id
  z AS (SELECT query_id, url, round(sum(1.0 / (60 + a)::DOUBLE + 1.0 / (60 + b)::DOUBLE), 9) AS score FROM y JOIN r USING (id) GROUP BY query_id, url)
 SELECT query_id, url, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, url) AS rank FROM z QUALIFY rank <= 10""")
 def _(t):
-    pairs = staged(web_pairs(t))
-
-    def places(score: str):
-        """Every result has a place in both lists, so the lists are long and ranked by a range sort."""
-        rows = pairs.select("query_id", "id", (-F.col(score)).alias("_o"))
-        rows = number_rows(rows, ["_o", "id"], ["query_id"], out="rank")
-        return rows.select("query_id", "id", (1.0 / (F.col("rank") + 60)).alias("p"))
-
-    urls = results(t).select("id", "url")
-    rows = places("bm25").unionByName(places("cosine")).join(urls, "id").groupBy("query_id", "url").agg(F.round(F.sum("p"), 9).alias("score"))
-    return top_k(rows, 10, ["query_id"], tie="url").withColumn("rank", F.col("rank").cast("long"))
+    return meta.by_places(*web_search(t, "url"), 10).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("f19_meta_bm25", f"WITH {_WEB} SELECT f.query_id, f.id, r.url, f.by_max AS score, f.rk AS rank FROM b_rank f JOIN r USING (id) WHERE f.rk <= 10")
