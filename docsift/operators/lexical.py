@@ -8,6 +8,7 @@ texts; what it finds goes back to the documents by the runs' numbers and places.
 from __future__ import annotations
 
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -90,7 +91,12 @@ class Finder:
         for i, key in enumerate(keys):
             self.machine.add_word(key, (i, key))
         self.machine.make_automaton()
-        self.known: dict[str, tuple[tuple[int, int, int], ...]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Runs seen before have a number; what they hold stands in ``cells``, up to ``ends`` of the number."""
+        self.known: dict[str, int] = {}
+        self.cells, self.ends = array("q"), array("q", [0])
 
     def of_run(self, run: str) -> Iterator[tuple[int, int, int]]:
         """Keyword, first position and count in one run."""
@@ -103,29 +109,34 @@ class Finder:
                 seen[key][1:] = [seen[key][1] + 1, end]
         return ((key, begin, n) for key, (begin, n, _) in seen.items())
 
-    def of_runs(self, runs: list[str]) -> Iterator[tuple[int, int, int, int]]:
-        """Number of the run, keyword, first position and count; runs seen before are looked up."""
+    def of_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Keyword, first position and count of what the runs hold, and where each run's begin; runs seen before are looked up."""
         if len(self.known) > RUNS:
-            self.known.clear()
-        for i, run in enumerate(runs):
-            found = self.known.get(run)
-            if found is None:
-                found = self.known[run] = tuple(self.of_run(run))
-            for x in found:
-                yield (i, *x)
+            self._forget()
+        for run in runs:
+            if run not in self.known:
+                self.known[run] = len(self.known)
+                for x in self.of_run(run):
+                    self.cells.extend(x)
+                self.ends.append(len(self.cells) // 3)
+        number = np.fromiter(map(self.known.__getitem__, runs), np.int64, len(runs))
+        # Copies, as an array that is looked into can't grow.
+        ends, cells = np.array(self.ends, np.int64), np.array(self.cells, np.int64).reshape(-1, 3)
+        n = ends[number + 1] - ends[number]
+        first = np.concatenate([[0], np.cumsum(n)])
+        return cells[np.repeat(ends[number] - first[:-1], n) + np.arange(first[-1])], first
 
     def found(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """``row, keyword, first, n`` in order of row, and the words of each text."""
         runs, row, place, spoken = _runs(texts)
         code = runs.indices.to_numpy(zero_copy_only=False)
-        cells = np.array(list(self.of_runs(runs.dictionary.to_pylist())), np.int64).reshape(-1, 4)
-        first = np.searchsorted(cells[:, 0], np.arange(len(runs.dictionary) + 1))
+        cells, first = self.of_runs(runs.dictionary.to_pylist())
         n = first[code + 1] - first[code]
         at = np.repeat(first[code] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        where = np.repeat(place, n) + cells[at, 2]
+        where = np.repeat(place, n) + cells[at, 1]
         # Runs come in order, so the first of a pair is its first position.
-        pair, once, back = np.unique(np.repeat(row, n) * self.n + cells[at, 1], return_index=True, return_inverse=True)
-        return pair // self.n, pair % self.n, where[once], np.bincount(back, cells[at, 3], len(pair)).astype(np.int64), spoken
+        pair, once, back = np.unique(np.repeat(row, n) * self.n + cells[at, 0], return_index=True, return_inverse=True)
+        return pair // self.n, pair % self.n, where[once], np.bincount(back, cells[at, 2], len(pair)).astype(np.int64), spoken
 
 
 def _matcher(keys: list[str], names: list[str]):

@@ -78,12 +78,17 @@ def search(corpus: DataFrame, queries: DataFrame, mode: str, k: int = 5, where:
 
 
 def hybrid(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Semantic and lexical lists of 2k different texts fused by id; of equal texts the better stays."""
-    sem = vector.top(_keyed(corpus, text_key()), _vec(queries, "query_id"), 2 * k, distinct=True)
-    lex = lexical.top(corpus.select("id", "text"), queries.select("query_id", "text"), 2 * k, key=text_key())
+    """Semantic and lexical lists of 2k different texts fused by id; of equal texts the better stays.
+
+    A column ``text_key`` of the corpus, if there is one, spares digests of the texts.
+    """
+    key = F.col("text_key") if "text_key" in corpus.columns else text_key()
+    # At most 2k rows per query, read for their ids and for their ranks.
+    sem = staged(vector.top(_keyed(corpus, key), _vec(queries, "query_id"), 2 * k, distinct=True))
+    lex = staged(lexical.top(corpus.select("id", "text", *["text_key"] * ("text_key" in corpus.columns)), queries.select("query_id", "text"), 2 * k, key=key))
     cols = ["query_id", "id", "rank"]
     ids = _bounded(sem.select(*cols).unionByName(lex.select(*cols)).select("id").distinct(), queries, 4 * k)
-    heads = corpus.select("id", text_key().alias("head")).join(ids, "id", "left_semi")
+    heads = corpus.select("id", key.alias("head")).join(ids, "id", "left_semi")
     return fusion.hybrid(sem, lex, heads, k)
 
 

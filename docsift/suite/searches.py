@@ -26,9 +26,10 @@ def _embedded(df, key: str, *keep):
     return staged(spread(df, key).select(key, "text", *keep, embed_udf(hashing_embed)(F.col("text")).alias("vec")))
 
 
-def corpus(t):
+def corpus(t, **more):
+    """Texts with vectors and file names, and columns ``more`` made of their texts."""
     rows = legal_texts(t).select(F.col("doc_id").alias("id"), "text", F.concat("source", F.lit(".txt")).alias("file_name"))
-    return _embedded(rows, "id", "file_name")
+    return _embedded(rows, "id", "file_name", *[c.alias(name) for name, c in more.items()])
 
 
 def queries(t):
@@ -87,7 +88,7 @@ WITH {BASE}, {UNIQUE}, {lexical_sql(True)},
  u AS (SELECT f.* FROM f JOIN d USING (id) QUALIFY row_number() OVER (PARTITION BY query_id, d.k ORDER BY score DESC, id) = 1)
 SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM u QUALIFY rank <= {K}""")
 def _(t):
-    rows = plan.hybrid(corpus(t), queries(t), K)
+    rows = plan.hybrid(corpus(t, text_key=plan.text_key()), queries(t), K)
     return rows.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -279,7 +280,7 @@ WITH {BASE}, {UNIQUE}, {lexical_sql(True)},
  m AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS mx, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM rr)
 SELECT query_id, id, score, rank, mx < 0.5 AS low_confidence FROM m WHERE ((mx >= 0.5 AND score >= 0.5) OR (mx < 0.5 AND rank <= 3)) AND rank <= {K}""")
 def _(t):
-    rows = plan.retrieve(corpus(t), queries(t), plan.SearchConfig(k=K, threshold=0.5, search_type="hybrid"))
+    rows = plan.retrieve(corpus(t, text_key=plan.text_key()), queries(t), plan.SearchConfig(k=K, threshold=0.5, search_type="hybrid"))
     return rows.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"), "low_confidence")
 
 

@@ -41,3 +41,32 @@ def test_places_of_whole_lists(spark, monkeypatch, part, pack):
     got = sorted((r["query_id"], r["rank"], r["url"], round(r["score"], 9)) for r in meta.by_places(texts, asked, 4).collect())
     # A query without words has no list.
     assert got == [(q, n, u, round(s, 9)) for q, u, s, n in _expected(texts, asked, 4)]
+
+
+def test_hybrid_lists_are_made_once_and_keyed_once(spark):
+    from docsift.plans import search
+
+    texts = ["the client pays rent", "The  client pays RENT", "the vendor pays tax", "client costs", "other words", "rent and tax"]
+    docs = spark.createDataFrame([(i, t, [float(i % 3), 1.0]) for i, t in enumerate(texts)], "id long, text string, vec array<double>").cache()
+    docs.count()
+    asked = spark.createDataFrame([(1, "client rent tax", [1.0, 1.0])], "query_id long, text string, vec array<double>").cache()
+    plain = search.hybrid(docs, asked, 3)
+    # Both lists are read twice, so neither search stands in the plan any more.
+    assert not {"MapInArrow", "MapInPandas"} & set(plain._jdf.queryExecution().optimizedPlan().toString().replace("(", " ").split())
+    keyed = search.hybrid(docs.withColumn("text_key", search.text_key()), asked, 3)
+    got = sorted(map(tuple, plain.select("query_id", "id", "score", "rank").collect()))
+    assert len(got) == 3 and sorted(map(tuple, keyed.select("query_id", "id", "score", "rank").collect())) == got
+
+
+def test_finder_forgets_and_finds_the_same(monkeypatch):
+    import pyarrow as pa
+
+    from docsift.operators import lexical
+
+    texts = [pa.array(["banana ban", None, "an anan nan"]), pa.array(["banana", "", "x"]), pa.array(["nan banana nan", "ban"])]
+    once = lexical.Finder(["an", "ban", "nan"])
+    want = [[x.tolist() for x in once.found(t)] for t in texts]
+    assert want[0][:4] == [[0, 0, 0, 2, 2], [0, 1, 2, 0, 2], [1, 0, 2, 0, 4], [3, 2, 1, 4, 2]]
+    monkeypatch.setattr(lexical, "RUNS", 0)
+    again = lexical.Finder(["an", "ban", "nan"])
+    assert [[x.tolist() for x in again.found(t)] for t in texts] == want
