@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from docsift import schema
-from docsift.operators import catalog, filters, vector
+from docsift.operators import catalog, filters, layout, numbering, vector
 from docsift.operators.highlight import CLOSE, OPEN, highlight
+from docsift.operators.numbering import number_members, resolve_parents, staged
 from docsift.plans import ingest as plan
 from docsift.plans import evaluate
 from docsift.sources import artifacts, exports, files, transcripts
@@ -106,6 +107,35 @@ def test_upsert_replaces_equal_keys(spark, tmp_path):
         schema.require(stored.drop("embedding_model"))
 
 
+def test_ingest_moves_no_chunks(spark, tmp_path):
+    """Texts are dealt once, and neither staged nor shuffled as chunks; documents may come twice."""
+    rows = documents(spark, [(i, f"f{i}") for i in (3, 1, 2, 3)])
+    rows.write.parquet(str(tmp_path / "d"))
+    methods = ["structural", "recursive", "hierarchical", "agentic"]
+    got = plan.ingest(spark.read.parquet(str(tmp_path / "d")), methods, start=5)
+    shown = got._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count("RepartitionByExpression") == 3 and "Window" not in shown and "Aggregate" not in shown
+    # As numbered and joined by the operators that move rows.
+    chunks = number_members(staged(plan.chunk_documents(rows, methods)), ["doc_id", "method_ord"], "pos", 5)
+    linked = [resolve_parents(chunks.filter(F.col("chunking_method") == m)) for m in ("structural", "hierarchical")]
+    flat = chunks.filter(~F.col("chunking_method").isin("structural", "hierarchical"))
+    want = linked[0].unionByName(linked[1]).unionByName(flat, allowMissingColumns=True)
+    want = plan.attach_entities(want, rows).join(rows.select("doc_id", "source_file"), "doc_id")
+    cols = ["source_file", "chunking_method", "chunk_number", "parent_chunk_number", "clause_number", "text", "email"]
+    assert sorted(map(str, got.select(*cols).collect())) == sorted(map(str, want.select(*cols).collect()))
+    assert got.filter("size(embedding) = 64").count() == want.count() > 0
+
+
+def test_unknown_sizes_are_not_dealt(spark):
+    rows = documents(spark, [(1, "a"), (2, "b")])
+    assert layout.spread(rows.select("doc_id", "text"), "doc_id").rdd.getNumPartitions() == rows.rdd.getNumPartitions()
+    read = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    dealt = layout.spread(read, "doc_id")
+    again = layout.spread(numbering.staged(dealt).filter("doc_id > 1"), "doc_id")
+    for df in (layout.spread(dealt.filter("doc_id > 1"), "doc_id"), again):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == (0 if df is again else 1)
+
+
 def test_stream_skips_stored_files(spark, tmp_path):
     src, table, ckpt = (str(tmp_path / x) for x in ("src", "table", "ckpt"))
     kind = documents(spark, [(1, "a")]).schema
