@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -195,3 +196,29 @@ def test_vectors_are_scored_in_bounded_blocks(monkeypatch):
     monkeypatch.setattr(vector, "CELLS", 6)
     sizes.clear()
     assert run() == want and max(sizes) == 6
+
+
+def test_hashes_move_as_steps():
+    rng = np.random.default_rng(1)
+    for size, most in ((0, 9), (1, 9), (9, 7), (1 << 20, 6)):
+        h = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+        n = rng.integers(1, 70_000, len(h))
+        edges = np.searchsorted(h, np.arange(grams.PARTS, dtype=np.uint64) << np.uint64(52)).tolist() + [len(h)]
+        rows = list(grams.packed(h, n))
+        assert [r[0] for r in rows] == [i for i, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+        got = [grams.unpacked(*r[1:]) for r in rows]
+        assert [x for g, _ in got for x in g.tolist()] == h.tolist() and [x for _, c in got for x in c.tolist()] == n.tolist()
+        assert sum(len(r[1]) - 8 for r in rows) <= most * len(h)
+
+
+def test_a_staged_corpus_is_dealt_once(spark):
+    from docsift.suite import searches
+    from docsift.suite.registry import Tables
+
+    corpus = searches.corpus(Tables(spark, "/root/testdata/sf0.001"))
+    asked = grams.ask(spark.createDataFrame([(1, "the client")], "query_id long, text string"), word_tokens, 5)
+    plans = [grams.documents(corpus, asked, word_tokens, []), grams.frequencies(corpus, word_tokens, 5), vector.top(corpus.select("id", "vec"), corpus.limit(3).select(F.col("id").alias("query_id"), "vec"), 2)]
+    for df in plans[:1] + plans[2:]:
+        assert "RepartitionByExpression" not in df._jdf.queryExecution().optimizedPlan().toString()
+    # The other one gathers ranges of hashes, not texts.
+    assert plans[1]._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
