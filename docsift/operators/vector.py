@@ -2,24 +2,32 @@
 
 A block of query vectors is checked for size and travels with the task; each task
 keeps only its best k per query, so the shuffle carries k rows per query and task
-however large the table is. More queries than one block holds are searched block by
-block, each a scan of its own.
+however large the table is. More queries than one block holds never reach the driver:
+both sides are packed in blocks and staged, and tasks meet stretches of query blocks
+with stretches of the table, a pair of blocks at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .grams import CELLS, best_cells, places
 from .layout import spread
+from .numbering import staged
 from .ranking import DIGITS, keep_first, min_max, top_k
 
 # Query vectors per block.
 BLOCK = 2_000
+# Rows of a block of the table, and how many of its tasks' shares one task meets.
+ROWS, SHARES = 4_096, 8
 
 
 def _scorer(ids: list, matrix: np.ndarray, k: int | None, keep: list[str], group: str | None, distinct: bool):
@@ -39,11 +47,12 @@ def _scorer(ids: list, matrix: np.ndarray, k: int | None, keep: list[str], group
             order = order.drop_duplicates([*by, "_key"])
         return order.groupby(by, sort=False, dropna=False).head(k)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(blocks: Iterator[tuple[pd.DataFrame, np.ndarray]]) -> Iterator[pd.DataFrame]:
+        """Of blocks of rows and their vectors."""
         held: pd.DataFrame | None = None
         step = max(1, CELLS // max(1, len(ids)))
-        for pdf in (b.iloc[lo : lo + step] for b in batches if ids for lo in range(0, len(b), step)):
-            v = np.stack(pdf["vec"].to_numpy()).astype(float)
+        for pdf, v in ((b.iloc[lo : lo + step], v[lo : lo + step]) for b, v in blocks if ids for lo in range(0, len(b), step)):
+            v = v.astype(float)
             length = np.linalg.norm(v, axis=1, keepdims=True)
             scores = np.round(v @ unit.T / np.where(length == 0, 1, length), DIGITS) + 0.0
             pdf = pdf[["id", *keep]].reset_index(drop=True)
@@ -70,21 +79,65 @@ def _search(corpus: DataFrame, queries: DataFrame, k: int | None, group: str | N
     fields = ", ".join(f"`{c}` {t}" for c, t in corpus.select("id", *keep).dtypes)
     schema = f"query_id {dict(queries.dtypes)['query_id']}, {fields}, score double"
     corpus = spread(corpus.filter(F.col("vec").isNotNull()), "id")
-    out = None
-    for block in _blocks(queries.select("query_id", "vec").filter(F.col("vec").isNotNull())):
-        matrix = np.stack(block["vec"].to_numpy()).astype(float) if len(block) else np.zeros((0, 1))
-        part = corpus.mapInPandas(_scorer(block["query_id"].tolist(), matrix, k, keep, group, distinct), schema)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _blocks(queries: DataFrame) -> list[pd.DataFrame]:
-    """Query vectors in blocks of bounded size."""
-    head = queries.limit(BLOCK + 1).toPandas()
-    if len(head) <= BLOCK:
-        return [head]
-    n = -(-queries.count() // BLOCK)
-    return [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).toPandas() for b in range(n)]
+    queries = queries.select("query_id", "vec").filter(F.col("vec").isNotNull())
+    block = queries.limit(BLOCK + 1).toPandas()
+    if len(block) > BLOCK:
+        return _met(corpus, queries, schema, k, keep, group, distinct)
+    matrix = np.stack(block["vec"].to_numpy()).astype(float) if len(block) else np.zeros((0, 1))
+    score = _scorer(block["query_id"].tolist(), matrix, k, keep, group, distinct)
+    return corpus.mapInPandas(lambda batches: score((b, np.stack(b["vec"].to_numpy())) for b in batches if len(b)), schema)
+
+
+def _packed(rows: DataFrame, size: int) -> DataFrame:
+    """``rows, dim, data``: up to ``size`` rows without their vectors, and these as numbers in one binary."""
+    names = [c for c in rows.columns if c != "vec"]
+    kind = "f4" if dict(rows.dtypes)["vec"] == "array<float>" else "f8"
+    fields = ", ".join(f"`{c}`: {t}" for c, t in rows.select(*names).dtypes)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(lo, size) for b in batches for lo in range(0, b.num_rows, size)):
+            vec = batch.column("vec")
+            dims = pc.unique(pc.list_value_length(vec)).to_pylist()
+            if len(dims) > 1:
+                raise ValueError(f"vectors of different lengths: {dims}")
+            data = vec.flatten().to_numpy(zero_copy_only=False).astype(kind).tobytes()
+            own = pa.StructArray.from_arrays([batch.column(c) for c in names], names)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(own)], own), pa.array(dims, pa.int32()), pa.array([data], pa.binary())], ["rows", "dim", "data"])
+
+    return rows.select(*names, "vec").mapInArrow(pack, f"rows array<struct<{fields}>>, dim int, data binary")
+
+
+def _met(corpus: DataFrame, queries: DataFrame, fields: str, k: int | None, keep: list[str], group: str | None, distinct: bool) -> DataFrame:
+    """Scores of queries that one block does not hold; every block of queries meets every block of rows.
+
+    A task holds its share of the packed rows, which is bounded, and one block of queries with its best rows.
+    """
+    kinds = ["f4" if dict(df.dtypes)["vec"] == "array<float>" else "f8" for df in (queries, corpus)]
+    asked = _packed(spread(queries, "query_id"), BLOCK).withColumnsRenamed({"rows": "asked", "dim": "width", "data": "matrix"})
+    asked = staged(asked.withColumn("block", F.monotonically_increasing_id()))
+    found = staged(_packed(corpus.select("id", *keep, "vec"), ROWS))
+    found = found.coalesce(max(1, found.rdd.getNumPartitions() // SHARES))
+    out = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in queries.sparkSession.createDataFrame([], fields).schema])
+
+    def numbers(data: pa.Scalar, width: pa.Scalar, kind: str) -> np.ndarray:
+        return np.frombuffer(data.as_buffer(), kind).reshape(-1, max(1, width.as_py()))
+
+    def block(row: dict) -> tuple[pd.DataFrame, np.ndarray]:
+        own = row["rows"].values
+        return pa.Table.from_arrays(own.flatten(), [f.name for f in own.type]).to_pandas(), numbers(row["data"], row["dim"], kinds[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = ({c: b.column(c)[i] for c in b.schema.names} for b in batches for i in range(b.num_rows))
+        for _, same in groupby(pairs, lambda row: row["block"].as_py()):
+            first = next(same)
+            ids = [r["query_id"] for r in first["asked"].as_py()]
+            ids = [tuple(i.values()) if isinstance(i, dict) else i for i in ids]
+            score = _scorer(ids, numbers(first["matrix"], first["width"], kinds[0]).astype(float), k, keep, group, distinct)
+            for best in score(map(block, chain([first], same))):
+                yield from pa.Table.from_pandas(best, schema=out, preserve_index=False).to_batches()
+
+    # The product streams the rows of the right side for each row of the left one.
+    return asked.crossJoin(found.hint("shuffle_replicate_nl")).mapInArrow(run, fields)
 
 
 def scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:

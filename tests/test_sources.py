@@ -164,6 +164,23 @@ def test_vector_search_in_blocks_equals_one_block(spark, monkeypatch):
     assert sorted(map(tuple, vector.top(v, q, 3).collect())) == one
 
 
+def test_queries_of_many_blocks_stay_off_the_driver(spark, monkeypatch):
+    """Only one block is ever collected, whatever the number of queries."""
+    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), (F.col("vec_id") % 3).alias("part"), F.md5(F.col("label").cast("string")).alias("_key"))
+    v = v.filter("id < 120")
+    q = v.select(F.col("id").alias("query_id"), "vec")
+    runs = [lambda: vector.top(v.drop("part", "_key"), q, 3), lambda: vector.top(v.drop("_key"), q, 2, group="part"),
+            lambda: vector.top(v.drop("part"), q, 3, distinct=True), lambda: vector.scores(v.drop("part", "_key"), q)]
+    one = [sorted(map(str, run().collect())) for run in runs]
+    seen = []
+    collect = type(q).toPandas
+    monkeypatch.setattr(type(q), "toPandas", lambda df: seen.append(len(out := collect(df))) or out)
+    monkeypatch.setattr(vector, "BLOCK", 25)
+    monkeypatch.setattr(vector, "ROWS", 16)
+    assert [sorted(map(str, run().collect())) for run in runs] == one
+    assert seen == [26] * 4
+
+
 def test_empty_inputs(spark):
     v = spark.createDataFrame([], "id long, vec array<float>")
     q = spark.createDataFrame([(1, [1.0])], "query_id long, vec array<float>")
