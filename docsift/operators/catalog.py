@@ -138,12 +138,11 @@ def delete_files(chunks: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFr
 
 def merge_by_key(existing: DataFrame, incoming: DataFrame, key: str, order: str) -> DataFrame:
     """Existing rows without those the incoming ones replace, plus the last of each incoming key."""
-    # Winners are chosen on key, order and a digest, so reruns agree; texts and vectors move in the join.
-    rows = incoming.withColumn("_rank", F.struct(F.col(order).alias("o"), F.md5(F.to_json(F.struct(*incoming.columns)).cast("binary")).alias("d")))
-    last = rows.groupBy(F.col(key).alias("_key")).agg(F.max("_rank").alias("_last"))
-    found = rows.join(last, rows[key].eqNullSafe(F.col("_key"))).filter(F.col("_rank") == F.col("_last"))
-    # What is left of a key are equal rows.
-    latest = found.dropDuplicates(["_key"]).select(*incoming.columns)
+    # Winners are chosen on key, order and a digest, so reruns agree; what is left of a key are equal rows.
+    rank = F.struct(F.col(order).alias("o"), F.md5(F.to_json(F.struct(*incoming.columns)).cast("binary")).alias("d"))
+    # A row moves once, with its rank.
+    last = incoming.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*incoming.columns), rank).alias("_row"))
+    latest = last.select("_row.*")
     kept = existing.join(incoming.select(key).distinct(), key, "left_anti")
     return kept.unionByName(latest, allowMissingColumns=True)
 

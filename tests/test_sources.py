@@ -242,3 +242,17 @@ def test_exports_come_back_whole(spark, tmp_path):
         assert read(spark, f"{tmp_path}/{name}-empty", schema).count() == 0
         with pytest.raises(Exception, match="already exists"):
             write(df, f"{tmp_path}/{name}")
+
+
+def test_upsert_moves_a_text_once(spark):
+    """Numbers go to the documents, not texts to the numbers; of what comes in, each row moves once."""
+    from docsift.suite import QUERIES
+
+    shown = QUERIES["b2_upsert"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in shown.splitlines() if "Join " in line]
+    assert joins and not any("pos#" in line for line in joins)
+    old = spark.createDataFrame([("a", 1, "old"), (None, 1, "kept"), ("c", 1, "c"), ("c", 1, "c")], "k string, n int, text string")
+    new = spark.createDataFrame([("a", None, "x"), ("a", 2, "y"), (None, 1, "z"), ("b", None, None)], "k string, n int, text string")
+    merged = catalog.merge_by_key(old, new, "k", "n")
+    assert merged._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert sorted(map(str, map(tuple, merged.collect()))) == sorted(map(str, [(None, 1, "kept"), ("c", 1, "c"), ("c", 1, "c"), ("a", 2, "y"), (None, 1, "z"), ("b", None, None)]))
