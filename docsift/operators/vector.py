@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .grams import CELLS, best_cells, places
-from .layout import spread
+from .layout import spread, tasks
 from .numbering import staged
 from .ranking import DIGITS, keep_first, min_max, top_k
 
 # Query vectors per block.
 BLOCK = 2_000
-# Rows of a block of the table, and how many of its tasks' shares one task meets.
-ROWS, SHARES = 4_096, 8
+# Rows of a block of the table, and how many of its blocks and of its tasks' shares one task holds.
+ROWS, BLOCKS, SHARES = 4_096, 64, 8
 
 
 def _scorer(ids: list, matrix: np.ndarray, k: int | None, keep: list[str], group: str | None, distinct: bool):
@@ -37,7 +37,7 @@ def _scorer(ids: list, matrix: np.ndarray, k: int | None, keep: list[str], group
         """Long form of the picked (row, query) cells."""
         out = pdf.iloc[r].reset_index(drop=True)
         out.insert(0, "query_id", [ids[i] for i in q])
-        out["score"] = scores[r, q]
+        out["score"] = np.round(scores[r, q], DIGITS) + 0.0
         return out
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -47,18 +47,34 @@ def _scorer(ids: list, matrix: np.ndarray, k: int | None, keep: list[str], group
             order = order.drop_duplicates([*by, "_key"])
         return order.groupby(by, sort=False, dropna=False).head(k)
 
+    def reached(held: pd.DataFrame) -> np.ndarray:
+        """The k-th best score of each query, -inf where there are fewer rows."""
+        found = held.groupby("query_id", sort=False)["score"].agg(["size", "min"])
+        full = found["min"].where(found["size"] >= k, -np.inf)
+        return full.reindex(ids, fill_value=-np.inf).to_numpy()
+
     def score(blocks: Iterator[tuple[pd.DataFrame, np.ndarray]]) -> Iterator[pd.DataFrame]:
         """Of blocks of rows and their vectors."""
         held: pd.DataFrame | None = None
+        floor = np.full(len(ids), -np.inf)
         step = max(1, CELLS // max(1, len(ids)))
         for pdf, v in ((b.iloc[lo : lo + step], v[lo : lo + step]) for b, v in blocks if ids for lo in range(0, len(b), step)):
             v = v.astype(float)
             length = np.linalg.norm(v, axis=1, keepdims=True)
-            scores = np.round(v @ unit.T / np.where(length == 0, 1, length), DIGITS) + 0.0
+            scores = v @ unit.T / np.where(length == 0, 1, length)
             pdf = pdf[["id", *keep]].reset_index(drop=True)
             if k is None:
                 yield rows(pdf, scores, *np.divmod(np.arange(scores.size), len(ids)))
                 continue
+            if not group and held is not None:
+                # Only what reaches a query's k-th best so far (before rounding) can be among its best.
+                r, q = np.nonzero(scores >= floor - 10.0**-DIGITS)
+                if len(r) <= 4 * k * len(ids):
+                    if len(r):
+                        held = best(pd.concat([held, rows(pdf, scores, r, q)]))
+                        floor = reached(held)
+                    continue
+            scores = np.round(scores, DIGITS) + 0.0
             # The best k of their query (and group) in this block.
             place = places(pdf["id"])
             keys = pd.factorize(pdf["_key"], use_na_sentinel=False)[0] if distinct else None
@@ -68,6 +84,8 @@ def _scorer(ids: list, matrix: np.ndarray, k: int | None, keep: list[str], group
                 found.append((at[r], q))
             part = rows(pdf, scores, *map(np.concatenate, zip(*found)))
             held = best(part if held is None else pd.concat([held, part]))
+            if not group:
+                floor = reached(held)
         if held is not None:
             yield held
 
@@ -78,14 +96,14 @@ def _search(corpus: DataFrame, queries: DataFrame, k: int | None, group: str | N
     keep = [c for c in corpus.columns if c not in ("id", "vec")]
     fields = ", ".join(f"`{c}` {t}" for c, t in corpus.select("id", *keep).dtypes)
     schema = f"query_id {dict(queries.dtypes)['query_id']}, {fields}, score double"
-    corpus = spread(corpus.filter(F.col("vec").isNotNull()), "id")
+    corpus = corpus.filter(F.col("vec").isNotNull())
     queries = queries.select("query_id", "vec").filter(F.col("vec").isNotNull())
     block = queries.limit(BLOCK + 1).toPandas()
     if len(block) > BLOCK:
         return _met(corpus, queries, schema, k, keep, group, distinct)
     matrix = np.stack(block["vec"].to_numpy()).astype(float) if len(block) else np.zeros((0, 1))
     score = _scorer(block["query_id"].tolist(), matrix, k, keep, group, distinct)
-    return corpus.mapInPandas(lambda batches: score((b, np.stack(b["vec"].to_numpy())) for b in batches if len(b)), schema)
+    return spread(corpus, "id").mapInPandas(lambda batches: score((b, np.stack(b["vec"].to_numpy())) for b in batches if len(b)), schema)
 
 
 def _packed(rows: DataFrame, size: int) -> DataFrame:
@@ -113,10 +131,13 @@ def _met(corpus: DataFrame, queries: DataFrame, fields: str, k: int | None, keep
     A task holds its share of the packed rows, which is bounded, and one block of queries with its best rows.
     """
     kinds = ["f4" if dict(df.dtypes)["vec"] == "array<float>" else "f8" for df in (queries, corpus)]
-    asked = _packed(spread(queries, "query_id"), BLOCK).withColumnsRenamed({"rows": "asked", "dim": "width", "data": "matrix"})
+    # As few tasks as hold the rows, so that blocks are full; the table's share of one is bounded by bytes and by blocks.
+    cores, n, m = queries.sparkSession.sparkContext.defaultParallelism, -(-queries.count() // BLOCK), -(-corpus.count() // ROWS)
+    asked = spread(queries, "query_id").coalesce(max(cores, min(tasks(queries) or n, n)))
+    found = spread(corpus.select("id", *keep, "vec"), "id").coalesce(max(1, min(m, max((tasks(corpus) or 0) // SHARES, -(-m // BLOCKS)))))
+    asked = _packed(asked, BLOCK).withColumnsRenamed({"rows": "asked", "dim": "width", "data": "matrix"})
     asked = staged(asked.withColumn("block", F.monotonically_increasing_id()))
-    found = staged(_packed(corpus.select("id", *keep, "vec"), ROWS))
-    found = found.coalesce(max(1, found.rdd.getNumPartitions() // SHARES))
+    found = staged(_packed(found, ROWS))
     out = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in queries.sparkSession.createDataFrame([], fields).schema])
 
     def numbers(data: pa.Scalar, width: pa.Scalar, kind: str) -> np.ndarray:
