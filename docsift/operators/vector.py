@@ -33,6 +33,9 @@ ROWS, BLOCKS, SHARES = 4_096, 64, 8
 def _scorer(ids: list, matrix: np.ndarray, k: int | None, keep: list[str], group: str | None, distinct: bool):
     unit = matrix / np.where(np.linalg.norm(matrix, axis=1, keepdims=True) == 0, 1, np.linalg.norm(matrix, axis=1, keepdims=True))
 
+    code = {q: i for i, q in enumerate(ids)}
+    own = np.array([code.get(q, len(ids)) for q in ids], int)
+
     def rows(pdf: pd.DataFrame, scores: np.ndarray, r: np.ndarray, q: np.ndarray) -> pd.DataFrame:
         """Long form of the picked (row, query) cells."""
         out = pdf.iloc[r].reset_index(drop=True)
@@ -49,17 +52,20 @@ def _scorer(ids: list, matrix: np.ndarray, k: int | None, keep: list[str], group
 
     def reached(held: pd.DataFrame) -> np.ndarray:
         """The k-th best score of each query, -inf where there are fewer rows."""
-        found = held.groupby("query_id", sort=False)["score"].agg(["size", "min"])
-        full = found["min"].where(found["size"] >= k, -np.inf)
-        return full.reindex(ids, fill_value=-np.inf).to_numpy()
-
-    def score(blocks: Iterator[tuple[pd.DataFrame, np.ndarray]]) -> Iterator[pd.DataFrame]:
-        """Of blocks of rows and their vectors."""
+        at = np.array([code.get(i, len(ids)) for i in held["query_id"]], int)
+        low = np.full(len(ids) + 1, np.inf)
+        np.minimum.at(low, at, held["score"].to_numpy())
+        # A repeated query has one list; one that is not found again (no id) has no bound.
+        full = np.where(np.bincount(at, minlength=len(ids) + 1) >= k, low, -np.inf)
+        full[len(ids)] = -np.inf
+        return full[own]
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
         floor = np.full(len(ids), -np.inf)
         step = max(1, CELLS // max(1, len(ids)))
-        for pdf, v in ((b.iloc[lo : lo + step], v[lo : lo + step]) for b, v in blocks if ids for lo in range(0, len(b), step)):
-            v = v.astype(float)
+        for pdf in (b.iloc[lo : lo + step] for b in batches if ids for lo in range(0, len(b), step)):
+            v = np.stack(pdf["vec"].to_numpy()).astype(float)
             length = np.linalg.norm(v, axis=1, keepdims=True)
             scores = v @ unit.T / np.where(length == 0, 1, length)
             pdf = pdf[["id", *keep]].reset_index(drop=True)
@@ -102,8 +108,7 @@ def _search(corpus: DataFrame, queries: DataFrame, k: int | None, group: str | N
     if len(block) > BLOCK:
         return _met(corpus, queries, schema, k, keep, group, distinct)
     matrix = np.stack(block["vec"].to_numpy()).astype(float) if len(block) else np.zeros((0, 1))
-    score = _scorer(block["query_id"].tolist(), matrix, k, keep, group, distinct)
-    return spread(corpus, "id").mapInPandas(lambda batches: score((b, np.stack(b["vec"].to_numpy())) for b in batches if len(b)), schema)
+    return spread(corpus, "id").mapInPandas(_scorer(block["query_id"].tolist(), matrix, k, keep, group, distinct), schema)
 
 
 def _packed(rows: DataFrame, size: int) -> DataFrame:
@@ -143,9 +148,9 @@ def _met(corpus: DataFrame, queries: DataFrame, fields: str, k: int | None, keep
     def numbers(data: pa.Scalar, width: pa.Scalar, kind: str) -> np.ndarray:
         return np.frombuffer(data.as_buffer(), kind).reshape(-1, max(1, width.as_py()))
 
-    def block(row: dict) -> tuple[pd.DataFrame, np.ndarray]:
+    def block(row: dict) -> pd.DataFrame:
         own = row["rows"].values
-        return pa.Table.from_arrays(own.flatten(), [f.name for f in own.type]).to_pandas(), numbers(row["data"], row["dim"], kinds[1])
+        return pa.Table.from_arrays(own.flatten(), [f.name for f in own.type]).to_pandas().assign(vec=list(numbers(row["data"], row["dim"], kinds[1])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = ({c: b.column(c)[i] for c in b.schema.names} for b in batches for i in range(b.num_rows))
